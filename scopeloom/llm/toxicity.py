@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from scopeloom.llm.common import crc_bucket, sampled, stored, words
 
-#: Labelled rows per class that the fit reads, words of the model, the prior's weight, the z-score that
-#: makes a word significant, the drift of all other words, and the E-value of a significant passage.
-ROWS_PER_CLASS, MAX_WORDS, PRIOR, MIN_Z, DRIFT, MAX_E = 8000, 50_000, 500.0, 3.5, -0.1, 0.05
+#: Labelled rows per class that the fit reads, words of the model, the prior's weight and its least share
+#: of a word, the z-score that makes a word significant, the drift of all other words, and the E-value of
+#: a significant passage.
+ROWS_PER_CLASS, MAX_WORDS, PRIOR, LEAST_PRIOR, MIN_Z, DRIFT, MAX_E = 8000, 50_000, 500.0, 0.5, 3.5, -0.1, 0.05
 
 
 @dataclass
@@ -125,14 +126,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_
     """
     rows = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sample = sampled(rows, "doc_id", "toxic", rows_per_class, "toxicity").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = stored(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").select("text", "toxic"))
+    train = stored(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[toxic].update(words(text))
+                sums[toxic].update(set(words(text)))
         names = list(sums[0].keys() | sums[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([sums[1][w] for w in names], pa.int64()), pa.array([sums[0][w] for w in names], pa.int64())], ["word", "toxic", "clean"])
 
@@ -140,7 +141,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_
     n_toxic, n_clean = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not n_toxic or not n_clean:
         return ToxicityModel()
-    prior = (F.col("toxic") + F.col("clean")) * F.lit(PRIOR / (n_toxic + n_clean))
+    # words count once a document, so that a text that repeats one does not speak for the others
+    prior = F.lit(LEAST_PRIOR) + (F.col("toxic") + F.col("clean")) * F.lit(PRIOR / (n_toxic + n_clean))
     odds = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y - prior))
     scored = counts.withColumn("score", odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)).withColumn("z", F.col("score") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
     vocabulary = scored.where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
