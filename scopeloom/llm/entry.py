@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopeloom.llm import decontamination, exact_dedup, langid, licenses, packing, records, secrets, toxicity
+from scopeloom.llm import decontamination, exact_dedup, langid, licenses, near_dedup, packing, records, secrets, substring_dedup, toxicity
 from scopeloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), last=True)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,7 +44,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_secrets, op2_records, op3_language, op4_toxicity, op5_exact_dedup, op7_decontamination, op8_licenses, op9_packing]
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_substrings(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_secrets, op2_records, op3_language, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_decontamination, op8_licenses, op9_packing, op10_substrings]
 
 
 def queries() -> dict:

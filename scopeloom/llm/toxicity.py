@@ -195,6 +195,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, schema).withColumnRenamed("id", id_col)
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``limit``, with all their columns; texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            clean = [probability(passages(x.as_py(), m)[1], m) < limit for x in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """The model of the folds that are not held out."""
     return fit_toxicity(docs, labels.where(crc_bucket("doc_id", 5) != 0))
