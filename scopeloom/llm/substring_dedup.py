@@ -166,7 +166,7 @@ class _Spans:
 
     def __init__(self, values: np.ndarray):
         self.begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-        self.end = np.r_[self.begin[1:], len(values)].astype(np.int64)
+        self.end = np.r_[self.begin[1:], len(values)].astype(np.int64) if len(values) else self.begin
 
     def __iter__(self):
         return zip(self.begin.tolist(), self.end.tolist(), strict=True)
@@ -185,7 +185,8 @@ def sample_splitters(docs: DataFrame, buckets: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([_leading(block, at[::8]).tobytes()], pa.binary())], ["keys"])
 
     found = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").mapInArrow(apply, "keys binary").collect()
-    keys = np.sort(np.frombuffer(b"".join(bytes(r["keys"]) for r in found), f"S{GRAM}"))
+    held = b"".join(bytes(r["keys"]) for r in found)
+    keys = np.sort(np.frombuffer(held, f"S{GRAM}")) if held else np.zeros(0, f"S{GRAM}")
     return np.unique(keys[(np.arange(1, buckets) * len(keys)) // buckets]) if len(keys) else keys
 
 
