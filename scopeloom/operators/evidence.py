@@ -103,3 +103,75 @@ def trust_score(runs: DataFrame) -> DataFrame:
     score = sum((F.round(F.coalesce(c, F.lit(neutral.get(c, 1.0))), 4) * w for c, w in TRUST_WEIGHTS.items()), F.lit(0.0))
     tier = F.when(F.col("score") >= 0.8, "GREEN").when(F.col("score") >= 0.6, "YELLOW").otherwise("RED")
     return runs.withColumn("score", F.round(score, 4)).withColumn("tier", tier)
+
+
+# Words of administrative and quality items.
+ADMIN_WORDS = (
+    "submittal|submittals|mockup|mockups|warranty|warranties|closeout|punch list|shop drawing|shop drawings|quality control|quality assurance|"
+    "testing requirement|testing requirements|test report|permit|permits|bond|bonds|mobilization|demobilization|cleanup|clean-up|general cleanup|"
+    "final cleaning|dumpster|dumpsters|site clean|supervision|general conditions|overhead|as-built|as-builts|operation and maintenance manual|"
+    "o&m manual|o&m manuals|schedule of values|pay application|insurance|indemnification"
+)
+# Sections whose evidence is on drawings only, and divisions with specs only.
+DRAWING_ONLY = ("02 41 00", "02 41 13", "02 41 16", "02 41 19", "02 42 00", "31 10 00", "31 11 00", "33 05 33.13")
+SPEC_ONLY_DIVISIONS = ("01",)
+
+
+def is_admin(description: Column) -> Column:
+    return F.coalesce(description.rlike(rf"(?i)\b(?:{ADMIN_WORDS})\b"), F.lit(False))
+
+
+def expected_pattern(code: Column, description: Column) -> Column:
+    """Admin words mean spec_only; then the section, its ``NN NN 00`` family, its division; else bilateral."""
+    own = F.upper(F.trim(F.coalesce(code, F.lit(""))))
+    family = F.concat(F.substring(own, 1, 5), F.lit(" 00"))
+    return F.when(is_admin(description), "spec_only").when(own.isin(*DRAWING_ONLY) | family.isin(*DRAWING_ONLY), "drawing_only").when(F.substring(own, 1, 2).isin(*SPEC_ONLY_DIVISIONS), "spec_only").otherwise("bilateral")
+
+
+def corpus_evidence(chunks: DataFrame, sheets: DataFrame) -> DataFrame:
+    """project_id and key of all that the corpus speaks of: divisions named in headings, disciplines of sheets, and ``general``."""
+    from scopeloom.operators.grounding import discipline_of_sheet
+
+    heads = F.regexp_extract_all("text", F.lit(r"(?:DIVISION|SECTION) (\d{1,2})"), F.lit(1))
+    named = chunks.select("project_id", F.explode(heads).alias("key")).select("project_id", F.lpad("key", 2, "0").alias("key"))
+    drawn = sheets.select("project_id", discipline_of_sheet(F.col("sheet_id")).alias("key")).where(F.col("key").isNotNull())
+    drawn = drawn.withColumn("key", F.when(F.col("key") == "landscape", "site").otherwise(F.col("key")))
+    always = chunks.select("project_id").distinct().withColumn("key", F.lit("general"))
+    return named.unionByName(drawn).unionByName(always).distinct()
+
+
+def items_for_sheets(items: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Items (item_id, discipline, description) that are not administrative, with their discipline's sheets (sheet_id, page)."""
+    from scopeloom.operators.grounding import discipline_of_sheet
+
+    metas = sheets.groupBy("project_id", "sheet_id").agg(F.min("page").alias("page")).withColumn("discipline", discipline_of_sheet(F.col("sheet_id"))).where(F.col("discipline").isNotNull())
+    return items.where(~is_admin(F.col("description"))).join(metas, ["project_id", "discipline"]).select("item_id", "sheet_id", "page")
+
+
+def symbol_lookup(glyphs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """glyphs (id, glyph, discipline) → code where it is unambiguous; rows of the same discipline are preferred.
+
+    ``symbols``: glyph, code, discipline.
+    """
+    norm = lambda c: F.upper(F.regexp_replace(c, r"\s+", ""))
+    met = glyphs.withColumn("g", norm(F.col("glyph"))).join(F.broadcast(symbols.select(norm(F.col("glyph")).alias("g"), "code", F.col("discipline").alias("own"))), "g", "left")
+    same = F.coalesce(F.col("own") == F.col("discipline"), F.lit(False))
+    per = met.groupBy("id").agg(F.collect_set(F.when(same, F.col("code"))).alias("near"), F.collect_set("code").alias("any"))
+    chosen = F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("any"))
+    return per.select("id", F.when(F.size(chosen) == 1, chosen[0]).alias("code"))
+
+
+def backfill_legend(rows: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """Fill missing code hints of legend rows (id, code) from a lookup (id, code)."""
+    return rows.join(looked_up.select("id", F.col("code").alias("found")), "id", "left").select("id", F.coalesce("code", "found").alias("code"))
+
+
+def legend_candidates(index: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sheets that may hold a legend, by title or number, from an index and from pages; the index comes first."""
+    hint = F.coalesce(F.col("title").rlike(r"(?i)legend|symbol|abbreviation"), F.lit(False)) | F.upper("sheet_id").rlike(r"^G|-?00[12]$")
+    tagged = index.where(hint).withColumn("prio", F.lit(0)).unionByName(pages.where(hint).withColumn("prio", F.lit(1)))
+    norm = F.upper(F.regexp_replace("sheet_id", r"[^A-Za-z0-9]", ""))
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("document_id", norm).orderBy("prio", "ord")
+    return tagged.withColumn("n", F.row_number().over(order)).where("n = 1").select("document_id", "sheet_id", "prio", "ord")

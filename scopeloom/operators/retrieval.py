@@ -132,3 +132,66 @@ def retrieval_summary(evaluated: DataFrame) -> DataFrame:
         F.round(F.sum(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))) / F.count(F.lit(1)), 6).alias("mrr"),
     )
     return rows.withColumn("difficulty", F.coalesce("difficulty", F.lit("OVERALL")))
+
+
+def cosine_topk_ann(chunks: DataFrame, queries: DataFrame, k: int, least: float = 0.0, tables: int = 12, width: float = 0.7) -> DataFrame:
+    """Approximate ``cosine_topk`` without a group key: random projections of unit vectors, then exact scores.
+
+    Queries (query_id, vector) and chunks (chunk_id, embedding) meet where one of ``tables`` projections puts them
+    into the same interval of ``width``. Recall grows with the number of tables.
+    """
+    import math
+
+    import numpy as np
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
+    normed = lambda df, c, i: df.where(F.col(c).isNotNull()).withColumn("n", F.sqrt(dot(c, c))).where("n > 0").select(i, array_to_vector(F.transform(unit(F.col(c)), lambda x: x / F.col("n"))).alias("unit"))
+    a, b = normed(chunks, "embedding", "chunk_id"), normed(queries, "vector", "query_id")
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(a)
+    radius = float(math.sqrt(np.maximum(0.0, 2 - 2 * least)))
+    near = model.approxSimilarityJoin(a, b, radius, "distance")
+    scored = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") ** 2 / 2, 6).alias("score"))
+    return top(scored, k)
+
+
+def hybrid_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, dense: DataFrame, relevance: DataFrame, candidates: int = 50, final: int = 10) -> DataFrame:
+    """Sparse and dense candidates fused, hydrated, reranked, with snippets, for a table of queries."""
+    sparse = bm25_topk(chunks, queries, candidates)
+    fused = rrf_fuse([sparse, dense], candidates)
+    ranked = apply_rerank(fused, relevance, final)
+    hits = hydrate_hits(ranked, chunks, documents, sparse)
+    texts = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    return snippet(texts).drop("text", "query")
+
+
+def multi_query_retrieve(divisions: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+    """Three phrasings per division (project_id, division, title), ``k`` hits each, one row per chunk with the phrasings that found it."""
+    phrasings = [("materials", "materials products {}"), ("quantities", "quantities sizes count {}"), ("specs", "specification requirements {}")]
+    asked = None
+    for name, phrase in phrasings:
+        q = divisions.select("project_id", "division", F.concat_ws("~", F.col("project_id").cast("string"), "division", F.lit(name)).alias("query_id"), F.concat(F.lit(phrase.replace("{}", "")), "title").alias("text"))
+        asked = q if asked is None else asked.unionByName(q)
+    hits = bm25_topk(chunks, asked, k).join(asked.select("query_id", "project_id", "division"), "query_id")
+    return hits.groupBy("project_id", "division", "chunk_id").agg(F.array_join(F.array_sort(F.collect_set(F.element_at(F.split("query_id", "~"), 3))), "+").alias("found_by"), F.min("rank").alias("best_rank"))
+
+
+def profile_pool(chunks: DataFrame, semantic: DataFrame, hint: Column, cap: int = 120) -> DataFrame:
+    """Chunks that describe a project: first pages, then hinted ones, then semantic hits; the first pool wins, ``cap`` a project."""
+    pools = [chunks.where("page_number = 1"), chunks.where(hint), chunks.join(semantic.select("chunk_id").distinct(), "chunk_id", "left_semi")]
+    union = None
+    for prio, pool in enumerate(pools):
+        part = pool.select("project_id", "chunk_id", F.lit(prio).alias("prio"))
+        union = part if union is None else union.unionByName(part)
+    best = union.groupBy("project_id", "chunk_id").agg(F.min("prio").alias("prio"))
+    order = W.partitionBy("project_id").orderBy("prio", "chunk_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+
+
+def discipline_corpus(chunks: DataFrame, sheets: DataFrame, divisions: DataFrame) -> DataFrame:
+    """Per discipline: chunks of its drawings (document_id, discipline), and spec chunks that name one of its divisions (division, discipline)."""
+    drawn = chunks.where("chunk_type <> 'spec_section'").join(sheets.select("document_id", "discipline").distinct(), "document_id").select("discipline", "chunk_id", F.lit("drawing").alias("side"))
+    named = chunks.where("chunk_type = 'spec_section'").select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\d{2}) \d{2} \d{2}\b"), F.lit(1)))).alias("division"))
+    spec = named.join(F.broadcast(divisions), "division").select("discipline", "chunk_id", F.lit("spec").alias("side"))
+    return drawn.unionByName(spec).distinct()
