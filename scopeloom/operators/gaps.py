@@ -82,3 +82,23 @@ def apply_arbitration(members: DataFrame, winners: DataFrame) -> DataFrame:
     joined = members.join(valid, "conflict_id", "left")
     outcome = F.when(F.col("winner").isNull(), "deferred").when(F.col("winner") == F.col("item_id"), "kept").otherwise("rejected")
     return joined.select("conflict_id", "item_id", F.when(F.col("winner").isNull(), "open").otherwise("resolved").alias("conflict_status"), outcome.alias("outcome"))
+
+
+def discipline_gap_rows(answers: DataFrame) -> DataFrame:
+    """One-sided signals (run_id, json with three lists of text and section) as ``unilateral_evidence`` gaps.
+
+    A section that is no canonical code stays in the description; blank signals are dropped.
+    """
+    from scopeloom.operators.grounding import canonical_code_or_null
+
+    entry = "array<struct<text:string,section:string>>"
+    parsed = answers.select("run_id", F.from_json("json", f"spec_only {entry}, drawing_only {entry}, contradictions {entry}").alias("p"))
+    out = None
+    for side in ("spec_only", "drawing_only", "contradictions"):
+        part = parsed.select("run_id", F.lit(side).alias("side"), F.explode(f"p.{side}").alias("e"))
+        out = part if out is None else out.unionByName(part)
+    section = F.trim("e.section")
+    code = canonical_code_or_null(section)
+    text = F.trim("e.text")
+    described = F.when(code.isNull() & (F.length(section) > 0), F.concat(text, F.lit(" ["), section, F.lit("]"))).otherwise(text)
+    return out.where(F.length(text) > 0).select("run_id", "side", F.lit("unilateral_evidence").alias("gap_type"), code.alias("code"), described.alias("description"))

@@ -173,3 +173,12 @@ def select_divisions(relevance: DataFrame, taxonomy: DataFrame) -> DataFrame:
     from scopeloom.operators.evidence import effective_relevance
 
     return relevance.where(effective_relevance()).join(taxonomy.select("division").distinct(), "division", "left_semi").select("project_id", "division")
+
+# Rule table of our own: discipline and its divisions.
+DISCIPLINES = {"general": "00 01", "structural": "03 04 05", "architectural": "06 07 08 10", "interior": "09 12", "fire-protection": "21", "plumbing": "22", "mechanical": "23 25", "electrical": "26 27 28", "civil": "31 33", "landscape": "32"}
+
+
+def discipline_of_division(division: Column) -> Column:
+    """The discipline that owns a division, else null."""
+    table = F.create_map(*[F.lit(x) for d, ns in DISCIPLINES.items() for n in ns.split() for x in (n, d)])
+    return F.try_element_at(table, F.lpad(division, 2, "0"))

@@ -124,3 +124,49 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files of a folder as id, content and an unknown declared type."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("id"), "content", F.lit("application/octet-stream").alias("declared"))
+
+
+def parse_sheet_index_payload(payloads: DataFrame) -> DataFrame:
+    """Sheet lists (document_id, json): entries without an id are dropped; the discipline defaults by the sheet's prefix."""
+    from scopeloom.operators.grounding import discipline_of_sheet
+
+    parsed = payloads.select("document_id", F.posexplode(F.from_json("json", "array<struct<sheet_id:string,title:string,discipline:string>>")).alias("pos", "e"))
+    sheet = F.trim("e.sheet_id")
+    own = F.nullif(F.trim("e.discipline"), F.lit(""))
+    return parsed.where(F.length(sheet) > 0).select("document_id", F.col("pos").cast("long").alias("pos"), sheet.alias("sheet_id"), F.trim("e.title").alias("title"), F.coalesce(own, discipline_of_sheet(sheet)).alias("discipline"))
+
+
+def parse_legend_payload(payloads: DataFrame) -> DataFrame:
+    """Legend lists (document_id, json): entries need a glyph and a meaning."""
+    parsed = payloads.select("document_id", F.explode(F.from_json("json", "array<struct<glyph:string,meaning:string,code:string>>")).alias("e"))
+    return parsed.where((F.length(F.trim("e.glyph")) > 0) & (F.length(F.trim("e.meaning")) > 0)).select("document_id", F.trim("e.glyph").alias("glyph"), F.trim("e.meaning").alias("meaning"), "e.code")
+
+
+def parse_typed_schedule_payload(payloads: DataFrame) -> DataFrame:
+    """Typed schedules (page_id, type, json of rows and a printed name) → name ``[typed:x] …``, columns, row count.
+
+    Columns are the rows' keys in order of first appearance, without ``extra_fields``.
+    """
+    schema = "struct<schedule_name_as_printed:string,rows:array<map<string,string>>>"
+    parsed = payloads.select("page_id", "type", F.from_json("json", schema).alias("p"))
+    keys = F.array_distinct(F.flatten(F.transform("p.rows", lambda r: F.map_keys(r))))
+    name = F.concat(F.lit("[typed:"), "type", F.lit("] "), F.coalesce("p.schedule_name_as_printed", F.lit("")))
+    return parsed.select("page_id", F.trim(name).alias("name"), F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: k != "extra_fields").alias("columns"), F.greatest(F.coalesce(F.size("p.rows"), F.lit(0)), F.lit(0)).cast("long").alias("n_rows"))
+
+
+def drawing_chunks(tables: dict[str, DataFrame]) -> DataFrame:
+    """Chunks of five kinds from the tables of ``parse_page_payload``: page_id, chunk_type, pos, text."""
+    shape = lambda df, kind, pos, text: df.select("page_id", F.lit(kind).alias("chunk_type"), pos.cast("long").alias("pos"), text.alias("text"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    zero = F.lit(0)
+    parts = [
+        shape(tables["sheets"], "page_summary", zero, F.concat(F.lit("Sheet "), "sheet_number", F.lit(": "), blank("sheet_title"))),
+        shape(tables["schedules"], "schedule", F.col("pos"), F.concat(F.lit("Schedule "), blank("name"), F.lit(" ("), F.array_join("columns", ", "), F.lit(")"))),
+        shape(tables["notes"].where(F.length("text") > 0), "note", F.col("pos"), F.concat(F.lit("Note: "), "text")),
+        shape(tables["cross_references"], "cross_reference", F.col("pos"), F.concat(F.lit("See "), blank("detail_id"), F.lit("/"), blank("target_sheet"))),
+        shape(tables["entities"], "entity", F.col("pos"), F.concat(blank("entity_type"), F.lit(": "), blank("value"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

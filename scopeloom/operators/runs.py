@@ -131,3 +131,29 @@ def supervised_examples(audit: DataFrame, items: DataFrame) -> DataFrame:
     joined = human.join(items.select(F.col("item_id").alias("entity_id"), "description"), "entity_id")
     verdict = F.coalesce(F.get_json_object("payload", "$.verdict"), F.get_json_object("payload", "$.k"))
     return joined.select("audit_id", F.col("description").alias("prompt"), F.concat_ws(": ", "action", verdict).alias("answer")).where(F.col("prompt").isNotNull() & F.col("answer").isNotNull())
+
+
+def run_rollup(runs: DataFrame, conflicts: DataFrame, gaps: DataFrame, packages: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts and score of each run (run_id, project_id, started_at), and the latest score of each project."""
+    count = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+    joined = runs
+    for df, name in ((conflicts.select("run_id", "conflict_id").distinct(), "conflicts"), (gaps, "gaps"), (packages.select("run_id", "package").distinct(), "packages")):
+        joined = joined.join(count(df, name), "run_id", "left")
+    joined = joined.fillna(0, ["conflicts", "gaps", "packages"]).join(scores.select("run_id", "score"), "run_id", "left")
+    latest = joined.where(F.col("score").isNotNull()).groupBy("project_id").agg(F.max_by("score", F.struct("started_at", "run_id")).alias("trust_score_latest"))
+    return joined, latest
+
+
+def extraction_overview(pages: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Per page how many schedules, notes, references and entities were found, 0 where none."""
+    out = pages.select("page_id")
+    for name, df in tables.items():
+        out = out.join(df.groupBy("page_id").agg(F.count(F.lit(1)).alias(name)), "page_id", "left")
+    return out.fillna(0)
+
+
+def rfi_markdown(rfis: DataFrame) -> DataFrame:
+    """RFIs (run_id, number, subject, question) as one Markdown text per run, in order of numbers."""
+    block = F.concat(F.lit("### RFI "), F.col("number").cast("string"), F.lit(": "), F.coalesce("subject", F.lit("")), F.lit("\n\n"), F.coalesce("question", F.lit("")))
+    parts = rfis.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("number", block.alias("text")))).alias("p"))
+    return parts.select("run_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("markdown"))

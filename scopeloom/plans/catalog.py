@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scopeloom.plans import bid_queries, grounding_queries, more_queries, scope_queries, text_queries  # noqa: F401
+from scopeloom.plans import bid_queries, grounding_queries, more_queries, payload_queries, scope_queries, text_queries  # noqa: F401
 from scopeloom.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "bm25_topk"
