@@ -38,8 +38,8 @@ WINDOW, GRAM = 50, 20
 PLACES = WINDOW - GRAM + 1
 SIDE = WINDOW - GRAM
 CONTEXT = 2 * SIDE + GRAM
-#: Documents whose anchors give the splitters, buckets per partition, anchors that a task packs at once.
-SAMPLE_DOCS, BUCKETS_PER_PARTITION, FLUSH = 2000, 4, 400_000
+#: Documents whose anchors give the splitters, anchors that a task packs at once.
+SAMPLE_DOCS, FLUSH = 2000, 400_000
 FINGERPRINT = np.uint64((1 << 40) - 1)
 
 PACKED = "part int, kind int, blob binary"
@@ -351,8 +351,13 @@ def _contexts(splitters):
                 for lo in range(0, len(at), 1 << 16):
                     a, k = at[lo : lo + (1 << 16)], which[lo : lo + (1 << 16)]
                     spot = a[:, None] + np.arange(-SIDE, GRAM + SIDE)
-                    context = np.where((spot >= inner[k][:, None]) & (spot < inner[k + 1][:, None]), block[np.clip(spot, 0, len(block) - 1)], 0).astype(np.uint8)
-                    held.append((context, bits[lo : lo + (1 << 16)], ids[rows[k]], crcs[rows[k]], a - inner[k] + skip[k]))
+                    own = bits[lo : lo + (1 << 16)]
+                    # bytes of no window that chose this anchor say nothing and are blanked
+                    first, last = np.log2(own & (~own + np.uint32(1))).astype(np.int64), np.log2(own).astype(np.int64)
+                    column = np.arange(CONTEXT)
+                    told = (column >= first[:, None]) & (column < last[:, None] + WINDOW)
+                    context = np.where(told, block[np.clip(spot, 0, len(block) - 1)], 0).astype(np.uint8)
+                    held.append((context, own, ids[rows[k]], crcs[rows[k]], a - inner[k] + skip[k]))
                     count += len(a)
                 if count >= FLUSH:
                     yield flush(current)
@@ -500,12 +505,12 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = shuffle_partitions(spark)
     none = -(1 << 63)
     ident: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(none))
-    rows = docs.select(ident.alias("id"), F.col(text_col).alias("text")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4 * n)).cast("int"))
-    splitters = spark.sparkContext.broadcast(sample_splitters(rows, BUCKETS_PER_PARTITION * n))
+    rows = docs.select(ident.alias("id"), F.col(text_col).alias("text")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    splitters = spark.sparkContext.broadcast(sample_splitters(rows, n))
     packed = rows.mapInArrow(_pack_documents, PACKED)
-    gathered = lambda df: df.repartition(n, "part").sortWithinPartitions("part", "kind")
-    shared = _fingerprints(rows, splitters).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, PACKED)
+    gathered = lambda df: df.repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind")
+    shared = _fingerprints(rows, splitters).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_shared, PACKED)
     contexts = gathered(shared.unionByName(packed)).mapInArrow(_contexts(splitters), SENT)
-    removed = contexts.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_judged(), PACKED)
+    removed = contexts.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_judged(), PACKED)
     out = gathered(removed.unionByName(packed)).mapInArrow(_cut(), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.select(F.when(F.col("id") != none, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
