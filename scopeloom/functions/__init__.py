@@ -1 +1 @@
-
+"""Iterative table algorithms."""

@@ -1 +1 @@
-
+"""Registered queries and their oracles."""

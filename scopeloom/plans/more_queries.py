@@ -11,7 +11,7 @@ from scopeloom.operators import clustering as C
 from scopeloom.operators import evaluation as V
 from scopeloom.operators import evidence as E
 from scopeloom.operators import grounding as G
-from scopeloom.operators import ingest as I
+from scopeloom.sources import ingest as I
 from scopeloom.operators import retrieval as R
 from scopeloom.operators import schedules as S
 from scopeloom.plans.fixtures import view, with_views

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scopeloom.operators import gaps as G
 from scopeloom.operators import grounding
-from scopeloom.operators import ingest as I
+from scopeloom.sources import ingest as I
 from scopeloom.operators import packages as P
 from scopeloom.operators import runs as R
 from scopeloom.plans import more_queries as M

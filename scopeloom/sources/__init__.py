@@ -1 +1 @@
-
+"""Readers, payload parsers and sinks."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scopeloom.operators.ingest import replace_partitions
+from scopeloom.sources.ingest import replace_partitions
 from scopeloom.operators.retrieval import tokenize
 
 DOCUMENTS = "doc_id bigint, text string"

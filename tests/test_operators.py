@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopeloom.functions.graph import connected_components, greedy_leaders
-from scopeloom.operators import bids, clustering, evaluation, evidence, gaps, grounding, ingest, packages, quantities, retrieval, schedules, text
+from scopeloom.operators import bids, clustering, evaluation, evidence, gaps, grounding, packages, quantities, retrieval, schedules, text
+from scopeloom.sources import ingest
 from scopeloom.streaming import jobs
 
 
