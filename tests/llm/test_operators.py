@@ -167,7 +167,9 @@ def test_exact_with_spill(docs, texts, monkeypatch):
     test_exact(docs, texts, True)
 
 
-def test_similarity():
+@pytest.mark.parametrize("few", [0, 1, 24])
+def test_similarity(monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
     rng = np.random.default_rng(4)
     for _ in range(300):
         a = rng.integers(0, 5, rng.integers(1, 25))
