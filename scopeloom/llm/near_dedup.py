@@ -2,14 +2,15 @@
 
 A text is its sequence of five-word shingles, each labelled with its occurrence number. Every hash
 function picks the few labelled shingles with the least hashes and keeps them in text order; that ordered
-tuple is a sketch, so two texts tend to share sketches when one can be edited into the other. Texts that
-share a sketch are candidates; a banded alignment of their words decides: the edit similarity
-``1 - edits / words of the longer text`` must reach 0.8.
+tuple is a sketch, so two texts tend to share sketches when one can be edited into the other. A banded
+alignment of their words decides: the edit similarity ``1 - edits / words of the longer text`` must reach 0.8.
 
 Texts with equal words are one class representative from the start, so any number of copies costs one
-sketch. A sketch's texts are compared with a leader, not with each other. Those that the leader's class
-does not take in go on in smaller buckets, of two shared sketches; these elect leaders, eight times as
-many each round, until every bucket is exhausted or of one class. Links are joined into classes by minimum labels with pointer jumping, on written tables.
+sketch. A sketch's texts are compared with a leader, not with each other; that joins most of what belongs
+together. Sketches alone would miss pairs, so every further pair that can be similar is found by its word
+pairs: an edit changes two of them, so texts within the allowed edits share all but so many, hence several of
+the rarest of each. Texts of two classes that share that many are aligned. No similar pair is lost there,
+however common its sketches or short its texts. Links are joined into classes by minimum labels with pointer jumping, on written tables.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scopeloom.llm.common import mix, shuffle_partitions, stored, words
 
-#: Words of a shingle, sketches, shingles of a sketch, least similarity, growth of leaders by round, and
-#: edits up to which an alignment goes by diagonals.
-SHINGLE, SKETCHES, PICKED, SIMILARITY, GROWTH, FEW = 5, 32, 3, 0.8, 8, 24
+#: Words of a shingle, sketches, shingles of a sketch, least similarity, and edits up to which an alignment
+#: goes by diagonals.
+SHINGLE, SKETCHES, PICKED, SIMILARITY, FEW = 5, 32, 3, 0.8, 24
+#: Slots of the table of word counts, rare runs of words that a pair must share (all it must share, if fewer),
+#: and rows of a run that meet in one task.
+SLOTS, SHARED, BLOCK = 1 << 20, 3, 1024
 _NEVER = -(1 << 60)
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -84,6 +87,11 @@ def order_sketches(codes: np.ndarray, sketches: int = SKETCHES, picked: int = PI
     return out
 
 
+def allowed_edits(longer: int, least: float) -> int:
+    """Most edits between two texts, the longer of so many words, that are similar."""
+    return int((1 - least) * longer + 1e-9)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Edit similarity of two word sequences, or 0 where it is below ``least``.
 
@@ -93,7 +101,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     longer = max(len(a), len(b))
     if not longer:
         return 0.0
-    allowed = int((1 - least) * longer + 1e-9)
+    allowed = allowed_edits(longer, least)
     if abs(len(a) - len(b)) > allowed:
         return 0.0
     # words that one side has too few of need an edit each
@@ -172,33 +180,165 @@ def _slide(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the words (null without words), sketches."""
+    """id, digest of the words (null without words), sketches, codes (the word codes as packed 32-bit numbers)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+        known = _Codes()
         for batch in batches:
-            digests, sketches = [], []
+            digests, sketches, lists = [], [], []
             for text in batch.column(1):
                 found = words(text.as_py())
+                codes = np.array([known[w] for w in found], np.uint32)
                 digests.append(hashlib.blake2b(b" ".join(found), digest_size=16).hexdigest() if found else None)
-                sketches.append(order_sketches(np.array([codes[w] for w in found], np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(sketches, pa.list_(pa.int64()))], ["id", "digest", "sketches"])
+                sketches.append(order_sketches(codes))
+                lists.append(codes.astype("<u4").tobytes())
+            columns = [batch.column(0), pa.array(digests, pa.string()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lists, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "sketches", "codes"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, f"id {kind}, digest string, sketches array<bigint>, codes binary")
+
+
+def word_lists(signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, codes of the wanted ids, each once."""
+    return stored(signed.select("id", "codes").join(ids, "id", "left_semi").groupBy("id").agg(F.first("codes").alias("codes")))
+
+
+def word_counts(signed: DataFrame) -> np.ndarray:
+    """In how many rows the words of each slot occur: a table of one size, whatever the number of words."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for codes in batch.column(0):
+                counts[np.unique(np.frombuffer(codes.as_py(), "<u4") % SLOTS)] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
+
+    found = signed.select("codes").mapInArrow(apply, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.uint32)
+    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.uint32).max)
+    return counts
+
+
+def run_length(least: float) -> int:
+    """Words of the runs that texts are matched by: two, unless so many edits are allowed that all pairs of words may differ."""
+    return 2 if least >= 0.75 else 1
+
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, f"id {kind}, digest string, sketches array<bigint>")
+def needed(n: int, least: float) -> int:
+    """Runs that a text of so many words shares with each text similar to it that is not longer."""
+    size = run_length(least)
+    return n - size + 1 - size * allowed_edits(n, least)
 
 
-def word_lists(docs: DataFrame) -> DataFrame:
-    """id, codes: the word codes as packed 32-bit numbers."""
-    kind = docs.schema["id"].dataType.simpleString()
+def rare_runs(codes: np.ndarray, counts: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest runs of a text and their places in the order from rare to common, without runs that no other text has.
+
+    All texts use one order: by counts of the words, hash, occurrence. A text may lose all runs but those ``needed``,
+    so among that many and ``SHARED`` more of its rarest there are ``SHARED`` runs of a similar text.
+    """
+    size = run_length(least)
+    n = len(codes) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    of_word = counts[codes % SLOTS]
+    h, rank, only = np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, bool)
+    for i in range(size):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n])
+        rank += np.log2(of_word[i : i + n])
+        only |= of_word[i : i + n] <= 1
+    order = np.lexsort((h, np.where(only, 0, (16 * rank).astype(np.int64))))
+    h, only, at = h[order], only[order], np.arange(n)
+    occurrence = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
+    places = np.flatnonzero(~only[: n - needed(len(codes), least) + SHARED])
+    return mix(h[places] + occurrence[places].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), places
+
+
+def rare_keys(signed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """rep, key, after, need: the rare runs, the runs from that one on, and the runs a similar text must share."""
+    counts = signed.sparkSession.sparkContext.broadcast(word_counts(signed))
+    kind, size = signed.schema["id"].dataType.simpleString(), run_length(least)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
         for batch in batches:
-            lists = [np.array([codes[w] for w in words(t.as_py())], "<u4").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["id", "codes"])
+            keys, after, need = [], [], []
+            for packed in batch.column(1):
+                codes = np.frombuffer(packed.as_py(), "<u4")
+                key, places = rare_runs(codes, counts.value, least)
+                keys.append(key.view(np.int64))
+                after.append((len(codes) - size + 1 - places).astype(np.int32))
+                need.append(needed(len(codes), least))
+            columns = [pa.array(keys, pa.list_(pa.int64())), pa.array(after, pa.list_(pa.int32())), pa.array(need, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["rep", "keys", "after", "need"])
+
+    # one row of those that repeat a text
+    own = signed.join(texts.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "codes").distinct()
+    found = own.mapInArrow(apply, f"rep {kind}, keys array<bigint>, after array<int>, need int")
+    return found.select("rep", "need", F.explode(F.arrays_zip("keys", "after")).alias("w")).select("rep", F.col("w.keys").alias("key"), F.col("w.after").alias("after"), "need")
+
+
+def _met(table: pa.Table) -> pa.RecordBatch:
+    """a, b, need, n: how many keys of the rows (key, rep, label, after, need, block, own, other), sorted by key, two texts share.
+
+    The k-th run that two similar texts share, k up to ``SHARED``, has all they must share but k - 1 from it on;
+    other rows do not count.
+    """
+    ids = table.column("rep").combine_chunks().dictionary_encode()
+    rep, label = (np.asarray(x) for x in (ids.indices, table.column("label").combine_chunks().dictionary_encode().indices))
+    key, after, need, block, own, other = (table.column(c).to_numpy() for c in ("key", "after", "need", "block", "own", "other"))
+    begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (other[1:] != other[:-1])])
+    length = np.diff(np.r_[begin, len(key)])
+    found = [np.zeros(0, np.int64)]
+    needs = np.zeros(len(ids.dictionary), np.int64)
+    needs[rep] = need
+    for n in np.unique(length[length > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        starts = begin[length == n]
+        for part in np.array_split(starts, max(1, len(starts) * len(i) >> 21)):
+            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+            near = (label[x] != label[y]) & (np.minimum(after[x], after[y]) + SHARED - 1 >= np.maximum(need[x], need[y]))
+            near &= (block[x] != block[y]) | (own[x] == other[x])  # texts of one block meet where it is alone
+            x, y = x[near], y[near]
+            found.append(np.minimum(rep[x], rep[y]).astype(np.int64) * len(needs) + np.maximum(rep[x], rep[y]))
+    pairs, shared = np.unique(np.concatenate(found), return_counts=True)
+    a, b = np.divmod(pairs, len(needs))
+    columns = [ids.dictionary.take(pa.array(x)) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum(needs[a], needs[b])), pa.array(shared)], ["a", "b", "need", "n"])
+
+
+def across(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of two classes that share as many of their rare runs as similar texts must.
+
+    A key with many rows is cut into blocks, and every two of its blocks meet in a task of their own.
+    """
+    kind = keys.schema["rep"].dataType.simpleString()
 
-    return docs.select("id", "text").mapInArrow(apply, f"id {kind}, codes binary")
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            last = [held.column(c)[-1].as_py() for c in ("key", "own", "other")]
+            same = np.logical_and.reduce([held.column(c).to_numpy() == x for c, x in zip(("key", "own", "other"), last, strict=True)])
+            cut = held.num_rows - int(same.sum())  # the last group may go on in the next batch
+            if cut:
+                yield _met(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield _met(held)
+
+    named = keys.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    spread = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x != y").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = named.join(spread, "key").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "rep", "label", "after", "need", "block", F.least("block", "with").alias("own"), F.greatest("block", "with").alias("other"))
+    dealt = dealt.repartition(shuffle_partitions(keys.sparkSession), "key", "own", "other").sortWithinPartitions("key", "own", "other")
+    pairs = dealt.mapInArrow(apply, f"a {kind}, b {kind}, need bigint, n bigint")
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"), F.first("need").alias("need"))
+    return pairs.where(F.col("n") >= F.least(F.col("need"), F.lit(SHARED))).select("a", "b")
 
 
 def verified(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
@@ -238,20 +378,6 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, rep, leader) whose text is not of its leader's class: key, rep, label."""
-    named = rows.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    lead = labels.select(F.col("id").alias("leader"), F.col("label").alias("lead_label"))
-    return named.join(lead, "leader", "left").where(F.col("label") != F.coalesce("lead_label", "leader")).select("key", "rep", "label")
-
-
-def twos(rows: DataFrame) -> DataFrame:
-    """Every two keys of a text as one key."""
-    own = rows.groupBy("rep", "label").agg(F.collect_set("key").alias("keys"))
-    both = F.transform("keys", lambda x: F.transform(F.filter("keys", lambda y: y > x), lambda y: F.xxhash64(x, y)))
-    return own.select(F.explode(F.flatten(both)).alias("key"), "rep", "label")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), kept (whether it is that id).
 
@@ -266,8 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1").drop("n")
     rows = stored(keys.join(shared, "key"))
     wanted = rows.select(F.col("rep").alias("id")).distinct()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lists = stored(word_lists(source.join(wanted, "id", "left_semi")).groupBy("id").agg(F.first("codes").alias("codes")))
+    lists = word_lists(signed, wanted)
 
     counted = rows.where("rep != leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     pairs = stored(counted)
@@ -278,27 +403,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = stored(apart(pairs.select("a", "b").join(closest, ["a", "b"], "left_anti"), labels))
     links = stored(links.unionByName(verified(rest, lists, least)))
     labels = components(links)
-    tried, leaders = pairs.select("a", "b"), 1
-    # sketches whose texts are not of one class yet go on in twos: texts that only share a passage part here
-    left = twos(unsettled(rows.where("rep != leader"), labels))
-    while True:
-        left = stored(left)
-        spread = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-        left = left.join(spread, "key", "left_semi")
-        if left.isEmpty():
-            break
-        ranked = stored(left.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("rep"))))
-        chiefs = ranked.where(F.col("rank") <= leaders).select("key", F.col("rep").alias("leader"), F.col("label").alias("lead_label"), F.col("rank").alias("lead_rank"))
-        met = ranked.join(chiefs, "key").where("lead_rank < rank AND lead_label != label")
-        pairs = met.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tried = stored(tried.unionByName(pairs))
-        links = stored(links.unionByName(verified(pairs, lists, least)))
-        labels = components(links)
-        # the last leader stands for those before it: every later text has met them all
-        top = ranked.where(F.col("rank") == leaders).select("key", F.col("rep").alias("leader"))
-        left = unsettled(ranked.where(F.col("rank") > leaders).select("key", "rep").join(top, "key"), labels)
-        leaders *= GROWTH
+    # what sketches have not brought together meets by its rare runs: every pair of two classes that can be similar
+    more = across(rare_keys(signed, texts, least), labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = stored(more)
+    lists = word_lists(signed, more.select(F.col("a").alias("id")).union(more.select("b")).distinct())
+    labels = components(stored(links.unionByName(verified(more, lists, least))))
     classes = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     out = signed.select("id", "digest").join(classes, "digest", "left")
     out = out.select("id", F.coalesce("class_id", "id").alias("class_id"))

@@ -1,6 +1,7 @@
 """Each operator against a plain version in Python, on a small table with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -212,6 +213,41 @@ def test_near(docs, texts):
     assert all(r.kept == (r.class_id == r.doc_id) for r in got.values())
 
 
+def edited(rng, words, edits, first=0):
+    """The words with so many of them changed, none before ``first``."""
+    out = list(words)
+    for i in rng.sample(range(first, len(words)), edits):
+        out[i] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def one_sketch(kind):
+    """A leader and two similar texts that share none but one of its sketches: both unlike it, or the second like it."""
+    sketches, codes = near_dedup.order_sketches, lambda w: near_dedup.word_codes([x.encode() for x in w])
+    for seed in range(20000):
+        rng = random.Random(seed)
+        own = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        if kind == "passage":
+            leader = own[:24] + [f"w{rng.randrange(10**9)}" for _ in range(40)]
+            x, y = own, edited(rng, own, 11, 24)
+        else:
+            leader = own
+            y = edited(rng, own, 10)
+            x = edited(rng, y, 10)
+        a, b, c = (set(sketches(codes(w))) for w in (leader, x, y))
+        if len(b & c) == 1 and b & c <= a and not near_dedup.similarity(codes(leader), codes(x)):
+            return [" ".join(w) for w in (leader, x, y)]
+
+
+@pytest.mark.parametrize("kind", ["passage", "settled"])
+def test_near_with_one_shared_sketch(spark, kind):
+    texts = one_sketch(kind)
+    want = near_classes(texts)
+    assert want == ([0, 1, 1] if kind == "passage" else [0, 0, 0])
+    got = rows(near_dedup.near_duplicates(frame(spark, texts)))
+    assert [got[i].class_id for i in range(3)] == want
+
+
 def brute_decontamination(texts, items, size=10):
     windows = {}
     for item, t in items:
