@@ -30,7 +30,7 @@ from scopeloom.llm.common import mix, shuffle_partitions, stored, words
 SHINGLE, SKETCHES, PICKED, SIMILARITY, FEW = 5, 32, 3, 0.8, 24
 #: Slots of the table of word counts, rare runs of words that a pair must share (all it must share, if fewer),
 #: and rows of a run that meet in one task.
-SLOTS, SHARED, BLOCK = 1 << 20, 3, 1024
+SLOTS, SHARED, BLOCK = 1 << 20, 6, 1024
 _NEVER = -(1 << 60)
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -255,8 +255,8 @@ def rare_runs(codes: np.ndarray, counts: np.ndarray, least: float = SIMILARITY)
     return mix(h[places] + occurrence[places].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), places
 
 
-def rare_keys(signed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """rep, key, after, need: the rare runs, the runs from that one on, and the runs a similar text must share."""
+def rare_keys(signed: DataFrame, texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """rep, label, key, after, need: the rare runs, the runs from that one on, and the runs a similar text must share."""
     counts = signed.sparkSession.sparkContext.broadcast(word_counts(signed))
     kind, size = signed.schema["id"].dataType.simpleString(), run_length(least)
 
@@ -272,10 +272,12 @@ def rare_keys(signed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             columns = [pa.array(keys, pa.list_(pa.int64())), pa.array(after, pa.list_(pa.int32())), pa.array(need, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["rep", "keys", "after", "need"])
 
-    # one row of those that repeat a text
-    own = signed.join(texts.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "codes").distinct()
-    found = own.mapInArrow(apply, f"rep {kind}, keys array<bigint>, after array<int>, need int")
-    return found.select("rep", "need", F.explode(F.arrays_zip("keys", "after")).alias("w")).select("rep", F.col("w.keys").alias("key"), F.col("w.after").alias("after"), "need")
+    # rows that repeat an id and its text count twice, which can only add candidates
+    own = signed.select("id", "digest", "codes").join(texts.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
+    found = own.select("id", "codes").mapInArrow(apply, f"rep {kind}, keys array<bigint>, after array<int>, need int")
+    found = found.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    out = found.select("rep", "label", "need", F.explode(F.arrays_zip("keys", "after")).alias("w"))
+    return out.select("rep", "label", F.col("w.keys").alias("key"), F.col("w.after").alias("after"), "need")
 
 
 def _met(table: pa.Table) -> pa.RecordBatch:
@@ -307,7 +309,7 @@ def _met(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum(needs[a], needs[b])), pa.array(shared)], ["a", "b", "need", "n"])
 
 
-def across(keys: DataFrame, labels: DataFrame) -> DataFrame:
+def across(keys: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts of two classes that share as many of their rare runs as similar texts must.
 
     A key with many rows is cut into blocks, and every two of its blocks meet in a task of their own.
@@ -330,7 +332,7 @@ def across(keys: DataFrame, labels: DataFrame) -> DataFrame:
         if held is not None:
             yield _met(held)
 
-    named = keys.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = keys.repartition(shuffle_partitions(keys.sparkSession), "key")
     spread = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x != y").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = named.join(spread, "key").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -404,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(links.unionByName(verified(rest, lists, least)))
     labels = components(links)
     # what sketches have not brought together meets by its rare runs: every pair of two classes that can be similar
-    more = across(rare_keys(signed, texts, least), labels).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = across(rare_keys(signed, texts, labels, least)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = stored(more)
     lists = word_lists(signed, more.select(F.col("a").alias("id")).union(more.select("b")).distinct())
     labels = components(stored(links.unionByName(verified(more, lists, least))))

@@ -248,6 +248,18 @@ def test_near_with_one_shared_sketch(spark, kind):
     assert [got[i].class_id for i in range(3)] == want
 
 
+def test_near_at_the_threshold(spark):
+    rng, texts = random.Random(11), []
+    for n in [5, 6, 7, 8, 9, 10, 14, 15, 20, 33, 47, 60, 100, 150, 200]:
+        for share in (0.2, 0.15, 0.1, 0.05):
+            base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            texts += [" ".join(base), " ".join(edited(rng, base, int(share * n + 1e-9)))]
+    want = near_classes(texts)
+    assert want == [i - i % 2 for i in range(len(texts))]
+    got = rows(near_dedup.near_duplicates(frame(spark, texts)))
+    assert [got[i].class_id for i in range(len(texts))] == want
+
+
 def brute_decontamination(texts, items, size=10):
     windows = {}
     for item, t in items:
