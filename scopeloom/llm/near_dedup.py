@@ -16,6 +16,7 @@ however common its sketches or short its texts. Links are joined into classes by
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scopeloom.llm import packed
 from scopeloom.llm.common import mix, shuffle_partitions, stored, words
 
 #: Words of a shingle, sketches, shingles of a sketch, least similarity, and edits up to which an alignment
 #: goes by diagonals.
-SHINGLE, SKETCHES, PICKED, SIMILARITY, FEW = 5, 32, 3, 0.8, 24
-#: Slots of the table of word counts, rare runs of words that a pair must share (all it must share, if fewer),
-#: and rows of a run that meet in one task.
-SLOTS, SHARED, BLOCK = 1 << 20, 6, 1024
+SHINGLE, SKETCHES, PICKED, SIMILARITY, FEW = 5, 16, 3, 0.8, 24
+#: Slots of the table of word counts (a power of two), keys that a task packs at once, slots of a text's own word
+#: counts, rows of a key up to which word counts are not sent, and rows of a key that meet in one task.
+SLOTS, FLUSH, BINS, PLAIN, BLOCK = 1 << 20, 1 << 20, 1024, 16, 256
 _NEVER = -(1 << 60)
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -102,26 +104,78 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     if not longer:
         return 0.0
     allowed = allowed_edits(longer, least)
-    if abs(len(a) - len(b)) > allowed:
+    if _ruled_out(a, b, allowed):
         return 0.0
+    edits = _few_edits(a, b, min(allowed, FEW))
+    limit = FEW
+    while edits is None and limit < allowed:
+        limit = min(allowed, max(1, 4 * limit))
+        edits = _banded_edits(a, b, limit)
+    return 0.0 if edits is None else 1 - edits / longer
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the edit similarity reaches ``least``.
+
+    An alignment along shingles that both texts have once often shows it at once; what it leaves open is aligned.
+    """
+    allowed = allowed_edits(max(len(a), len(b)), least)
+    if abs(len(a) - len(b)) > allowed or not len(a) or not len(b):
+        return False
+    return _edits_along(a, b) <= allowed or similarity(a, b, least) > 0
+
+
+def _ruled_out(a: np.ndarray, b: np.ndarray, allowed: int) -> bool:
+    if abs(len(a) - len(b)) > allowed:
+        return True
     # words that one side has too few of need an edit each
     both, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
     counts = np.bincount(inverse[: len(a)], minlength=len(both)) - np.bincount(inverse[len(a) :], minlength=len(both))
     if max(counts[counts > 0].sum(), -counts[counts < 0].sum()) > allowed:
-        return 0.0
+        return True
     # so do pairs of neighbouring words, two for each edit
     if min(len(a), len(b)) > 1:
         pairs = [x[:-1].astype(np.uint64) << np.uint64(32) | x[1:].astype(np.uint64) for x in (a, b)]
         both, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
         counts = np.bincount(inverse[: len(pairs[0])], minlength=len(both)) - np.bincount(inverse[len(pairs[0]) :], minlength=len(both))
-        if max(counts[counts > 0].sum(), -counts[counts < 0].sum()) > 2 * allowed:
-            return 0.0
-    edits = _few_edits(a, b, min(allowed, FEW))
-    limit = FEW
-    while edits is None and limit < allowed:
-        limit = min(allowed, max(1, 4 * limit))
-        edits = _banded_edits(a, b, limit)
-    return 0.0 if edits is None else 1 - edits / longer
+        return max(counts[counts > 0].sum(), -counts[counts < 0].sum()) > 2 * allowed
+    return False
+
+
+def _edits_along(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits of one alignment, so never fewer than the edit distance: shingles that both have once, in order, and replacements between."""
+    if min(len(a), len(b)) < SHINGLE:
+        return max(len(a), len(b))
+    once = []
+    for codes in (a, b):
+        value, at, n = np.unique(shingles(codes), return_index=True, return_counts=True)
+        once.append((value[n == 1], at[n == 1]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    x, y = once[0][1][i], once[1][1][j]
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    if len(y) > 1 and (np.diff(y) < 0).any():
+        kept = _rising(y.tolist())
+        x, y = x[kept], y[kept]
+    x, y = np.r_[-SHINGLE, x, len(a)], np.r_[-SHINGLE, y, len(b)]
+    gaps = np.stack([np.diff(x), np.diff(y)]) - SHINGLE
+    return int((gaps.max(0) - np.minimum(gaps.min(0), 0)).sum())
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Positions of a longest rising subsequence."""
+    ends: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(values)
+    for i, v in enumerate(values):
+        k = bisect_left(ends, v)
+        before[i] = at[k - 1] if k else -1
+        ends[k : k + 1], at[k : k + 1] = [v], [i]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
 
 
 def _few_edits(a: np.ndarray, b: np.ndarray, allowed: int) -> int | None:
@@ -199,28 +253,40 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, f"id {kind}, digest string, sketches array<bigint>, codes binary")
 
 
-def word_lists(signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, codes of the wanted ids, each once."""
-    return stored(signed.select("id", "codes").join(ids, "id", "left_semi").groupBy("id").agg(F.first("codes").alias("codes")))
+def word_lists(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, codes of the texts in the pairs (a, b), each once."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    return stored(texts.select("rep", "codes").join(ids, "rep", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.first("codes").alias("codes")))
 
 
-def word_counts(signed: DataFrame) -> np.ndarray:
+def word_counts(texts: DataFrame) -> np.ndarray:
     """In how many rows the words of each slot occur: a table of one size, whatever the number of words."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
+        seen = np.zeros(SLOTS, bool)
         for batch in batches:
             for codes in batch.column(0):
-                counts[np.unique(np.frombuffer(codes.as_py(), "<u4") % SLOTS)] += 1
+                slots = np.frombuffer(codes.as_py(), "<u4") & np.uint32(SLOTS - 1)
+                seen[slots] = True
+                slots = slots[_firsts(slots)] if len(slots) < SLOTS >> 4 else np.flatnonzero(seen)
+                counts[slots] += 1
+                seen[slots] = False
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
 
-    found = signed.select("codes").mapInArrow(apply, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("codes").mapInArrow(apply, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.uint32)
     counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.uint32).max)
     return counts
 
 
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """One position of each distinct value."""
+    order = np.argsort(values)
+    return order[np.r_[True, values[order[1:]] != values[order[:-1]]]] if len(values) else order
+
+
 def run_length(least: float) -> int:
     """Words of the runs that texts are matched by: two, unless so many edits are allowed that all pairs of words may differ."""
     return 2 if least >= 0.75 else 1
@@ -232,89 +298,153 @@ def needed(n: int, least: float) -> int:
     return n - size + 1 - size * allowed_edits(n, least)
 
 
-def rare_runs(codes: np.ndarray, counts: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest runs of a text and their places in the order from rare to common, without runs that no other text has.
+def rare_runs(codes: np.ndarray, rarity: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The rarest runs of a text, without runs that no other text has.
 
-    All texts use one order: by counts of the words, hash, occurrence. A text may lose all runs but those ``needed``,
-    so among that many and ``SHARED`` more of its rarest there are ``SHARED`` runs of a similar text.
+    All texts use one order: by the words' ``rarity`` (-1: of one text only), hash, occurrence. A text may lose all
+    runs but those ``needed``, so among that many and one more of its rarest there is a run of each similar text.
     """
     size = run_length(least)
     n = len(codes) - size + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    of_word = counts[codes % SLOTS]
-    h, rank, only = np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, bool)
+        return np.zeros(0, np.uint64)
+    of_word = rarity[codes & np.uint32(SLOTS - 1)]
+    h, rank, only = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool)
     for i in range(size):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n])
-        rank += np.log2(of_word[i : i + n])
-        only |= of_word[i : i + n] <= 1
-    order = np.lexsort((h, np.where(only, 0, (16 * rank).astype(np.int64))))
-    h, only, at = h[order], only[order], np.arange(n)
-    occurrence = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
-    places = np.flatnonzero(~only[: n - needed(len(codes), least) + SHARED])
-    return mix(h[places] + occurrence[places].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), places
+        rank += of_word[i : i + n]
+        only |= of_word[i : i + n] < 0
+    # equal runs must lie side by side to be numbered, so the hash breaks ties of the rank
+    value = h >> np.uint64(12) | np.where(only, 0, rank + 1).astype(np.uint64) << np.uint64(52)
+    order = np.argsort(value)[: n - needed(len(codes), least) + 1]
+    order = order[~only[order]]
+    h, at = h[order], np.arange(len(order))
+    occurrence = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0)) if len(h) else at
+    return mix(h + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def rare_keys(signed: DataFrame, texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """rep, label, key, after, need: the rare runs, the runs from that one on, and the runs a similar text must share."""
-    counts = signed.sparkSession.sparkContext.broadcast(word_counts(signed))
-    kind, size = signed.schema["id"].dataType.simpleString(), run_length(least)
+def rarities(counts: np.ndarray) -> np.ndarray:
+    """The order of words from rare to common, in steps of a sixteenth of an octave; -1 for words of one text."""
+    return np.where(counts <= 1, -1, (16 * np.log2(np.maximum(counts, 1))).astype(np.int64)).astype(np.int16)
+
+
+def common_runs(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """rep, label, n, keys, bins, codes of each text with a rare run that another text has among its own rare ones.
+
+    ``keys`` are those runs, ``bins`` the text's words counted in ``BINS`` slots. Which runs others have is asked
+    with packed fingerprints; the texts wait in parts, by a hash of the id.
+    """
+    spark = texts.sparkSession
+    n = shuffle_partitions(spark)
+    rarity = spark.sparkContext.broadcast(rarities(word_counts(texts)))
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, doc = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            key, part, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return packed.sent(((key >> np.uint64(40)) % np.uint64(n)).astype(np.int32), key & packed.FINGERPRINT, part, doc)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, after, need = [], [], []
-            for packed in batch.column(1):
-                codes = np.frombuffer(packed.as_py(), "<u4")
-                key, places = rare_runs(codes, counts.value, least)
-                keys.append(key.view(np.int64))
-                after.append((len(codes) - size + 1 - places).astype(np.int32))
-                need.append(needed(len(codes), least))
-            columns = [pa.array(keys, pa.list_(pa.int64())), pa.array(after, pa.list_(pa.int32())), pa.array(need, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["rep", "keys", "after", "need"])
-
-    # rows that repeat an id and its text count twice, which can only add candidates
-    own = signed.select("id", "digest", "codes").join(texts.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
-    found = own.select("id", "codes").mapInArrow(apply, f"rep {kind}, keys array<bigint>, after array<int>, need int")
-    found = found.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    out = found.select("rep", "label", "need", F.explode(F.arrays_zip("keys", "after")).alias("w"))
-    return out.select("rep", "label", F.col("w.keys").alias("key"), F.col("w.after").alias("after"), "need")
-
-
-def _met(table: pa.Table) -> pa.RecordBatch:
-    """a, b, need, n: how many keys of the rows (key, rep, label, after, need, block, own, other), sorted by key, two texts share.
-
-    The k-th run that two similar texts share, k up to ``SHARED``, has all they must share but k - 1 from it on;
-    other rows do not count.
+            for part, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                key = rare_runs(np.frombuffer(codes.as_py(), "<u4"), rarity.value, least)
+                held.append((key, np.full(len(key), part, np.uint32), np.full(len(key), doc, np.uint32)))
+                count, doc = count + len(key), doc + 1
+                if count >= FLUSH:
+                    yield flush()
+                    count = 0
+        if held:
+            yield flush()
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known, fingers, label = None, [], None, {}
+        for batch in batches:
+            taken, labelled, keys, bins = [], [], [], []
+            for i, (part, what) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if part != current:
+                    current, known, fingers, label = part, [], None, {}
+                if what == 0:
+                    known.append(packed.thaw(batch.column(4)[i].as_py())[0])
+                elif what == 1:
+                    label[batch.column(2)[i].as_py()] = batch.column(3)[i].as_py()
+                elif known:
+                    if fingers is None:
+                        fingers = np.unique(np.concatenate(known))
+                    codes = np.frombuffer(batch.column(4)[i].as_py(), "<u4")
+                    key = rare_runs(codes, rarity.value, least)
+                    key = key[packed.among(key & packed.FINGERPRINT, fingers)]
+                    if len(key):
+                        taken.append(i)
+                        rep = batch.column(2)[i].as_py()
+                        labelled.append(label.get(rep, rep))
+                        keys.append(key.view(np.int64))
+                        bins.append(word_bins(codes).tobytes())
+            rows = batch.take(pa.array(taken, pa.int32()))
+            lengths = pa.array([len(x.as_py()) // 4 for x in rows.column(4)], pa.int32())
+            yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(labelled, rows.column(2).type), lengths, pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary()), rows.column(4)], ["rep", "label", "n", "keys", "bins", "codes"])
+
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("part")
+    none = F.lit(None).cast(kind)
+    own = texts.select(part("rep"), "rep", "codes")
+    answers = own.select("part", "codes").mapInArrow(send, packed.SENT).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(packed.shared, packed.ANSWERED)
+    rows = answers.select("part", F.lit(0).alias("what"), none.alias("rep"), none.alias("label"), "blob")
+    rows = rows.unionByName(labels.select(part("id"), F.lit(1).alias("what"), F.col("id").alias("rep"), "label", F.lit(None).cast("binary").alias("blob")))
+    rows = rows.unionByName(own.select("part", F.lit(2).alias("what"), "rep", none.alias("label"), F.col("codes").alias("blob")))
+    schema = f"rep {kind}, label {kind}, n int, keys array<bigint>, bins binary, codes binary"
+    return rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "what").mapInArrow(receive, schema)
+
+
+def word_bins(codes: np.ndarray) -> np.ndarray:
+    """How many of the words fall into each slot; all full where a count does not fit."""
+    counts = np.bincount(codes & np.uint32(BINS - 1), minlength=BINS)
+    return np.minimum(counts, 0xFFFF).astype("<u2") if counts.max() < 1 << 16 else np.full(BINS, 0xFFFF, "<u2")
+
+
+def _met(table: pa.Table, least: float) -> pa.RecordBatch:
+    """a, b: texts of two classes that share a key of the rows (key, rep, label, n, head, bins, block, own, other), sorted by key.
+
+    Lengths and, where the rows have them, word counts rule pairs out. Texts of one head have met there.
     """
     ids = table.column("rep").combine_chunks().dictionary_encode()
     rep, label = (np.asarray(x) for x in (ids.indices, table.column("label").combine_chunks().dictionary_encode().indices))
-    key, after, need, block, own, other = (table.column(c).to_numpy() for c in ("key", "after", "need", "block", "own", "other"))
+    key, n, head, block, own, other = (table.column(c).to_numpy() for c in ("key", "n", "head", "block", "own", "other"))
     begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (other[1:] != other[:-1])])
     length = np.diff(np.r_[begin, len(key)])
+    bins = table.column("bins")
     found = [np.zeros(0, np.int64)]
-    needs = np.zeros(len(ids.dictionary), np.int64)
-    needs[rep] = need
-    for n in np.unique(length[length > 1]).tolist():
-        i, j = np.triu_indices(n, 1)
-        starts = begin[length == n]
+    for size in np.unique(length[length > 1]).tolist():
+        i, j = np.triu_indices(size, 1)
+        starts = begin[length == size]
         for part in np.array_split(starts, max(1, len(starts) * len(i) >> 21)):
             x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-            near = (label[x] != label[y]) & (np.minimum(after[x], after[y]) + SHARED - 1 >= np.maximum(need[x], need[y]))
+            longer = np.maximum(n[x], n[y])
+            allowed = ((1 - least) * longer + 1e-9).astype(np.int64)
+            near = (label[x] != label[y]) & (np.abs(n[x] - n[y]) <= allowed) & ((head[x] != head[y]) | (head[x] == key[x]))
             near &= (block[x] != block[y]) | (own[x] == other[x])  # texts of one block meet where it is alone
-            x, y = x[near], y[near]
-            found.append(np.minimum(rep[x], rep[y]).astype(np.int64) * len(needs) + np.maximum(rep[x], rep[y]))
-    pairs, shared = np.unique(np.concatenate(found), return_counts=True)
-    a, b = np.divmod(pairs, len(needs))
-    columns = [ids.dictionary.take(pa.array(x)) for x in (a, b)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum(needs[a], needs[b])), pa.array(shared)], ["a", "b", "need", "n"])
-
-
-def across(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of two classes that share as many of their rare runs as similar texts must.
-
-    A key with many rows is cut into blocks, and every two of its blocks meet in a task of their own.
+            x, y, allowed, longer = x[near], y[near], allowed[near], longer[near]
+            if len(x) and bins[int(part[0])].is_valid:
+                at, back = np.unique(np.r_[x, y], return_inverse=True)
+                held = np.stack([np.frombuffer(bins[k].as_py(), "<u2") for k in at.tolist()])
+                one, two = back[: len(x)], back[len(x) :]
+                same = np.concatenate([np.minimum(held[one[k : k + 2048]], held[two[k : k + 2048]]).sum(1, dtype=np.int64) for k in range(0, len(x), 2048)])
+                near = longer - same <= allowed
+                x, y = x[near], y[near]
+            found.append(np.minimum(rep[x], rep[y]).astype(np.int64) * len(ids.dictionary) + np.maximum(rep[x], rep[y]))
+    a, b = np.divmod(np.unique(np.concatenate(found)), max(1, len(ids.dictionary)))
+    return pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(x)) for x in (a, b)], ["a", "b"])
+
+
+def across(live: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of two classes that have a rare run in common and may be similar.
+
+    Of a text's keys the one with most rows is its head; texts of one head meet there alone, and keys whose rows
+    all have another head in common are left out. Rows of larger keys bring their word counts, which rule out
+    most pairs. A key with many rows is cut into blocks, and every two of its blocks meet in a task of their own.
     """
-    kind = keys.schema["rep"].dataType.simpleString()
+    spark = live.sparkSession
+    n, kind = shuffle_partitions(spark), live.schema["rep"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -327,20 +457,25 @@ def across(keys: DataFrame) -> DataFrame:
             same = np.logical_and.reduce([held.column(c).to_numpy() == x for c, x in zip(("key", "own", "other"), last, strict=True)])
             cut = held.num_rows - int(same.sum())  # the last group may go on in the next batch
             if cut:
-                yield _met(held.slice(0, cut))
+                yield _met(held.slice(0, cut), least)
                 held = held.slice(cut)
         if held is not None:
-            yield _met(held)
-
-    named = keys.repartition(shuffle_partitions(keys.sparkSession), "key")
-    spread = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x != y").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = named.join(spread, "key").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "rep", "label", "after", "need", "block", F.least("block", "with").alias("own"), F.greatest("block", "with").alias("other"))
-    dealt = dealt.repartition(shuffle_partitions(keys.sparkSession), "key", "own", "other").sortWithinPartitions("key", "own", "other")
-    pairs = dealt.mapInArrow(apply, f"a {kind}, b {kind}, need bigint, n bigint")
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"), F.first("need").alias("need"))
-    return pairs.where(F.col("n") >= F.least(F.col("need"), F.lit(SHARED))).select("a", "b")
+            yield _met(held, least)
+
+    flat = live.select("rep", "label", F.explode("keys").alias("key"))
+    spread = flat.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high").select("key", "rows")
+    named = stored(flat.join(spread, "key").select("key", "rep", "rows"))
+    heads = named.groupBy("rep").agg(F.max(F.struct("rows", "key")).alias("most")).select("rep", F.col("most.key").alias("head"))
+    headed = stored(named.join(heads, "rep"))
+    open_keys = headed.groupBy("key").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low != high OR low = key").select("key")
+    facts = live.select("rep", "label", "n", "bins")
+    dealt = headed.join(open_keys, "key", "left_semi").join(facts, "rep").withColumn("bins", F.when(F.col("rows") > PLAIN, F.col("bins")))
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "rep", "label", "n", "head", "bins", "block", F.least("block", "with").alias("own"), F.greatest("block", "with").alias("other"))
+    dealt = dealt.repartition(n, "key", "own", "other").sortWithinPartitions("key", "own", "other")
+    pairs = dealt.mapInArrow(apply, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
@@ -350,7 +485,7 @@ def verified(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [[np.frombuffer(x.as_py(), "<u4") for x in batch.column(i)] for i in (2, 3)]
-            kept = np.array([similarity(x, y, least) > 0 for x, y in zip(*sides, strict=True)], bool)
+            kept = np.array([similar(x, y, least) for x, y in zip(*sides, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept)) for i in (0, 1)], ["a", "b"])
 
     left, right = (lists.select(F.col("id").alias(n), F.col("codes").alias(f"codes_{n}")) for n in "ab")
@@ -388,16 +523,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id has a null class and is kept.
     """
     signed = stored(signatures(docs, id_col, text_col))
-    texts = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketches").alias("sketches"))
-    texts = stored(texts)
+    named = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    reps = stored(named.groupBy("digest").agg(F.min("id").alias("rep")))
+    own = named.join(reps.select(F.col("digest").alias("own"), F.col("rep").alias("id")), "id").where("digest = own")
+    texts = stored(own.groupBy(F.col("id").alias("rep")).agg(F.first("sketches").alias("sketches"), F.first("codes").alias("codes")))
     keys = texts.select("rep", F.explode(F.array_distinct("sketches")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1").drop("n")
-    rows = stored(keys.join(shared, "key"))
-    wanted = rows.select(F.col("rep").alias("id")).distinct()
-    lists = word_lists(signed, wanted)
-
-    counted = rows.where("rep != leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = stored(counted)
+    led = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1").drop("n")
+    pairs = keys.join(led, "key").where("rep != leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = stored(pairs)
+    lists = word_lists(texts, pairs)
     # each text meets the leader with which it shares most; the others only where that leaves two classes
     closest = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), F.col("a"))).alias("a"))
     links = stored(verified(closest.select("a", "b"), lists, least))
@@ -406,11 +540,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(links.unionByName(verified(rest, lists, least)))
     labels = components(links)
     # what sketches have not brought together meets by its rare runs: every pair of two classes that can be similar
-    more = across(rare_keys(signed, texts, labels, least)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(more)
-    lists = word_lists(signed, more.select(F.col("a").alias("id")).union(more.select("b")).distinct())
-    labels = components(stored(links.unionByName(verified(more, lists, least))))
-    classes = texts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
+    live = stored(common_runs(texts, labels, least))
+    more = stored(across(live, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    labels = components(stored(links.unionByName(verified(more, word_lists(live, more), least))))
+    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     out = signed.select("id", "digest").join(classes, "digest", "left")
     out = out.select("id", F.coalesce("class_id", "id").alias("class_id"))
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
