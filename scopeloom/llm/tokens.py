@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,8 +13,8 @@ import numpy as np
 
 #: Pieces of text whose ids a worker remembers, and the id that ends a document.
 REMEMBERED, END_ID = 1 << 18, 0
-# Signs on which the vocabulary's own splitter and Python may differ on what is white space.
-_ODD = re.compile(r"[\x1c-\x1f\x85]|[ \t\n\r\f\v   -     　] ?(?=\s)| (?=\s)|\s\Z")
+# Runs of white space, white space at the end, and signs on which the vocabulary's own splitter and Python may differ.
+_ODD = re.compile(r"\s(?:\s|\Z)|[\x1c-\x1f\x85]")
 _APOSTROPHE = "'"
 
 
@@ -36,7 +37,8 @@ class Encoder(dict):
     A space that no white space precedes or follows always opens a new word of the vocabulary's splitter,
     so a text falls into pieces there that are encoded alone; the ids of frequent pieces are kept. BPE
     merges never cross the splitter's classes, so a piece without apostrophe and runs of white space goes
-    to the model at once. Everything else takes the tokenizer's usual path.
+    to the model at once. Everything else, and a text that holds one of the vocabulary's added tokens, takes
+    the tokenizer's usual path.
     """
 
     def __init__(self, path: str):
@@ -45,26 +47,30 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
         self.signs = _byte_signs()
+        self.space = self.signs[ord(" ")]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
         if _APOSTROPHE in text:
             return self.whole(text)
-        return np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.signs))], "<u4").tobytes()
+        return array("I", [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.signs))]).tobytes()
 
     def __missing__(self, rest: str) -> bytes:
-        ids = self.piece(" " + rest)
+        if rest.isalpha() and rest.isascii():
+            ids = array("I", [t.id for t in self.tokenize(self.space + rest)]).tobytes()
+        else:
+            ids = self.piece(" " + rest)
         if len(self) < REMEMBERED:
             self[rest] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if _ODD.search(text) or any(x in text for x in self.added):
             return self.whole(text)
         first, *rest = text.split(" ")
         return (self.piece(first) if first else b"") + b"".join(map(self.__getitem__, rest))

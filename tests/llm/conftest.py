@@ -28,6 +28,7 @@ def sample_texts(seed=7):
         "API_KEY=zzzzzz;secret:short passwd = longenough1",
         "released Under the MIT License. Apache License, Version 2.0 and CC BY-NC 4.0 under the mit license",
         words(rng, 5000),
+        "an <|endoftext|> inside, two<|endoftext|>spaces and it's done",
         "as as as as as as as as as as as as as as as as as as as as as as as as as as as as as",
     ]
     return out
