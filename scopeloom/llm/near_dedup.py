@@ -27,13 +27,11 @@ from pyspark.sql import functions as F
 from scopeloom.llm import packed
 from scopeloom.llm.common import mix, shuffle_partitions, stored, words
 
-#: Words of a shingle, sketches, shingles of a sketch, least similarity, and edits up to which an alignment
-#: goes by diagonals.
-SHINGLE, SKETCHES, PICKED, SIMILARITY, FEW = 5, 16, 3, 0.8, 24
-#: Slots of the table of word counts (a power of two), keys that a task packs at once, slots of a text's own word
-#: counts, rows of a key up to which word counts are not sent, and rows of a key that meet in one task.
-SLOTS, FLUSH, BINS, PLAIN, BLOCK = 1 << 20, 1 << 20, 1024, 16, 256
-_NEVER = -(1 << 60)
+#: Words of a shingle, sketches, shingles of a sketch, and least similarity.
+SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 16, 3, 0.8
+#: Keys that a task packs at once, slots of a text's word counts, rows of a key up to which these are not sent, and
+#: rows of a key that meet in one task, and heads of a text.
+FLUSH, BINS, PLAIN, BLOCK, HEADS = 1 << 20, 1024, 16, 256, 3
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -97,8 +95,7 @@ def allowed_edits(longer: int, least: float) -> int:
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Edit similarity of two word sequences, or 0 where it is below ``least``.
 
-    Pairs that counts of words and of word pairs rule out are not aligned. The band of the alignment is
-    narrow first and widens as far as the allowed edits.
+    Pairs that counts of words and of word pairs rule out are not aligned.
     """
     longer = max(len(a), len(b))
     if not longer:
@@ -106,11 +103,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     allowed = allowed_edits(longer, least)
     if _ruled_out(a, b, allowed):
         return 0.0
-    edits = _few_edits(a, b, min(allowed, FEW))
-    limit = FEW
-    while edits is None and limit < allowed:
-        limit = min(allowed, max(1, 4 * limit))
-        edits = _banded_edits(a, b, limit)
+    edits = _banded_edits(a, b, allowed)
     return 0.0 if edits is None else 1 - edits / longer
 
 
@@ -178,61 +171,39 @@ def _rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _few_edits(a: np.ndarray, b: np.ndarray, allowed: int) -> int | None:
-    """Edit distance up to ``allowed`` by the furthest point reached on each diagonal for 0, 1, 2... edits."""
-    goal = len(b) - len(a)
-    reach: dict[int, int] = {}
-    for edits in range(allowed + 1):
-        new: dict[int, int] = {}
-        room = allowed - edits  # a diagonal farther than this from the goal can't end there any more
-        for k in range(max(-edits, goal - room), min(edits, goal + room) + 1):
-            i = max(reach.get(k, _NEVER) + 1, reach.get(k - 1, _NEVER), reach.get(k + 1, _NEVER) + 1) if edits else 0
-            i = min(i, len(a), len(b) - k)
-            if i >= 0 and i + k >= 0:
-                new[k] = i + _slide(a[i:], b[i + k :])
-        if new.get(goal, -1) >= len(a):
-            return edits
-        reach = new
-    return None
-
-
 def _banded_edits(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
-    """Edit distance up to ``limit``, row by row in a band of that width; gives up as soon as a row is beyond it."""
+    """Edit distance up to ``limit``, column by column in a band of that many diagonals on each side.
+
+    The differences between neighbouring cells of a column are bits of whole numbers, ``rises`` and ``falls``, so
+    a column takes a few operations on numbers as wide as the band. Bit t of column j is row j - limit + t.
+    """
     if abs(len(a) - len(b)) > limit:
         return None
-    far, width = 1 << 29, 2 * limit + 1
-    offsets = np.arange(width, dtype=np.int32)
-    # cell c of row i stands for column i + c - limit; cells right of the last column never feed one left of them
-    padded = np.concatenate([np.full(limit, -1), b.astype(np.int64), np.full(2 * limit + 2, -1)])
-    row = np.where(offsets >= limit, offsets - limit, far).astype(np.int32)
-    for i, word in enumerate(a.astype(np.int64).tolist(), 1):
-        new = row + (padded[i - 1 : i - 1 + width] != word)
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        if i <= limit:
-            new[: limit - i] = far
-            new[limit - i] = i
-        new -= offsets
-        np.minimum.accumulate(new, out=new)
-        new += offsets
-        if i % 32 == 0 and int(new.min()) > limit:
-            return None
-        row = new
-    edits = int(row[len(b) - len(a) + limit])
+    where: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        where[word] = where.get(word, 0) | 1 << i
+    m, n = len(a), len(b)
+    width = 2 * limit + 1
+    full, lowest = (1 << width) - 1, 1 << (width - 1)
+    rises, falls = full >> limit << limit, 0
+    edits = min(m, limit)
+    for j, word in enumerate(b.tolist(), 1):
+        equal = where.get(word, 0)
+        equal = (equal >> (j - limit - 1) if j > limit else equal << (limit + 1 - j)) & full
+        flat = ((((equal & rises) + rises) ^ rises) | equal | falls) & full  # no step along the diagonal
+        up, down = (falls | ~(flat | rises)) & full, flat & rises  # steps along the row
+        if j + limit <= m:
+            edits += not flat & lowest
+        else:  # the band has reached the last row
+            row = m - j + limit
+            edits += (up >> row & 1) - (down >> row & 1)
+            if edits - (n - j) > limit:
+                return None
+        shifted = flat >> 1
+        rises, falls = (down | ~(shifted | up)) & full, shifted & up
     return edits if edits <= limit else None
 
 
-def _slide(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n, at, step = min(len(a), len(b)), 0, 32
-    while at < n:
-        differ = a[at : min(n, at + step)] != b[at : min(n, at + step)]
-        if differ.any():
-            return at + int(differ.argmax())
-        at += step
-        step *= 4
-    return n
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, digest of the words (null without words), sketches, codes (the word codes as packed 32-bit numbers)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -259,97 +230,67 @@ def word_lists(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(texts.select("rep", "codes").join(ids, "rep", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.first("codes").alias("codes")))
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """In how many rows the words of each slot occur: a table of one size, whatever the number of words."""
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        seen = np.zeros(SLOTS, bool)
-        for batch in batches:
-            for codes in batch.column(0):
-                slots = np.frombuffer(codes.as_py(), "<u4") & np.uint32(SLOTS - 1)
-                seen[slots] = True
-                slots = slots[_firsts(slots)] if len(slots) < SLOTS >> 4 else np.flatnonzero(seen)
-                counts[slots] += 1
-                seen[slots] = False
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
-
-    found = texts.select("codes").mapInArrow(apply, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.uint32)
-    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), np.iinfo(np.uint32).max)
-    return counts
-
-
-def _firsts(values: np.ndarray) -> np.ndarray:
-    """One position of each distinct value."""
-    order = np.argsort(values)
-    return order[np.r_[True, values[order[1:]] != values[order[:-1]]]] if len(values) else order
-
-
 def run_length(least: float) -> int:
     """Words of the runs that texts are matched by: two, unless so many edits are allowed that all pairs of words may differ."""
     return 2 if least >= 0.75 else 1
 
 
 def needed(n: int, least: float) -> int:
-    """Runs that a text of so many words shares with each text similar to it that is not longer."""
-    size = run_length(least)
-    return n - size + 1 - size * allowed_edits(n, least)
+    """Runs that a text of so many words shares at least with each text similar to it.
 
+    Of a pair's runs all but ``run_length`` for each allowed edit stay; the fewest for any length of the longer text.
+    """
+    size, steps = run_length(least), int(1 / (1 - least)) + 2
+    return min(m - size + 1 - size * allowed_edits(m, least) for m in range(n, n + steps))
 
-def rare_runs(codes: np.ndarray, rarity: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The rarest runs of a text, without runs that no other text has.
 
-    All texts use one order: by the words' ``rarity`` (-1: of one text only), hash, occurrence. A text may lose all
-    runs but those ``needed``, so among that many and one more of its rarest there is a run of each similar text.
-    """
+def run_hashes(codes: np.ndarray, least: float) -> np.ndarray:
     size = run_length(least)
-    n = len(codes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    of_word = rarity[codes & np.uint32(SLOTS - 1)]
-    h, rank, only = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool)
+    h = np.zeros(max(0, len(codes) - size + 1), np.uint64)
     for i in range(size):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n])
-        rank += of_word[i : i + n]
-        only |= of_word[i : i + n] < 0
-    # equal runs must lie side by side to be numbered, so the hash breaks ties of the rank
-    value = h >> np.uint64(12) | np.where(only, 0, rank + 1).astype(np.uint64) << np.uint64(52)
-    order = np.argsort(value)[: n - needed(len(codes), least) + 1]
-    order = order[~only[order]]
-    h, at = h[order], np.arange(len(order))
-    occurrence = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0)) if len(h) else at
-    return mix(h + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(h)])
+    return h
 
 
-def rarities(counts: np.ndarray) -> np.ndarray:
-    """The order of words from rare to common, in steps of a sixteenth of an octave; -1 for words of one text."""
-    return np.where(counts <= 1, -1, (16 * np.log2(np.maximum(counts, 1))).astype(np.int64)).astype(np.int16)
+def rare_runs(codes: np.ndarray, known: packed.Answers, least: float = SIMILARITY) -> np.ndarray:
+    """The rarest runs of a text among those that another text has.
+
+    All texts use one order: by level, hash, occurrence. A text may lose all runs but those ``needed``, and has lost
+    those that no other text has; so among one more of its rarest than it may still lose is a run of each similar text.
+    """
+    h = run_hashes(codes, least)
+    hit, level = known.find(h)
+    take = int(hit.sum()) - needed(len(codes), least) + 1
+    if take < 1:
+        return np.zeros(0, np.uint64)
+    h = h[hit]
+    # equal runs lie side by side in the order, so that they can be numbered
+    h = h[np.argsort(h >> np.uint64(8) | level.astype(np.uint64) << np.uint64(56))[:take]]
+    at = np.arange(len(h))
+    occurrence = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
+    return mix(h + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def common_runs(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """rep, label, n, keys, bins, codes of each text with a rare run that another text has among its own rare ones.
+    """rep, label, n, keys, bins, codes of each text that shares as many runs with others as similar texts must.
 
-    ``keys`` are those runs, ``bins`` the text's words counted in ``BINS`` slots. Which runs others have is asked
-    with packed fingerprints; the texts wait in parts, by a hash of the id.
+    ``keys`` are its rarest runs (``rare_runs``), ``bins`` its words counted in ``BINS`` slots. Which runs others have
+    is asked with packed fingerprints; the texts wait in parts, by a hash of the id.
     """
-    spark = texts.sparkSession
-    n = shuffle_partitions(spark)
-    rarity = spark.sparkContext.broadcast(rarities(word_counts(texts)))
+    n = shuffle_partitions(texts.sparkSession)
     kind = texts.schema["rep"].dataType.simpleString()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, doc = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            key, part, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, part, of = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return packed.sent(((key >> np.uint64(40)) % np.uint64(n)).astype(np.int32), key & packed.FINGERPRINT, part, doc)
+            return packed.sent(packed.buckets_of(key, n), key, part, of)
 
         for batch in batches:
             for part, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                key = rare_runs(np.frombuffer(codes.as_py(), "<u4"), rarity.value, least)
+                key = run_hashes(np.frombuffer(codes.as_py(), "<u4"), least)
                 held.append((key, np.full(len(key), part, np.uint32), np.full(len(key), doc, np.uint32)))
                 count, doc = count + len(key), doc + 1
                 if count >= FLUSH:
@@ -359,22 +300,20 @@ def common_runs(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
             yield flush()
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, known, fingers, label = None, [], None, {}
+        current, blobs, known, label = None, [], None, {}
         for batch in batches:
             taken, labelled, keys, bins = [], [], [], []
             for i, (part, what) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if part != current:
-                    current, known, fingers, label = part, [], None, {}
+                    current, blobs, known, label = part, [], None, {}
                 if what == 0:
-                    known.append(packed.thaw(batch.column(4)[i].as_py())[0])
+                    blobs.append(batch.column(4)[i].as_py())
                 elif what == 1:
                     label[batch.column(2)[i].as_py()] = batch.column(3)[i].as_py()
-                elif known:
-                    if fingers is None:
-                        fingers = np.unique(np.concatenate(known))
+                elif blobs:
+                    known = known or packed.Answers(blobs)
                     codes = np.frombuffer(batch.column(4)[i].as_py(), "<u4")
-                    key = rare_runs(codes, rarity.value, least)
-                    key = key[packed.among(key & packed.FINGERPRINT, fingers)]
+                    key = rare_runs(codes, known, least)
                     if len(key):
                         taken.append(i)
                         rep = batch.column(2)[i].as_py()
@@ -403,13 +342,15 @@ def word_bins(codes: np.ndarray) -> np.ndarray:
 
 
 def _met(table: pa.Table, least: float) -> pa.RecordBatch:
-    """a, b: texts of two classes that share a key of the rows (key, rep, label, n, head, bins, block, own, other), sorted by key.
+    """a, b: texts of two classes that share a key of the rows (key, rep, label, n, heads, bins, block, own, other), sorted by key.
 
-    Lengths and, where the rows have them, word counts rule pairs out. Texts of one head have met there.
+    Lengths and, where the rows have them, word counts rule pairs out. Texts that share a head meet there.
     """
     ids = table.column("rep").combine_chunks().dictionary_encode()
     rep, label = (np.asarray(x) for x in (ids.indices, table.column("label").combine_chunks().dictionary_encode().indices))
-    key, n, head, block, own, other = (table.column(c).to_numpy() for c in ("key", "n", "head", "block", "own", "other"))
+    key, n, block, own, other = (table.column(c).to_numpy() for c in ("key", "n", "block", "own", "other"))
+    heads = [table.column(f"head{i}") for i in range(HEADS)]
+    heads = [(h.fill_null(0).to_numpy(), h.is_valid().to_numpy()) for h in heads]
     begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (other[1:] != other[:-1])])
     length = np.diff(np.r_[begin, len(key)])
     bins = table.column("bins")
@@ -421,9 +362,14 @@ def _met(table: pa.Table, least: float) -> pa.RecordBatch:
             x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
             longer = np.maximum(n[x], n[y])
             allowed = ((1 - least) * longer + 1e-9).astype(np.int64)
-            near = (label[x] != label[y]) & (np.abs(n[x] - n[y]) <= allowed) & ((head[x] != head[y]) | (head[x] == key[x]))
+            near = (label[x] != label[y]) & (np.abs(n[x] - n[y]) <= allowed)
             near &= (block[x] != block[y]) | (own[x] == other[x])  # texts of one block meet where it is alone
             x, y, allowed, longer = x[near], y[near], allowed[near], longer[near]
+            near = np.ones(len(x), bool)
+            for one, has in heads:
+                for two, also in heads:
+                    near &= ~(has[x] & also[y] & (one[x] == two[y]))
+            x, y, allowed, longer = x[near], y[near], allowed[near], longer[near]
             if len(x) and bins[int(part[0])].is_valid:
                 at, back = np.unique(np.r_[x, y], return_inverse=True)
                 held = np.stack([np.frombuffer(bins[k].as_py(), "<u2") for k in at.tolist()])
@@ -439,8 +385,8 @@ def _met(table: pa.Table, least: float) -> pa.RecordBatch:
 def across(live: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of texts of two classes that have a rare run in common and may be similar.
 
-    Of a text's keys the one with most rows is its head; texts of one head meet there alone, and keys whose rows
-    all have another head in common are left out. Rows of larger keys bring their word counts, which rule out
+    A text's heads are those of its keys with most rows; texts that share a head meet there and not at keys with fewer
+    rows, and keys whose rows all share one are left out. Rows of larger keys bring their word counts, which rule out
     most pairs. A key with many rows is cut into blocks, and every two of its blocks meet in a task of their own.
     """
     spark = live.sparkSession
@@ -465,14 +411,17 @@ def across(live: DataFrame, least: float) -> DataFrame:
     flat = live.select("rep", "label", F.explode("keys").alias("key"))
     spread = flat.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high").select("key", "rows")
     named = stored(flat.join(spread, "key").select("key", "rep", "rows"))
-    heads = named.groupBy("rep").agg(F.max(F.struct("rows", "key")).alias("most")).select("rep", F.col("most.key").alias("head"))
-    headed = stored(named.join(heads, "rep"))
-    open_keys = headed.groupBy("key").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low != high OR low = key").select("key")
+    mine = F.struct("rows", "key")
+    heads = named.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(mine), False), 1, HEADS).alias("heads"))
+    above = F.transform(F.filter("heads", lambda h: h > mine), lambda h: h["key"])
+    headed = stored(named.join(heads, "rep").select("key", "rep", "rows", above.alias("heads")))
+    met = headed.select("key", "rows", F.explode("heads").alias("head")).groupBy("key", "head").agg(F.count(F.lit(1)).alias("n"), F.first("rows").alias("rows")).where("n = rows")
     facts = live.select("rep", "label", "n", "bins")
-    dealt = headed.join(open_keys, "key", "left_semi").join(facts, "rep").withColumn("bins", F.when(F.col("rows") > PLAIN, F.col("bins")))
+    dealt = headed.join(met.select("key").distinct(), "key", "left_anti").join(facts, "rep").withColumn("bins", F.when(F.col("rows") > PLAIN, F.col("bins")))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "rep", "label", "n", "head", "bins", "block", F.least("block", "with").alias("own"), F.greatest("block", "with").alias("other"))
+    tops = [F.get("heads", F.lit(i)).alias(f"head{i}") for i in range(HEADS)]
+    dealt = dealt.select("key", "rep", "label", "n", *tops, "bins", "block", F.least("block", "with").alias("own"), F.greatest("block", "with").alias("other"))
     dealt = dealt.repartition(n, "key", "own", "other").sortWithinPartitions("key", "own", "other")
     pairs = dealt.mapInArrow(apply, f"a {kind}, b {kind}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -60,7 +60,6 @@ def test_records_round_trip(spark, docs, texts, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokens.default_vocabulary())
-    plain.encode_special_tokens = True
     index = rows(records.read_index(spark, path).withColumn("doc_id", F.col("id").cast("long")))
     start = 0
     for i, t in enumerate(texts):
@@ -168,24 +167,29 @@ def test_exact_with_spill(docs, texts, monkeypatch):
     test_exact(docs, texts, True)
 
 
-@pytest.mark.parametrize("few", [0, 1, 24])
-def test_similarity(monkeypatch, few):
-    monkeypatch.setattr(near_dedup, "FEW", few)
+def edit_distance(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+@pytest.mark.parametrize("alphabet", [2, 5, 1000])
+def test_similarity(alphabet):
     rng = np.random.default_rng(4)
-    for _ in range(300):
-        a = rng.integers(0, 5, rng.integers(1, 25))
-        b = np.array([x for x in a if rng.random() > 0.1] + list(rng.integers(0, 5, rng.integers(0, 3))))
+    for k in range(600):
+        a = rng.integers(0, alphabet, rng.integers(1, 25 if k % 3 else 120))
+        b = np.array([x if rng.random() > 0.05 else rng.integers(0, alphabet) for x in a if rng.random() > 0.08] + list(rng.integers(0, alphabet, rng.integers(0, 3))))
         if not len(b):
             continue
-        prev = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            cur = [i]
-            for j, y in enumerate(b, 1):
-                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
-            prev = cur
-        longest = max(len(a), len(b))
-        want = 1 - prev[-1] / longest if prev[-1] <= int(0.2 * longest + 1e-9) else 0
-        assert abs(near_dedup.similarity(a.astype(np.uint32), b.astype(np.uint32)) - want) < 1e-9
+        longest, edits = max(len(a), len(b)), edit_distance(a, b)
+        want = 1 - edits / longest if edits <= int(0.2 * longest + 1e-9) else 0
+        a, b = a.astype(np.uint32), b.astype(np.uint32)
+        assert abs(near_dedup.similarity(a, b) - want) < 1e-9
+        assert near_dedup.similar(a, b) == (want > 0) and near_dedup._edits_along(a, b) >= edits
 
 
 def near_classes(texts):
@@ -315,7 +319,6 @@ def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokens.default_vocabulary())
-    plain.encode_special_tokens = True
     pieces = packing.pack(docs).collect()
     by_doc, by_sequence = {}, {}
     for p in pieces:
