@@ -5,17 +5,19 @@ function picks the few labelled shingles with the least hashes and keeps them in
 tuple is a sketch, so two texts tend to share sketches when one can be edited into the other. A banded
 alignment of their words decides: the edit similarity ``1 - edits / words of the longer text`` must reach 0.8.
 
-Texts with equal words are one class representative from the start, so any number of copies costs one
-sketch. A sketch's texts are compared with a leader, not with each other; that joins most of what belongs
-together. Sketches alone would miss pairs, so every further pair that can be similar is found by its word
-pairs: an edit changes two of them, so texts within the allowed edits share all but so many, hence several of
-the rarest of each. Texts of two classes that share that many are aligned. No similar pair is lost there,
-however common its sketches or short its texts. Links are joined into classes by minimum labels with pointer jumping, on written tables.
+Texts with equal words are one class representative from the start, so any number of copies costs one text.
+An edit changes two pairs of neighbouring words, so similar texts share most of theirs; a text that shares
+fewer with all others together is alone. The other texts are sketched, and a sketch's texts are compared with a
+leader, not with each other; that joins most of what belongs together. Sketches alone would miss pairs, so texts
+of two classes that have one of their rarest shared pairs of words in common are aligned too, as far as
+lengths and word counts allow. No similar pair is lost there, however common its sketches or short its texts.
+Links are joined into classes by minimum labels with pointer jumping, on written tables.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -205,23 +207,21 @@ def _banded_edits(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the words (null without words), sketches, codes (the word codes as packed 32-bit numbers)."""
+    """id, digest of the words (null without words), codes (the word codes as packed 32-bit numbers), row (its number)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Codes()
         for batch in batches:
-            digests, sketches, lists = [], [], []
+            digests, lists = [], []
             for text in batch.column(1):
                 found = words(text.as_py())
-                codes = np.array([known[w] for w in found], np.uint32)
                 digests.append(hashlib.blake2b(b" ".join(found), digest_size=16).hexdigest() if found else None)
-                sketches.append(order_sketches(codes))
-                lists.append(codes.astype("<u4").tobytes())
-            columns = [batch.column(0), pa.array(digests, pa.string()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lists, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "sketches", "codes"])
+                lists.append(array("I", map(known.__getitem__, found)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), pa.array(lists, pa.binary())], ["id", "digest", "codes"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, f"id {kind}, digest string, sketches array<bigint>, codes binary")
+    signed = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, f"id {kind}, digest string, codes binary")
+    return signed.withColumn("row", F.monotonically_increasing_id())
 
 
 def word_lists(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -271,11 +271,12 @@ def rare_runs(codes: np.ndarray, known: packed.Answers, least: float = SIMILARIT
     return mix(h + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def common_runs(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """rep, label, n, keys, bins, codes of each text that shares as many runs with others as similar texts must.
+def common_runs(texts: DataFrame, least: float) -> DataFrame:
+    """rep, n, keys, bins, sketches, codes of each text that shares as many runs with others as similar texts must.
 
-    ``keys`` are its rarest runs (``rare_runs``), ``bins`` its words counted in ``BINS`` slots. Which runs others have
-    is asked with packed fingerprints; the texts wait in parts, by a hash of the id.
+    All other texts are alone in their classes. ``keys`` are the rarest runs (``rare_runs``), ``bins`` the words
+    counted in ``BINS`` slots. Which runs others have is asked with packed fingerprints; the texts wait in parts, by a
+    hash of the id.
     """
     n = shuffle_partitions(texts.sparkSession)
     kind = texts.schema["rep"].dataType.simpleString()
@@ -300,38 +301,34 @@ def common_runs(texts: DataFrame, labels: DataFrame, least: float) -> DataFrame:
             yield flush()
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, blobs, known, label = None, [], None, {}
+        current, blobs, known = None, [], None
         for batch in batches:
-            taken, labelled, keys, bins = [], [], [], []
+            taken, keys, bins, sketches = [], [], [], []
             for i, (part, what) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if part != current:
-                    current, blobs, known, label = part, [], None, {}
+                    current, blobs, known = part, [], None
                 if what == 0:
-                    blobs.append(batch.column(4)[i].as_py())
-                elif what == 1:
-                    label[batch.column(2)[i].as_py()] = batch.column(3)[i].as_py()
+                    blobs.append(batch.column(3)[i].as_py())
                 elif blobs:
                     known = known or packed.Answers(blobs)
-                    codes = np.frombuffer(batch.column(4)[i].as_py(), "<u4")
+                    codes = np.frombuffer(batch.column(3)[i].as_py(), "<u4")
                     key = rare_runs(codes, known, least)
                     if len(key):
                         taken.append(i)
-                        rep = batch.column(2)[i].as_py()
-                        labelled.append(label.get(rep, rep))
                         keys.append(key.view(np.int64))
                         bins.append(word_bins(codes).tobytes())
+                        sketches.append(order_sketches(codes))
             rows = batch.take(pa.array(taken, pa.int32()))
-            lengths = pa.array([len(x.as_py()) // 4 for x in rows.column(4)], pa.int32())
-            yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(labelled, rows.column(2).type), lengths, pa.array(keys, pa.list_(pa.int64())), pa.array(bins, pa.binary()), rows.column(4)], ["rep", "label", "n", "keys", "bins", "codes"])
+            lengths = pa.array([len(x.as_py()) // 4 for x in rows.column(3)], pa.int32())
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, sketches)]
+            yield pa.RecordBatch.from_arrays([rows.column(2), lengths, lists[0], pa.array(bins, pa.binary()), lists[1], rows.column(3)], ["rep", "n", "keys", "bins", "sketches", "codes"])
 
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("part")
-    none = F.lit(None).cast(kind)
     own = texts.select(part("rep"), "rep", "codes")
     answers = own.select("part", "codes").mapInArrow(send, packed.SENT).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(packed.shared, packed.ANSWERED)
-    rows = answers.select("part", F.lit(0).alias("what"), none.alias("rep"), none.alias("label"), "blob")
-    rows = rows.unionByName(labels.select(part("id"), F.lit(1).alias("what"), F.col("id").alias("rep"), "label", F.lit(None).cast("binary").alias("blob")))
-    rows = rows.unionByName(own.select("part", F.lit(2).alias("what"), "rep", none.alias("label"), F.col("codes").alias("blob")))
-    schema = f"rep {kind}, label {kind}, n int, keys array<bigint>, bins binary, codes binary"
+    rows = stored(answers).select("part", F.lit(0).alias("what"), F.lit(None).cast(kind).alias("rep"), "blob")
+    rows = rows.unionByName(own.select("part", F.lit(1).alias("what"), "rep", F.col("codes").alias("blob")))
+    schema = f"rep {kind}, n int, keys array<bigint>, bins binary, sketches array<bigint>, codes binary"
     return rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "what").mapInArrow(receive, schema)
 
 
@@ -382,7 +379,7 @@ def _met(table: pa.Table, least: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(x)) for x in (a, b)], ["a", "b"])
 
 
-def across(live: DataFrame, least: float) -> DataFrame:
+def across(live: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of texts of two classes that have a rare run in common and may be similar.
 
     A text's heads are those of its keys with most rows; texts that share a head meet there and not at keys with fewer
@@ -408,7 +405,8 @@ def across(live: DataFrame, least: float) -> DataFrame:
         if held is not None:
             yield _met(held, least)
 
-    flat = live.select("rep", "label", F.explode("keys").alias("key"))
+    facts = live.select("rep", "n", "keys", "bins").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    flat = facts.select("rep", "label", F.explode("keys").alias("key"))
     spread = flat.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high").select("key", "rows")
     named = stored(flat.join(spread, "key").select("key", "rep", "rows"))
     mine = F.struct("rows", "key")
@@ -416,7 +414,7 @@ def across(live: DataFrame, least: float) -> DataFrame:
     above = F.transform(F.filter("heads", lambda h: h > mine), lambda h: h["key"])
     headed = stored(named.join(heads, "rep").select("key", "rep", "rows", above.alias("heads")))
     met = headed.select("key", "rows", F.explode("heads").alias("head")).groupBy("key", "head").agg(F.count(F.lit(1)).alias("n"), F.first("rows").alias("rows")).where("n = rows")
-    facts = live.select("rep", "label", "n", "bins")
+    facts = facts.select("rep", "label", "n", "bins")
     dealt = headed.join(met.select("key").distinct(), "key", "left_anti").join(facts, "rep").withColumn("bins", F.when(F.col("rows") > PLAIN, F.col("bins")))
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -473,14 +471,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = stored(signatures(docs, id_col, text_col))
     named = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    reps = stored(named.groupBy("digest").agg(F.min("id").alias("rep")))
-    own = named.join(reps.select(F.col("digest").alias("own"), F.col("rep").alias("id")), "id").where("digest = own")
-    texts = stored(own.groupBy(F.col("id").alias("rep")).agg(F.first("sketches").alias("sketches"), F.first("codes").alias("codes")))
-    keys = texts.select("rep", F.explode(F.array_distinct("sketches")).alias("key"))
+    reps = stored(named.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first")).select("digest", F.col("first.id").alias("rep"), F.col("first.row").alias("row")))
+    texts = stored(signed.select("row", "codes").join(reps.select("row", "rep"), "row").select("rep", "codes"))
+    live = stored(common_runs(texts, least))
+    keys = live.select("rep", F.explode(F.array_distinct("sketches")).alias("key"))
     led = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1").drop("n")
     pairs = keys.join(led, "key").where("rep != leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     pairs = stored(pairs)
-    lists = word_lists(texts, pairs)
+    lists = word_lists(live, pairs)
     # each text meets the leader with which it shares most; the others only where that leaves two classes
     closest = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), F.col("a"))).alias("a"))
     links = stored(verified(closest.select("a", "b"), lists, least))
@@ -489,8 +487,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(links.unionByName(verified(rest, lists, least)))
     labels = components(links)
     # what sketches have not brought together meets by its rare runs: every pair of two classes that can be similar
-    live = stored(common_runs(texts, labels, least))
-    more = stored(across(live, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    more = stored(across(live, labels, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     labels = components(stored(links.unionByName(verified(more, word_lists(live, more), least))))
     classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     out = signed.select("id", "digest").join(classes, "digest", "left")
