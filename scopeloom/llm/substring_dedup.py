@@ -21,7 +21,6 @@ Texts travel compressed, by a hash of the document's id, and are read one packed
 from __future__ import annotations
 
 import hashlib
-import pickle
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scopeloom.llm import packed
 from scopeloom.llm.common import BLOCK_BYTES, mix, runs, shuffle_partitions, utf8
+from scopeloom.llm.packed import Spans, freeze, thaw
 
 #: Bytes of a repeated string and of an anchor's gram; grams of a window; bytes of context on each side.
 WINDOW, GRAM = 50, 20
@@ -40,36 +41,32 @@ SIDE = WINDOW - GRAM
 CONTEXT = 2 * SIDE + GRAM
 #: Documents whose anchors give the splitters, anchors that a task packs at once.
 SAMPLE_DOCS, FLUSH = 2000, 400_000
-FINGERPRINT = np.uint64((1 << 40) - 1)
 
 PACKED = "part int, kind int, blob binary"
 SENT = "bucket int, kind int, part int, blob binary"
 
 
-def freeze(*arrays: np.ndarray) -> bytes:
-    raw = pickle.dumps([np.ascontiguousarray(a) for a in arrays], protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def thaw(blob: bytes) -> list[np.ndarray]:
-    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
-
-
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of every ``size`` (8 or more) consecutive bytes."""
     n = len(data) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        word |= padded[i : i + len(data)].astype(np.uint64) << np.uint64(8 * i)
-    h, at = mix(word[:n] + np.uint64(1)), 8
+    word = np.empty(len(data), np.uint64)
+    for i in range(8):  # the eight bytes from every eighth place on
+        k = (len(data) - i + 7) // 8
+        word[i::8] = padded[i : i + 8 * k].view("<u8")
+    h, at = word[:n] + np.uint64(1), 8
     while at < size:
         s = min(at, size - 8)
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word[s : s + n])
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += word[s : s + n]
         at += 8
-    return np.maximum(h, np.uint64(1))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    return np.maximum(h, np.uint64(1), out=h)
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -92,20 +89,55 @@ def anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return none
     h = gram_hashes(data, GRAM)
     least = _slide(h, PLACES, np.minimum)
-    starts = np.arange(len(least))
-    end = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
-    least = np.where(starts + WINDOW <= end, least, np.uint64(0))
+    beyond = (offsets[1:, None] - np.arange(1, WINDOW)).ravel()
+    least[beyond[(beyond >= 0) & (beyond < len(least))]] = 0  # these windows would leave their document
     edge = np.zeros(PLACES - 1, np.uint64)
     chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), PLACES, np.maximum) == h)
     own = h[chosen]
-    bits = np.zeros(len(chosen), np.uint32)
-    for j in range(PLACES):
-        at = chosen - SIDE + j
-        inside = (at >= 0) & (at < len(least))
-        bits |= (inside & (least[np.where(inside, at, 0)] == own)).astype(np.uint32) << np.uint32(j)
+    bits = _places(least, chosen, own)
     return chosen, own, bits
 
 
+def _places(least: np.ndarray, chosen: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Bits of the windows that chose each anchor.
+
+    Neighbouring windows with one least hash form a run, which mostly has one anchor; the rest is looked up bit by bit.
+    """
+    bits = np.zeros(len(chosen), np.uint32)
+    if not len(chosen):
+        return bits
+    begin = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    end = np.r_[begin[1:], len(least)]
+    held = least[begin] > 0
+    begin, end = begin[held], end[held]
+    value, first = least[begin], np.searchsorted(chosen, begin)
+    found, only = np.full(len(begin), -1), np.ones(len(begin), bool)
+    for k in range(6):
+        at = np.minimum(first + k, len(chosen) - 1)
+        inside = (first + k < len(chosen)) & (chosen[at] < end + SIDE)
+        hit = inside & (own[at] == value)
+        only &= ~(hit & (found >= 0))
+        found[hit] = at[hit]
+        if k == 5:
+            only &= ~inside
+        elif not inside.any():
+            break
+    only &= found >= 0
+    only[only] &= (chosen[found[only]] >= end[only] - 1) & (chosen[found[only]] <= begin[only] + SIDE)
+    at = found[only]
+    low = (begin[only] - chosen[at] + SIDE).astype(np.uint64)
+    bits[at] = (((np.uint64(1) << (end - begin)[only].astype(np.uint64)) - np.uint64(1)) << low).astype(np.uint32)
+    open_ = np.flatnonzero(bits == 0)
+    at, mine = chosen[open_], own[open_]
+    more = np.zeros(len(open_), np.uint32)
+    for j in range(PLACES if len(open_) else 0):
+        start = at - SIDE + j
+        inside = (start >= 0) & (start < len(least))
+        more |= (inside & (least[np.where(inside, start, 0)] == mine)).astype(np.uint32) << np.uint32(j)
+    bits[open_] = more
+    return bits
+
+
 def pieces(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of a run of texts: row numbers, where each begins in its text, and (begin, end) in the data.
 
@@ -161,17 +193,6 @@ def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return data[at[:, None] + np.arange(GRAM)]
 
 
-class _Spans:
-    """Groups of equal values in a sorted array: (begin, end)."""
-
-    def __init__(self, values: np.ndarray):
-        self.begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-        self.end = np.r_[self.begin[1:], len(values)].astype(np.int64) if len(values) else self.begin
-
-    def __iter__(self):
-        return zip(self.begin.tolist(), self.end.tolist(), strict=True)
-
-
 def sample_splitters(docs: DataFrame, buckets: int) -> np.ndarray:
     """Quantiles of the anchors' leading bytes over about ``SAMPLE_DOCS`` documents."""
     every = max(1, docs.count() // SAMPLE_DOCS)
@@ -198,17 +219,9 @@ def _fingerprints(docs: DataFrame, splitters) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            bucket, finger, part, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            order = np.lexsort((doc, part, finger, bucket))
-            bucket, finger, part, doc = bucket[order], finger[order], part[order], doc[order]
-            group = np.concatenate([[0], np.cumsum((finger[1:] != finger[:-1]) | (bucket[1:] != bucket[:-1]))]) if len(order) else np.zeros(0, np.int64)
-            several = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-            several[group[1:][(group[1:] == group[:-1]) & ((doc[1:] != doc[:-1]) | (part[1:] != part[:-1]))]] = True
-            first = np.r_[True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])] if len(order) else np.zeros(0, bool)
-            bucket, finger, part, flag = bucket[first], finger[first], part[first], several[group[first]]
-            rows = [(int(bucket[a]), freeze(finger[a:b].astype(np.uint32), (finger[a:b] >> np.uint64(32)).astype(np.uint8), part[a:b], flag[a:b])) for a, b in _Spans(bucket)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "kind", "part", "blob"])
+            return packed.sent(*columns)
 
         count = 0
         for batch in batches:
@@ -219,7 +232,7 @@ def _fingerprints(docs: DataFrame, splitters) -> DataFrame:
                 block = data[cut[0] : cut[-1]]
                 at, h, _ = anchors(cut - cut[0], block)
                 row = rows[np.searchsorted(cut - cut[0], at, "right") - 1]
-                held.append((_buckets(_leading(block, at), cuts).astype(np.int32), h & FINGERPRINT, parts[row], ids[row]))
+                held.append((_buckets(_leading(block, at), cuts).astype(np.int32), h, parts[row], ids[row]))
                 count += len(at)
                 if count >= 2 * FLUSH:
                     yield flush()
@@ -227,36 +240,7 @@ def _fingerprints(docs: DataFrame, splitters) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("id", "text", "part").mapInArrow(apply, SENT)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, answered: per part the sorted fingerprints that occur in two documents or more."""
-
-    def answer(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        low, high, part, flag = (np.concatenate(x) for x in zip(*(thaw(b) for b in blobs), strict=True))
-        finger = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-        order = np.argsort(finger, kind="stable")
-        finger, part, flag = finger[order], part[order], flag[order]
-        spans = _Spans(finger)
-        size = spans.end - spans.begin
-        shared = np.repeat((size > 1) | np.maximum.reduceat(flag, spans.begin), size)
-        finger, part = finger[shared], part[shared]
-        order = np.argsort(part, kind="stable")
-        finger, part = finger[order], part[order]
-        rows = [(int(part[a]), freeze(np.unique(finger[a:b]))) for a, b in _Spans(part)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "kind", "blob"])
-
-    held, current = [], None
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
-            if bucket != current and held:
-                yield from answer(held)
-                held = []
-            current = bucket
-            held.append(blob.as_py())
-    if held:
-        yield from answer(held)
+    return docs.select("id", "text", "part").mapInArrow(apply, packed.SENT)
 
 
 def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +251,7 @@ def _pack_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         offsets, data = utf8(batch.column(1))
         order = np.argsort(parts, kind="stable")
         rows = []
-        for a, b in _Spans(parts[order]):
+        for a, b in Spans(parts[order]):
             own, lo = order[a:b], 0
             sizes = offsets[own + 1] - offsets[own]
             for lo, hi in runs(np.r_[0, np.cumsum(sizes)], 4 * BLOCK_BYTES):
@@ -316,26 +300,25 @@ def _contexts(splitters):
             place_begin = np.r_[0, np.cumsum(counts)]
             bucket = _buckets(context[lead][:, SIDE : SIDE + GRAM], cuts)
             by = np.argsort(bucket, kind="stable")
-            for a, b in _Spans(bucket[by]):
+            for a, b in Spans(bucket[by]):
                 rows = by[a:b]
                 index = lead[rows]
                 inner = np.concatenate([places[place_begin[r] : place_begin[r + 1]] for r in rows])
                 sent.append((int(bucket[rows[0]]), 1, freeze(context[index], bits[index], doc[index], crc[index], counts[rows].astype(np.int64), inner)))
             return pa.RecordBatch.from_arrays([pa.array([s[0] for s in sent], pa.int32()), pa.array([s[1] for s in sent], pa.int32()), pa.array([part] * len(sent), pa.int32()), pa.array([s[2] for s in sent], pa.binary())], ["bucket", "kind", "part", "blob"])
 
-        current, known, fingers, count = None, [], None, 0
+        current, blobs, known, count = None, [], None, 0
         for part, kind, blob in _by_part(batches):
             if part != current:
                 if held:
                     yield flush(current)
-                current, known, fingers, count = part, [], None, 0
+                current, blobs, known, count = part, [], None, 0
             if kind == 0:
-                known.append(thaw(blob)[0])
+                blobs.append(blob)
                 continue
-            if not known:
+            if not blobs:
                 continue
-            if fingers is None:
-                fingers = np.unique(np.concatenate(known))
+            known = known or packed.Answers(blobs)
             ids, sizes, data = thaw(blob)
             offsets = np.r_[0, np.cumsum(sizes)]
             crcs = _crc(offsets, data)
@@ -343,9 +326,7 @@ def _contexts(splitters):
                 block = data[cut[0] : cut[-1]]
                 inner = cut - cut[0]
                 at, h, bits = anchors(inner, block)
-                h = h & FINGERPRINT
-                near = np.minimum(np.searchsorted(fingers, h), len(fingers) - 1)
-                kept = fingers[near] == h
+                kept, _ = known.find(h)
                 at, bits = at[kept], bits[kept]
                 which = np.searchsorted(inner, at, "right") - 1
                 for lo in range(0, len(at), 1 << 16):
@@ -373,7 +354,7 @@ def judge(context: np.ndarray, bits: np.ndarray, doc: np.ndarray) -> np.ndarray:
     order = multikey_sort(key_words(context[:, SIDE : SIDE + GRAM]))
     lead = context[order, SIDE : SIDE + GRAM]
     run = np.r_[0, np.cumsum((lead[1:] != lead[:-1]).any(1))]
-    spans = _Spans(run)
+    spans = Spans(run)
     mixed = np.minimum.reduceat(doc[order], spans.begin) != np.maximum.reduceat(doc[order], spans.begin)
     out = np.zeros(len(bits), np.uint32)
     batch: list[np.ndarray] = []
@@ -399,10 +380,10 @@ def _judge_windows(context: np.ndarray, bits: np.ndarray, doc: np.ndarray, rows:
     value, owner = h[at[row, place]], doc[rows[row]]
     order = np.lexsort((owner, value))
     row, place, value, owner = row[order], place[order], value[order], owner[order]
-    spans = _Spans(value)
+    spans = Spans(value)
     first = np.repeat(spans.begin, spans.end - spans.begin)
     later = owner != owner[first]
-    # the hash brings windows together, their bytes decide
+    # the hash brings windows together, their bytes decide and tell apart what the hash has mixed up
     hit = np.flatnonzero(later)
     if len(hit):
         span = np.arange(WINDOW)
@@ -412,8 +393,14 @@ def _judge_windows(context: np.ndarray, bits: np.ndarray, doc: np.ndarray, rows:
             mine = flat[at[row[x], place[x]][:, None] + span]
             theirs = flat[at[row[first[x]], place[first[x]]][:, None] + span]
             same[lo : lo + (1 << 16)] = (mine == theirs).all(1)
-        if not same.all():
-            raise ValueError("two windows share a 64-bit hash")
+        for group in np.unique(first[hit[~same]]).tolist():
+            members = np.flatnonzero(first == group)
+            least: dict[bytes, int] = {}
+            texts = [flat[at[row[k], place[k]] + span].tobytes() for k in members.tolist()]
+            for k, text in zip(members.tolist(), texts, strict=True):  # by document
+                least.setdefault(text, int(owner[k]))
+            later[members] = [least[text] != int(owner[k]) for k, text in zip(members.tolist(), texts, strict=True)]
+        hit = np.flatnonzero(later)
         np.bitwise_or.at(out, rows[row[hit]], np.uint32(1) << place[hit].astype(np.uint32))
 
 
@@ -431,7 +418,7 @@ def _judged():
             each, places = each[kept], places[kept]
             order = np.lexsort((places, doc[each], part[each]))
             each, places = each[order], places[order]
-            rows = [(int(part[each[a]]), freeze(doc[each[a:b]], crc[each[a:b]], places[a:b], hits[each[a:b]])) for a, b in _Spans(part[each])]
+            rows = [(int(part[each[a]]), freeze(doc[each[a:b]], crc[each[a:b]], places[a:b], hits[each[a:b]])) for a, b in Spans(part[each])]
             yield from emit(rows)
 
         def emit(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -479,8 +466,12 @@ def _cut():
             rows = []
             for i, doc_id in enumerate(ids.tolist()):
                 text = data[offsets[i] : offsets[i + 1]]
+                windows = found.get((doc_id, int(crcs[i])))
+                if not windows:
+                    rows.append((doc_id, len(text), 0, 0, hashlib.sha256(text).hexdigest()))
+                    continue
                 change = np.zeros(len(text) + 1, np.int32)
-                for at, bits in found.get((doc_id, int(crcs[i])), ()):
+                for at, bits in windows:
                     which, place = np.nonzero((bits[:, None] >> np.arange(PLACES, dtype=np.uint32)) & np.uint32(1))
                     start = at[which] - SIDE + place
                     np.add.at(change, start, 1)
@@ -507,10 +498,10 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ident: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(none))
     rows = docs.select(ident.alias("id"), F.col(text_col).alias("text")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     splitters = spark.sparkContext.broadcast(sample_splitters(rows, n))
-    packed = rows.mapInArrow(_pack_documents, PACKED)
+    blocks = rows.mapInArrow(_pack_documents, PACKED)
     gathered = lambda df: df.repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind")
-    shared = _fingerprints(rows, splitters).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_shared, PACKED)
-    contexts = gathered(shared.unionByName(packed)).mapInArrow(_contexts(splitters), SENT)
+    shared = _fingerprints(rows, splitters).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(packed.shared, packed.ANSWERED)
+    contexts = gathered(shared.select("part", F.lit(0).alias("kind"), "blob").unionByName(blocks)).mapInArrow(_contexts(splitters), SENT)
     removed = contexts.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_judged(), PACKED)
-    out = gathered(removed.unionByName(packed)).mapInArrow(_cut(), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = gathered(removed.unionByName(blocks)).mapInArrow(_cut(), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.select(F.when(F.col("id") != none, F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")

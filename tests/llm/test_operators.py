@@ -403,3 +403,32 @@ def test_nulls_and_repeats(spark, name):
 
 def test_frame_has_clashing_names(docs):
     assert {"id", "label", "part", "spans"} <= set(docs.columns) and frame is not None
+
+
+def test_anchor_places():
+    """Each anchor's bits are the windows whose least hash it holds, also in texts that repeat themselves."""
+    rng = np.random.default_rng(9)
+    for size, alphabet in ((3000, 2), (3000, 100), (900, 1)):
+        data = rng.integers(0, alphabet, size).astype(np.uint8)
+        data[200:1200 if size > 2000 else 400] = np.resize(data[200:217], len(data[200:1200 if size > 2000 else 400]))
+        offsets = np.array([0, 40, 700, 700, size])
+        at, own, bits = substring_dedup.anchors(offsets, data)
+        h = substring_dedup.gram_hashes(data, substring_dedup.GRAM)
+        want = {}
+        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+            for s in range(lo, hi - substring_dedup.WINDOW + 1):
+                window = h[s : s + substring_dedup.PLACES]
+                for c in np.flatnonzero(window == window.min()) + s:
+                    want[c] = want.get(c, 0) | 1 << (s - c + substring_dedup.SIDE)
+        assert dict(zip(at.tolist(), bits.tolist(), strict=True)) == want
+
+
+def test_substrings_with_equal_hashes(docs, texts, monkeypatch):
+    """Windows that a weak hash mixes up are told apart by their bytes."""
+    context = np.frombuffer(b"".join(bytes([65 + i % 3]) * substring_dedup.CONTEXT for i in range(9)), np.uint8).reshape(9, -1)
+    bits, doc = np.full(9, 1, np.uint32), np.arange(9)
+    hashes = substring_dedup.gram_hashes
+    monkeypatch.setattr(substring_dedup, "gram_hashes", lambda data, size: hashes(data, size) % 2 + 1)
+    out = np.zeros(9, np.uint32)
+    substring_dedup._judge_windows(context, bits, doc, np.arange(9), out)
+    assert out.tolist() == [0, 0, 0, 1, 1, 1, 1, 1, 1]
