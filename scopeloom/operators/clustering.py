@@ -26,8 +26,11 @@ def cluster_by_similarity(rows: DataFrame, least: float, group_key: str) -> Data
 
 
 def dedupe_items(items: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One item per cluster (id, leader): the longest description, gaps filled from the first member that has a value."""
-    joined = items.join(clusters.select(F.col("id").alias("item_id"), "leader"), "item_id")
+    """One item per cluster (id, leader): the longest description, gaps filled from the first member that has a value.
+
+    An item without a cluster is one of its own.
+    """
+    joined = items.join(clusters.select(F.col("id").alias("item_id"), "leader"), "item_id", "left").withColumn("leader", F.coalesce("leader", "item_id"))
     fill = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("item_id"))).alias(c)
     return joined.groupBy("leader").agg(F.max_by("description", F.struct(F.length("description"), -F.col("item_id"))).alias("description"), fill("quantity"), fill("unit"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("members"))
 

@@ -17,9 +17,28 @@ def context_precision(verdicts: DataFrame) -> DataFrame:
     return at.groupBy("fixture_id").agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("p") * hit), F.sum(hit)), F.lit(0.0)), 6).alias("context_precision"))
 
 
-def supported_share(statements: DataFrame, name: str) -> DataFrame:
-    """Recall or faithfulness: supported statements of all, 1 without statements. ``statements``: fixture_id, supported (null: no statement)."""
-    return statements.groupBy("fixture_id").agg(F.round(F.coalesce(F.avg(F.col("supported").cast("double")), F.lit(1.0)), 6).alias(name))
+def supported_share(statements: DataFrame, name: str, retrieved: DataFrame | None = None) -> DataFrame:
+    """Supported statements of all. ``statements``: fixture_id, supported (null: no statement).
+
+    1 without statements; else 0 where ``retrieved`` (fixture_id), if given, has no chunk of the fixture.
+    """
+    share = F.avg(F.col("supported").cast("double"))
+    out = statements.groupBy("fixture_id").agg(share.alias("share"))
+    found = F.lit(True)
+    if retrieved is not None:
+        out = out.join(retrieved.select("fixture_id").distinct().withColumn("found", F.lit(True)), "fixture_id", "left")
+        found = F.coalesce("found", F.lit(False))
+    return out.select("fixture_id", F.when(F.col("share").isNull(), 1.0).when(found, F.round("share", 6)).otherwise(0.0).alias(name))
+
+
+def context_recall(statements: DataFrame, retrieved: DataFrame | None = None) -> DataFrame:
+    """Share of the true answer's statements that the retrieved chunks support."""
+    return supported_share(statements, "context_recall", retrieved)
+
+
+def faithfulness(claims: DataFrame, retrieved: DataFrame | None = None) -> DataFrame:
+    """Share of the given answer's claims that the retrieved chunks support."""
+    return supported_share(claims, "faithfulness", retrieved)
 
 
 def answer_relevancy(pairs: DataFrame) -> DataFrame:

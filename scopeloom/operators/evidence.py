@@ -154,7 +154,7 @@ def symbol_lookup(glyphs: DataFrame, symbols: DataFrame) -> DataFrame:
     ``symbols``: glyph, code, discipline.
     """
     norm = lambda c: F.upper(F.regexp_replace(c, r"\s+", ""))
-    met = glyphs.withColumn("g", norm(F.col("glyph"))).join(F.broadcast(symbols.select(norm(F.col("glyph")).alias("g"), "code", F.col("discipline").alias("own"))), "g", "left")
+    met = glyphs.withColumn("g", norm(F.col("glyph"))).join(symbols.select(norm(F.col("glyph")).alias("g"), "code", F.col("discipline").alias("own")), "g", "left")
     same = F.coalesce(F.col("own") == F.col("discipline"), F.lit(False))
     per = met.groupBy("id").agg(F.collect_set(F.when(same, F.col("code"))).alias("near"), F.collect_set("code").alias("any"))
     chosen = F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("any"))

@@ -155,6 +155,56 @@ def admit_candidates(candidates: DataFrame, judged: DataFrame) -> DataFrame:
     return joined.select("item_id", (why == "").alias("admitted"), why.alias("why"), F.coalesce("valid", F.lit(0)).cast("long").alias("kept"))
 
 
+def keep_known_citations(claims: DataFrame, pool: DataFrame, least: float = 0.18, least_drawing: float = 0.05) -> DataFrame:
+    """Claimed citations (section, item_id, description, chunk_id) against the section's pool (section, chunk_id, text, evidence_type).
+
+    Per item: cited, bad_id (chunks outside the pool), low_overlap (other verdicts against), kept. Words read off drawings
+    need less overlap. Items without a kept citation go.
+    """
+    met = claims.join(pool.select("section", "chunk_id", "text", "evidence_type", F.lit(True).alias("known")), ["section", "chunk_id"], "left")
+    reason, overlap = citation_verdict(F.col("description"), F.col("text"), 0.0)
+    enough = overlap >= F.when(F.col("evidence_type") == "drawing", least_drawing).otherwise(least)
+    known = F.coalesce("known", F.lit(False))
+    counted = met.select("item_id", known.alias("known"), (known & (reason == "") & enough).alias("good")).groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("cited"), F.count_if(~F.col("known")).alias("bad_id"), F.count_if(F.col("known") & ~F.col("good")).alias("low_overlap"), F.count_if("good").alias("kept")
+    )
+    return counted.where("kept > 0")
+
+
+def merge_extractors(extracted: DataFrame, mined: DataFrame) -> DataFrame:
+    """Mined candidates added to the extracted ones of their division (item_id, division, description), each text once.
+
+    Adds origin: extracted, appended (mined, in a division that has extracted ones) or new_division. Of equal texts in a
+    division an extracted one stays, then the smallest id.
+    """
+    both = extracted.withColumn("mined", F.lit(0)).unionByName(mined.withColumn("mined", F.lit(1)))
+    order = W.partitionBy("division", F.lower(F.trim("description"))).orderBy("mined", "item_id")
+    first = both.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    emitted = extracted.select("division").distinct().withColumn("emitted", F.lit(True))
+    origin = F.when(F.col("mined") == 0, "extracted").when(F.coalesce("emitted", F.lit(False)), "appended").otherwise("new_division")
+    return first.join(emitted, "division", "left").withColumn("origin", origin).drop("mined", "emitted")
+
+
+def materialize_items(admitted: DataFrame, citations: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of admitted candidates and of their citations.
+
+    ``admitted``: item_id, code, proposed, description, confidence, ground_method, query; ``citations``: item_id, chunk_id,
+    document_id, page_number, doc_type, rerank, text. Items get their section's title, their division's label and the
+    provenance of their code; citations the evidence type of their document and an excerpt of 240 characters.
+    """
+    titles = taxonomy.groupBy("code").agg(F.min("title").alias("section_title"))
+    labels = taxonomy.groupBy("division").agg(F.min("division_title").alias("label"))
+    division = F.substring("code", 1, 2)
+    items = admitted.withColumn("division", division).join(titles, "code", "left").join(labels, "division", "left")
+    untitled = F.concat("division", F.lit(" - (untitled)"))
+    provenance = F.to_json(F.struct(F.col("query").alias("found_by_query"), F.col("proposed").alias("csi_code_proposed"), F.coalesce("ground_method", F.lit("exact")).alias("ground_method")))
+    items = items.select("item_id", "code", "division", F.coalesce("label", untitled).alias("division_label"), "section_title", "description", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), provenance.alias("provenance"))
+    evidence = F.when(F.col("doc_type") == "drawing-set", "drawing").when(F.col("doc_type") == "written-spec", "spec").when(F.col("doc_type").isin("bid-quote", "scope-letter"), "bid").otherwise("other")
+    kept = citations.join(admitted.select("item_id"), "item_id", "left_semi")
+    excerpt = F.nullif(F.substring("text", 1, 240), F.lit(""))
+    return items, kept.select("item_id", "chunk_id", "document_id", "page_number", evidence.alias("evidence_type"), "doc_type", "rerank", excerpt.alias("excerpt"))
+
+
 def audit_citations(judged: DataFrame) -> DataFrame:
     """Citations by evidence type and verdict, with the share of all."""
     total = F.sum(F.count(F.lit(1))).over(W.partitionBy())

@@ -25,7 +25,7 @@ def bm25_index(chunks: DataFrame, key: str = "project_id") -> tuple[DataFrame, D
     lengths = tokens.select(key, "chunk_id", F.size("tokens").alias("length"))
     corpus = lengths.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
     tf = tokens.select(key, "chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(key, "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus) if key == "project_id" else corpus, key)
+    df = tf.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df")).join(corpus, key)
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(key).agg(F.avg("raw").alias("mean_idf"))
     idf = raw.join(mean, key).select(key, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -117,6 +117,13 @@ def upsert_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.withColumn("embedded", F.col("embedding").isNotNull())
 
 
+def clear_embeddings(chunks: DataFrame, projects: DataFrame) -> DataFrame:
+    """Take the vectors off all chunks of the projects (project_id), before they are indexed anew."""
+    gone = projects.select("project_id").distinct().withColumn("cleared", F.lit(True))
+    out = chunks.join(gone, "project_id", "left").withColumn("embedding", F.when(F.col("cleared").isNull(), F.col("embedding"))).drop("cleared")
+    return out.withColumn("embedded", F.col("embedding").isNotNull())
+
+
 def retrieval_eval(hits: DataFrame, truth: DataFrame) -> DataFrame:
     """Per query with truth: hits found, truth size, recall and rank of the first hit."""
     judged = truth.join(hits.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")
@@ -193,5 +200,5 @@ def discipline_corpus(chunks: DataFrame, sheets: DataFrame, divisions: DataFrame
     """Per discipline: chunks of its drawings (document_id, discipline), and spec chunks that name one of its divisions (division, discipline)."""
     drawn = chunks.where("chunk_type <> 'spec_section'").join(sheets.select("document_id", "discipline").distinct(), "document_id").select("discipline", "chunk_id", F.lit("drawing").alias("side"))
     named = chunks.where("chunk_type = 'spec_section'").select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\d{2}) \d{2} \d{2}\b"), F.lit(1)))).alias("division"))
-    spec = named.join(F.broadcast(divisions), "division").select("discipline", "chunk_id", F.lit("spec").alias("side"))
+    spec = named.join(divisions, "division").select("discipline", "chunk_id", F.lit("spec").alias("side"))
     return drawn.unionByName(spec).distinct()

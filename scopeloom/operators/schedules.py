@@ -10,8 +10,23 @@ from pyspark.sql import functions as F
 CATALOG = "code mark tag symbol designation item material product name manufacturer mfr brand supplier vendor description spec remarks size sku model pattern style collection".split()
 MAPPING = "room room_number room_name room_no space floor flooring floor_finish base wall walls wall_finish wainscot ceiling ceilings ceiling_finish trim soffit".split()
 KIND_RANK = {"catalog": 3, "unknown": 2, "mixed": 1, "mapping": 0}
-# Unit rules: schedule type, order, pattern, unit. Untyped schedules take the finish rules.
-UNIT_RULES = [("finish", 1, r"(?i)\b(base|trim|edge)\b", "LF"), ("finish", 2, r"(?i)\b(paint|tile|carpet|widget|sheet)\b", "SF"), ("panel", 1, r"(?i)\b(feeder|conduit|bolt)\b", "LF")]
+# Unit rules by schedule type, the first that matches counts; untyped schedules take the finish rules.
+UNIT_RULES = (
+    ("finish", r"\b(TR[0-9]|TN[0-9]|TRANSITION|EDGE PROTECTION|SCHLUTER)\b", "LF"),
+    ("finish", r"\b(B[0-9]|BASE TILE|BASE TRIM|WALL BASE|RUBBER BASE)\b", "LF"),
+    ("finish", r"\b(WT\d*|WALL TILE|WP\d*|WALL PANEL)\b", "SF"),
+    ("finish", r"\b(GWB|GB\d*|GYPSUM|DRYWALL|GYP\.|SHEETROCK)\b", "SF"),
+    ("finish", r"\b(ACT|CEILING TILE|ACOUSTICAL CEILING|ACOUSTIC PANEL(?:ING)?|ACOUSTIC SLATS?|ACOUSTIC GRIDS?)\b", "SF"),
+    ("finish", r"\b(WOOD SLATS?|DECK(?:ING)?|COMPOSITE DECK)\b", "SF"),
+    ("finish", r"\bP\d+\b|\b(?:SHERWIN|BENJAMIN MOORE)\b|\bPAINT\b(?!\s+(?:FINISH|FRAME|GRADE|TYPE|COAT|JOB))", "SF"),
+    ("finish", r"\b(LVT|VCT|FT|RF|SC|CT|SEALED CONCRETE|FLOOR TILE|RESILIENT|VINYL|CARPET)\d*\b", "SF"),
+    ("equipment", r"\b(LED|LIGHTING|FIXTURE|EMERGENCY|EXIT SIGN)\b", "EA"),
+    ("equipment", r"\b(REFRIGERANT LINE|REFRIGERANT PIPING|DUCTWORK MAIN)\b", "LF"),
+)
+# Types whose rows are single pieces unless a rule says otherwise, types whose rows may be unused circuits, and their words.
+PIECES = ("door", "window", "fixture", "equipment", "panel", "plant")
+CIRCUITS = ("equipment", "panel")
+NO_LOAD = r"\b(SPARE|PROVISIONAL\s+SPACE|PROVISIONAL|RESERVED|FUTURE|BLANK|NO\s+LOAD|UNUSED|EMPTY)\b"
 
 
 def schedule_type(name: Column) -> Column:
@@ -48,16 +63,26 @@ def explode_schedule_rows(schedules: DataFrame) -> DataFrame:
 
 
 def skip_rows(rows: DataFrame) -> DataFrame:
-    """Adds skip: why a row gives no item (empty_row, circuit_no_load), else null. ``rows``: type, row, filled."""
-    no_load = (F.col("type") == "panel") & (F.coalesce(F.try_element_at("row", F.lit("load")), F.lit("")) == "")
+    """Adds skip: why a row gives no item (empty_row, circuit_no_load), else null. ``rows``: type, row, filled.
+
+    A circuit has no load where its description, load and remarks are blank or say so.
+    """
+    said = F.map_filter("row", lambda k, v: F.lower(k).isin("description", "load", "remarks") & v.isNotNull())
+    text = F.trim(F.array_join(F.map_values(said), " "))
+    no_load = F.col("type").isin(*CIRCUITS) & ((text == "") | text.rlike(f"(?i){NO_LOAD}"))
     return rows.withColumn("skip", F.when(F.col("filled") == 0, "empty_row").when(no_load, "circuit_no_load"))
 
 
 def unit_override(rows: DataFrame) -> DataFrame:
-    """Unit of a row (id, type, text): the first matching rule of its type, else EA."""
-    rules = rows.sparkSession.createDataFrame(UNIT_RULES, "rule_type string, rule_ord int, pattern string, rule_unit string")
-    joined = rows.join(F.broadcast(rules), (F.col("rule_type") == F.coalesce("type", F.lit("finish"))) & F.expr("text rlike pattern"), "left")
-    return joined.groupBy("id").agg(F.coalesce(F.min_by("rule_unit", "rule_ord"), F.lit("EA")).alias("unit"))
+    """id and unit of rows (id, type, text, answered): by the first rule of the type, else as answered, else EA for pieces, else null."""
+    by_type = {t: [(p, u) for kind, p, u in UNIT_RULES if kind == t] for t, _, _ in UNIT_RULES}
+    unit = F.lit(None).cast("string")
+    for t, rules in by_type.items():
+        own = F.lit(None).cast("string")
+        for pattern, value in reversed(rules):
+            own = F.when(F.col("text").rlike(f"(?i){pattern}"), value).otherwise(own)
+        unit = F.when(F.coalesce("type", F.lit("finish")) == t, own).otherwise(unit)
+    return rows.select("id", F.coalesce(unit, "answered", F.when(F.col("type").isin(*PIECES), "EA")).alias("unit"))
 
 
 def row_overlap(description: Column, text: Column) -> Column:

@@ -18,7 +18,8 @@ def fuse_ocr(candidates: DataFrame, flag_at: float = 0.20) -> DataFrame:
     """Per page the longest non-blank text (else the longest); disagreement with the other provider.
 
     ``candidates``: page_id, provider, text. Ties take the first provider in order. The disagreement is the
-    edit distance over the longer length, rounded to four places; null with one provider only.
+    edit distance over the longer length, rounded to four places; null with one provider only. Beginnings and
+    ends in common cost no more than their length; what lies between is aligned whole.
     """
     size = F.length(F.coalesce("text", F.lit("")))
     blank = (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).cast("int")
@@ -30,10 +31,26 @@ def fuse_ocr(candidates: DataFrame, flag_at: float = 0.20) -> DataFrame:
         F.max(F.when(F.col("rank") == 2, F.coalesce("text", F.lit("")))).alias("other"),
     )
     longer = F.greatest(F.length("text"), F.length("other"))
-    gap = F.when(F.col("other").isNotNull(), F.when(longer == 0, F.lit(0.0)).otherwise(F.round(F.levenshtein("text", "other") / longer, 4)))
+    gap = F.when(F.col("other").isNotNull(), F.when(longer == 0, F.lit(0.0)).otherwise(F.round(edit_distance(F.col("text"), F.col("other")) / longer, 4)))
     return pair.select("page_id", "provider", "text", gap.alias("disagreement"), F.coalesce(gap >= flag_at, F.lit(False)).alias("flagged"))
 
 
+def _common_prefix(a: Column, b: Column, steps: int = 28) -> Column:
+    """Length of the common prefix of two texts, found bit by bit."""
+    powers = F.array(*[F.lit(1 << k) for k in range(steps, -1, -1)])
+    found = F.aggregate(powers, F.lit(0), lambda at, n: at + F.when(F.substring(a, at + 1, n) == F.substring(b, at + 1, n), n).otherwise(0))
+    return F.least(found, F.length(a), F.length(b))
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance; beginning and end in common are taken off first, which changes nothing."""
+    front = _common_prefix(a, b)
+    rest = F.struct(F.substring(a, front + 1, F.length(a)).alias("a"), F.substring(b, front + 1, F.length(b)).alias("b"))
+    inner = F.transform(F.array(rest), lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), _common_prefix(F.reverse(r["a"]), F.reverse(r["b"])).alias("n")))
+    cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
+    return F.transform(inner, lambda r: F.levenshtein(cut(r["a"], r["n"]), cut(r["b"], r["n"])))[0]
+
+
 def window_text(pages: DataFrame, size: int = 6000, overlap: int = 400) -> DataFrame:
     """Trimmed page text as one chunk of at most ``size`` characters, or as overlapping windows.
 
@@ -131,11 +148,12 @@ def truncate_to_width(df: DataFrame, caps: dict[str, int]) -> DataFrame:
 
 
 def item_chunk_stats(tagged: DataFrame, cap: int = 50) -> DataFrame:
-    """Per section the chunks kept (the first ``cap`` in page order) and dropped."""
-    order = W.partitionBy("csi_section").orderBy("document_id", "page_number")
-    ranked = tagged.where(F.col("csi_section").isNotNull()).withColumn("rank", F.row_number().over(order))
-    kept = (F.col("rank") <= cap).cast("long")
-    return ranked.groupBy("csi_section").agg(F.sum(kept).alias("kept"), F.sum(1 - kept).alias("dropped"))
+    """Per project and section the chunks kept (the first ``cap`` in page order) and dropped.
+
+    Which they are does not matter here, so they are counted and no section is ranked.
+    """
+    n = tagged.where(F.col("csi_section").isNotNull()).groupBy("project_id", "csi_section").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("project_id", "csi_section", F.least("n", F.lit(cap)).alias("kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("dropped"))
 
 
 def split_sentences(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -38,10 +38,11 @@ def coverage_counts(spark, sf):
     return B.coverage_counts(view(spark, sf, "f_coverage"))
 
 
-@register("uncovered_items", with_views("f_items", "f_coverage") + " SELECT item_id FROM f_items WHERE item_id NOT IN (SELECT item_id FROM f_coverage WHERE status IN ('covered', 'partial') AND bid_id % 60 = 0)")
+@register("uncovered_items", with_views("f_items", "f_bids", "f_coverage") + ", c AS (SELECT item_id, status FROM f_coverage c JOIN f_bids b USING (bid_id) JOIN f_items i USING (item_id) WHERE b.doc_type IN ('bid-quote', 'scope-letter') AND processing_status = 'ready' AND b.division = i.division) SELECT item_id FROM f_items WHERE item_id NOT IN (SELECT item_id FROM c WHERE status IN ('covered', 'partial'))")
 def uncovered_items(spark, sf):
-    items, coverage = _v(spark, sf, "f_items", "f_coverage")
-    return B.uncovered_items(items, coverage.where("bid_id % 60 = 0")).select("item_id")
+    items, bids, coverage = _v(spark, sf, "f_items", "f_bids", "f_coverage")
+    scored = coverage.join(B.priced_bids(bids).select("bid_id", "division"), "bid_id").join(items.select("item_id", "division"), ["item_id", "division"])
+    return B.uncovered_items(items, scored).select("item_id")
 
 
 @register("bid_detail", with_views("f_bids", "f_bid_lines") + ", n AS (SELECT bid_id, string_agg(line_id, ',' ORDER BY page, line_id) AS lines, count(*) AS k FROM f_bid_lines GROUP BY bid_id) SELECT bid_id, vendor_name, coalesce(lines, '') AS lines, coalesce(k, 0) AS n_lines FROM f_bids LEFT JOIN n USING (bid_id)")
@@ -83,12 +84,26 @@ def vendor_profile(spark, sf):
 _RANK = "CASE status WHEN 'covered' THEN 0 WHEN 'partial' THEN 1 WHEN 'excluded' THEN 2 ELSE 3 END"
 
 
-@register("bid_leveling", with_views("f_items", "f_bids", "f_coverage") + f""", s AS (SELECT item_id, vendor, status, confidence, row_number() OVER (PARTITION BY item_id, vendor ORDER BY {_RANK}, confidence DESC) AS n FROM f_coverage JOIN f_bids USING (bid_id) WHERE bid_id % 20 = 0),
-g AS (SELECT DISTINCT item_id, vendor FROM f_items JOIN (SELECT DISTINCT vendor, division FROM f_bids WHERE division IS NOT NULL AND bid_id % 20 = 0) b USING (division) WHERE item_id IN (SELECT item_id FROM s))
-SELECT item_id, vendor, coalesce(status, 'not_applicable') AS status, confidence FROM g LEFT JOIN s USING (item_id, vendor) WHERE coalesce(n, 1) = 1""")
+_LEVELED = f""", latest AS (SELECT project_id, bid_run_id, scope_run_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, bid_run_id DESC) AS n FROM f_bid_runs) WHERE n = 1),
+active AS MATERIALIZED (SELECT s.bid_id, s.bid_run_id, l.project_id, b.vendor FROM f_bid_summaries s JOIN latest l USING (bid_run_id) JOIN f_bids b USING (bid_id)), vendors AS MATERIALIZED (SELECT DISTINCT project_id, vendor FROM active),
+cells AS MATERIALIZED (SELECT * FROM (SELECT a.project_id, item_id, vendor, status, confidence, line_id, row_number() OVER (PARTITION BY a.project_id, item_id, vendor ORDER BY {_RANK}, confidence DESC, line_id NULLS FIRST) AS n FROM f_coverage JOIN active a USING (bid_id)) WHERE n = 1),
+scored AS MATERIALIZED (SELECT DISTINCT project_id, item_id FROM cells), rows AS MATERIALIZED (SELECT l.project_id, l.bid_run_id, i.item_id, i.code FROM f_items i JOIN latest l ON l.scope_run_id = i.run_id JOIN scored s ON s.project_id = l.project_id AND s.item_id = i.item_id),
+lines AS MATERIALIZED (SELECT line_id, description, total_price FROM f_bid_lines),
+leveled AS (SELECT r.project_id, r.bid_run_id, r.item_id, r.code, v.vendor, coalesce(c.status, 'not_applicable') AS status, coalesce(c.confidence, 0.0) AS confidence, description AS line_text, total_price AS line_total
+FROM rows r JOIN vendors v ON v.project_id = r.project_id LEFT JOIN cells c ON c.project_id = r.project_id AND c.item_id = r.item_id AND c.vendor = v.vendor LEFT JOIN lines USING (line_id))"""
+_LEVELING = ("f_items", "f_bids", "f_coverage", "f_bid_lines", "f_bid_runs", "f_bid_summaries")
+
+
+@register("bid_leveling", with_views(*_LEVELING) + _LEVELED + " SELECT * FROM leveled")
 def bid_leveling(spark, sf):
-    items, coverage, bids = _v(spark, sf, "f_items", "f_coverage", "f_bids")
-    return B.bid_leveling(items, coverage, bids.where("bid_id % 20 = 0"))
+    items, bids, coverage, lines, runs, summaries = _v(spark, sf, *_LEVELING)
+    return B.bid_leveling(runs, summaries, bids, coverage, lines, items)
+
+
+@register("bid_leveling_wide", with_views(*_LEVELING) + _LEVELED + " SELECT project_id, bid_run_id, item_id, code, string_agg(vendor || '=' || status || coalesce(':' || line_text, ''), ', ' ORDER BY vendor) AS cells FROM leveled GROUP BY ALL")
+def bid_leveling_wide(spark, sf):
+    cell = lambda x: F.concat(x["vendor"], F.lit("="), x["status"], F.coalesce(F.concat(F.lit(":"), x["line_text"]), F.lit("")))
+    return B.bid_leveling_wide(bid_leveling(spark, sf)).select("project_id", "bid_run_id", "item_id", "code", F.array_join(F.transform("cells", cell), ", ").alias("cells"))
 
 
 @register("latest_run", with_views("f_runs") + " SELECT project_id, max_by(run_id, struct_pack(a := started_at, b := run_id)) AS run_id FROM f_runs WHERE status = 'complete' GROUP BY project_id")

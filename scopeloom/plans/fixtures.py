@@ -24,11 +24,8 @@ VIEWS = {
                     WHEN doc_id % 3 = 0 THEN 'SECTION ' || lpad(CAST(doc_id % 34 AS STRING), 2, '0') || ' ' || lpad(CAST(doc_id % 90 AS STRING), 2, '0') || ' 00 - PART ' || CAST(doc_id % 7 AS STRING) || chr(10) || text
                     ELSE text END AS text FROM documents""",
     "f_ocr": """
-        SELECT doc_id AS page_id, 'a' AS provider, substring(text, 1, 300) AS text FROM documents
-        UNION ALL SELECT doc_id, 'b', substring(text, 1, CAST(floor(least(n_chars, 300) * (60 + doc_id % 40) / 100.0) AS INT)) FROM documents""",
-    "f_chunks": """
-        SELECT doc_id AS chunk_id, doc_id % 4 AS project_id, CAST(floor(doc_id / 20) AS BIGINT) AS document_id, doc_id % 20 + 1 AS page_number,
-               CASE doc_id % 3 WHEN 0 THEN 'spec_section' WHEN 1 THEN 'note' ELSE 'page_summary' END AS chunk_type, substring(text, 1, 2000) AS text FROM documents""",
+        SELECT doc_id AS page_id, 'a' AS provider, text FROM documents
+        UNION ALL SELECT doc_id, 'b', substring(text, 1, CAST(floor(n_chars * (60 + doc_id % 40) / 100.0) AS INT)) FROM documents""",
     "f_queries": """
         SELECT item_id AS query_id, item_id % 4 AS project_id, text,
                CASE item_id % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'ambiguous' ELSE 'no_match' END AS difficulty FROM benchmark""",
@@ -59,7 +56,7 @@ VIEWS = {
         SELECT doc_id AS candidate_id, k, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE (quality + k) % 2 = 1 END AS accept, CASE WHEN doc_id % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) + CAST(k AS DOUBLE) / 10 END AS confidence
         FROM labels CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) v""",
     "f_relevance": """
-        SELECT n_nationkey % 4 AS project_id, lpad(CAST(n_nationkey AS STRING), 2, '0') AS division, n_regionkey < 3 AS is_relevant,
+        SELECT (n_nationkey + n_regionkey) % 4 AS project_id, lpad(CAST(n_nationkey AS STRING), 2, '0') AS division, n_regionkey < 3 AS is_relevant,
                n_nationkey % 6 = 0 AS overridden, CASE WHEN n_nationkey % 6 = 0 THEN n_nationkey % 12 = 0 END AS override_value, n_nationkey % 3 = 0 AS has_evidence FROM nation""",
     "f_runs": """
         SELECT o_orderkey AS run_id, o_custkey % 50 AS project_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'failed' END AS status FROM orders""",
@@ -76,9 +73,9 @@ VIEWS = {
         JOIN part ON p_partkey = l.l_partkey WHERE n = 1""",
     "f_coverage": """
         SELECT l_partkey AS item_id, l_orderkey AS bid_id, l_partkey % 4 AS run_id, CASE min(l_linenumber) % 4 WHEN 0 THEN 'covered' WHEN 1 THEN 'partial' WHEN 2 THEN 'excluded' ELSE 'not_covered' END AS status,
-               max(l_discount) * 10 AS confidence FROM lineitem GROUP BY l_partkey, l_orderkey""",
+               max(l_discount) * 10 AS confidence, CASE WHEN min(l_linenumber) % 4 < 3 THEN min(CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)) END AS line_id FROM lineitem GROUP BY l_partkey, l_orderkey""",
     "f_revisions": """
-        SELECT l_partkey % 4 AS project_id, 'A' || CAST(l_partkey % 50 AS STRING) AS sheet_id, l_suppkey % 5 AS document_id, CAST(l_linenumber AS STRING) AS rev_number FROM lineitem WHERE l_orderkey % 40 = 0""",
+        SELECT l_partkey % 4 AS project_id, 'A' || CAST(l_partkey % 50 AS STRING) AS sheet_id, l_suppkey % 5 AS document_id, CASE WHEN l_partkey % 50 < 20 AND l_suppkey % 5 = 3 THEN '8' ELSE CAST(l_linenumber AS STRING) END AS rev_number FROM lineitem""",
     "f_gaps": """
         SELECT l_orderkey AS gap_id, l_orderkey % 4 AS run_id, CASE l_orderkey % 3 WHEN 0 THEN 'missing_section' WHEN 1 THEN 'unresolved_cross_reference' ELSE 'qty_implausible' END AS gap_type,
                CASE l_orderkey % 5 WHEN 0 THEN 'blocker' ELSE 'warn' END AS severity, CASE l_orderkey % 7 WHEN 0 THEN 'resolved' WHEN 1 THEN 'acknowledged' ELSE 'open' END AS status,
@@ -86,7 +83,7 @@ VIEWS = {
         FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 4 = 0 THEN 'install before backfill' ELSE 'confirm scope' END AS l_comment_free FROM lineitem) g GROUP BY l_orderkey""",
     "f_conflicts": """
         SELECT p_partkey % 200 AS conflict_id, p_partkey AS item_id, p_partkey % 4 AS run_id, CAST(p_partkey % 100 AS DOUBLE) / 100 AS confidence, CASE WHEN p_partkey % 200 % 3 = 0 THEN 'resolved' ELSE 'open' END AS status,
-               CAST(p_size AS DOUBLE) AS value, CASE WHEN p_partkey % 400 < 200 THEN 'SF' ELSE 'EA' END AS unit FROM part""",
+               CAST(p_size AS DOUBLE) AS value, CASE WHEN p_partkey % 200 % 4 = 0 AND p_partkey % 400 < 200 THEN 'SF' ELSE 'EA' END AS unit FROM part""",
     "f_llm_calls": """
         SELECT event_id AS call_id, user_id % 8 AS project_id, event_type AS purpose, CASE user_id % 5 WHEN 0 THEN 'claude-sonnet-4-5-20250929' WHEN 1 THEN 'claude-haiku-4-5-20251001' WHEN 2 THEN 'claude-opus-4-5-20251101' WHEN 3 THEN 'voyage-3-large' ELSE 'other-model' END AS model,
                CAST(floor(value * 100) AS BIGINT) AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS output_tokens, CASE WHEN event_id % 3 = 0 THEN CAST(floor(value * 5) AS BIGINT) ELSE 0 END AS cache_read, 0 AS cache_write,
@@ -101,6 +98,32 @@ VIEWS = {
 }
 
 
+#: Chunks are the windows of the pages' whole texts; the first window of a page keeps the page's number as its id.
+_CHUNK = """document_id * 20 + page_number - 1 + CAST(chunk_index AS BIGINT) * 1000000000 AS chunk_id, (document_id * 20 + page_number - 1) % 4 AS project_id, document_id, page_number,
+               CASE (document_id * 20 + page_number - 1) % 3 WHEN 0 THEN 'spec_section' WHEN 1 THEN 'note' ELSE 'page_summary' END AS chunk_type"""
+VIEWS["f_chunks"] = f"""
+        SELECT {_CHUNK}, substring(text, CAST(chunk_index * 5600 + 1 AS BIGINT), 6000) AS text FROM (
+            SELECT *, unnest(range(CASE WHEN length(text) <= 6000 THEN 1 ELSE CAST(ceil((length(text) - 6000) / 5600.0) AS BIGINT) + 1 END)) AS chunk_index FROM (
+                SELECT document_id, page_number, trim(text) AS text FROM ({VIEWS["f_pages"]}) p WHERE length(trim(text)) > 0) t) w"""
+#: Bids of a project are extracted in two runs, the later of which is its latest.
+VIEWS["f_bid_runs"] = """
+        SELECT project_id * 10 + k AS bid_run_id, project_id, k AS started_at, project_id % 4 AS scope_run_id FROM (SELECT DISTINCT o_custkey % 50 AS project_id FROM orders) p CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) v"""
+VIEWS["f_bid_summaries"] = """
+        SELECT o_orderkey AS bid_id, o_custkey % 50 * 10 + CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS bid_run_id,
+               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE lpad(CAST(o_orderkey % 34 AS STRING), 2, '0') END AS division FROM orders"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scopeloom.operators.text import window_text
+
+    windows = window_text(view(spark, sf_dir, "f_pages"))
+    return windows.selectExpr(*[c.strip() for c in re.split(r",(?![^(]*\))", _CHUNK)], "chunk AS text")
+
+
+#: Views that Spark builds with the library's own operators; their SQL is the oracle's.
+BUILT = {"f_chunks": _chunks}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,6 +136,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table or view as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
+    if name in BUILT:
+        return BUILT[name](spark, sf_dir)
     sql = VIEWS[name]
     inputs = {n: view(spark, sf_dir, n) for n in _needs(re.sub(r"(?i)\bAS \w+", "", sql)) if re.search(rf"(?i)\b(FROM|JOIN) {n}\b", sql)}
     for n in inputs:

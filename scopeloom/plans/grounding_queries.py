@@ -124,10 +124,43 @@ def admit_candidates(spark, sf):
     return G.admit_candidates(view(spark, sf, "f_items"), _judged(spark, sf))
 
 
-@register("keep_known_citations", _CITED + " SELECT item_id, count(*) AS cited, count(*) FILTER (reason = '' AND overlap >= 0.18) AS kept FROM j GROUP BY item_id HAVING count(*) FILTER (reason = '' AND overlap >= 0.18) > 0")
+_KNOWN = with_views("f_items", "f_chunks") + f""", c AS (SELECT i.item_id, i.description, c.chunk_id, coalesce(i.item_id % 34 = c.chunk_id % 34, false) AS known, CASE WHEN c.chunk_id % 9 < 5 THEN 'PROVIDE ' || left(i.description, 40 - CAST(c.chunk_id % 9 * 8 AS INT)) ELSE c.text END AS text, c.chunk_id % 3 = 1 AS drawing
+  FROM f_items i LEFT JOIN f_chunks c ON c.chunk_id IN (i.item_id % 34 + 34 * (i.item_id % 5), i.item_id % 35)), k AS (SELECT * FROM c WHERE chunk_id IS NOT NULL), t AS (SELECT *, {_tokens_sql('description')} AS d, {_tokens_sql('text')} AS x FROM k),
+g AS (SELECT item_id, known, coalesce(trim(text) <> '', false) AND NOT {{header}} AND CASE WHEN len(d) = 0 THEN 1.0 ELSE round(len(list_intersect(d, x)) / len(d), 6) END >= CASE WHEN drawing THEN 0.05 ELSE 0.18 END AS good FROM t)"""
+
+
+@register("keep_known_citations", _KNOWN.replace("{header}", "false") + " SELECT item_id, count(*) AS cited, count(*) FILTER (NOT known) AS bad_id, count(*) FILTER (known AND NOT good) AS low_overlap, count(*) FILTER (known AND good) AS kept FROM g GROUP BY item_id HAVING count(*) FILTER (known AND good) > 0")
 def keep_known_citations(spark, sf):
-    kept = F.count_if((F.col("reason") == "") & (F.col("overlap") >= 0.18))
-    return _judged(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("cited"), kept.alias("kept")).where("kept > 0")
+    items, chunks = view(spark, sf, "f_items"), view(spark, sf, "f_chunks")
+    asked = items.select("item_id", "description", (F.col("item_id") % 34).alias("section"), F.explode(F.array_distinct(F.array(F.col("item_id") % 34 + 34 * (F.col("item_id") % 5), F.col("item_id") % 35))).alias("chunk_id"))
+    claims = asked.join(chunks.select("chunk_id", F.col("text").alias("body")), "chunk_id")
+    text = F.expr("CASE WHEN chunk_id % 9 < 5 THEN 'PROVIDE ' || left(description, 40 - CAST(chunk_id % 9 * 8 AS INT)) ELSE body END")
+    kind = F.expr("CASE WHEN chunk_id % 3 = 1 THEN 'drawing' ELSE 'spec' END")
+    pool = claims.where("section = chunk_id % 34").select(F.concat("section", F.lit("/"), "item_id").alias("section"), "chunk_id", text.alias("text"), kind.alias("evidence_type"))
+    return G.keep_known_citations(claims.withColumn("section", F.concat("section", F.lit("/"), "item_id")), pool)
+
+
+_ADMITTED = with_views("f_items", "f_taxonomy", "f_citations", "f_chunks", "f_documents")
+
+
+def _materialized(spark, sf):
+    items, cits, chunks, docs = (view(spark, sf, n) for n in ("f_items", "f_citations", "f_chunks", "f_documents"))
+    admitted = items.where("confidence >= 0.3").select("item_id", "code", "proposed", "description", "confidence", F.lit(None).cast("string").alias("ground_method"), F.col("extraction_method").alias("query"))
+    named = chunks.select("chunk_id", "document_id", "page_number", "text").join(docs.select("document_id", "doc_type"), "document_id", "left")
+    taxonomy = view(spark, sf, "f_taxonomy").withColumn("division_title", F.when(F.col("division") < "20", F.concat("division", F.lit(" - known"))))
+    return G.materialize_items(admitted, cits.select("item_id", "chunk_id", "rerank").join(named, "chunk_id"), taxonomy)
+
+
+@register("materialize_items", _ADMITTED + """ SELECT item_id, code, division, CASE WHEN division < '20' AND division IN (SELECT division FROM f_taxonomy) THEN division || ' - known' ELSE division || ' - (untitled)' END AS division_label, title AS section_title, description, confidence,
+'{"found_by_query":"' || extraction_method || '","csi_code_proposed":"' || proposed || '","ground_method":"exact"}' AS provenance FROM f_items LEFT JOIN (SELECT code, min(title) AS title FROM f_taxonomy GROUP BY code) USING (code) WHERE confidence >= 0.3""")
+def materialize_items(spark, sf):
+    return _materialized(spark, sf)[0]
+
+
+@register("materialize_citations", _ADMITTED + """ SELECT item_id, chunk_id, k.document_id, k.page_number, CASE doc_type WHEN 'drawing-set' THEN 'drawing' WHEN 'written-spec' THEN 'spec' WHEN 'bid-quote' THEN 'bid' WHEN 'scope-letter' THEN 'bid' ELSE 'other' END AS evidence_type, doc_type, rerank, md5(substring(k.text, 1, 240)) AS excerpt
+FROM f_citations c JOIN f_items i USING (item_id) JOIN f_chunks k USING (chunk_id) LEFT JOIN f_documents d ON d.document_id = k.document_id WHERE confidence >= 0.3""")
+def materialize_citations(spark, sf):
+    return _materialized(spark, sf)[1].withColumn("excerpt", F.md5(F.col("excerpt").cast("binary")))
 
 
 @register("audit_citations", _CITED + " SELECT evidence_type, reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM j GROUP BY ALL")

@@ -153,14 +153,39 @@ def _rows(spark, sf):
     return S.explode_schedule_rows(_schedules(spark, sf)).join(types, "ord")
 
 
-@register("skip_rows", _ROWS + " SELECT ord, row_index, CASE WHEN filled = 0 THEN 'empty_row' END AS skip FROM r")
+#: Rows of door, finish, room, panel and equipment schedules, with words that the unit and skip rules look for.
+_TYPES = ("door", "finish", "room", "panel", "equipment")
+_WORDS = ("LVT1 resilient", "TR2 Schluter edge", "Paint finish frame", "paint wall", "B3 wall base", "SPARE", "no  load", "refrigerant line", "exit sign", "act ceiling", "wood slats", "")
+_RULE_ROWS = f"""SELECT p_partkey AS id, [{", ".join(repr(t) for t in _TYPES)}, NULL][p_partkey % 6 + 1] AS type, [{", ".join(repr(w) for w in _WORDS)}][p_partkey % {len(_WORDS)} + 1] AS description, CASE WHEN p_partkey % 7 = 0 THEN 'RESERVED' WHEN p_partkey % 7 < 4 THEN p_name END AS load, CASE WHEN p_partkey % 4 = 0 THEN 'SF' WHEN p_partkey % 4 = 1 THEN 'CY' END AS answered FROM part"""
+
+
+def _rule_rows(spark, sf):
+    part = view(spark, sf, "part")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.col("p_partkey") % n)
+    rows = part.select(F.col("p_partkey").alias("id"), pick([*_TYPES, None], 6).alias("type"), pick(_WORDS, len(_WORDS)).alias("description"), F.expr("CASE WHEN p_partkey % 7 = 0 THEN 'RESERVED' WHEN p_partkey % 7 < 4 THEN p_name END").alias("load"), F.expr("CASE WHEN p_partkey % 4 = 0 THEN 'SF' WHEN p_partkey % 4 = 1 THEN 'CY' END").alias("answered"))
+    row = F.create_map(F.lit("Description"), "description", F.lit("LOAD"), "load")
+    return rows.select("id", "type", "answered", row.alias("row"), F.concat_ws(" ", "description", "load").alias("text"), (F.length("description") + F.length(F.coalesce("load", F.lit("")))).alias("filled"))
+
+
+@register("skip_rows", f"WITH r AS ({_RULE_ROWS}), t AS (SELECT *, trim(description || ' ' || coalesce(load, '')) AS said FROM r) SELECT id, CASE WHEN length(description) + length(coalesce(load, '')) = 0 THEN 'empty_row' WHEN type IN ('panel', 'equipment') AND (said = '' OR regexp_matches(said, '(?i){S.NO_LOAD}')) THEN 'circuit_no_load' END AS skip FROM t")
 def skip_rows(spark, sf):
-    return S.skip_rows(_rows(spark, sf)).select("ord", "row_index", "skip")
+    return S.skip_rows(_rule_rows(spark, sf)).select("id", "skip")
+
+
+# DuckDB's patterns can't look ahead: the phrases that rule bare paint out are taken away first
+_BARE_PAINT = r"(regexp_matches(text, '(?i)\bP\d+\b|\b(?:SHERWIN|BENJAMIN MOORE)\b') OR regexp_matches(regexp_replace(text, '(?i)\bPAINT\b\s+(?:FINISH|FRAME|GRADE|TYPE|COAT|JOB)', '', 'g'), '(?i)\bPAINT\b'))"
+
 
+def _unit_sql() -> str:
+    test = lambda p: _BARE_PAINT if "(?!" in p else f"regexp_matches(text, '(?i){p}')"
+    case = lambda kind: "CASE " + " ".join(f"WHEN {test(p)} THEN '{u}'" for t, p, u in S.UNIT_RULES if t == kind) + " END"
+    default = "CASE WHEN type IN ('door', 'panel', 'equipment') THEN 'EA' END"
+    return f"coalesce(CASE WHEN coalesce(type, 'finish') = 'finish' THEN {case('finish')} WHEN type = 'equipment' THEN {case('equipment')} END, answered, {default})"
 
-@register("unit_override", _ROWS + r""" SELECT ord AS id, CASE WHEN coalesce(type, 'finish') = 'finish' THEN CASE WHEN regexp_matches(text, '(?i)\b(base|trim|edge)\b') THEN 'LF' WHEN regexp_matches(text, '(?i)\b(paint|tile|carpet|widget|sheet)\b') THEN 'SF' ELSE 'EA' END WHEN type = 'panel' AND regexp_matches(text, '(?i)\b(feeder|conduit|bolt)\b') THEN 'LF' ELSE 'EA' END AS unit FROM r WHERE row_index = 0""")
+
+@register("unit_override", f"WITH r AS ({_RULE_ROWS}), t AS (SELECT *, description || coalesce(' ' || load, '') AS text FROM r) SELECT id, {_unit_sql()} AS unit FROM t")
 def unit_override(spark, sf):
-    return S.unit_override(_rows(spark, sf).where("row_index = 0").select(F.col("ord").alias("id"), "type", "text"))
+    return S.unit_override(_rule_rows(spark, sf))
 
 
 @register("row_overlap_guard", _ROWS + """, w AS (SELECT ord, list_distinct(regexp_extract_all(upper(p_name || ' EXTRA'), '[A-Z0-9]{2,}')) AS d, list_distinct(regexp_extract_all(upper(text), '[A-Z0-9]{2,}')) AS t FROM r WHERE row_index = 0) SELECT ord, round(len(list_intersect(d, t)) / len(d), 6) AS overlap FROM w""")
@@ -196,21 +221,21 @@ def corpus_evidence(spark, sf):
 _ITEM_DISCIPLINE = "CASE item_id % 3 WHEN 0 THEN 'architectural' WHEN 1 THEN 'electrical' ELSE 'general' END"
 
 
-@register("items_for_sheets", with_views("f_items", "f_sheets") + f", m AS (SELECT project_id, sheet_id, min(page) AS page, any_value({_DISCIPLINE}) AS discipline FROM f_sheets GROUP BY ALL) SELECT item_id, sheet_id, page FROM (SELECT *, {_ITEM_DISCIPLINE} AS discipline FROM f_items WHERE item_id % 20 = 0) i JOIN m USING (project_id, discipline)")
+@register("items_for_sheets", with_views("f_items", "f_sheets") + f", m AS (SELECT project_id, sheet_id, min(page) AS page, any_value({_DISCIPLINE}) AS discipline FROM f_sheets GROUP BY ALL) SELECT item_id, sheet_id, page FROM (SELECT *, {_ITEM_DISCIPLINE} AS discipline FROM f_items) i JOIN m USING (project_id, discipline)")
 def items_for_sheets(spark, sf):
-    items = view(spark, sf, "f_items").where("item_id % 20 = 0").withColumn("discipline", F.expr(_ITEM_DISCIPLINE))
+    items = view(spark, sf, "f_items").withColumn("discipline", F.expr(_ITEM_DISCIPLINE))
     return E.items_for_sheets(items, view(spark, sf, "f_sheets"))
 
 
-_SYMBOLS = "SELECT p_brand AS glyph, p_type AS code, CASE WHEN p_size % 2 = 0 THEN 'electrical' ELSE 'plumbing' END AS discipline FROM part WHERE p_partkey <= 40"
+_SYMBOLS = "SELECT p_brand || '-' || CAST(p_size AS STRING) AS glyph, p_type AS code, CASE WHEN p_partkey % 3 = 0 THEN 'electrical' ELSE 'plumbing' END AS discipline FROM part"
 
 
-@register("symbol_lookup", f"""WITH s AS ({_SYMBOLS}), m AS (SELECT p_partkey AS id, s.code, s.discipline = CASE WHEN p_partkey % 2 = 0 THEN 'electrical' ELSE 'plumbing' END AS same FROM part LEFT JOIN s ON upper(p_brand) = upper(s.glyph)),
+@register("symbol_lookup", f"""WITH s AS ({_SYMBOLS}), m AS (SELECT p_partkey AS id, s.code, s.discipline = CASE WHEN p_partkey % 2 = 0 THEN 'electrical' ELSE 'plumbing' END AS same FROM part LEFT JOIN s ON upper(p_brand || '-' || p_size) = upper(s.glyph)),
 g AS (SELECT id, list_distinct(list(code) FILTER (same)) AS near, list_distinct(list(code)) AS every FROM m GROUP BY id) SELECT id, CASE WHEN len(coalesce(near, [])) > 0 THEN CASE WHEN len(near) = 1 THEN near[1] END WHEN len(every) = 1 THEN every[1] END AS code FROM g""")
 def symbol_lookup(spark, sf):
     part = view(spark, sf, "part")
     symbols = spark.sql(_SYMBOLS.replace("FROM part", "FROM {part}"), part=part)
-    glyphs = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit(" "), F.lower("p_brand")).alias("glyph"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'electrical' ELSE 'plumbing' END").alias("discipline"))
+    glyphs = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit(" "), F.lower("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("glyph"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'electrical' ELSE 'plumbing' END").alias("discipline"))
     return E.symbol_lookup(glyphs, symbols)
 
 
@@ -230,10 +255,17 @@ def legend_candidates(spark, sf):
 @register("cosine_topk_ann")
 def cosine_topk_ann(spark, sf):
     e, q = _vectors(spark, sf)
-    return R.cosine_topk_ann(e, q, 10, least=0.3)
+    return R.cosine_topk_ann(e, q, 10)
+
 
+_DENSE = """, v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ds AS (SELECT query_id, chunk_id, round(list_dot_product(c.x, q.x) / (sqrt(list_dot_product(c.x, c.x)) * sqrt(list_dot_product(q.x, q.x))), 6) AS score FROM f_queries f JOIN v q ON q.vec_id = query_id JOIN f_chunks k USING (project_id) JOIN v c ON c.vec_id = chunk_id),
+dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds QUALIFY rank <= 50),
+u AS (SELECT query_id, chunk_id, rank FROM sparse UNION ALL SELECT * FROM dense), fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL),
+fused AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu QUALIFY rank <= 50),
+rr AS (SELECT query_id, chunk_id, coalesce(quality * 0.6 + 0.2, score) AS s FROM fused LEFT JOIN labels ON doc_id = chunk_id), top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM rr QUALIFY rank <= 10)"""
 
-@register("hybrid_search")
+
+@register("hybrid_search", with_views("f_chunks", "f_queries", "f_documents") + _BM25.replace("rank <= 20", "rank <= 50") + _DENSE + " SELECT query_id, chunk_id, t.rank, c.document_id, page_number, chunk_type, filename, coalesce(s.score, 0.0) AS sparse_score, length(c.text) AS n_chars FROM top t JOIN f_chunks c USING (chunk_id) LEFT JOIN f_documents d ON d.document_id = c.document_id LEFT JOIN sparse s USING (query_id, chunk_id)")
 def hybrid_search(spark, sf):
     q = view(spark, sf, "f_queries")
     vectors = view(spark, sf, "embeddings")
@@ -241,10 +273,14 @@ def hybrid_search(spark, sf):
     asked = q.select("project_id", "query_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     dense = R.cosine_topk(chunks, asked, 50, "project_id")
     relevance = view(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("quality") * 0.6 + 0.2).alias("relevance"))
-    return R.hybrid_search(chunks, view(spark, sf, "f_documents"), q, dense, relevance)
+    hits = R.hybrid_search(chunks, view(spark, sf, "f_documents"), q, dense, relevance)
+    return hits.join(chunks.select("chunk_id", F.length("text").alias("n_chars")), "chunk_id").drop("snippet")
+
 
+_PHRASES = " UNION ALL ".join(f"SELECT n_nationkey % 4 AS project_id, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS division, '{k}' AS kind, '{p} the and ' || n_name AS text FROM nation" for k, p in (("materials", "materials products"), ("quantities", "quantities sizes count"), ("specs", "specification requirements")))
 
-@register("multi_query_retrieve")
+
+@register("multi_query_retrieve", with_views("f_chunks") + f", asked AS ({_PHRASES}), f_queries AS (SELECT project_id, project_id || '~' || division || '~' || kind AS query_id, text FROM asked)" + _BM25 + " SELECT CAST(split_part(query_id, '~', 1) AS BIGINT) AS project_id, split_part(query_id, '~', 2) AS division, chunk_id, string_agg(split_part(query_id, '~', 3), '+' ORDER BY split_part(query_id, '~', 3)) AS found_by, min(rank) AS best_rank FROM sparse GROUP BY ALL")
 def multi_query_retrieve(spark, sf):
     divisions = view(spark, sf, "nation").select((F.col("n_nationkey") % 4).cast("long").alias("project_id"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("division"), F.concat(F.lit("the and "), "n_name").alias("title"))
     return R.multi_query_retrieve(divisions, view(spark, sf, "f_chunks"))
@@ -266,40 +302,67 @@ def discipline_corpus(spark, sf):
     return R.discipline_corpus(chunks, sheets, divisions)
 
 
-def _clusters(spark, sf, least=0.85):
-    rows = view(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    return C.cluster_by_similarity(rows, least, "label")
+def _described(spark, sf):
+    """Items with a vector for their description, that of the embedding whose number their own leaves over; similar ones exist in each run."""
+    vectors = view(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), F.slice("embedding", 1, 4).alias("embedding"))
+    return view(spark, sf, "f_items").withColumn("v", F.col("item_id") % 500).join(vectors, "v").drop("v")
+
+
+def _cluster_sql(group: str, least: float) -> str:
+    """Greedy leaders in order of ids, one row of each group after the other."""
+    return f""", e AS MATERIALIZED (SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, 4) AS x FROM embeddings), r AS MATERIALIZED (SELECT item_id AS id, {group} AS g, x, row_number() OVER (PARTITION BY {group} ORDER BY item_id) AS n FROM f_items JOIN e ON vec_id = item_id % 500),
+near AS MATERIALIZED (SELECT b.g, b.n, b.id, coalesce(list(a.id ORDER BY a.id) FILTER (a.id IS NOT NULL), []) AS near FROM r b LEFT JOIN r a ON a.g = b.g AND a.n < b.n AND list_dot_product(a.x, b.x) >= {least} * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x)) GROUP BY ALL),
+step AS (SELECT g, n, id, id AS leader, [id] AS leaders FROM near WHERE n = 1 UNION ALL
+SELECT b.g, b.n, b.id, coalesce([y FOR y IN s.leaders IF list_contains(b.near, y)][1], b.id), CASE WHEN list_has_any(s.leaders, b.near) THEN s.leaders ELSE list_append(s.leaders, b.id) END FROM step s JOIN near b ON b.g = s.g AND b.n = s.n + 1),
+clusters AS (SELECT id, leader FROM step)"""
 
 
-@register("cluster_by_similarity")
+def _recursive(*names: str) -> str:
+    return with_views(*names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_CODES = "CAST(run_id AS STRING) || division"
+
+
+def _clusters(spark, sf, least, group):
+    rows = _described(spark, sf).select(F.col("item_id").alias("id"), F.expr(group).alias("g"), "embedding")
+    return C.cluster_by_similarity(rows, least, "g")
+
+
+@register("cluster_by_similarity", _recursive("f_items") + _cluster_sql(_CODES, C.WITHIN_CODE) + " SELECT id, leader FROM clusters")
 def cluster_by_similarity(spark, sf):
-    return _clusters(spark, sf)
+    return _clusters(spark, sf, C.WITHIN_CODE, _CODES)
 
 
-@register("dedupe_items")
+@register("dedupe_items", _recursive("f_items") + _cluster_sql(_CODES, C.WITHIN_CODE) + """, m AS (SELECT coalesce(leader, item_id) AS leader, i.* FROM f_items i LEFT JOIN clusters ON id = item_id)
+SELECT leader, max_by(description, length(description) * 10000000 - item_id) AS description, min_by(quantity, item_id) FILTER (quantity IS NOT NULL) AS quantity, min_by(unit, item_id) FILTER (unit IS NOT NULL) AS unit, max(confidence) AS confidence, count(*) AS members FROM m GROUP BY leader""")
 def dedupe_items(spark, sf):
-    return C.dedupe_items(view(spark, sf, "f_items"), _clusters(spark, sf))
+    return C.dedupe_items(view(spark, sf, "f_items"), _clusters(spark, sf, C.WITHIN_CODE, _CODES))
+
 
+_MERGED = ", m AS (SELECT division, item_id, description, CASE WHEN extraction_method = 'schedule_miner' THEN 1 ELSE 0 END AS mined, row_number() OVER (PARTITION BY division, lower(trim(description)) ORDER BY CASE WHEN extraction_method = 'schedule_miner' THEN 1 ELSE 0 END, item_id) AS n FROM f_items WHERE extraction_method = 'schedule_miner' OR (extraction_method IN ('eve', 'section') AND CAST(division AS INT) % 3 <> 0))"
 
-@register("merge_extractors", with_views("f_items") + " SELECT division, count(*) FILTER (extraction_method = 'eve') AS a, count(*) FILTER (extraction_method = 'section') AS b, count(*) FILTER (extraction_method = 'schedule_miner') AS mined, count(*) AS total FROM f_items WHERE extraction_method IN ('eve', 'section', 'schedule_miner') GROUP BY division")
+
+@register("merge_extractors", with_views("f_items") + _MERGED + ", d AS (SELECT division, bool_or(mined = 0) AS emitted FROM m GROUP BY division) SELECT division, item_id, CASE WHEN mined = 0 THEN 'extracted' WHEN emitted THEN 'appended' ELSE 'new_division' END AS origin FROM m JOIN d USING (division) WHERE n = 1")
 def merge_extractors(spark, sf):
     items = view(spark, sf, "f_items")
-    parts = [items.where(F.col("extraction_method") == m).select("division", F.lit(n).alias("part")) for m, n in (("eve", "a"), ("section", "b"), ("schedule_miner", "mined"))]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    counted = union.groupBy("division").pivot("part", ["a", "b", "mined"]).count().fillna(0)
-    return counted.withColumn("total", F.col("a") + F.col("b") + F.col("mined"))
+    extracted = items.where("extraction_method IN ('eve', 'section') AND CAST(division AS INT) % 3 <> 0")
+    return G.merge_extractors(extracted, items.where("extraction_method = 'schedule_miner'")).select("division", "item_id", "origin")
 
 
-@register("conflict_cross_division")
+@register("conflict_cross_division", _recursive("f_items") + _cluster_sql("CAST(run_id AS STRING)", C.ACROSS_CODES) + " SELECT leader, count(*) AS members, count(DISTINCT division) AS divisions FROM clusters JOIN f_items ON item_id = id GROUP BY leader HAVING count(*) >= 2 AND count(DISTINCT division) >= 2")
 def conflict_cross_division(spark, sf):
-    rows = view(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    return C.conflict_cross_division(C.cluster_by_similarity(rows, C.ACROSS_CODES, "label"), view(spark, sf, "f_items"))
+    return C.conflict_cross_division(_clusters(spark, sf, C.ACROSS_CODES, "CAST(run_id AS STRING)"), view(spark, sf, "f_items"))
 
 
-@register("canonicalize_vendors")
+@register("canonicalize_vendors", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, label AS project_id, CASE WHEN vec_id % 5 = 0 THEN 'V' || vec_id % 100 ELSE 'Vendor ' || vec_id END AS name, list_slice(CAST(embedding AS DOUBLE[]), 1, 4) AS x FROM embeddings),
+l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a JOIN e b USING (project_id) WHERE a.id <> b.id AND list_dot_product(a.x, b.x) >= {C.SAME_VENDOR} * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))),
+reach AS (SELECT id AS a, id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b), c AS (SELECT a AS id, min(b) AS label FROM reach GROUP BY a),
+k AS (SELECT c.id, name, label, row_number() OVER (PARTITION BY label ORDER BY CAST(upper(name) = name AND length(replace(name, ' ', '')) <= 4 AS INT), length(name) DESC, name DESC) AS n FROM c JOIN e USING (id)) SELECT k.id, k.name, b.name AS canonical FROM k JOIN k b ON b.label = k.label AND b.n = 1""")
 def canonicalize_vendors(spark, sf):
-    names = view(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project_id"), F.concat(F.lit("Vendor "), F.col("vec_id").cast("string")).alias("name"), "embedding")
-    return C.canonicalize_vendors(names, 0.5)
+    name = F.expr("CASE WHEN vec_id % 5 = 0 THEN 'V' || CAST(vec_id % 100 AS STRING) ELSE 'Vendor ' || CAST(vec_id AS STRING) END")
+    names = view(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project_id"), name.alias("name"), F.slice("embedding", 1, 4).alias("embedding"))
+    return C.canonicalize_vendors(names)
 
 
 _VERDICTS = "WITH v AS (SELECT doc_id // 10 AS fixture_id, doc_id AS rank, quality = 1 AS relevant FROM labels)"
@@ -310,9 +373,22 @@ def context_precision(spark, sf):
     return V.context_precision(view(spark, sf, "labels").select(F.floor(F.col("doc_id") / 10).alias("fixture_id"), F.col("doc_id").alias("rank"), (F.col("quality") == 1).alias("relevant")))
 
 
-@register("context_recall", "SELECT doc_id // 10 AS fixture_id, round(coalesce(avg(CASE WHEN doc_id % 4 <> 0 THEN quality END), 1), 6) AS context_recall FROM labels GROUP BY 1")
+_SUPPORT = "SELECT doc_id // 10 AS fixture_id, CASE WHEN avg(CASE WHEN {0} THEN quality END) IS NULL THEN 1 WHEN doc_id // 10 % 6 = 0 THEN 0 ELSE round(avg(CASE WHEN {0} THEN quality END), 6) END AS {1} FROM labels GROUP BY doc_id // 10"
+
+
+def _support(spark, sf, held):
+    labels = view(spark, sf, "labels").select(F.floor(F.col("doc_id") / 10).alias("fixture_id"), F.expr(f"CASE WHEN {held} THEN quality = 1 END").alias("supported"))
+    return labels, labels.where("fixture_id % 6 <> 0")
+
+
+@register("context_recall", _SUPPORT.format("doc_id % 4 <> 0", "context_recall"))
 def context_recall(spark, sf):
-    return V.supported_share(view(spark, sf, "labels").select(F.floor(F.col("doc_id") / 10).alias("fixture_id"), F.expr("CASE WHEN doc_id % 4 <> 0 THEN quality = 1 END").alias("supported")), "context_recall")
+    return V.context_recall(*_support(spark, sf, "doc_id % 4 <> 0"))
+
+
+@register("faithfulness", _SUPPORT.format("doc_id % 50 > 9", "faithfulness"))
+def faithfulness(spark, sf):
+    return V.faithfulness(*_support(spark, sf, "doc_id % 50 > 9"))
 
 
 @register("answer_relevancy", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), o AS (SELECT label, v AS q FROM e JOIN (SELECT min(vec_id) AS vec_id FROM e GROUP BY label) USING (vec_id)) SELECT label AS fixture_id, round(avg(list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q))), 6) AS answer_relevancy FROM e JOIN o USING (label) GROUP BY label")

@@ -119,27 +119,27 @@ def _gap_inputs(spark, sf):
     return runs, relevant, items
 
 
-_MISSING_D = " SELECT run_id, 'missing_division' AS gap_type, 'blocker' AS severity, division, division AS subject FROM runs JOIN rel USING (project_id) WHERE (run_id, division) NOT IN (SELECT run_id, division FROM f_items WHERE item_id % 200 < 20)"
+_MISSING_D = " SELECT run_id, 'missing_division' AS gap_type, 'blocker' AS severity, division, division AS subject FROM runs JOIN rel USING (project_id) WHERE (run_id, division) NOT IN (SELECT run_id, division FROM f_items)"
 
 
 @register("gap_missing_division", with_views("f_items", "f_relevance") + _REL + _MISSING_D)
 def gap_missing_division(spark, sf):
     runs, relevant, items = _gap_inputs(spark, sf)
-    return G.gap_missing_division(runs, relevant, items.where("item_id % 200 < 20"))
+    return G.gap_missing_division(runs, relevant, items)
 
 
 _MISSING_S = """ SELECT run_id, 'missing_section' AS gap_type, 'warn' AS severity, t.division, t.code AS subject FROM runs JOIN rel USING (project_id) JOIN f_taxonomy t ON t.division = rel.division
-WHERE NOT ends_with(t.code, ' 00 00') AND (run_id, t.division) IN (SELECT run_id, division FROM f_items) AND t.ord % 2 = 0 AND (run_id, t.code) NOT IN (SELECT run_id, code FROM f_items WHERE item_id % 3 = 0)"""
+WHERE NOT ends_with(t.code, ' 00 00') AND (run_id, t.division) IN (SELECT run_id, division FROM f_items) AND (run_id, t.code) NOT IN (SELECT run_id, code FROM f_items)"""
 
 
 def _mentioned(spark, sf):
-    return view(spark, sf, "f_taxonomy").where("ord % 2 = 0").select("code", F.explode(F.array(*[F.lit(p).cast("long") for p in range(4)])).alias("project_id"))
+    return view(spark, sf, "f_taxonomy").select("code", F.explode(F.array(*[F.lit(p).cast("long") for p in range(4)])).alias("project_id"))
 
 
 @register("gap_missing_section", with_views("f_items", "f_relevance", "f_taxonomy") + _REL + _MISSING_S)
 def gap_missing_section(spark, sf):
     runs, relevant, items = _gap_inputs(spark, sf)
-    return G.gap_missing_section(runs, relevant, items, items.where("item_id % 3 = 0"), view(spark, sf, "f_taxonomy"), _mentioned(spark, sf))
+    return G.gap_missing_section(runs, relevant, items, items, view(spark, sf, "f_taxonomy"), _mentioned(spark, sf))
 
 
 _XREF = """ SELECT project_id AS run_id, 'unresolved_cross_reference' AS gap_type, 'warn' AS severity, min_by(lpad(CAST(ord % 34 AS VARCHAR), 2, '0'), ord) AS division, sheet_id AS subject FROM f_sheets
@@ -158,10 +158,10 @@ def gap_table(spark, sf):
     return G.gap_counts(all_gaps, ["missing_division", "missing_section", "unresolved_cross_reference"])
 
 
-@register("conflict_within_code", with_views("f_conflicts") + """, c AS (SELECT conflict_id, count(*) AS n, count(DISTINCT unit) AS u, max(value) FILTER (value > 0) AS h, min(value) FILTER (value > 0) AS l FROM f_conflicts WHERE item_id % 4 < 2 GROUP BY conflict_id),
+@register("conflict_within_code", with_views("f_conflicts") + """, c AS (SELECT conflict_id, count(*) AS n, count(DISTINCT unit) AS u, max(value) FILTER (value > 0) AS h, min(value) FILTER (value > 0) AS l FROM f_conflicts GROUP BY conflict_id),
 k AS (SELECT conflict_id, CASE WHEN u > 1 THEN 'unit_mismatch' WHEN (h - l) / h > 0.05 THEN 'qty_mismatch' END AS kind FROM c WHERE n >= 2) SELECT * FROM k WHERE kind IS NOT NULL""")
 def conflict_within_code(spark, sf):
-    return G.conflict_within_code(view(spark, sf, "f_conflicts").where("item_id % 4 < 2"))
+    return G.conflict_within_code(view(spark, sf, "f_conflicts"))
 
 
 @register("conflict_eligibility", with_views("f_conflicts") + " SELECT conflict_id, bool_and(coalesce(confidence > 0.8, false)) AS eligible FROM f_conflicts GROUP BY conflict_id")

@@ -20,7 +20,7 @@ def pages_needing_text(spark, sf):
 
 @register("fuse_ocr", with_views("f_ocr") + """, o AS (SELECT page_id, provider, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM f_ocr), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CAST(length(trim(coalesce(text, ''))) = 0 AS INT), length(coalesce(text, '')) DESC, provider) AS n FROM o),
 p AS (SELECT page_id, max(CASE WHEN n = 1 THEN provider END) AS provider, max(CASE WHEN n = 1 THEN coalesce(text, '') END) AS text, max(CASE WHEN n = 2 THEN coalesce(text, '') END) AS other FROM r GROUP BY page_id),
-g AS (SELECT *, CASE WHEN other IS NULL THEN NULL WHEN greatest(length(text), length(other)) = 0 THEN 0.0 ELSE round(levenshtein(text, other) / greatest(length(text), length(other)), 4) END AS d FROM p)
+g AS (SELECT *, CASE WHEN other IS NULL THEN NULL WHEN greatest(length(text), length(other)) = 0 THEN 0.0 ELSE round(CASE WHEN starts_with(text, other) THEN length(text) - length(other) ELSE levenshtein(text, other) END / greatest(length(text), length(other)), 4) END AS d FROM p)
 SELECT page_id, provider, text, CAST(d AS DOUBLE) AS disagreement, coalesce(d >= 0.2, false) AS flagged FROM g""")
 def fuse_ocr(spark, sf):
     # the engines measure edits beyond ASCII in characters and in bytes, so such signs are evened out here
@@ -81,9 +81,9 @@ def contextualize(spark, sf):
 
 
 @register("assemble_doc_text", with_views("f_pages") + """, p AS (SELECT document_id, string_agg('[page ' || page_number || ']' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY page_number) AS t FROM f_pages GROUP BY document_id)
-SELECT document_id, md5(CASE WHEN length(t) > 20000 THEN substring(t, 1, 20000) || chr(10) || '[truncated]' ELSE t END) AS digest, length(t) > 20000 AS truncated FROM p""")
+SELECT document_id, md5(CASE WHEN length(t) > 60000 THEN substring(t, 1, 60000) || chr(10) || '[truncated]' ELSE t END) AS digest, length(t) > 60000 AS truncated FROM p""")
 def assemble_doc_text(spark, sf):
-    return T.assemble_doc_text(view(spark, sf, "f_pages"), 20_000).select("document_id", F.md5(F.col("text").cast("binary")).alias("digest"), "truncated")
+    return T.assemble_doc_text(view(spark, sf, "f_pages")).select("document_id", F.md5(F.col("text").cast("binary")).alias("digest"), "truncated")
 
 
 @register("truncate_to_width", with_views("f_items") + " SELECT item_id, CASE WHEN length(description) > 24 THEN substring(description, 1, 23) || '…' ELSE description END AS description FROM f_items")
@@ -91,9 +91,9 @@ def truncate_to_width(spark, sf):
     return T.truncate_to_width(view(spark, sf, "f_items").select("item_id", "description"), {"description": 24})
 
 
-@register("item_chunk_stats", with_views("f_pages") + _TAGGED + ", r AS (SELECT csi_section, row_number() OVER (PARTITION BY csi_section ORDER BY document_id, page_number) AS n FROM tagged WHERE csi_section IS NOT NULL) SELECT csi_section, count(*) FILTER (n <= 3) AS kept, count(*) FILTER (n > 3) AS dropped FROM r GROUP BY csi_section")
+@register("item_chunk_stats", with_views("f_pages") + _TAGGED + ", r AS (SELECT document_id % 4 AS project_id, csi_section, row_number() OVER (PARTITION BY document_id % 4, csi_section ORDER BY document_id, page_number) AS n FROM tagged WHERE csi_section IS NOT NULL) SELECT project_id, csi_section, count(*) FILTER (n <= 50) AS kept, count(*) FILTER (n > 50) AS dropped FROM r GROUP BY ALL")
 def item_chunk_stats(spark, sf):
-    return T.item_chunk_stats(T.section_carry_forward(view(spark, sf, "f_pages")), 3)
+    return T.item_chunk_stats(T.section_carry_forward(view(spark, sf, "f_pages")).withColumn("project_id", F.col("document_id") % 4))
 
 
 @register("tokenize", f"SELECT doc_id, len({TOKENS}) AS n_tokens, md5(array_to_string({TOKENS}, ' ')) AS digest FROM documents")
@@ -125,14 +125,14 @@ def bm25_topk(spark, sf):
     return _sparse(spark, sf)
 
 
-_VEC = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
+_VEC = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
 s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))), 6) AS score FROM e JOIN q USING (label)),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10)"""
 
 
 def _vectors(spark, sf):
     e = view(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("group_key"), "embedding")
-    return e, e.where("chunk_id % 50 = 0").select("group_key", F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return e, e.where("chunk_id % 20 = 0").select("group_key", F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @register("cosine_topk", _VEC + " SELECT query_id, chunk_id, score, rank FROM dense")
@@ -140,13 +140,19 @@ def cosine_topk(spark, sf):
     return R.cosine_topk(*_vectors(spark, sf), 10)
 
 
-@register("upsert_embeddings", "SELECT vec_id AS chunk_id, vec_id % 3 <> 0 OR vec_id % 50 = 0 AS embedded FROM embeddings")
+@register("upsert_embeddings", "SELECT vec_id AS chunk_id, vec_id % 3 <> 0 OR vec_id % 20 = 0 AS embedded FROM embeddings")
 def upsert_embeddings(spark, sf):
     e, q = _vectors(spark, sf)
     held = e.withColumn("embedding", F.when(F.col("chunk_id") % 3 != 0, F.col("embedding")))
     return R.upsert_embeddings(held, q.withColumnRenamed("query_id", "chunk_id")).select("chunk_id", "embedded")
 
 
+@register("clear_embeddings", "SELECT vec_id AS chunk_id, label NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS embedded FROM embeddings")
+def clear_embeddings(spark, sf):
+    chunks = view(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("project_id"), "embedding")
+    return R.clear_embeddings(chunks, view(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("project_id"))).select("chunk_id", "embedded")
+
+
 _SECOND = ", second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM sparse WHERE chunk_id % 2 = 0)"
 _FUSED = _SECOND + ", u AS (SELECT query_id, chunk_id, rank FROM sparse UNION ALL SELECT * FROM second), f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL), fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 10)"
 

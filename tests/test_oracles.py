@@ -13,7 +13,7 @@ from scopeloom.plans import catalog
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 #: Queries that SQL can't say; their own tests are in test_operators.py.
-BEYOND_SQL = {"cosine_topk_ann", "hybrid_search", "multi_query_retrieve", "cluster_by_similarity", "dedupe_items", "conflict_cross_division", "canonicalize_vendors"}
+BEYOND_SQL = {"cosine_topk_ann"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
