@@ -6,11 +6,12 @@ tuple is a sketch, so two texts tend to share sketches when one can be edited in
 alignment of their words decides: the edit similarity ``1 - edits / words of the longer text`` must reach 0.8.
 
 Texts with equal words are one class representative from the start, so any number of copies costs one text.
-An edit changes two pairs of neighbouring words, so similar texts share most of theirs; a text that shares
-fewer with all others together is alone. The other texts are sketched, and a sketch's texts are compared with a
+An edit changes three runs of three words, so similar texts share many of theirs; a text that shares fewer
+with all others together is alone. The other texts are sketched, and a sketch's texts are compared with a
 leader, not with each other; that joins most of what belongs together. Sketches alone would miss pairs, so texts
-of two classes that have one of their rarest shared pairs of words in common are aligned too, as far as
-lengths and word counts allow. No similar pair is lost there, however common its sketches or short its texts.
+of two classes that have one of their rarest shared runs in common are aligned too, as far as lengths and word
+counts allow. No similar pair is lost there, however common its sketches or short its texts (pairs with a text of
+up to 24 words go by runs of two words).
 Links are joined into classes by minimum labels with pointer jumping, on written tables.
 """
 
@@ -31,9 +32,9 @@ from scopeloom.llm.common import mix, shuffle_partitions, stored, words
 
 #: Words of a shingle, sketches, shingles of a sketch, and least similarity.
 SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 16, 3, 0.8
-#: Keys that a task packs at once, slots of a text's word counts, rows of a key up to which these are not sent, and
-#: rows of a key that meet in one task, and heads of a text.
-FLUSH, BINS, PLAIN, BLOCK, HEADS = 1 << 20, 1024, 16, 256, 3
+#: Words of a short text, keys that a task packs at once, slots of a text's word counts, rows of a key up to which
+#: these are not sent, rows of a key that meet in one task, and heads of a text.
+SHORT, FLUSH, BINS, PLAIN, BLOCK, HEADS = 24, 1 << 20, 1024, 16, 256, 3
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -230,23 +231,29 @@ def word_lists(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(texts.select("rep", "codes").join(ids, "rep", "left_semi").groupBy(F.col("rep").alias("id")).agg(F.first("codes").alias("codes")))
 
 
-def run_length(least: float) -> int:
-    """Words of the runs that texts are matched by: two, unless so many edits are allowed that all pairs of words may differ."""
-    return 2 if least >= 0.75 else 1
+def run_lengths(n: int, least: float) -> list[int]:
+    """Words of the runs that a text of so many words is matched by.
+
+    Long texts take the longest runs, up to three words, of which the allowed edits leave enough; pairs with a text of
+    at most ``SHORT`` words take one word less, so texts that are little longer have both.
+    """
+    size = min(3, max(1, int(0.7 / (1 - least))))
+    if size < 3 or n > SHORT / least + 1:
+        return [size]
+    return [2] if n <= SHORT else [2, 3]
 
 
-def needed(n: int, least: float) -> int:
-    """Runs that a text of so many words shares at least with each text similar to it.
+def needed(n: int, size: int, least: float) -> int:
+    """Runs of ``size`` words that a text of so many words shares at least with each text similar to it.
 
-    Of a pair's runs all but ``run_length`` for each allowed edit stay; the fewest for any length of the longer text.
+    Of a pair's runs all but ``size`` for each allowed edit stay; the fewest for any length of the longer text.
     """
-    size, steps = run_length(least), int(1 / (1 - least)) + 2
+    steps = int(1 / (1 - least)) + 2
     return min(m - size + 1 - size * allowed_edits(m, least) for m in range(n, n + steps))
 
 
-def run_hashes(codes: np.ndarray, least: float) -> np.ndarray:
-    size = run_length(least)
-    h = np.zeros(max(0, len(codes) - size + 1), np.uint64)
+def run_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    h = np.full(max(0, len(codes) - size + 1), size, np.uint64)
     for i in range(size):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(h)])
     return h
@@ -258,17 +265,20 @@ def rare_runs(codes: np.ndarray, known: packed.Answers, least: float = SIMILARIT
     All texts use one order: by level, hash, occurrence. A text may lose all runs but those ``needed``, and has lost
     those that no other text has; so among one more of its rarest than it may still lose is a run of each similar text.
     """
-    h = run_hashes(codes, least)
-    hit, level = known.find(h)
-    take = int(hit.sum()) - needed(len(codes), least) + 1
-    if take < 1:
-        return np.zeros(0, np.uint64)
-    h = h[hit]
-    # equal runs lie side by side in the order, so that they can be numbered
-    h = h[np.argsort(h >> np.uint64(8) | level.astype(np.uint64) << np.uint64(56))[:take]]
-    at = np.arange(len(h))
-    occurrence = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
-    return mix(h + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    found = []
+    for size in run_lengths(len(codes), least):
+        h = run_hashes(codes, size)
+        hit, level = known.find(h)
+        take = int(hit.sum()) - needed(len(codes), size, least) + 1
+        if take < 1:
+            continue
+        h = h[hit]
+        # equal runs lie side by side in the order, so that they can be numbered
+        h = h[np.argsort(h >> np.uint64(8) | level.astype(np.uint64) << np.uint64(56))[:take]]
+        at = np.arange(len(h))
+        occurrence = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
+        found.append(mix(h + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def common_runs(texts: DataFrame, least: float) -> DataFrame:
@@ -291,7 +301,8 @@ def common_runs(texts: DataFrame, least: float) -> DataFrame:
 
         for batch in batches:
             for part, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                key = run_hashes(np.frombuffer(codes.as_py(), "<u4"), least)
+                codes = np.frombuffer(codes.as_py(), "<u4")
+                key = np.concatenate([run_hashes(codes, size) for size in run_lengths(len(codes), least)])
                 held.append((key, np.full(len(key), part, np.uint32), np.full(len(key), doc, np.uint32)))
                 count, doc = count + len(key), doc + 1
                 if count >= FLUSH:
