@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scopeloom.llm.common import stored
+
 #: Words of a k-gram, how far apart neighbouring diagonals are, and the share that verifies a span.
 K, SHIFT, VERIFIED = 3, 3, 0.7
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,7 +42,7 @@ NOTICES = (
 
 
 def _hash(*parts: Column) -> Column:
-    return F.xxhash64(*(F.lower(x) for x in parts))
+    return F.xxhash64(*(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") for x in parts))
 
 
 def templates(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
@@ -56,38 +58,38 @@ def templates(spark: SparkSession, base=BASE, notices=NOTICES) -> DataFrame:
 
 
 def license_votes(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k-gram hits (template, label, base, n_grams, q, p) by document, and a row with template null that holds n_words.
+    """k-gram hits (row, template, label, base, n_grams, q, p) by row of ``docs``, and a row with template null that holds n_words.
 
     The words of a text are exploded once, with a closing row for the count of words; that row meets the
     template table's own closing row, so that a document without hits keeps a row and no second pass or
     text shuffle is needed.
     """
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))
-    lists = docs.select(F.col(id_col).alias("id"), words.alias("words"))
+    lists = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
     shifted = [F.slice("words", i + 1, F.greatest(F.size("words"), F.lit(1))).alias(f"w{i}") for i in range(K)]
     zipped = F.arrays_zip(*[F.concat(x, F.array(F.lit(None).cast("string"))).alias(f"w{i}") for i, x in enumerate(shifted)])
-    rolled = lists.select("id", F.size("words").cast("long").alias("n_words"), F.posexplode(zipped).alias("p", "g"))
+    rolled = lists.select("id", "row", F.size("words").cast("long").alias("n_words"), F.posexplode(zipped).alias("p", "g"))
     # the last of the zipped rows, at p = n_words, is the closing one; ends shorter than K words hash nothing
     full = F.col(f"g.w{K - 1}").isNotNull()
     h = F.when(F.col("p") == F.col("n_words"), F.lit(None).cast("long")).when(full, _hash(*(F.col(f"g.w{i}") for i in range(K))))
     closing = F.col("p") == F.col("n_words")
-    keyed = rolled.select("id", "n_words", F.col("p").cast("long").alias("p"), F.coalesce(h, F.lit(0).cast("long")).alias("h"), F.when(closing, F.lit(2)).when(full, F.lit(1)).otherwise(F.lit(0)).alias("kind"))
+    keyed = rolled.select("id", "row", "n_words", F.col("p").cast("long").alias("p"), F.coalesce(h, F.lit(0).cast("long")).alias("h"), F.when(closing, F.lit(2)).when(full, F.lit(1)).otherwise(F.lit(0)).alias("kind"))
     spark = docs.sparkSession
     end = spark.range(1).select(*(F.lit(None).cast(t).alias(n) for n, t in grams.dtypes if n != "h"), F.lit(0).cast("long").alias("h"), F.lit(2).alias("kind"))
     table = grams.withColumn("kind", F.lit(1)).unionByName(end)
-    return keyed.join(F.broadcast(table), ["h", "kind"]).select("id", "n_words", "template", "label", "base", "n_grams", "q", "p")
+    return keyed.join(F.broadcast(table), ["h", "kind"]).select("id", "row", "n_words", "template", "label", "base", "n_grams", "q", "p")
 
 
 def license_spans(votes: DataFrame, shift: int = SHIFT) -> DataFrame:
-    """Votes by diagonal, neighbouring diagonals of a template merged: id, template, label, base, n_grams, exact, first, last, share.
+    """Votes by diagonal, neighbouring diagonals of a template merged: row, template, label, base, n_grams, exact, first, last, share.
 
     ``exact`` counts a merged span's diagonals that hold all k-grams of the template; ``share`` is the
     part of the template's k-grams that the span covers.
     """
     hits = votes.where(F.col("template").isNotNull())
-    keys = ["id", "template", "label", "base", "n_grams"]
+    keys = ["row", "template", "label", "base", "n_grams"]
     diagonals = hits.groupBy(*keys, (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.min("p").alias("first"), F.max("p").alias("last"))
-    order = W.partitionBy("id", "template").orderBy("diagonal")
+    order = W.partitionBy("row", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > shift).cast("int"), F.lit(1))
     numbered = diagonals.withColumn("new", new).withColumn("span", F.sum("new").over(order))
     whole = F.size("qs") == F.col("n_grams")
@@ -102,21 +104,19 @@ def license_spans(votes: DataFrame, shift: int = SHIFT) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text", verified: float = VERIFIED) -> DataFrame:
-    """One row per id: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``n_base`` counts the places of base phrases, ``labels`` also holds templates with a span that covers
     ``verified`` of their k-grams, ``score`` is the best span's share. Null and empty texts have no words.
-    Rows that repeat an id and its text are one document; of an id with several texts all hits are
-    reported and the longest counts for n_words. A null id is a document too. Other columns are ignored.
+    Rows that repeat an id, or have none, are reported each with the hits of its own text. Other columns are ignored.
+    The hits are few and are written once, with the number of the row that each belongs to.
     """
-    votes = license_votes(docs, templates(docs.sparkSession, base, notices), id_col, text_col)
-    # one hit or closing row per place, whatever repeats; then everything of a document meets once
-    seen = votes.groupBy("id", "template", "label", "base", "n_grams", "q", "p").agg(F.max("n_words").alias("n_words"))
+    seen = stored(license_votes(docs, templates(docs.sparkSession, base, notices), id_col, text_col))
     spans = license_spans(seen)
     kept = spans.where((F.col("exact") > 0) | (~F.col("base") & (F.col("share") >= verified)))
     labels = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     exact_base = F.col("base") & (F.col("exact") > 0)
-    found = kept.groupBy("id").agg(
+    found = kept.groupBy("row").agg(
         F.sum(F.when(F.col("base"), F.col("exact"))).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first_exact"))).alias("first_word"),
         F.max(F.when(F.col("base"), F.col("last_exact"))).alias("last_word"),
@@ -124,8 +124,8 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES, id_col: str = "do
         labels(F.lit(True)).alias("labels"),
         F.max("share").alias("score"),
     )
-    ends = seen.where(F.col("template").isNull()).groupBy("id").agg(F.max("n_words").alias("n_words"))
-    joined = ends.join(found.withColumnRenamed("id", "id2"), F.col("id").eqNullSafe(F.col("id2")), "left")
+    ends = seen.where(F.col("template").isNull()).select("id", "row", "n_words")
+    joined = ends.join(found, "row", "left")
     return joined.select(
         F.col("id").alias(id_col),
         "n_words",
