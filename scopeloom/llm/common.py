@@ -90,13 +90,12 @@ def sampled(df: DataFrame, id_col: str, group_col: str, per_group: int, seed: st
 
     The groups' sizes are counted first (one narrow pass); groups within the bound are taken whole.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(group_col).count().collect()}
-    share = F.lit(0.0)
-    for group, n in sizes.items():
-        if group is not None:
-            share = F.when(F.col(group_col) == F.lit(group), F.lit(min(1.0, per_group / n))).otherwise(share)
+    sizes = {r[0]: r[1] for r in df.where(F.col(group_col).isNotNull()).groupBy(group_col).count().collect()}
+    if not sizes:
+        return df.limit(0)
+    shares = F.create_map(*[F.lit(x) for group, n in sizes.items() for x in (group, min(1.0, per_group / n))])
     point = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(F.col(group_col).isNotNull() & (point < share))
+    return df.where(point < F.try_element_at(shares, F.col(group_col)))
 
 
 def crc_bucket(id_col: str, n: int):

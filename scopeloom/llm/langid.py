@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from scopeloom.llm.common import crc_bucket, mix, sampled
 
-#: Hash buckets of the model, orders of the n-grams, labelled rows per language and languages at most.
-BUCKETS, ORDERS, ROWS_PER_LABEL, MAX_LABELS = 1 << 16, (1, 2, 3), 2000, 256
+#: Hash buckets of the model at most, cells of its matrix, orders of the n-grams, labelled rows per language.
+BUCKETS, CELLS, ORDERS, ROWS_PER_LABEL = 1 << 16, 1 << 24, (1, 2, 3), 2000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 1 << 18
@@ -34,6 +34,11 @@ class LanguageModel:
     log_prior: np.ndarray
 
 
+def buckets_for(labels: int) -> int:
+    """Buckets per label, a power of two, so that the matrix keeps its size however many labels there are."""
+    return max(1 << 8, min(BUCKETS, 1 << (CELLS // max(1, labels)).bit_length() - 1))
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
@@ -80,12 +85,15 @@ def _cut(texts: list[str]) -> Iterator[tuple[int, int]]:
 def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows_per_label: int = ROWS_PER_LABEL, smoothing: float = 0.5) -> LanguageModel:
     """Fit on about ``rows_per_label`` rows of each label at most (``sampled``); null labels are left out.
 
-    Counts are summed by Spark; the driver receives one row of ``BUCKETS`` counts per label. An empty
-    table gives a model without labels, which calls every text unknown.
+    Counts are summed by Spark; the driver receives one row of counts per label. Beyond ``CELLS / BUCKETS`` labels each
+    has fewer buckets, so the model keeps its size. An empty table gives a model without labels, which calls every text
+    unknown.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     sample = sampled(rows.where(F.col("label").isNotNull() & F.col("text").isNotNull()), "id", "label", rows_per_label, "language")
 
+    buckets = buckets_for(rows.where(F.col("label").isNotNull()).agg(F.count_distinct("label")).first()[0])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
@@ -93,11 +101,11 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for label in set(labels):
                 own = [t for t, x in zip(texts, labels, strict=True) if x == label]
-                total = sums.setdefault(label, np.zeros(BUCKETS, np.int64))
+                total = sums.setdefault(label, np.zeros(buckets, np.int64))
                 docs[label] = docs.get(label, 0) + len(own)
                 for lo, hi in _cut(own):
-                    for bucket, _ in ngram_buckets(own[lo:hi]):
-                        total += np.bincount(bucket, minlength=BUCKETS)
+                    for bucket, _ in ngram_buckets(own[lo:hi], buckets):
+                        total += np.bincount(bucket, minlength=buckets)
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([docs[x] for x in names], pa.int64()), pa.array([sums[x].tobytes() for x in names], pa.binary())], ["label", "docs", "counts"])
 
@@ -107,9 +115,7 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
 
     schema = "label string, docs bigint, counts binary"
     parts = sample.select("label", "text").repartition(8).mapInArrow(count, schema)
-    found = parts.groupBy("label").applyInPandas(add, schema).orderBy("label").limit(MAX_LABELS + 1).collect()
-    if len(found) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    found = parts.groupBy("label").applyInPandas(add, schema).orderBy("label").collect()
     if not found:
         return LanguageModel([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     counts = np.array([np.frombuffer(r["counts"], np.int64) for r in found], np.float64) + smoothing
@@ -121,7 +127,7 @@ def score_texts(model: LanguageModel, texts: list[str]) -> np.ndarray:
     """Log-likelihoods, (texts, labels), summed over all n-grams of all orders."""
     out = np.zeros((len(texts), len(model.labels)))
     for lo, hi in _cut(texts):
-        for bucket, starts in ngram_buckets(texts[lo:hi]):
+        for bucket, starts in ngram_buckets(texts[lo:hi], model.log_prob.shape[1]):
             some = np.flatnonzero(starts[1:] > starts[:-1])
             if len(some):
                 for k in range(len(model.labels)):
