@@ -4,7 +4,7 @@ Words get log-odds between toxic and clean labelled documents under an informati
 pooled word frequencies); words whose log-odds are significant score them, every other word scores a
 small negative drift. A linear-time scan finds all maximal-scoring segments of a text: its toxic
 passages. Their scores follow an extreme-value law on clean text, whose scale (lambda) comes from the
-clean word distribution and whose location (ln K) from the clean documents of the sample. The
+clean word distribution and whose location (ln K) from random texts of clean words. The
 calibrated passages are summed up by a two-feature logistic fit into one score per document.
 """
 
@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 
 from scopeloom.llm.common import crc_bucket, sampled, stored, words
 
-#: Labelled rows per class that the fit reads, words of the model, the prior's weight and its least share
-#: of a word, the z-score that makes a word significant, the drift of all other words, and the E-value of
-#: a significant passage.
-ROWS_PER_CLASS, MAX_WORDS, PRIOR, LEAST_PRIOR, MIN_Z, DRIFT, MAX_E = 8000, 50_000, 500.0, 0.5, 3.5, -0.1, 0.05
+#: Labelled rows per class that the fit reads, the prior's weight and its least share of a word, the z-score
+#: that makes a word significant, the drift of all other words, and the E-value of a significant passage.
+ROWS_PER_CLASS, PRIOR, LEAST_PRIOR, MIN_Z, DRIFT, MAX_E = 8000, 500.0, 0.5, 3.5, -0.1, 0.05
 
 
 @dataclass
@@ -102,6 +101,26 @@ def _lambda(scores: np.ndarray, share: np.ndarray) -> float:
     return hi
 
 
+def _location(model: ToxicityModel, share: np.ndarray, texts: int = 400, hits: int = 40) -> float:
+    """Location (ln K) of the extreme-value law of best segments in random clean words.
+
+    Words are drawn with the clean shares, in texts so long that each has about ``hits`` of the vocabulary's; a
+    Gumbel law with location ln K has the mean ln K + 0.5772.
+    """
+    rng = np.random.default_rng(1)
+    rate, scores = float(share.sum()), np.array(list(model.scores.values()))
+    best = []
+    for _ in range(texts):
+        n = max(1, int(hits / rate))
+        at = np.cumsum(rng.geometric(min(1.0, rate), 2 * hits))
+        at = at[at <= n]
+        drawn = rng.choice(scores, len(at), p=share / share.sum())
+        found = segments(list(zip((at - 1).tolist(), drawn.tolist(), strict=True)), model.drift)
+        if found:
+            best.append(model.lam * max(s for *_, s in found) - math.log(n))
+    return float(np.mean(best) - 0.5772) if best else 0.0
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Newton steps for a weighted logistic fit with a small ridge."""
     x = np.c_[np.ones(len(x)), x]
@@ -145,7 +164,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_
     prior = F.lit(LEAST_PRIOR) + (F.col("toxic") + F.col("clean")) * F.lit(PRIOR / (n_toxic + n_clean))
     odds = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y - prior))
     scored = counts.withColumn("score", odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)).withColumn("z", F.col("score") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-    vocabulary = scored.where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
+    vocabulary = scored.where(F.col("z") >= min_z).orderBy(F.desc("z"), "word").collect()  # no more words than the sample has
     model = ToxicityModel({bytes(r["word"]): float(r["score"]) for r in vocabulary})
     if not vocabulary:
         return model
@@ -161,9 +180,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(strength, pa.list_(pa.float64()))], ["toxic", "strength"])
 
     seen = train.mapInArrow(measure, "toxic int, strength array<double>").collect()  # bounded by the sample
-    best = [max(r["strength"]) for r in seen if r["strength"] and r["toxic"] == 0]
-    # a Gumbel law with location ln K has mean ln K + 0.5772; short of clean hits the location stays 0
-    model.log_k = float(np.mean(best) - 0.5772) if len(best) >= 20 else 0.0
+    model.log_k = _location(model, share)
     x = np.array([features([(0, 0, 0.0, math.exp(min(50.0, model.log_k - s))) for s in r["strength"]]) for r in seen])
     y = np.array([r["toxic"] for r in seen], float)
     weight = np.where(y == 1, sizes.get(1, 1) / max(1.0, y.sum()), sizes.get(0, 1) / max(1.0, (1 - y).sum()))
