@@ -4,7 +4,8 @@ The index of the training text is partitioned by document: each task stores, for
 documents, the positions of the benchmark's terms, and each benchmark window intersects its terms'
 offset-adjusted position lists, from the rarest term of the block on. So only positions of words that
 the benchmark has are ever stored, nothing is shuffled, and no word or passage is hot. Benchmarks are
-broadcast in chunks of bounded size; a larger benchmark takes several passes, whose hits are merged.
+broadcast in chunks of bounded size; a larger benchmark takes several passes, each of which adds its hits
+to the rows that the last one wrote.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopeloom.llm.common import runs, utf8, words
+from scopeloom.llm.common import runs, stored, utf8, words
 
 #: Words of a window, bytes of benchmark text per pass, and how far terms of a proximity match may stray.
-WINDOW, CHUNK_BYTES, SLOP = 10, 32 << 20, 3
+WINDOW, CHUNK_BYTES, SLOP = 10, 4 << 20, 3
 
 
 @dataclass
@@ -85,39 +86,50 @@ class BlockIndex:
         return found
 
     def near(self, terms: np.ndarray, slots: np.ndarray, slop: int) -> np.ndarray:
-        """Starts around which the terms of ``slots`` all stand within ``slop`` words of their places."""
-        found = self.postings(terms[slots[0]]) - slots[0]
-        for j in slots[1:]:
-            other = self.postings(terms[j]) - j
+        """Starts around which all terms stand within ``slop`` words of their places in one document; ``slots`` are looked up first."""
+        first = int(slots[0])
+        found = self.postings(terms[first]) - first
+        doc = np.searchsorted(self.starts, found + first, "right") - 1
+        for j in [*slots[1:].tolist(), *(k for k in range(len(terms)) if k not in slots)]:
+            other = self.postings(terms[j])
             if not len(other) or not len(found):
                 return found[:0]
-            at = np.searchsorted(other, found - slop)
-            found = found[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= found + slop)]
+            low, high = np.maximum(found + j - slop, self.starts[doc]), np.minimum(found + j + slop, self.starts[doc + 1] - 2)
+            held = np.searchsorted(other, low) < np.searchsorted(other, high, "right")
+            found, doc = found[held], doc[held]
         return found
 
 
-def match_block(index: BlockIndex, w: Windows, slop: int) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set], dict[int, int]]:
-    """By document of the block: hit intervals in words, items, and windows that only match nearby."""
+def match_block(index: BlockIndex, w: Windows, slop: int) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set], dict[int, dict]]:
+    """By document of the block: hit intervals in words, items, and by item the intervals of windows that only match nearby."""
     hits: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set] = {}
-    nearby: dict[int, int] = {}
+    nearby: dict[int, dict] = {}
     if not len(w.terms):
         return hits, items, nearby
-    real = w.terms > 0
-    have = index.counts[w.terms] > 0
     rare = np.take_along_axis(w.terms, w.anchors, 1)
-    for k in np.flatnonzero(np.where(rare > 0, index.counts[rare] > 0, True).all(1)):
-        terms = w.terms[k, : w.length[k]]
-        exact = index.phrase(terms) if (have[k] | ~real[k]).all() else np.zeros(0, np.int64)
+    some = np.flatnonzero(np.where(rare > 0, index.counts[rare] > 0, True).all(1))
+    for k in some[((index.counts[w.terms[some]] > 0) | (w.terms[some] == 0)).all(1)].tolist():
+        size = int(w.length[k])
+        terms = w.terms[k, :size]
+        exact = index.phrase(terms)
         doc = np.searchsorted(index.starts, exact, "right") - 1
         for d, s in zip(doc.tolist(), (exact - index.starts[doc]).tolist(), strict=True):
-            hits.setdefault(d, []).append((s, s + int(w.length[k])))
+            hits.setdefault(d, []).append((s, s + size))
             items.setdefault(d, set()).update(w.items[k])
-        if len(terms) >= 3:
-            loose = index.near(terms, w.anchors[k], slop)
-            close = np.unique(np.searchsorted(index.starts, np.maximum(loose, 0), "right") - 1)
-            for d in np.setdiff1d(close, doc).tolist():
-                nearby[d] = nearby.get(d, 0) + 1
+        if size < 3:
+            continue
+        slots = w.anchors[k]
+        loose = index.near(terms, slots, slop)
+        doc = np.searchsorted(index.starts, loose + int(slots[0]), "right") - 1
+        own = set(exact.tolist())
+        for d, s in zip(doc.tolist(), loose.tolist(), strict=True):
+            if any(x in own for x in range(s - slop, s + slop + 1)):
+                continue
+            begin = max(0, s - int(index.starts[d]))
+            end = min(s + size, int(index.starts[d + 1]) - 1) - int(index.starts[d])
+            for item in w.items[k]:
+                nearby.setdefault(d, {}).setdefault(item, []).append((begin, end))
     return hits, items, nearby
 
 
@@ -134,12 +146,20 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
-def find_windows(docs: DataFrame, windows: Windows, item_type: str, id_col: str = "doc_id", text_col: str = "text", slop: int = SLOP) -> DataFrame:
-    """One pass: per input row the id, n_words, merged hit spans, items with exact hits, nearby windows."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    kind = docs.schema[id_col].dataType.simpleString()
+def find_windows(rows: DataFrame, windows: Windows, item_type: str, keep_text: bool = False, slop: int = SLOP) -> DataFrame:
+    """One pass over rows (id, text, and after a first pass its other columns): adds to n_words, spans, items and near.
+
+    ``spans`` are merged hits, ``items`` those with exact hits, ``near`` the places (item, start, end) of items that
+    stand there with some words moved.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(windows)
+    kind = rows.schema["id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     item_arrow = pa.string() if item_type == "string" else pa.int64()
+    place = pa.struct([("item", item_arrow), ("start", pa.int64()), ("end", pa.int64())])
+    again = "spans" in rows.columns
+
+    names = ["id", "text", "n_words", "spans", "items", "near"] if keep_text else ["id", "n_words", "spans", "items", "near"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -147,49 +167,44 @@ def find_windows(docs: DataFrame, windows: Windows, item_type: str, id_col: str
         for batch in batches:
             column = batch.column(1)
             offsets, _ = utf8(column)
-            n_words, spans, items, nearby = [], [], [], []
+            n_words, spans, items, near = [], [], [], []
+            held = [batch.column(c).to_pylist() for c in (3, 4, 5)] if again else None
             for lo, hi in runs(offsets):
                 found = [[get(x, 0) for x in words(t)] for t in column.slice(lo, hi - lo).to_pylist()]
-                hit, held, near = match_block(BlockIndex(found, len(w.number)), w, slop)
+                hit, own, close = match_block(BlockIndex(found, len(w.number)), w, slop)
                 for i, d in enumerate(found):
+                    before = [x[lo + i] for x in held] if again else ([], [], [])
                     n_words.append(len(d))
-                    spans.append([{"start": a, "end": b} for a, b in _merged(hit.get(i, []))])
-                    items.append(sorted(held.get(i, ())))
-                    nearby.append(near.get(i, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(item_arrow)), pa.array(nearby, pa.int64())], ["id", "n_words", "spans", "items", "n_nearby"])
+                    spans.append([{"start": a, "end": b} for a, b in _merged(hit.get(i, []) + [(x["start"], x["end"]) for x in before[0]])])
+                    items.append(sorted(own.get(i, set()) | set(before[1])))
+                    places = [(x["item"], x["start"], x["end"]) for x in before[2]] + [(x, a, b) for x, at in close.get(i, {}).items() for a, b in _merged(at)]
+                    near.append([{"item": x, "start": a, "end": b} for x, a, b in sorted(places)])
+            columns = [batch.column(0), column, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(item_arrow)), pa.array(near, pa.list_(place))]
+            yield pa.RecordBatch.from_arrays(columns if keep_text else [columns[0], *columns[2:]], names)
 
-    schema = f"id {kind}, n_words bigint, spans {SPAN}, items array<{item_type}>, n_nearby bigint"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(apply, schema).withColumnRenamed("id", id_col)
+    kinds = {"id": kind, "text": "string", "n_words": "bigint", "spans": SPAN, "items": f"array<{item_type}>", "near": f"array<struct<item:{item_type},start:bigint,end:bigint>>"}
+    return rows.mapInArrow(apply, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per row of ``docs``: id, n_words, ``spans`` of hit words, ``items`` found, ``n_nearby`` windows.
+    """Per row of ``docs``: id, n_words, ``spans`` of hit words, ``items`` found, ``near`` places (item, start, end).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
-    window. Null and empty texts have no words, on either side; items may repeat. The benchmark's size is
-    measured: up to ``chunk_bytes`` of text goes out in one broadcast, more in as many passes as needed,
-    which are then merged by document (there, ids must be unique and not null).
+    window. Null and empty texts have no words, on either side; items may repeat, and so may ids. The benchmark's
+    size is measured: ``chunk_bytes`` of text go out in one broadcast, more in as many passes as needed over rows
+    that are written in between. A place is near where every word of a window stands in one document, each within
+    ``SLOP`` words of where the window would have it, and no exact hit of that window does.
     """
     item_type = "string" if benchmark.schema[item_col].dataType.simpleString() == "string" else "bigint"
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast(item_type).alias("item"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast(item_type).alias("item"), F.col(text_col).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    passes = []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for c in range(chunks):
-        own = rows if chunks == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(chunks)) == c)
+        own = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == c)
         held = [(r["item"], r["text"]) for r in own.orderBy("item", "text").collect()]
-        passes.append(find_windows(docs, build_windows(held, window), item_type, id_col, text_col))
-    if chunks == 1:
-        return passes[0]
-    joined = passes[0]
-    for extra in passes[1:]:
-        joined = joined.unionByName(extra)
-    merged = joined.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_nearby").alias("n_nearby"))
-    # spans are in order: each either widens the last one or opens a new one
-    last = lambda acc: F.element_at(acc, -1)
-    widen = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))
-    merge = F.aggregate("spans", F.expr(f"CAST(array() AS {SPAN})"), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), widen(acc, x)).otherwise(F.concat(acc, F.array(x))))
-    return merged.withColumn("spans", merge)
+        rows = find_windows(rows if c == 0 else stored(rows), build_windows(held, window), item_type, c < chunks - 1)
+    return rows.withColumnRenamed("id", id_col)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

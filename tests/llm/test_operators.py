@@ -292,10 +292,88 @@ def test_decontamination(spark, docs, texts):
     assert [tuple(got[i])[1:] for i in range(len(texts))] == want
     assert sum(x[4] for x in want) >= 3
     chunked = rows(decontamination.decontaminate(docs, benchmark, chunk_bytes=60))
+    whole = rows(decontamination.decontaminate(docs, benchmark))
+    assert all(chunked[i] == whole[i] for i in range(len(texts)))
     for i in range(len(texts)):
         assert sum(s.end - s.start for s in chunked[i].spans) == want[i][1] and len(chunked[i]["items"]) == want[i][2]
 
 
+def test_decontamination_in_chunks_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (1, "five six seven"), (None, "one two three four"), (None, None)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, "two three"), (2, "six seven"), (3, "four")], "item_id bigint, text string")
+    found = decontamination.decontaminate(docs, benchmark, chunk_bytes=5).collect()
+    assert sorted((str(r.doc_id), r.n_words, r["items"]) for r in found) == [("1", 3, [2]), ("1", 4, [1, 3]), ("None", 0, []), ("None", 4, [1, 3])]
+
+
+def brute_near(text, windows, size, slop):
+    """Places where all words of a window stand near where a start puts them, and no exact hit does."""
+    w, out = WORD.findall(lower(text)), []
+    for item, terms in windows:
+        exact = {s for s in range(len(w)) if w[s : s + len(terms)] == terms}
+        for s in range(-slop - size, len(w)):
+            ok = all(any(w[p] == t for p in range(max(0, s + j - slop), min(len(w), s + j + slop + 1))) for j, t in enumerate(terms))
+            if ok and not any(x in exact for x in range(s - slop, s + slop + 1)):
+                out.append((item, s))
+    return out
+
+
+def test_near_places(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choice("abcdefghijklmnop") + str(k) for _ in range(12))) for k in range(4)]
+    texts = ["x alpha beta", "gamma y"]
+    for _ in range(40):
+        w = items[rng.randrange(4)][1].split()
+        if rng.random() < 0.6:
+            w.insert(rng.randrange(12), "extra")
+        if rng.random() < 0.3:
+            w[3], w[4] = w[4], w[3]
+        if rng.random() < 0.2:
+            w[5] = "other"
+        texts.append(" ".join(["pad"] * rng.randrange(3) + w))
+    items.append((9, "alpha beta gamma"))
+    got = rows(decontamination.decontaminate(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")))
+    windows = [(k, t.split()[i : i + 10]) for k, t in items for i in range(max(1, len(t.split()) - 9))]
+    assert not got[0].near and not got[1].near and any(got[i].near for i in range(len(texts)))
+    for i, t in enumerate(texts):
+        want = brute_near(t, windows, 10, decontamination.SLOP)
+        assert {x["item"] for x in got[i].near} <= {k for k, _ in want}
+        # a start is one that the rarest term's own places give, so every item with such a start is found
+        exact_words = {k for k, _ in want if any(s >= 0 for x, s in want if x == k)}
+        assert {x["item"] for x in got[i].near} >= {k for k in exact_words if len([1 for x, _ in want if x == k]) > 2 * decontamination.SLOP}
+
+
+def test_licenses_of_repeated_ids(spark):
+    data = [(1, "under the mit license"), (1, "CC by nc and more words"), (None, "x"), (None, "x")]
+    got = sorted((str(r.doc_id), r.n_words, r.base_labels) for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id bigint, text string")).collect())
+    assert got == [("1", 4, "mit"), ("1", 6, "cc-by-nc"), ("None", 1, ""), ("None", 1, "")]
+
+
+def test_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 20)}{chr(97 + i // 20)} " * 9, f"l{i}") for i in range(300)], "doc_id bigint, text string, lang string")
+    model = langid.fit_language_model(docs)
+    assert len(model.labels) == 300 and model.log_prob.size <= langid.CELLS
+    got = rows(langid.predict_language(docs, model))
+    assert sum(got[i].lang_pred == f"l{i}" for i in range(300)) >= 285
+
+
+def test_location_fits_the_tail():
+    """Best segments of random clean texts exceed a strength as often as the extreme-value law says."""
+    rng = np.random.default_rng(4)
+    share, scores = np.array([0.004, 0.002, 0.001]), [2.0, 3.0, 4.0]
+    model = toxicity.ToxicityModel({bytes([97 + i]): s for i, s in enumerate(scores)}, drift=-0.1)
+    model.lam = toxicity._lambda(np.r_[scores, model.drift], np.r_[share, 1 - share.sum()])
+    model.log_k = toxicity._location(model, share)
+    assert model.log_k != 0
+    best = []
+    for _ in range(600):
+        n = 20_000
+        drawn = rng.choice(4, n, p=np.r_[share, 1 - share.sum()])
+        hits = [(i, scores[d]) for i, d in enumerate(drawn.tolist()) if d < 3]
+        best.append(model.lam * max(s for *_, s in toxicity.segments(hits, model.drift)) - np.log(n) - model.log_k)
+    for at in (0.0, 1.0, 2.0):
+        assert abs((np.array(best) > at).mean() - (1 - np.exp(-np.exp(-at)))) < 0.12
+
+
 def test_licenses(docs, texts):
     got = rows(licenses.scan_licenses(docs))
     phrases = [(p.split(), label) for p, label in licenses.BASE]
