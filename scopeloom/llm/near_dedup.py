@@ -281,11 +281,17 @@ def rare_runs(codes: np.ndarray, known: packed.Answers, least: float = SIMILARIT
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def banded_keys(runs: np.ndarray, n: int, least: float) -> np.ndarray:
+    """Each run under the text's band of lengths and the next: similar texts have a band in common, others mostly none."""
+    width = -1.001 * np.log(least)
+    return np.concatenate([mix(runs ^ mix(np.uint64(band))) for band in (int(np.log(n) / width) + np.arange(1, 3)).astype(np.uint64)])
+
+
 def common_runs(texts: DataFrame, least: float) -> DataFrame:
     """rep, n, keys, bins, sketches, codes of each text that shares as many runs with others as similar texts must.
 
-    All other texts are alone in their classes. ``keys`` are the rarest runs (``rare_runs``), ``bins`` the words
-    counted in ``BINS`` slots. Which runs others have is asked with packed fingerprints; the texts wait in parts, by a
+    All other texts are alone in their classes. ``keys`` are the rarest runs (``rare_runs``) in the text's bands of
+    lengths, ``bins`` the words counted in ``BINS`` slots. Which runs others have is asked with packed fingerprints; the texts wait in parts, by a
     hash of the id.
     """
     n = shuffle_partitions(texts.sparkSession)
@@ -326,7 +332,7 @@ def common_runs(texts: DataFrame, least: float) -> DataFrame:
                     key = rare_runs(codes, known, least)
                     if len(key):
                         taken.append(i)
-                        keys.append(key.view(np.int64))
+                        keys.append(banded_keys(key, len(codes), least).view(np.int64))
                         bins.append(word_bins(codes).tobytes())
                         sketches.append(order_sketches(codes))
             rows = batch.take(pa.array(taken, pa.int32()))
@@ -466,6 +472,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links (a, b): these are few between classes, however many between texts."""
+    for end in "ab":
+        links = links.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+    between = links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b").distinct()
+    more = components(stored(between)).withColumnRenamed("label", "far")
+    moved = labels.join(more.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("far", "label").alias("label"))
+    new = more.select("id", F.col("far").alias("label")).join(labels.select("id"), "id", "left_anti")
+    return stored(moved.unionByName(new))
+
+
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose ends are not of one class yet."""
     for end in "ab":
@@ -492,14 +509,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = word_lists(live, pairs)
     # each text meets the leader with which it shares most; the others only where that leaves two classes
     closest = pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("shared"), F.col("a"))).alias("a"))
-    links = stored(verified(closest.select("a", "b"), lists, least))
-    labels = components(links)
+    labels = components(stored(verified(closest.select("a", "b"), lists, least)))
     rest = stored(apart(pairs.select("a", "b").join(closest, ["a", "b"], "left_anti"), labels))
-    links = stored(links.unionByName(verified(rest, lists, least)))
-    labels = components(links)
+    labels = joined(labels, verified(rest, lists, least))
     # what sketches have not brought together meets by its rare runs: every pair of two classes that can be similar
     more = stored(across(live, labels, least).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    labels = components(stored(links.unionByName(verified(more, word_lists(live, more), least))))
+    labels = joined(labels, verified(more, word_lists(live, more), least))
     classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     out = signed.select("id", "digest").join(classes, "digest", "left")
     out = out.select("id", F.coalesce("class_id", "id").alias("class_id"))
