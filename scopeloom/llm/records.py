@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from scopeloom.llm.common import shared_dir, shuffle_partitions
 from scopeloom.llm.tokens import default_vocabulary, encoded, ids_crc32
 
-#: Bytes of records in one output batch.
-BATCH_BYTES = 2 << 20
+#: Bytes of records in one output batch, and bytes of text that give one file, so that a file is read back as one value.
+BATCH_BYTES, FILE_BYTES = 2 << 20, 128 << 20
 END = b"\n"
 
 
@@ -62,11 +62,14 @@ def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, id_
     """Encode and write all rows under ``path``/records, in ascending order of ids (nulls first).
 
     Null texts count as empty and have the end id alone; rows that repeat an id stay, next to each other.
-    The number of files is the session's number of shuffle partitions.
+    There are as many files as the session has shuffle partitions, and more where these would hold more than
+    ``FILE_BYTES`` of text on average; rows are dealt by ranges of ids, and of texts within an id.
     """
     vocabulary = vocabulary or default_vocabulary()
     spark = docs.sparkSession
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    files = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES)
+    ordered = rows.repartitionByRange(max(files, shuffle_partitions(spark)), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,19 +128,23 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Shuffled read: the ids of the wanted index rows (file, offset), in any order: file, offset, id, ids."""
+    """Shuffled read: the ids of the wanted index rows (file, offset), in any order: file, offset, id, ids.
 
-    def apply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows and right.num_rows:
-            data = memoryview(left.column("content")[0].as_py())
-            for at in right.column("offset").to_pylist():
-                doc_id, ids, _ = unframe(data, at)
-                rows.append({"file": key[0].as_py(), "offset": at, "id": doc_id, "ids": ids.astype(np.int64)})
-        return pa.Table.from_pylist(rows, pa.schema([("file", pa.string()), ("offset", pa.int64()), ("id", pa.string()), ("ids", pa.list_(pa.int64()))]))
+    A file is the unit that Spark reads; the wanted offsets go to it, so its bytes stay where they are read unless the
+    offsets are too many for a broadcast. Files without a wanted record are dropped before they are decoded.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content, offsets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = memoryview(content.as_buffer())
+                found = [unframe(data, at)[:2] for at in offsets]
+                columns = [pa.array([name] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([ids.astype(np.int64) for _, ids in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "offset", "id", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select(F.col("path").alias("file"), "content")
-    return files.groupBy("file").cogroup(wanted.select("file", "offset").groupBy("file")).applyInArrow(apply, "file string, offset bigint, id string, ids array<bigint>")
+    offsets = wanted.groupBy("file").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
+    return files.join(offsets, "file").mapInArrow(apply, "file string, offset bigint, id string, ids array<bigint>")
 
 
 def record_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
