@@ -74,7 +74,7 @@ def skip_rows(rows: DataFrame) -> DataFrame:
 
 
 def unit_override(rows: DataFrame) -> DataFrame:
-    """id and unit of rows (id, type, text, answered): by the first rule of the type, else as answered, else EA for pieces, else null."""
+    """id and unit of rows (id, type, text, and answered, if any): by the first rule of the type, else as answered, else EA for pieces, else null."""
     by_type = {t: [(p, u) for kind, p, u in UNIT_RULES if kind == t] for t, _, _ in UNIT_RULES}
     unit = F.lit(None).cast("string")
     for t, rules in by_type.items():
@@ -82,7 +82,8 @@ def unit_override(rows: DataFrame) -> DataFrame:
         for pattern, value in reversed(rules):
             own = F.when(F.col("text").rlike(f"(?i){pattern}"), value).otherwise(own)
         unit = F.when(F.coalesce("type", F.lit("finish")) == t, own).otherwise(unit)
-    return rows.select("id", F.coalesce(unit, "answered", F.when(F.col("type").isin(*PIECES), "EA")).alias("unit"))
+    answered = F.col("answered") if "answered" in rows.columns else F.lit(None).cast("string")
+    return rows.select("id", F.coalesce(unit, answered, F.when(F.col("type").isin(*PIECES), "EA")).alias("unit"))
 
 
 def row_overlap(description: Column, text: Column) -> Column:
