@@ -34,7 +34,7 @@ from scopeloom.llm.common import mix, shuffle_partitions, stored, words
 SHINGLE, SKETCHES, PICKED, SIMILARITY = 5, 16, 3, 0.8
 #: Words of a short text, keys that a task packs at once, slots of a text's word counts, rows of a key up to which
 #: these are not sent, rows of a key that meet in one task, and heads of a text.
-SHORT, FLUSH, BINS, PLAIN, BLOCK, HEADS = 24, 1 << 20, 1024, 16, 256, 3
+SHORT, FLUSH, BINS, PLAIN, BLOCK, HEADS = 24, 1 << 20, 1024, 16, 1024, 3
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -281,17 +281,11 @@ def rare_runs(codes: np.ndarray, known: packed.Answers, least: float = SIMILARIT
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def banded_keys(runs: np.ndarray, n: int, least: float) -> np.ndarray:
-    """Each run under the text's band of lengths and the next: similar texts have a band in common, others mostly none."""
-    width = -1.001 * np.log(least)
-    return np.concatenate([mix(runs ^ mix(np.uint64(band))) for band in (int(np.log(n) / width) + np.arange(1, 3)).astype(np.uint64)])
-
-
 def common_runs(texts: DataFrame, least: float) -> DataFrame:
     """rep, n, keys, bins, sketches, codes of each text that shares as many runs with others as similar texts must.
 
-    All other texts are alone in their classes. ``keys`` are the rarest runs (``rare_runs``) in the text's bands of
-    lengths, ``bins`` the words counted in ``BINS`` slots. Which runs others have is asked with packed fingerprints; the texts wait in parts, by a
+    All other texts are alone in their classes. ``keys`` are the rarest runs (``rare_runs``), ``bins`` the words
+    counted in ``BINS`` slots. Which runs others have is asked with packed fingerprints; the texts wait in parts, by a
     hash of the id.
     """
     n = shuffle_partitions(texts.sparkSession)
@@ -332,7 +326,7 @@ def common_runs(texts: DataFrame, least: float) -> DataFrame:
                     key = rare_runs(codes, known, least)
                     if len(key):
                         taken.append(i)
-                        keys.append(banded_keys(key, len(codes), least).view(np.int64))
+                        keys.append(key.view(np.int64))
                         bins.append(word_bins(codes).tobytes())
                         sketches.append(order_sketches(codes))
             rows = batch.take(pa.array(taken, pa.int32()))
