@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopeloom.llm import decontamination, exact_dedup, langid, licenses, near_dedup, packing, records, secrets, substring_dedup, toxicity
+from scopeloom.llm import conversations, decontamination, exact_dedup, langid, licenses, near_dedup, packing, records, secrets, substring_dedup, toxicity
 from scopeloom.llm.common import table
 
 
@@ -48,7 +48,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_substrings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_secrets, op2_records, op3_language, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_decontamination, op8_licenses, op9_packing, op10_substrings]
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = [op1_secrets, op2_records, op3_language, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_decontamination, op8_licenses, op9_packing, op10_substrings, op11_conversations]
 
 
 def queries() -> dict:
