@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopeloom.llm import conversations, decontamination, exact_dedup, langid, licenses, near_dedup, packing, records, secrets, substring_dedup, toxicity
+from scopeloom.llm import conversations, decontamination, exact_dedup, langid, licenses, near_dedup, neighbours, packing, ranked_search, records, secrets, substring_dedup, toxicity
 from scopeloom.llm.common import table
 
 
@@ -52,7 +52,15 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = [op1_secrets, op2_records, op3_language, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_decontamination, op8_licenses, op9_packing, op10_substrings, op11_conversations]
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = [op1_secrets, op2_records, op3_language, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_decontamination, op8_licenses, op9_packing, op10_substrings, op11_conversations, op12_ranked_search, op13_neighbours]
 
 
 def queries() -> dict:
@@ -60,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_decontamination": decontamination.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
