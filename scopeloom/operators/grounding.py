@@ -171,20 +171,6 @@ def keep_known_citations(claims: DataFrame, pool: DataFrame, least: float = 0.18
     return counted.where("kept > 0")
 
 
-def merge_extractors(extracted: DataFrame, mined: DataFrame) -> DataFrame:
-    """Mined candidates added to the extracted ones of their division (item_id, division, description), each text once.
-
-    Adds origin: extracted, appended (mined, in a division that has extracted ones) or new_division. Of equal texts in a
-    division an extracted one stays, then the smallest id.
-    """
-    both = extracted.withColumn("mined", F.lit(0)).unionByName(mined.withColumn("mined", F.lit(1)))
-    order = W.partitionBy("division", F.lower(F.trim("description"))).orderBy("mined", "item_id")
-    first = both.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    emitted = extracted.select("division").distinct().withColumn("emitted", F.lit(True))
-    origin = F.when(F.col("mined") == 0, "extracted").when(F.coalesce("emitted", F.lit(False)), "appended").otherwise("new_division")
-    return first.join(emitted, "division", "left").withColumn("origin", origin).drop("mined", "emitted")
-
-
 def materialize_items(admitted: DataFrame, citations: DataFrame, taxonomy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of admitted candidates and of their citations.
 

@@ -55,15 +55,33 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, key: str = "group_key") -> DataFrame:
+#: Columns of a chunk that a query may be restricted by.
+FILTERS = ("document_id", "chunk_type", "page_number", "source_id")
+
+
+def passes(filters: list[str], chunk: str = "c", query: str = "f") -> Column:
+    """Whether a chunk has all that a query's filters ask for; a null filter asks for nothing."""
+    out = F.lit(True)
+    for name in filters:
+        asked = F.col(f"{query}.{name}")
+        out = out & (asked.isNull() | F.coalesce(asked == F.col(f"{chunk}.{name}"), F.lit(False)))
+    return out
+
+
+def cosine_topk(chunks: DataFrame, queries: DataFrame, k: int, key: str = "group_key", filters: DataFrame | None = None) -> DataFrame:
     """Exact cosine: chunks (chunk_id, key, embedding) against queries (query_id, key, vector).
 
-    Queries meet chunks of their own key only; chunks without an embedding are left out.
+    Queries meet chunks of their own key only; chunks without an embedding are left out. ``filters`` (query_id and any of
+    ``FILTERS``) restrict a query's chunks before anything is scored; other columns of it are ignored. Each task keeps
+    its best ``k`` of a query, and only these are shuffled.
     """
     norm = lambda c: F.sqrt(dot(c, c))
-    left = chunks.where(F.col("embedding").isNotNull()).select(key, "chunk_id", "embedding", norm("embedding").alias("norm"))
-    right = queries.select(key, "query_id", "vector", norm("vector").alias("q_norm"))
-    met = left.join(right, key)
+    names = [c for c in FILTERS if filters is not None and c in filters.columns]
+    left = chunks.where(F.col("embedding").isNotNull()).select(key, "chunk_id", "embedding", *names, norm("embedding").alias("norm")).alias("c")
+    right = queries.where(F.col("vector").isNotNull()).select(key, "query_id", "vector", norm("vector").alias("q_norm"))
+    if names:
+        right = right.join(filters.select("query_id", *names), "query_id", "left")
+    met = left.join(right.alias("f"), key).where(passes(names))
     score = F.round(dot("embedding", "vector") / (F.col("norm") * F.col("q_norm")), 6)
     return top(met.select("query_id", "chunk_id", score.alias("score")), k)
 
@@ -78,24 +96,32 @@ def rrf_fuse(rankings: list[DataFrame], top_k: int, k: int = RRF_K) -> DataFrame
     return top(fused, top_k)
 
 
-def filter_sparse(sparse: DataFrame, dense: DataFrame, chunks: DataFrame, where: Column) -> DataFrame:
-    """Keep sparse hits that the dense list has or whose chunk passes the filter; applied after top-k."""
-    allowed = chunks.where(where).select("chunk_id").distinct().withColumn("passes", F.lit(True))
+def filter_sparse(sparse: DataFrame, dense: DataFrame, chunks: DataFrame, filters: DataFrame) -> DataFrame:
+    """Keep sparse hits that the dense list has or whose chunk has what the query's filters ask for; after top-k.
+
+    ``filters``: query_id and any of ``FILTERS``, null for no restriction. A query without filters keeps all its hits.
+    """
+    names = [c for c in FILTERS if c in filters.columns]
     also = dense.select("query_id", "chunk_id").distinct().withColumn("dense", F.lit(True))
-    joined = sparse.join(allowed, "chunk_id", "left").join(also, ["query_id", "chunk_id"], "left")
-    return joined.where(F.col("passes") | F.col("dense")).select(*sparse.columns)
+    held = sparse.alias("s").join(chunks.select("chunk_id", *names).alias("c"), "chunk_id", "left").join(filters.select("query_id", *names).alias("f"), "query_id", "left")
+    joined = held.join(also, ["query_id", "chunk_id"], "left")
+    return joined.where(passes(names) | F.col("dense")).select("query_id", "chunk_id", *[c for c in sparse.columns if c not in ("query_id", "chunk_id")])
 
 
-def hydrate_hits(fused: DataFrame, chunks: DataFrame, documents: DataFrame, sparse: DataFrame) -> DataFrame:
-    """Attach chunk and document columns and the sparse score (0 where absent); dead ids are dropped."""
-    scores = sparse.select("query_id", "chunk_id", F.col("score").alias("sparse_score"))
-    out = fused.join(chunks.select("chunk_id", "document_id", "page_number", "chunk_type"), "chunk_id").join(documents.select("document_id", "filename"), "document_id", "left")
-    return out.join(scores, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "rank", "document_id", "page_number", "chunk_type", "filename", F.coalesce("sparse_score", F.lit(0.0)).alias("sparse_score"))
+def hydrate_hits(fused: DataFrame, chunks: DataFrame, documents: DataFrame, sparse: DataFrame, dense: DataFrame) -> DataFrame:
+    """Attach chunk, sheet and document columns and the scores of both lists (0 where absent); dead ids are dropped."""
+    scores = lambda df, name: df.select("query_id", "chunk_id", F.col("score").alias(name))
+    held = chunks.select("chunk_id", "document_id", "page_number", "chunk_type", "sheet_id", "sheet_title", "discipline")
+    out = fused.withColumnRenamed("score", "rrf_score").join(held, "chunk_id").join(documents.select("document_id", "filename"), "document_id", "left")
+    for df, name in ((sparse, "sparse_score"), (dense, "dense_score")):
+        out = out.join(scores(df, name), ["query_id", "chunk_id"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out
 
 
-def apply_rerank(hits: DataFrame, scores: DataFrame, n: int) -> DataFrame:
-    """Order hits by external relevance, else by their own score; the best ``n`` of each query."""
-    joined = hits.join(scores.select("chunk_id", "relevance"), "chunk_id", "left").select("query_id", "chunk_id", F.coalesce("relevance", "score").alias("score"))
+def apply_rerank(hits: DataFrame, scores: DataFrame, n: int, own: str = "score") -> DataFrame:
+    """Order hits by external relevance, else by their own score; the best ``n`` of each query. Other columns stay."""
+    others = [c for c in hits.columns if c not in ("query_id", "chunk_id", "rank", "score")]
+    joined = hits.join(scores.select("chunk_id", "relevance"), "chunk_id", "left").select("query_id", "chunk_id", *others, F.coalesce("relevance", own).alias("score"))
     return top(joined, n)
 
 
@@ -124,52 +150,12 @@ def clear_embeddings(chunks: DataFrame, projects: DataFrame) -> DataFrame:
     return out.withColumn("embedded", F.col("embedding").isNotNull())
 
 
-def retrieval_eval(hits: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per query with truth: hits found, truth size, recall and rank of the first hit."""
-    judged = truth.join(hits.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")
-    return judged.groupBy("query_id").agg(F.count(F.lit(1)).alias("truth"), F.count("rank").alias("found"), (F.count("rank") / F.count(F.lit(1))).alias("recall"), F.min("rank").alias("first_rank"))
-
-
-def retrieval_summary(evaluated: DataFrame) -> DataFrame:
-    """N, recall, hit rate and mean reciprocal rank by difficulty and overall."""
-    rows = evaluated.rollup("difficulty").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("recall"), 6).alias("recall"),
-        F.round(F.avg((F.col("found") > 0).cast("double")), 6).alias("hit_rate"),
-        F.round(F.sum(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))) / F.count(F.lit(1)), 6).alias("mrr"),
-    )
-    return rows.withColumn("difficulty", F.coalesce("difficulty", F.lit("OVERALL")))
-
-
-def cosine_topk_ann(chunks: DataFrame, queries: DataFrame, k: int, least: float = 0.0, tables: int = 12, width: float = 0.7) -> DataFrame:
-    """Approximate ``cosine_topk`` without a group key: random projections of unit vectors, then exact scores.
-
-    Queries (query_id, vector) and chunks (chunk_id, embedding) meet where one of ``tables`` projections puts them
-    into the same interval of ``width``. Recall grows with the number of tables.
-    """
-    import math
-
-    import numpy as np
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-    normed = lambda df, c, i: df.where(F.col(c).isNotNull()).withColumn("n", F.sqrt(dot(c, c))).where("n > 0").select(i, array_to_vector(F.transform(unit(F.col(c)), lambda x: x / F.col("n"))).alias("unit"))
-    a, b = normed(chunks, "embedding", "chunk_id"), normed(queries, "vector", "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(a)
-    radius = float(math.sqrt(np.maximum(0.0, 2 - 2 * least)))
-    near = model.approxSimilarityJoin(a, b, radius, "distance")
-    scored = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") ** 2 / 2, 6).alias("score"))
-    return top(scored, k)
-
-
-def hybrid_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, dense: DataFrame, relevance: DataFrame, candidates: int = 50, final: int = 10) -> DataFrame:
-    """Sparse and dense candidates fused, hydrated, reranked, with snippets, for a table of queries."""
-    sparse = bm25_topk(chunks, queries, candidates)
-    fused = rrf_fuse([sparse, dense], candidates)
-    ranked = apply_rerank(fused, relevance, final)
-    hits = hydrate_hits(ranked, chunks, documents, sparse)
-    texts = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+def hybrid_search(sparse: DataFrame, dense: DataFrame, chunks: DataFrame, documents: DataFrame, queries: DataFrame, relevance: DataFrame, filters: DataFrame | None = None, candidates: int = 50, final: int = 10) -> DataFrame:
+    """Sparse and dense candidates, the former filtered, fused, hydrated, reranked, with snippets, for a table of queries."""
+    kept = sparse if filters is None else filter_sparse(sparse, dense, chunks, filters)
+    hits = hydrate_hits(rrf_fuse([kept, dense], candidates), chunks, documents, kept, dense)
+    ranked = apply_rerank(hits, relevance, final, "rrf_score")
+    texts = ranked.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
     return snippet(texts).drop("text", "query")
 
 

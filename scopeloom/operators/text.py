@@ -120,10 +120,18 @@ def observed_sections(tagged: DataFrame, taxonomy: DataFrame, active: DataFrame)
     return codes.join(taxonomy.select("code", "title"), "code", "left").select("code", "division", F.coalesce("title", F.concat(F.lit("Section "), "code")).alias("title"))
 
 
-def contextualize(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds contextualized_text: a header of file, page and chunk type, a line feed and the chunk's text."""
-    header = F.concat(F.lit("Document: "), "filename", F.lit(" page "), F.col("page_number").cast("string"), F.lit(" -> "), "chunk_type")
-    named = chunks.join(documents.select("document_id", "filename"), "document_id")
+def contextualize(chunks: DataFrame, documents: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Adds the sheet's sheet_id, sheet_title and discipline, and contextualized_text: a header, a line feed and the text.
+
+    ``sheets`` (document_id, page, ord, sheet_id, title, discipline) may name a page more than once; the first by ord counts.
+    The header names file, page, sheet, its title where that is another, the discipline, and the chunk type unless it is page_summary.
+    """
+    first = sheets.groupBy("document_id", F.col("page").alias("page_number")).agg(F.min_by(F.struct(F.nullif("sheet_id", F.lit("")).alias("sheet_id"), F.nullif("title", F.lit("")).alias("sheet_title"), "discipline"), "ord").alias("sheet"))
+    named = chunks.join(documents.select("document_id", "filename"), "document_id").join(first, ["document_id", "page_number"], "left").select(*[chunks[c] for c in chunks.columns], "filename", "sheet.*")
+    said = lambda before, c, after="": F.concat(F.lit(before), F.col(c).cast("string"), F.lit(after))
+    title = F.when(F.col("sheet_id").isNull() | (F.col("sheet_title") != F.col("sheet_id")), said("(", "sheet_title", ")"))
+    kind = F.when(F.col("chunk_type") != "page_summary", said("-> ", "chunk_type"))
+    header = F.concat_ws(" ", said("Document: ", "filename"), said("page ", "page_number"), said("sheet ", "sheet_id"), title, said("[", "discipline", "]"), kind)
     return named.withColumn("contextualized_text", F.concat(header, F.lit("\n"), F.coalesce("text", F.lit("")))).drop("filename")
 
 

@@ -7,9 +7,12 @@ its inputs with ``view(spark, sf_dir, name)``; its oracle starts with ``with_vie
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scopeloom.operators.grounding import PREFIX_DISCIPLINE
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -105,6 +108,16 @@ VIEWS["f_chunks"] = f"""
         SELECT {_CHUNK}, substring(text, CAST(chunk_index * 5600 + 1 AS BIGINT), 6000) AS text FROM (
             SELECT *, unnest(range(CASE WHEN length(text) <= 6000 THEN 1 ELSE CAST(ceil((length(text) - 6000) / 5600.0) AS BIGINT) + 1 END)) AS chunk_index FROM (
                 SELECT document_id, page_number, trim(text) AS text FROM ({VIEWS["f_pages"]}) p WHERE length(trim(text)) > 0) t) w"""
+#: Discipline of a sheet id, by its first letters.
+DISCIPLINE = "CASE WHEN starts_with(upper(trim(sheet_id)), 'FP') THEN 'fire-protection' ELSE CASE substring(upper(trim(sheet_id)), 1, 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PREFIX_DISCIPLINE.items() if len(k) == 1) + " END END"
+#: Chunks with their sheet and the text that is indexed.
+VIEWS["f_indexed"] = f"""
+        SELECT chunk_id, project_id, document_id, page_number, chunk_type, text, sheet_id, sheet_title, discipline,
+               concat_ws(' ', 'Document: file-' || document_id || '.pdf', 'page ' || page_number, 'sheet ' || sheet_id, CASE WHEN sheet_id IS NULL OR sheet_title <> sheet_id THEN '(' || sheet_title || ')' END,
+                         '[' || discipline || ']', CASE WHEN chunk_type <> 'page_summary' THEN '-> ' || chunk_type END) || chr(10) || coalesce(text, '') AS contextualized_text
+        FROM ({VIEWS["f_chunks"]}) c JOIN (SELECT doc_id AS document_id FROM documents) d USING (document_id)
+        LEFT JOIN (SELECT document_id, page_number, s.sheet_id, s.sheet_title, s.discipline FROM (
+            SELECT document_id, page AS page_number, min_by(struct_pack(sheet_id := nullif(sheet_id, ''), sheet_title := nullif(title, ''), discipline := {DISCIPLINE}), ord) AS s FROM ({VIEWS["f_sheets"]}) x GROUP BY ALL) y) z USING (document_id, page_number)"""
 #: Bids of a project are extracted in two runs, the later of which is its latest.
 VIEWS["f_bid_runs"] = """
         SELECT project_id * 10 + k AS bid_run_id, project_id, k AS started_at, project_id % 4 AS scope_run_id FROM (SELECT DISTINCT o_custkey % 50 AS project_id FROM orders) p CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) v"""
@@ -120,8 +133,27 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.selectExpr(*[c.strip() for c in re.split(r",(?![^(]*\))", _CHUNK)], "chunk AS text")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from scopeloom.operators.grounding import discipline_of_sheet
+    from scopeloom.operators.text import contextualize
+
+    sheets = view(spark, sf_dir, "f_sheets").withColumn("discipline", discipline_of_sheet(F.col("sheet_id")))
+    return contextualize(view(spark, sf_dir, "f_chunks"), view(spark, sf_dir, "f_documents"), sheets)
+
+
 #: Views that Spark builds with the library's own operators; their SQL is the oracle's.
-BUILT = {"f_chunks": _chunks}
+BUILT = {"f_chunks": _chunks, "f_indexed": _indexed}
+
+
+def folder(spark: SparkSession) -> str:
+    """A fresh folder below the session's shared one."""
+    from scopeloom.functions.graph import checkpointed
+
+    checkpointed(spark.range(1))  # sets one in a local session without
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

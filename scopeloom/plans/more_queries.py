@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from scopeloom.functions.graph import checkpointed
+from scopeloom.operators import ann as A
 from scopeloom.operators import clustering as C
 from scopeloom.operators import evaluation as V
 from scopeloom.operators import evidence as E
@@ -14,19 +13,12 @@ from scopeloom.operators import grounding as G
 from scopeloom.sources import ingest as I
 from scopeloom.operators import retrieval as R
 from scopeloom.operators import schedules as S
-from scopeloom.plans.fixtures import view, with_views
+from scopeloom.plans.fixtures import folder, view, with_views
 from scopeloom.plans.registry import register
 from scopeloom.plans.text_queries import _BM25, _sparse, _vectors
 from scopeloom.streaming import jobs
 
 
-def _folder(spark) -> str:
-    """A fresh folder below the session's shared one."""
-    checkpointed(spark.range(1))  # sets one in a local session without
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @register("ingest_documents", "SELECT doc_id AS id, coalesce(strlen(text), 0)::BIGINT AS size, sha256(text) AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'application/pdf' ELSE 'text/plain' END AS mime, CASE WHEN coalesce(strlen(text), 0) = 0 THEN 'empty' WHEN strlen(text) > 8000 THEN 'too_large' END AS refused FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '%PDF' || text ELSE text END AS text FROM documents)")
 def ingest_documents(spark, sf):
     files = view(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.expr("CAST(CASE WHEN doc_id % 5 = 0 THEN '%PDF' || text ELSE text END AS BINARY)").alias("content"), F.lit("text/plain").alias("declared"))
@@ -91,7 +83,7 @@ def parse_revision_payload(spark, sf):
 
 @register("replace_partitions", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS version FROM orders")
 def replace_partitions(spark, sf):
-    orders, path = view(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), _folder(spark)
+    orders, path = view(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), folder(spark)
     I.replace_partitions(orders.withColumn("version", F.lit(1)), path, ["o_orderstatus"])
     I.replace_partitions(orders.where("o_orderstatus = 'F'").withColumn("version", F.lit(2)), path, ["o_orderstatus"])
     return spark.read.parquet(path)
@@ -105,7 +97,7 @@ def copy_live_rows(spark, sf):
 
 @register("export_supervised_jsonl", "WITH p AS (SELECT conv_id % 4 AS project_id, role, text, lead(text) OVER w AS a, lead(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT project_id, count(*) AS total, count(*) FILTER (text IS NOT NULL AND r = 'assistant' AND a IS NOT NULL) AS written FROM p WHERE role = 'user' GROUP BY project_id")
 def export_supervised_jsonl(spark, sf):
-    return I.export_supervised_jsonl(I.conversation_pairs(view(spark, sf, "conversations")), _folder(spark))
+    return I.export_supervised_jsonl(I.conversation_pairs(view(spark, sf, "conversations")), folder(spark))
 
 
 def _schedules(spark, sf):
@@ -255,26 +247,7 @@ def legend_candidates(spark, sf):
 @register("cosine_topk_ann")
 def cosine_topk_ann(spark, sf):
     e, q = _vectors(spark, sf)
-    return R.cosine_topk_ann(e, q, 10)
-
-
-_DENSE = """, v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), ds AS (SELECT query_id, chunk_id, round(list_dot_product(c.x, q.x) / (sqrt(list_dot_product(c.x, c.x)) * sqrt(list_dot_product(q.x, q.x))), 6) AS score FROM f_queries f JOIN v q ON q.vec_id = query_id JOIN f_chunks k USING (project_id) JOIN v c ON c.vec_id = chunk_id),
-dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds QUALIFY rank <= 50),
-u AS (SELECT query_id, chunk_id, rank FROM sparse UNION ALL SELECT * FROM dense), fu AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL),
-fused AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu QUALIFY rank <= 50),
-rr AS (SELECT query_id, chunk_id, coalesce(quality * 0.6 + 0.2, score) AS s FROM fused LEFT JOIN labels ON doc_id = chunk_id), top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM rr QUALIFY rank <= 10)"""
-
-
-@register("hybrid_search", with_views("f_chunks", "f_queries", "f_documents") + _BM25.replace("rank <= 20", "rank <= 50") + _DENSE + " SELECT query_id, chunk_id, t.rank, c.document_id, page_number, chunk_type, filename, coalesce(s.score, 0.0) AS sparse_score, length(c.text) AS n_chars FROM top t JOIN f_chunks c USING (chunk_id) LEFT JOIN f_documents d ON d.document_id = c.document_id LEFT JOIN sparse s USING (query_id, chunk_id)")
-def hybrid_search(spark, sf):
-    q = view(spark, sf, "f_queries")
-    vectors = view(spark, sf, "embeddings")
-    chunks = view(spark, sf, "f_chunks").join(vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
-    asked = q.select("project_id", "query_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
-    dense = R.cosine_topk(chunks, asked, 50, "project_id")
-    relevance = view(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("quality") * 0.6 + 0.2).alias("relevance"))
-    hits = R.hybrid_search(chunks, view(spark, sf, "f_documents"), q, dense, relevance)
-    return hits.join(chunks.select("chunk_id", F.length("text").alias("n_chars")), "chunk_id").drop("snippet")
+    return A.cosine_topk_ann(A.write_cells(e, folder(spark)), q, 10)
 
 
 _PHRASES = " UNION ALL ".join(f"SELECT n_nationkey % 4 AS project_id, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS division, '{k}' AS kind, '{p} the and ' || n_name AS text FROM nation" for k, p in (("materials", "materials products"), ("quantities", "quantities sizes count"), ("specs", "specification requirements")))
@@ -283,7 +256,7 @@ _PHRASES = " UNION ALL ".join(f"SELECT n_nationkey % 4 AS project_id, lpad(CAST(
 @register("multi_query_retrieve", with_views("f_chunks") + f", asked AS ({_PHRASES}), f_queries AS (SELECT project_id, project_id || '~' || division || '~' || kind AS query_id, text FROM asked)" + _BM25 + " SELECT CAST(split_part(query_id, '~', 1) AS BIGINT) AS project_id, split_part(query_id, '~', 2) AS division, chunk_id, string_agg(split_part(query_id, '~', 3), '+' ORDER BY split_part(query_id, '~', 3)) AS found_by, min(rank) AS best_rank FROM sparse GROUP BY ALL")
 def multi_query_retrieve(spark, sf):
     divisions = view(spark, sf, "nation").select((F.col("n_nationkey") % 4).cast("long").alias("project_id"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("division"), F.concat(F.lit("the and "), "n_name").alias("title"))
-    return R.multi_query_retrieve(divisions, view(spark, sf, "f_chunks"))
+    return R.multi_query_retrieve(divisions, view(spark, sf, "f_indexed").withColumn("text", F.col("contextualized_text")))
 
 
 @register("profile_pool", with_views("f_chunks", "f_queries") + _BM25 + """, u AS (SELECT project_id, chunk_id, 0 AS prio FROM f_chunks WHERE page_number = 1 UNION ALL SELECT project_id, chunk_id, 1 FROM f_chunks WHERE chunk_type = 'note' UNION ALL SELECT project_id, chunk_id, 2 FROM f_chunks WHERE chunk_id IN (SELECT chunk_id FROM sparse)),
@@ -302,15 +275,20 @@ def discipline_corpus(spark, sf):
     return R.discipline_corpus(chunks, sheets, divisions)
 
 
+#: An item's vector is one of three of its run and division, leaning a little to its own side.
+_VECTOR = "(item_id % 136 * 3 + item_id {} 136 % 3) % 500"
+
+
 def _described(spark, sf):
-    """Items with a vector for their description, that of the embedding whose number their own leaves over; similar ones exist in each run."""
-    vectors = view(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), F.slice("embedding", 1, 4).alias("embedding"))
-    return view(spark, sf, "f_items").withColumn("v", F.col("item_id") % 500).join(vectors, "v").drop("v")
+    vectors = view(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    items = view(spark, sf, "f_items").withColumn("v", F.expr(_VECTOR.format("DIV"))).join(vectors, "v").drop("v")
+    leaning = "concat(array(CAST(embedding[0] AS DOUBLE) * (1 + CAST(item_id % 11 AS DOUBLE) / 10)), CAST(slice(embedding, 2, size(embedding)) AS ARRAY<DOUBLE>))"
+    return items.withColumn("embedding", F.expr(leaning)).withColumn("group", F.concat(F.col("run_id").cast("string"), F.col("division")))
 
 
-def _cluster_sql(group: str, least: float) -> str:
+def _cluster_sql(group: str, least: float, id: str = "item_id", where: str = "true") -> str:
     """Greedy leaders in order of ids, one row of each group after the other."""
-    return f""", e AS MATERIALIZED (SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, 4) AS x FROM embeddings), r AS MATERIALIZED (SELECT item_id AS id, {group} AS g, x, row_number() OVER (PARTITION BY {group} ORDER BY item_id) AS n FROM f_items JOIN e ON vec_id = item_id % 500),
+    return f""", e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), r AS MATERIALIZED (SELECT {id} AS id, {group} AS g, list_concat([x[1] * (1 + CAST(item_id % 11 AS DOUBLE) / 10)], x[2:]) AS x, row_number() OVER (PARTITION BY {group} ORDER BY {id}) AS n FROM f_items JOIN e ON vec_id = {_VECTOR.format("//")} WHERE {where}),
 near AS MATERIALIZED (SELECT b.g, b.n, b.id, coalesce(list(a.id ORDER BY a.id) FILTER (a.id IS NOT NULL), []) AS near FROM r b LEFT JOIN r a ON a.g = b.g AND a.n < b.n AND list_dot_product(a.x, b.x) >= {least} * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x)) GROUP BY ALL),
 step AS (SELECT g, n, id, id AS leader, [id] AS leaders FROM near WHERE n = 1 UNION ALL
 SELECT b.g, b.n, b.id, coalesce([y FOR y IN s.leaders IF list_contains(b.near, y)][1], b.id), CASE WHEN list_has_any(s.leaders, b.near) THEN s.leaders ELSE list_append(s.leaders, b.id) END FROM step s JOIN near b ON b.g = s.g AND b.n = s.n + 1),
@@ -324,45 +302,50 @@ def _recursive(*names: str) -> str:
 _CODES = "CAST(run_id AS STRING) || division"
 
 
-def _clusters(spark, sf, least, group):
-    rows = _described(spark, sf).select(F.col("item_id").alias("id"), F.expr(group).alias("g"), "embedding")
-    return C.cluster_by_similarity(rows, least, "g")
+def _clusters(spark, sf):
+    return C.cluster_by_similarity(_described(spark, sf).select(F.col("item_id").alias("id"), "group", "embedding"), C.WITHIN_CODE, "group")
 
 
 @register("cluster_by_similarity", _recursive("f_items") + _cluster_sql(_CODES, C.WITHIN_CODE) + " SELECT id, leader FROM clusters")
 def cluster_by_similarity(spark, sf):
-    return _clusters(spark, sf, C.WITHIN_CODE, _CODES)
+    return _clusters(spark, sf)
 
 
-@register("dedupe_items", _recursive("f_items") + _cluster_sql(_CODES, C.WITHIN_CODE) + """, m AS (SELECT coalesce(leader, item_id) AS leader, i.* FROM f_items i LEFT JOIN clusters ON id = item_id)
-SELECT leader, max_by(description, length(description) * 10000000 - item_id) AS description, min_by(quantity, item_id) FILTER (quantity IS NOT NULL) AS quantity, min_by(unit, item_id) FILTER (unit IS NOT NULL) AS unit, max(confidence) AS confidence, count(*) AS members FROM m GROUP BY leader""")
+@register("dedupe_items", _recursive("f_items", "f_citations") + _cluster_sql(_CODES, C.WITHIN_CODE) + """, m AS (SELECT coalesce(leader, item_id) AS leader, i.* FROM f_items i LEFT JOIN clusters ON id = item_id),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY leader ORDER BY length(description) DESC, coalesce(specification, '') DESC, item_id) = 1), u AS (SELECT leader, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) AS ids FROM (SELECT DISTINCT leader, chunk_id FROM m JOIN f_citations USING (item_id)) GROUP BY leader),
+f AS (SELECT leader, min_by(specification, item_id) FILTER (specification <> '') AS specification, min_by(quantity, item_id) FILTER (quantity <> '') AS quantity, min_by(unit, item_id) FILTER (unit <> '') AS unit, max(confidence) AS confidence, count(*) AS members, string_agg(DISTINCT extraction_method, '+' ORDER BY extraction_method) AS found_by FROM m GROUP BY leader)
+SELECT leader, b.description, coalesce(nullif(b.specification, ''), f.specification) AS specification, coalesce(nullif(b.quantity, ''), f.quantity) AS quantity, coalesce(nullif(b.unit, ''), f.unit) AS unit, f.confidence, members, found_by, md5(coalesce(ids, '')) AS chunks FROM f JOIN best b USING (leader) LEFT JOIN u USING (leader)""")
 def dedupe_items(spark, sf):
-    return C.dedupe_items(view(spark, sf, "f_items"), _clusters(spark, sf, C.WITHIN_CODE, _CODES))
+    merged = C.dedupe_items(view(spark, sf, "f_items"), _clusters(spark, sf), view(spark, sf, "f_citations").select("item_id", "chunk_id"))
+    return merged.withColumn("chunks", F.md5(F.array_join("chunk_ids", ",").cast("binary"))).drop("chunk_ids")
 
 
-_MERGED = ", m AS (SELECT division, item_id, description, CASE WHEN extraction_method = 'schedule_miner' THEN 1 ELSE 0 END AS mined, row_number() OVER (PARTITION BY division, lower(trim(description)) ORDER BY CASE WHEN extraction_method = 'schedule_miner' THEN 1 ELSE 0 END, item_id) AS n FROM f_items WHERE extraction_method = 'schedule_miner' OR (extraction_method IN ('eve', 'section') AND CAST(division AS INT) % 3 <> 0))"
+_LATER = f"item_id + CASE WHEN extraction_method = 'schedule_miner' THEN {C.LATER} ELSE 0 END"
 
 
-@register("merge_extractors", with_views("f_items") + _MERGED + ", d AS (SELECT division, bool_or(mined = 0) AS emitted FROM m GROUP BY division) SELECT division, item_id, CASE WHEN mined = 0 THEN 'extracted' WHEN emitted THEN 'appended' ELSE 'new_division' END AS origin FROM m JOIN d USING (division) WHERE n = 1")
+@register("merge_extractors", _recursive("f_items") + _cluster_sql(_CODES, C.WITHIN_CODE, _LATER) + f""", p AS (SELECT id, leader, division FROM clusters JOIN f_items ON item_id = id % {C.LATER}), t AS (SELECT division, count(*) AS candidates, bool_or(id < {C.LATER}) AS emitted FROM p GROUP BY division)
+SELECT leader % {C.LATER} AS item_id, division, CASE WHEN leader < {C.LATER} THEN 'extracted' WHEN emitted THEN 'appended' ELSE 'new_division' END AS origin, count(*) AS members, candidates FROM p JOIN t USING (division) GROUP BY ALL""")
 def merge_extractors(spark, sf):
-    items = view(spark, sf, "f_items")
-    extracted = items.where("extraction_method IN ('eve', 'section') AND CAST(division AS INT) % 3 <> 0")
-    return G.merge_extractors(extracted, items.where("extraction_method = 'schedule_miner'")).select("division", "item_id", "origin")
+    items = _described(spark, sf)
+    mined = F.col("extraction_method") == "schedule_miner"
+    return C.merge_extractors(items.where(~mined), items.where(mined))
 
 
-@register("conflict_cross_division", _recursive("f_items") + _cluster_sql("CAST(run_id AS STRING)", C.ACROSS_CODES) + " SELECT leader, count(*) AS members, count(DISTINCT division) AS divisions FROM clusters JOIN f_items ON item_id = id GROUP BY leader HAVING count(*) >= 2 AND count(DISTINCT division) >= 2")
+@register("conflict_cross_division", _recursive("f_items") + _cluster_sql("CAST(run_id AS STRING)", C.ACROSS_CODES, where=f"extraction_method NOT IN ('eve:admin', 'eve:qc') AND NOT regexp_matches(description, '(?i)\\b(?:{E.ADMIN_WORDS})\\b')") + " SELECT leader, count(*) AS members, count(DISTINCT division) AS divisions FROM clusters JOIN f_items ON item_id = id GROUP BY leader HAVING count(*) >= 2 AND count(DISTINCT division) >= 2")
 def conflict_cross_division(spark, sf):
-    return C.conflict_cross_division(_clusters(spark, sf, C.ACROSS_CODES, "CAST(run_id AS STRING)"), view(spark, sf, "f_items"))
+    return C.conflict_cross_division(_described(spark, sf).withColumn("group", F.col("run_id").cast("string")))
 
 
-@register("canonicalize_vendors", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, label AS project_id, CASE WHEN vec_id % 5 = 0 THEN 'V' || vec_id % 100 ELSE 'Vendor ' || vec_id END AS name, list_slice(CAST(embedding AS DOUBLE[]), 1, 4) AS x FROM embeddings),
+#: Three names of a project after another share a vector, of which each leans to its own side.
+@register("canonicalize_vendors", f"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS MATERIALIZED (SELECT a.vec_id AS id, a.vec_id // 3 % 10 AS project_id, CASE WHEN a.vec_id % 5 = 0 THEN 'V' || a.vec_id % 100 ELSE 'Vendor ' || a.vec_id END AS name, list_concat([b.x[1] * (1 + CAST(a.vec_id % 3 AS DOUBLE) / 10)], b.x[2:]) AS x FROM v a JOIN v b ON b.vec_id = a.vec_id - a.vec_id % 3),
 l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM e a JOIN e b USING (project_id) WHERE a.id <> b.id AND list_dot_product(a.x, b.x) >= {C.SAME_VENDOR} * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))),
 reach AS (SELECT id AS a, id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b), c AS (SELECT a AS id, min(b) AS label FROM reach GROUP BY a),
 k AS (SELECT c.id, name, label, row_number() OVER (PARTITION BY label ORDER BY CAST(upper(name) = name AND length(replace(name, ' ', '')) <= 4 AS INT), length(name) DESC, name DESC) AS n FROM c JOIN e USING (id)) SELECT k.id, k.name, b.name AS canonical FROM k JOIN k b ON b.label = k.label AND b.n = 1""")
 def canonicalize_vendors(spark, sf):
-    name = F.expr("CASE WHEN vec_id % 5 = 0 THEN 'V' || CAST(vec_id % 100 AS STRING) ELSE 'Vendor ' || CAST(vec_id AS STRING) END")
-    names = view(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project_id"), name.alias("name"), F.slice("embedding", 1, 4).alias("embedding"))
-    return C.canonicalize_vendors(names)
+    own = view(spark, sf, "embeddings").selectExpr("vec_id AS id", "vec_id DIV 3 % 10 AS project_id", "CASE WHEN vec_id % 5 = 0 THEN 'V' || CAST(vec_id % 100 AS STRING) ELSE 'Vendor ' || CAST(vec_id AS STRING) END AS name", "vec_id - vec_id % 3 AS v")
+    names = own.join(view(spark, sf, "embeddings").select(F.col("vec_id").alias("v"), "embedding"), "v").drop("v")
+    return C.canonicalize_vendors(names.withColumn("embedding", F.expr("concat(array(CAST(embedding[0] AS DOUBLE) * (1 + CAST(id % 3 AS DOUBLE) / 10)), CAST(slice(embedding, 2, size(embedding)) AS ARRAY<DOUBLE>))")))
 
 
 _VERDICTS = "WITH v AS (SELECT doc_id // 10 AS fixture_id, doc_id AS rank, quality = 1 AS relevant FROM labels)"
@@ -427,6 +410,6 @@ def stream_activity(spark, sf):
 
 @register("stream_index", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)*')) AS tokens FROM documents")
 def stream_index(spark, sf):
-    root = _folder(spark)
+    root = folder(spark)
     jobs.stream_index(spark, f"{sf}/documents.parquet*", f"{root}/index", f"{root}/checkpoint", "doc_id bigint, text string").awaitTermination()
     return spark.read.parquet(f"{root}/index").groupBy("doc_id").agg(F.sum("tf").alias("tokens"))

@@ -77,17 +77,6 @@ def test_bm25_matches_a_loop(spark):
     assert retrieval.bm25_topk(chunks.limit(0), queries, 5).count() == 0
 
 
-def test_ann_recall(spark):
-    rng = random.Random(2)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)]
-    queries = [(q, [x + rng.gauss(0, 0.05) for x in rows[q][1]]) for q in range(0, 300, 20)]
-    chunks = spark.createDataFrame([(1, i, v) for i, v in rows], "g int, chunk_id int, embedding array<float>")
-    asked = spark.createDataFrame([(1, q, v) for q, v in queries], "g int, query_id int, vector array<float>")
-    exact = {(r.query_id, r.chunk_id) for r in retrieval.cosine_topk(chunks, asked, 1, "g").collect()}
-    found = {(r.query_id, r.chunk_id) for r in retrieval.cosine_topk_ann(chunks, asked, 1, least=0.8).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
-
-
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
