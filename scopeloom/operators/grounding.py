@@ -191,10 +191,19 @@ def materialize_items(admitted: DataFrame, citations: DataFrame, taxonomy: DataF
     return items, kept.select("item_id", "chunk_id", "document_id", "page_number", evidence.alias("evidence_type"), "doc_type", "rerank", excerpt.alias("excerpt"))
 
 
-def audit_citations(judged: DataFrame) -> DataFrame:
-    """Citations by evidence type and verdict, with the share of all."""
-    total = F.sum(F.count(F.lit(1))).over(W.partitionBy())
-    return judged.groupBy("evidence_type", "reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.count(F.lit(1)) / total, 6).alias("share"))
+def audit_citations(items: DataFrame, judged: DataFrame) -> dict[str, DataFrame]:
+    """What the verdicts on stored citations (item_id, evidence_type, reason) would do to items (item_id, extraction_method).
+
+    drops: rejected citations by reason, alone and with evidence type or extraction method (null where summed over);
+    uncited: items that had citations and keep none; demoted: items that had spec and drawing evidence and keep
+    some, but not both. Citations of unknown items are not counted; missing types and methods are ``?``.
+    """
+    known = judged.join(items.select("item_id", F.coalesce("extraction_method", F.lit("?")).alias("extraction_method")), "item_id").withColumn("evidence_type", F.coalesce("evidence_type", F.lit("?")))
+    dropped = known.where("reason <> ''")
+    drops = dropped.groupingSets([["reason"], ["reason", "evidence_type"], ["reason", "extraction_method"]], "reason", "evidence_type", "extraction_method").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
+    has = lambda kind, kept="true": F.max(F.expr(f"evidence_type = '{kind}' AND {kept}"))
+    state = known.groupBy("item_id").agg(F.count_if(F.col("reason") == "").alias("kept"), (has("spec") & has("drawing")).alias("was_both"), (has("spec", "reason = ''") & has("drawing", "reason = ''")).alias("is_both"))
+    return {"drops": drops, "uncited": state.where("kept = 0").select("item_id"), "demoted": state.where("kept > 0 AND was_both AND NOT is_both").select("item_id")}
 
 
 def vote_rollup(votes: DataFrame) -> DataFrame:

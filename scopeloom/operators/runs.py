@@ -30,14 +30,6 @@ def review_queue(items: DataFrame, gaps: DataFrame, conflicts: DataFrame, low: f
     return kind(open_items, "item", "item_id").unionByName(kind(gaps.where("status = 'open'"), "gap", "gap_id")).unionByName(kind(conflicts.where("status = 'open'").select("run_id", "conflict_id").distinct(), "conflict", "conflict_id"))
 
 
-def apply_review_actions(state: DataFrame, actions: DataFrame) -> DataFrame:
-    """The last action (entity_id, seq, new_status) of an open entity sets its status; others stay."""
-    last = actions.groupBy("entity_id").agg(F.max_by("new_status", "seq").alias("new_status"))
-    joined = state.join(last, "entity_id", "left")
-    moved = (F.col("status") == "open") & F.col("new_status").isNotNull()
-    return joined.select("entity_id", F.when(moved, F.col("new_status")).otherwise(F.col("status")).alias("status"), F.coalesce(moved, F.lit(False)).alias("audited"))
-
-
 def lifecycle_check(events: DataFrame) -> DataFrame:
     """Whether each state (project_id, seq, state) may follow the one before; the same state again is a no-op."""
     before = F.lag("state").over(W.partitionBy("project_id").orderBy("seq"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +19,7 @@ def fuse_ocr(candidates: DataFrame, flag_at: float = 0.20) -> DataFrame:
     """Per page the longest non-blank text (else the longest); disagreement with the other provider.
 
     ``candidates``: page_id, provider, text. Ties take the first provider in order. The disagreement is the
-    edit distance over the longer length, rounded to four places; null with one provider only. Beginnings and
-    ends in common cost no more than their length; what lies between is aligned whole.
+    edit distance over the longer length, rounded to four places; null with one provider only.
     """
     size = F.length(F.coalesce("text", F.lit("")))
     blank = (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).cast("int")
@@ -31,8 +31,8 @@ def fuse_ocr(candidates: DataFrame, flag_at: float = 0.20) -> DataFrame:
         F.max(F.when(F.col("rank") == 2, F.coalesce("text", F.lit("")))).alias("other"),
     )
     longer = F.greatest(F.length("text"), F.length("other"))
-    gap = F.when(F.col("other").isNotNull(), F.when(longer == 0, F.lit(0.0)).otherwise(F.round(edit_distance(F.col("text"), F.col("other")) / longer, 4)))
-    return pair.select("page_id", "provider", "text", gap.alias("disagreement"), F.coalesce(gap >= flag_at, F.lit(False)).alias("flagged"))
+    gap = F.when(F.col("other").isNotNull(), F.when(longer == 0, F.lit(0.0)).otherwise(F.round(F.col("edits") / longer, 4)))
+    return with_edit_distance(pair, "text", "other", "edits").select("page_id", "provider", "text", gap.alias("disagreement"), F.coalesce(gap >= flag_at, F.lit(False)).alias("flagged"))
 
 
 def _common_prefix(a: Column, b: Column, steps: int = 28) -> Column:
@@ -42,13 +42,59 @@ def _common_prefix(a: Column, b: Column, steps: int = 28) -> Column:
     return F.least(found, F.length(a), F.length(b))
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance; beginning and end in common are taken off first, which changes nothing."""
-    front = _common_prefix(a, b)
-    rest = F.struct(F.substring(a, front + 1, F.length(a)).alias("a"), F.substring(b, front + 1, F.length(b)).alias("b"))
-    inner = F.transform(F.array(rest), lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), _common_prefix(F.reverse(r["a"]), F.reverse(r["b"])).alias("n")))
-    cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
-    return F.transform(inner, lambda r: F.levenshtein(cut(r["a"], r["n"]), cut(r["b"], r["n"])))[0]
+#: Bands that the engine's own alignment tries before whole texts are aligned.
+BANDS = (64, 1024)
+
+
+def bit_distance(a: str, b: str) -> int:
+    """Levenshtein distance with one bit per character of the shorter text: rows of the alignment table as two integers.
+
+    Memory is a few integers of that many bits and one for each distinct character, time the product of the lengths over 64.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    held: dict[str, int] = {}
+    for i, c in enumerate(b):
+        held.setdefault(c, []).append(i)
+    masks = {}
+    for c, at in held.items():
+        bits = bytearray(len(b) // 8 + 1)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[c] = int.from_bytes(bits, "little")
+    every, last = (1 << len(b)) - 1, len(b) - 1
+    up, down, score = every, 0, len(b)
+    for c in a:
+        same = masks.get(c, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | (every & ~(flat | up)), up & flat
+        score += (plus >> last & 1) - (minus >> last & 1)
+        plus = (plus << 1 | 1) & every
+        up, down = (minus << 1 & every) | (every & ~(flat | plus)), plus & flat
+    return score
+
+
+def _whole_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else bit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def with_edit_distance(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds the Levenshtein distance of two columns, null where one is.
+
+    What both begin and end with is taken off, which changes nothing. The rest is aligned in a band of 64, then of 1,024
+    edits, whose memory and time follow the band; only pairs farther apart reach the bit-parallel alignment of whole texts.
+    """
+    front = _common_prefix(F.col(a), F.col(b))
+    rest = pairs.withColumns({"_a": F.substring(F.col(a), front + 1, F.length(a)), "_b": F.substring(F.col(b), front + 1, F.length(b))})
+    back = _common_prefix(F.reverse("_a"), F.reverse("_b"))
+    cut = lambda c: F.substring(F.col(c), F.lit(1), F.length(c) - F.col("_n"))
+    inner = rest.withColumn("_n", back).withColumns({"_a": cut("_a"), "_b": cut("_b")})
+    banded = F.coalesce(*[F.nullif(F.levenshtein("_a", "_b", n), F.lit(-1)) for n in BANDS])
+    inner = inner.withColumn("_d", banded)
+    far = lambda c: F.when(F.col("_d").isNull(), F.col(c))
+    return inner.withColumn(name, F.coalesce("_d", F.pandas_udf(_whole_distance, "int")(far("_a"), far("_b")))).drop("_a", "_b", "_n", "_d")
 
 
 def window_text(pages: DataFrame, size: int = 6000, overlap: int = 400) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scopeloom.operators import bids as B
+from scopeloom.operators import review as V
 from scopeloom.operators import runs as R
 from scopeloom.plans.fixtures import view, with_views
 from scopeloom.plans.registry import register
@@ -122,12 +123,45 @@ def review_queue(spark, sf):
     return R.review_queue(*_v(spark, sf, "f_items", "f_gaps", "f_conflicts"))
 
 
-@register("apply_review_actions", with_views("f_gaps") + " SELECT gap_id AS entity_id, CASE WHEN status = 'open' AND gap_id % 3 = 0 THEN CASE WHEN gap_id % 2 = 0 THEN 'acknowledged' ELSE 'resolved' END ELSE status END AS status, status = 'open' AND gap_id % 3 = 0 AS audited FROM f_gaps")
+#: Actions on conflicts, gaps and items, some of which do not exist; winners are members or not.
+_ACTIONS = """SELECT event_id AS seq, user_id AS actor, CASE event_id % 3 WHEN 0 THEN 'resolve' WHEN 1 THEN 'acknowledge' ELSE 'reclassify' END AS action,
+CASE event_id % 3 WHEN 0 THEN event_id % 210 WHEN 1 THEN event_id % 999 ELSE event_id % 220 END AS entity_id, CASE WHEN event_id % 3 = 0 THEN event_id % 210 + 200 * (user_id % 3) END AS winner,
+CASE WHEN event_id % 3 = 2 THEN lpad(CAST(event_id % 37 AS STRING), 2, '0') || '-' || lpad(CAST(user_id % 50 AS STRING), 2, '0') || '-' || CAST(user_id % 3 AS STRING) || '0' END AS new_code FROM events"""
+_STATE = f""", actions AS MATERIALIZED ({_ACTIONS}), m AS (SELECT DISTINCT conflict_id AS entity_id, item_id AS winner FROM f_conflicts), k AS (SELECT DISTINCT conflict_id AS entity_id, status FROM f_conflicts),
+rj AS (SELECT a.*, k.status, m.winner IS NOT NULL AS member, min(CASE WHEN k.status = 'open' AND m.winner IS NOT NULL THEN seq END) OVER (PARTITION BY a.entity_id) AS first FROM actions a LEFT JOIN k USING (entity_id) LEFT JOIN m ON m.entity_id = a.entity_id AND m.winner = a.winner WHERE action = 'resolve'),
+rn AS (SELECT *, CASE WHEN seq > first THEN 'resolved' ELSE status END AS now FROM rj), ra AS (SELECT seq, 'conflict' AS entity_type, entity_id, CASE WHEN status IS NULL THEN 'not_found' WHEN now <> 'open' THEN 'already_' || now WHEN NOT member THEN 'not_a_member' ELSE 'applied' END AS outcome, now AS before, 'resolved:' || winner AS after FROM rn),
+ga AS (SELECT seq, 'gap' AS entity_type, entity_id, CASE WHEN gap_id IS NULL THEN 'not_found' ELSE 'applied' END AS outcome, CASE WHEN gap_id IS NOT NULL AND row_number() OVER (PARTITION BY entity_id ORDER BY seq) > 1 THEN 'acknowledged' ELSE status END AS before, 'acknowledged' AS after FROM actions LEFT JOIN f_gaps ON gap_id = entity_id WHERE action = 'acknowledge'),
+ti AS (SELECT code, min_by(title, ord) AS title FROM f_taxonomy GROUP BY code), want AS (SELECT *, regexp_replace(new_code, '[^0-9]', '', 'g') AS digits FROM actions WHERE action = 'reclassify'), wn AS (SELECT *, substring(digits, 1, 2) || ' ' || substring(digits, 3, 2) || ' ' || substring(digits, 5, 2) AS canonical FROM want),
+near AS (SELECT canonical, t.code FROM (SELECT DISTINCT canonical FROM wn) w JOIN f_taxonomy t ON t.division = substring(canonical, 1, 2) QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY t.code = canonical DESC, substring(t.code, 4, 2) = substring(canonical, 4, 2) DESC, abs(CAST(replace(t.code, ' ', '') AS INT) - CAST(replace(canonical, ' ', '') AS INT)), ord) = 1),
+gr AS (SELECT wn.*, coalesce(near.code, wn.canonical) AS code, substring(wn.canonical, 1, 2) AS division FROM wn LEFT JOIN near USING (canonical)), its AS (SELECT item_id, code, division, ti.title AS section_title, review_status FROM f_items LEFT JOIN ti USING (code)),
+ij AS (SELECT seq, entity_id, item_id, gr.code AS to_code, gr.division AS to_division, ti.title AS to_title, gr.code || '|' || gr.division || '|' || coalesce(ti.title, '') AS after, its.code || '|' || its.division || '|' || coalesce(its.section_title, '') AS was FROM gr LEFT JOIN ti ON ti.code = gr.code LEFT JOIN its ON item_id = entity_id),
+ia AS (SELECT seq, 'scope_item' AS entity_type, entity_id, CASE WHEN item_id IS NULL THEN 'not_found' ELSE 'applied' END AS outcome, CASE WHEN item_id IS NOT NULL THEN coalesce(lag(after) OVER (PARTITION BY entity_id ORDER BY seq), was) END AS before, after FROM ij),
+audit AS (SELECT seq, entity_type, entity_id, outcome, before, CASE WHEN outcome = 'applied' THEN after END AS after FROM (SELECT * FROM ra UNION ALL SELECT * FROM ga UNION ALL SELECT * FROM ia))"""
+
+
+def _reviewed(spark, sf):
+    c = view(spark, sf, "f_conflicts")
+    titles = view(spark, sf, "f_taxonomy").groupBy("code").agg(F.min_by("title", "ord").alias("section_title"))
+    items = view(spark, sf, "f_items").select("item_id", "code", "division", "review_status").join(titles, "code", "left")
+    actions = spark.sql(_ACTIONS.replace("FROM events", "FROM {events}"), events=view(spark, sf, "events"))
+    return V.apply_review_actions(c.select("conflict_id", "status").distinct(), c.select("conflict_id", "item_id"), view(spark, sf, "f_gaps").select("gap_id", "status"), items, actions, view(spark, sf, "f_taxonomy"))
+
+
+@register("apply_review_actions", with_views("f_conflicts", "f_gaps", "f_items", "f_taxonomy") + _STATE + " SELECT * FROM audit")
 def apply_review_actions(spark, sf):
-    gaps = view(spark, sf, "f_gaps").select(F.col("gap_id").alias("entity_id"), "status")
-    acted = gaps.where("entity_id % 3 = 0")
-    actions = acted.select("entity_id", F.lit(1).alias("seq"), F.lit("resolved").alias("new_status")).unionByName(acted.where("entity_id % 2 = 0").select("entity_id", F.lit(2).alias("seq"), F.lit("acknowledged").alias("new_status")))
-    return R.apply_review_actions(gaps, actions)
+    return _reviewed(spark, sf)["audit"].drop("actor", "action")
+
+
+@register("reviewed_state", with_views("f_conflicts", "f_gaps", "f_items", "f_taxonomy") + _STATE + """, won AS (SELECT entity_id AS conflict_id, winner FROM rj WHERE seq = first), lost AS (SELECT DISTINCT item_id FROM f_conflicts JOIN won USING (conflict_id) WHERE item_id <> winner), last AS (SELECT item_id, max_by(struct_pack(c := to_code, d := to_division, t := to_title), seq) AS t FROM ij WHERE item_id IS NOT NULL GROUP BY item_id)
+SELECT 'conflict' AS kind, conflict_id AS id, coalesce('resolved:' || winner, status) AS state FROM (SELECT DISTINCT conflict_id, status FROM f_conflicts) LEFT JOIN won USING (conflict_id)
+UNION ALL SELECT 'gap', gap_id, CASE WHEN gap_id IN (SELECT entity_id FROM ga) THEN 'acknowledged' ELSE status END FROM f_gaps
+UNION ALL SELECT 'item', item_id, concat_ws('|', coalesce(t.c, code), coalesce(t.d, division), coalesce(CASE WHEN t IS NULL THEN section_title ELSE t.t END, ''), coalesce(CASE WHEN lost.item_id IS NOT NULL THEN 'rejected' ELSE review_status END, '')) FROM its LEFT JOIN last USING (item_id) LEFT JOIN lost USING (item_id)""")
+def reviewed_state(spark, sf):
+    out = _reviewed(spark, sf)
+    kind = lambda df, k, c, state: df.select(F.lit(k).alias("kind"), F.col(c).alias("id"), F.expr(state).alias("state"))
+    items = kind(out["items"], "item", "item_id", "concat_ws('|', code, division, coalesce(section_title, ''), coalesce(review_status, ''))")
+    conflicts = kind(out["conflicts"], "conflict", "conflict_id", "coalesce('resolved:' || winner_item, status)")
+    return conflicts.unionByName(kind(out["gaps"], "gap", "gap_id", "status")).unionByName(items)
 
 
 _STATES = "CASE event_id % 3 WHEN 0 THEN 'setup' WHEN 1 THEN 'open-for-bids' ELSE 'complete' END"

@@ -28,7 +28,8 @@ VIEWS = {
                     ELSE text END AS text FROM documents""",
     "f_ocr": """
         SELECT doc_id AS page_id, 'a' AS provider, text FROM documents
-        UNION ALL SELECT doc_id, 'b', substring(text, 1, CAST(floor(n_chars * (60 + doc_id % 40) / 100.0) AS INT)) FROM documents""",
+        UNION ALL SELECT doc_id, 'b', CASE WHEN n_chars > 4000 THEN substring(text, 1, CAST(floor(n_chars * (60 + doc_id % 40) / 100.0) AS INT)) WHEN doc_id % 10 = 3 THEN reverse(text)
+            ELSE 'scan ' || substring(text, 4, CAST(floor(n_chars * (30 + doc_id % 40) / 100.0) AS INT)) || ' ocr ' || substring(text, CAST(floor(n_chars * (34 + doc_id % 40) / 100.0) AS INT)) END FROM documents""",
     "f_queries": """
         SELECT item_id AS query_id, item_id % 4 AS project_id, text,
                CASE item_id % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'ambiguous' ELSE 'no_match' END AS difficulty FROM benchmark""",

@@ -163,9 +163,32 @@ def materialize_citations(spark, sf):
     return _materialized(spark, sf)[1].withColumn("excerpt", F.md5(F.col("excerpt").cast("binary")))
 
 
-@register("audit_citations", _CITED + " SELECT evidence_type, reason, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM j GROUP BY ALL")
+#: Citations judged on the words of an item's other chunk, so that some fail, some items lose a side and some all.
+_AUDITED = with_views("f_items", "f_citations") + """, w AS (SELECT item_id, description, evidence_type, CASE WHEN (item_id + chunk_id) % 4 = 0 THEN 'A' || item_id % 9 || '.1 PLAN' WHEN (item_id + chunk_id) % 4 = 1 THEN '' WHEN (item_id + chunk_id) % 4 = 2 THEN 'nothing that it has to say' ELSE description END AS text,
+CASE (item_id + chunk_id) % 4 WHEN 0 THEN 'HEADER_ONLY' WHEN 1 THEN 'EMPTY' WHEN 2 THEN 'LOW_OVERLAP' ELSE '' END AS reason, coalesce(extraction_method, '?') AS extraction_method FROM f_citations JOIN f_items USING (item_id) WHERE evidence_type <> 'bid' OR item_id % 5 = 0),
+b AS (SELECT item_id, count(*) FILTER (reason = '') AS kept, bool_or(evidence_type = 'spec') AND bool_or(evidence_type = 'drawing') AS was_both, bool_or(evidence_type = 'spec' AND reason = '') AND bool_or(evidence_type = 'drawing' AND reason = '') AS is_both FROM w GROUP BY item_id)"""
+
+
+def _audited(spark, sf):
+    items = view(spark, sf, "f_items")
+    cited = view(spark, sf, "f_citations").where("evidence_type <> 'bid' OR item_id % 5 = 0").join(items.select("item_id", "description"), "item_id")
+    text = F.expr("CASE (item_id + chunk_id) % 4 WHEN 0 THEN 'A' || item_id % 9 || '.1 PLAN' WHEN 1 THEN '' WHEN 2 THEN 'nothing that it has to say' ELSE description END")
+    return G.audit_citations(items, G.judge_citations(cited.withColumn("text", text)))
+
+
+@register("audit_citations", _AUDITED + " SELECT reason, evidence_type, extraction_method, grouping(reason, evidence_type, extraction_method) AS level, count(*) AS n FROM w WHERE reason <> '' GROUP BY GROUPING SETS ((reason), (reason, evidence_type), (reason, extraction_method))")
 def audit_citations(spark, sf):
-    return G.audit_citations(_judged(spark, sf))
+    return _audited(spark, sf)["drops"]
+
+
+@register("audit_uncited", _AUDITED + " SELECT item_id FROM b WHERE kept = 0")
+def audit_uncited(spark, sf):
+    return _audited(spark, sf)["uncited"]
+
+
+@register("audit_demoted", _AUDITED + " SELECT item_id FROM b WHERE kept > 0 AND was_both AND NOT is_both")
+def audit_demoted(spark, sf):
+    return _audited(spark, sf)["demoted"]
 
 
 @register("vote_rollup", with_views("f_votes") + """, s AS (SELECT candidate_id, accept, CASE WHEN coalesce(confidence, 0) = 0 THEN 0.5 ELSE confidence END AS c FROM f_votes)

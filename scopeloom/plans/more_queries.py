@@ -15,7 +15,7 @@ from scopeloom.operators import retrieval as R
 from scopeloom.operators import schedules as S
 from scopeloom.plans.fixtures import folder, view, with_views
 from scopeloom.plans.registry import register
-from scopeloom.plans.text_queries import _BM25, _sparse, _vectors
+from scopeloom.plans.text_queries import _BM25, _TAGGED, TOKENS, _sparse, _vectors
 from scopeloom.streaming import jobs
 
 
@@ -402,14 +402,37 @@ def compare_extractors(spark, sf):
     return V.compare_extractors(items.where("item_id % 3 <> 0"), items.where("item_id % 3 = 0"), ["eve", "section"])
 
 
-@register("stream_activity", "SELECT date_trunc('hour', ts) AS start, user_id % 8 AS project_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 6) AS cost FROM events GROUP BY ALL")
-def stream_activity(spark, sf):
-    events = view(spark, sf, "events").select("ts", (F.col("user_id") % 8).alias("project_id"), F.col("event_type").alias("status"), F.col("value").alias("cost"))
-    return jobs.activity_windows(events)
+#: Every tenth event that is more than a day older than the newest comes late, after the watermark.
+_LATE = "event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
 
 
-@register("stream_index", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)*')) AS tokens FROM documents")
+@register("stream_activity", f"""WITH e AS (SELECT * FROM events WHERE NOT ({_LATE})) SELECT date_trunc('hour', ts) AS start, user_id % 8 AS project_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 6) AS cost FROM e
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""")
+def stream_activity(spark, sf):
+    events, root = view(spark, sf, "events"), folder(spark)
+    newest = events.agg(F.max("ts").alias("newest"))
+    marked = events.join(F.broadcast(newest)).withColumn("late", F.expr("event_id % 10 = 0 AND ts < newest - INTERVAL 1 DAY"))
+    rows = marked.select("late", "ts", (F.col("user_id") % 8).alias("project_id"), F.col("event_type").alias("status"), F.col("value").alias("cost"))
+    for late in (False, True):
+        rows.where(F.col("late") == late).drop("late").write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema("ts timestamp_ntz, project_id bigint, status string, cost double").parquet(f"{root}/in")
+        jobs.stream_activity(source, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema("start timestamp, project_id bigint, events bigint, errors bigint, cost double").parquet(f"{root}/out")
+
+
+@register("stream_index", with_views("f_pages") + _TAGGED + r""", t AS (SELECT document_id, page_number, trim(text) AS text FROM f_pages WHERE length(trim(text)) > 0),
+w AS (SELECT *, unnest(range(CASE WHEN length(text) <= 6000 THEN 1 ELSE CAST(ceil((length(text) - 6000) / 5600.0) AS BIGINT) + 1 END)) AS i FROM t),
+c AS (SELECT document_id, csi_section, 'Document: file-' || document_id || '.pdf page ' || page_number || ' -> ' || CASE WHEN csi_section IS NULL THEN 'note' ELSE 'spec_section' END || chr(10) || substring(w.text, CAST(i * 5600 + 1 AS BIGINT), 6000) AS text FROM w JOIN tagged USING (document_id, page_number)),
+k AS (SELECT document_id, csi_section, """ + TOKENS + """ AS tokens FROM c) SELECT document_id, count(*) AS chunks, count(DISTINCT csi_section) AS sections, sum(len(tokens))::BIGINT AS tokens, sum(len(list_distinct(tokens)))::BIGINT AS postings FROM k GROUP BY document_id""")
 def stream_index(spark, sf):
-    root = folder(spark)
-    jobs.stream_index(spark, f"{sf}/documents.parquet*", f"{root}/index", f"{root}/checkpoint", "doc_id bigint, text string").awaitTermination()
-    return spark.read.parquet(f"{root}/index").groupBy("doc_id").agg(F.sum("tf").alias("tokens"))
+    pages, root = view(spark, sf, "f_pages"), folder(spark)
+    pages = pages.select((F.col("document_id") % 4).alias("project_id"), "document_id", F.concat(F.lit("file-"), F.col("document_id").cast("string"), F.lit(".pdf")).alias("filename"), F.lit(0).cast("long").alias("version"), "page_number", "text")
+    replaced = pages.where("document_id % 7 = 1")
+    stale = replaced.withColumn("text", F.lit("SECTION 99 99 00 of an older issue"))
+    # a first issue of some documents, the rest, and the issue that replaces the first
+    for rows in (stale.unionByName(pages.where("document_id % 7 = 0")), pages.where("document_id % 7 > 1"), replaced.withColumn("version", F.lit(1).cast("long")).unionByName(stale)):
+        rows.write.mode("append").parquet(f"{root}/in")
+        jobs.stream_index(spark, f"{root}/in", f"{root}/index", f"{root}/checkpoint").awaitTermination()
+    jobs.compact(spark, f"{root}/index")
+    chunks = jobs.live(spark, f"{root}/index", jobs.CHUNKS).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("csi_section").alias("sections"), F.sum("length").alias("tokens"))
+    return chunks.join(jobs.live(spark, f"{root}/index").groupBy("document_id").agg(F.count(F.lit(1)).alias("postings")), "document_id")

@@ -163,17 +163,6 @@ def test_no_rows(spark):
     assert schedules.unit_override(spark.createDataFrame([], "id int, type string, text string")).count() == 0
 
 
-def test_stream_index_replaces_documents(spark, tmp_path):
-    source, index, checkpoint = (str(tmp_path / x) for x in ("in", "index", "checkpoint"))
-    schema = "doc_id bigint, text string"
-    spark.createDataFrame([(1, "a b a"), (2, "c")], schema).coalesce(1).write.parquet(source)
-    jobs.stream_index(spark, source, index, checkpoint).awaitTermination()
-    spark.createDataFrame([(1, "d d"), (3, "e")], schema).coalesce(1).write.mode("append").parquet(source)
-    jobs.stream_index(spark, source, index, checkpoint).awaitTermination()
-    got = {(r.doc_id, r.term): r.tf for r in spark.read.parquet(index).collect()}
-    assert got == {(1, "d"): 2, (2, "c"): 1, (3, "e"): 1}
-
-
 def test_stream_activity_drops_late_rows(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "ts timestamp_ntz, project_id int, status string, cost double"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scopeloom.operators import ann, clustering, indexing, judging, retrieval
+from scopeloom.operators import ann, clustering, indexing, judging, retrieval, text
 
 
 def scores(corpus, terms):
@@ -152,3 +152,40 @@ def test_controls_have_no_recall(spark):
     assert out[2].recall is None and (out[3].recall, out[3].candidates, out[3].missing) == (0.0, 0, "z")
     s = {r.difficulty: r for r in judging.retrieval_summary(judging.retrieval_eval(queries, hits, keyed, truth).join(queries.select("query_id", "difficulty"), "query_id")).collect()}
     assert (s["OVERALL"].n, s["OVERALL"].controls, s["OVERALL"].mrr) == (2, 1, 0.25) and (s["b"].n, s["b"].controls) == (1, 1)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_edit_distance(spark):
+    rng = random.Random(6)
+    pairs = [("", ""), ("", "abc"), ("abc", "xabcx"), ("東京é", "東é京"), (None, "a")]
+    for _ in range(60):
+        a = "".join(rng.choices("abcé", k=rng.randint(0, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, 30)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.choice([0, 1])] = rng.choice(["", "x", "ab"])
+        pairs.append((a, "".join(b)))
+    pairs += [("ab" * 700, "ba" * 650 + "x" * 40), ("abc" * 900, "xyz" * 700)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in text.with_edit_distance(df, "a", "b", "d").collect():
+        assert r.d == (None if r.a is None else text.bit_distance(r.a, r.b))
+    for a, b in pairs[:-1]:
+        assert a is None or text.bit_distance(a, b) == plain_distance(a, b)
+
+
+def test_two_unlike_pages(spark):
+    """Pages of 100,000 characters with nothing in common but their alphabet: bounded memory, exact."""
+    rng = random.Random(7)
+    a, b = ("".join(rng.choices("abcdefgh ", k=100_000)) for _ in range(2))
+    rows = [(1, "x", a), (1, "y", b), (2, "x", a), (2, "y", a[:50_000] + "!" * 50 + a[50_030:]), (3, "x", a)]
+    out = {r.page_id: r for r in text.fuse_ocr(spark.createDataFrame(rows, "page_id int, provider string, text string")).select("page_id", "disagreement", "flagged").collect()}
+    assert out[1].flagged and out[1].disagreement == round(text.bit_distance(a, b) / 100_000, 4)
+    assert out[2].disagreement == round(50 / 100_020, 4) and out[3].disagreement is None
