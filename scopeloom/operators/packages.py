@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,6 +25,12 @@ PACKAGES = [
 ]
 
 
+#: Extraction methods of administrative and quality items, and words of gaps that speak of order.
+ADMIN, SEQUENCING = ":(admin|qc)$", "(?i)before|after|prior to|sequenc|coordinate|phase"
+# Sections that govern the schedule.
+SCHEDULE_SECTIONS = ("01 11 00", "01 12 00", "01 14 00", "01 32 16", "01 32 33", "01 32 50", "01 33 00", "01 35 00", "01 73 00", "01 77 00")
+
+
 def load_rule_dims(spark: SparkSession, rules=PACKAGES) -> DataFrame:
     """division → package; divisions are padded to two digits, and one that two packages claim is an error."""
     rows = [(d.zfill(2), key, label) for key, label, divisions in rules for d in divisions.split()]
@@ -35,14 +41,16 @@ def load_rule_dims(spark: SparkSession, rules=PACKAGES) -> DataFrame:
 
 
 def resolve_bundling(rules: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Overrides (division, package) claim their divisions; the rules fill the rest."""
+    """Overrides (division, package) claim their divisions; the rules fill the rest. Two overrides of one division are an error."""
     rest = rules.select("division", "package").join(overrides, "division", "left_anti")
-    return overrides.select("division", "package").unionByName(rest)
+    claimed = overrides.groupBy("division").agg(F.count(F.lit(1)).alias("n"), F.first("package").alias("package"))
+    once = F.when(F.col("n") == 1, F.col("package")).otherwise(F.raise_error(F.concat(F.lit("two overrides of division "), "division")))
+    return claimed.select("division", once.alias("package")).unionByName(rest)
 
 
 def bundle_items(items: DataFrame, bundling: DataFrame) -> DataFrame:
-    """Adds package; items of unmapped divisions go to ``unbundled-NN``. The map is a broadcast of a rule table."""
-    joined = items.join(F.broadcast(bundling.select("division", "package")), "division", "left")
+    """Adds package; items of unmapped divisions go to ``unbundled-NN``."""
+    joined = items.join(bundling.select("division", "package"), "division", "left")
     return joined.withColumn("package", F.coalesce("package", F.concat(F.lit("unbundled-"), "division")))
 
 
@@ -81,12 +89,17 @@ def ensure_action_verb(items: DataFrame) -> DataFrame:
 
 
 def sow_lines(items: DataFrame, citations: DataFrame) -> DataFrame:
-    """One Markdown line per item: ``- verb description (quantity) per sheets; per spec section code.``"""
-    sheets = citations.where("evidence_type = 'drawing'").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("sheet")), ", ").alias("sheets"))
+    """One Markdown line per item: ``- verb description (quantity unit) per sheets; per spec section code.``
+
+    A quantity is shown with its unit only, a unit also alone; the section where a specification is cited.
+    """
+    spec = F.max(F.col("evidence_type") == "spec").alias("spec")
+    sheets = citations.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("evidence_type") == "drawing", F.col("sheet")))), ", ").alias("sheets"), spec)
     joined = ensure_action_verb(items).join(sheets, "item_id", "left")
-    amount = F.when(F.col("quantity").isNotNull(), F.concat(F.lit(" ("), "quantity", F.lit(")"))).otherwise("")
-    per = F.when(F.col("sheets").isNotNull(), F.concat(F.lit(" per "), "sheets")).otherwise("")
-    return joined.select("item_id", "run_id", "code", F.concat(F.lit("- "), "line", amount, per, F.lit("; per spec section "), "code", F.lit(".")).alias("line"))
+    said = lambda c: F.nullif(c, F.lit(""))
+    amount = F.when(said("unit").isNotNull(), F.concat(F.lit(" ("), F.concat_ws(" ", said("quantity"), "unit"), F.lit(")"))).otherwise("")
+    refs = F.concat_ws("; ", F.concat(F.lit("per "), said("sheets")), F.when(F.col("spec") & F.col("code").isNotNull(), F.concat(F.lit("per spec section "), "code")))
+    return joined.select("item_id", "run_id", "code", F.concat(F.lit("- "), "line", amount, F.when(refs != "", F.concat(F.lit(" "), refs)).otherwise(""), F.lit(".")).alias("line"))
 
 
 def sow_summary(items: DataFrame, bundled: DataFrame, citations: DataFrame) -> DataFrame:
@@ -96,27 +109,28 @@ def sow_summary(items: DataFrame, bundled: DataFrame, citations: DataFrame) -> D
     return j.groupBy("run_id").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("division").alias("divisions"), F.count_distinct("package").alias("packages"), F.count_if("d").alias("drawing_cited"), F.count_if("s").alias("spec_cited"), F.count_if(F.col("d") & F.col("s")).alias("both_cited"))
 
 
-def sow_sections(items: DataFrame) -> DataFrame:
-    """Per run, division and section: work items, and admin or QC items."""
-    admin = F.col("extraction_method").rlike(":(admin|qc)$")
-    return items.groupBy("run_id", "division", "code").agg(F.count_if(~admin).alias("work_items"), F.count_if(admin).alias("admin_items"))
+def is_schedule_section(code: Column) -> Column:
+    return code.isin(*SCHEDULE_SECTIONS)
 
 
-def sow_coordination(conflicts: DataFrame, gaps: DataFrame, shown: int = 8) -> DataFrame:
-    """Per run: open conflicts, unresolved references, sequencing gaps shown and left over."""
-    c = conflicts.where("status = 'open'").groupBy("run_id").agg(F.count_distinct("conflict_id").alias("open_conflicts"))
-    sequencing = F.col("description").rlike(r"(?i)\b(before|after|prior to|sequence|coordinate)\b")
-    g = gaps.where("status = 'open'").groupBy("run_id").agg(F.count_if(F.col("gap_type") == "unresolved_cross_reference").alias("unresolved_refs"), F.count_if(sequencing).alias("n"))
-    both = c.join(g, "run_id", "full_outer").fillna(0)
-    return both.select("run_id", "open_conflicts", "unresolved_refs", F.least("n", F.lit(shown)).alias("shown"), F.greatest(F.col("n") - shown, F.lit(0)).cast("long").alias("more"))
+def sow_sections(items: DataFrame) -> DataFrame:
+    """Per run, division and section: work items, admin or QC items, all, and whether the section governs the schedule."""
+    admin = F.coalesce(F.col("extraction_method").rlike(ADMIN), F.lit(False))
+    return items.groupBy("run_id", "division", "code").agg(F.count_if(~admin).alias("work_items"), F.count_if(admin).alias("admin_items"), F.count(F.lit(1)).alias("used")).withColumn("schedule", is_schedule_section(F.col("code")))
 
 
-def sow_document(lines: DataFrame) -> DataFrame:
-    """One Markdown text per run: its lines in order of section and item, under a heading for each section."""
-    order = W.partitionBy("run_id").orderBy("code", "item_id")
-    headed = lines.withColumn("text", F.when(F.coalesce(F.lag("code").over(order) != F.col("code"), F.lit(True)), F.concat(F.lit("## "), "code", F.lit("\n"), "line")).otherwise(F.col("line")))
-    parts = headed.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("code", "item_id", "text"))).alias("p"))
-    return parts.select("run_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("markdown"))
+def sow_coordination(conflicts: DataFrame, gaps: DataFrame, exclusions: DataFrame, shown: int = 8) -> DataFrame:
+    """Per run: open conflicts, unresolved references, exclusions (run_id, n), sequencing gaps with the texts shown and how many more.
+
+    Sequencing gaps are blockers and warnings whose words speak of order; the first by id are shown.
+    """
+    c = conflicts.where("status = 'open'").groupBy("run_id").agg(F.count_distinct("conflict_id").alias("open_conflicts"))
+    waiting = F.col("severity").isin("blocker", "warn") & F.col("description").rlike(SEQUENCING)
+    g = gaps.groupBy("run_id").agg(F.count_if(F.col("gap_type") == "unresolved_cross_reference").alias("unresolved_refs"), F.count_if(waiting).alias("n"))
+    first = gaps.where(waiting).withColumn("rank", F.row_number().over(W.partitionBy("run_id").orderBy("gap_id"))).where(F.col("rank") <= shown)
+    texts = first.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "description"))), lambda x: x["description"]), " | ").alias("sequencing"))
+    both = c.join(g, "run_id", "full_outer").join(exclusions.select("run_id", F.col("n").alias("exclusions")), "run_id", "full_outer").fillna(0).join(texts, "run_id", "left")
+    return both.select("run_id", "open_conflicts", "unresolved_refs", "exclusions", F.least("n", F.lit(shown)).alias("shown"), F.greatest(F.col("n") - shown, F.lit(0)).cast("long").alias("more"), F.coalesce("sequencing", F.lit("")).alias("sequencing"))
 
 
 def gap_report(gaps: DataFrame, conflicts: DataFrame, items: DataFrame, cap: int = 200) -> DataFrame:
@@ -125,3 +139,20 @@ def gap_report(gaps: DataFrame, conflicts: DataFrame, items: DataFrame, cap: int
     c = conflicts.where("status = 'open'").groupBy("run_id").agg(F.count_distinct("conflict_id").alias("open_conflicts"))
     i = items.groupBy("run_id").agg(F.count_if(F.col("confidence") < 0.6).alias("low_confidence"))
     return i.join(g, "run_id", "left").join(c, "run_id", "left").fillna(0)
+
+
+def gap_report_rows(gaps: DataFrame, items: DataFrame, conflicts: DataFrame, gap_cap: int = 200, item_cap: int = 60) -> DataFrame:
+    """The lists of a run's report: run_id, kind, rank, subject, text; all conflicts, and gaps and low-confidence items up to a cap.
+
+    Gaps come by severity and id, items by id, conflicts by id. Texts are cut at 280 characters.
+    """
+    def ranked(df: DataFrame, kind: str, order: list, text: Column, cap: int | None) -> DataFrame:
+        out = df.withColumn("rank", F.row_number().over(W.partitionBy("run_id").orderBy(*order)))
+        out = out if cap is None else out.where(F.col("rank") <= cap)
+        return out.select("run_id", F.lit(kind).alias("kind"), "rank", F.col("subject").cast("string").alias("subject"), text.alias("text"))
+
+    g = ranked(gaps.withColumn("subject", F.col("gap_id")), "gap", ["severity", "gap_id"], F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.regexp_replace("gap_type", "_", " "), F.lit(": "), F.substring("description", 1, 280)), gap_cap)
+    low = items.where(F.col("confidence") < 0.6).withColumn("subject", F.col("item_id"))
+    i = ranked(low, "item", ["item_id"], F.concat("code", F.lit(" · "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%: "), F.substring("description", 1, 280)), item_cap)
+    c = conflicts.groupBy("run_id", "conflict_id").agg(F.min("status").alias("status"), F.count(F.lit(1)).alias("members")).withColumn("subject", F.col("conflict_id"))
+    return g.unionByName(i).unionByName(ranked(c, "conflict", ["conflict_id"], F.concat(F.lit("status="), "status", F.lit(" members="), F.col("members").cast("string")), None))

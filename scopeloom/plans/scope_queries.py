@@ -8,7 +8,8 @@ from scopeloom.operators import evidence as E
 from scopeloom.operators import gaps as G
 from scopeloom.operators import packages as P
 from scopeloom.operators import quantities as Q
-from scopeloom.plans.fixtures import view, with_views
+from scopeloom.operators import statement as D
+from scopeloom.plans.fixtures import folder, view, with_views
 from scopeloom.plans.grounding_queries import _RESOLVED
 from scopeloom.plans.registry import register
 
@@ -236,8 +237,8 @@ def ensure_action_verb(spark, sf):
     return P.ensure_action_verb(view(spark, sf, "f_items")).select("item_id", "line")
 
 
-_SOW = _LINE + """, sh AS (SELECT item_id, array_to_string(list_sort(list_distinct(list(sheet))), ', ') AS sheets FROM f_citations WHERE evidence_type = 'drawing' GROUP BY item_id),
-lines AS (SELECT item_id, run_id, code, '- ' || line || CASE WHEN quantity IS NOT NULL THEN ' (' || quantity || ')' ELSE '' END || CASE WHEN sheets IS NOT NULL THEN ' per ' || sheets ELSE '' END || '; per spec section ' || code || '.' AS line FROM l LEFT JOIN sh USING (item_id))"""
+_SOW = _LINE + """, sh AS (SELECT item_id, nullif(array_to_string(list_sort(list_distinct(list(sheet) FILTER (evidence_type = 'drawing'))), ', '), '') AS sheets, bool_or(evidence_type = 'spec') AS spec FROM f_citations GROUP BY item_id),
+lines AS (SELECT item_id, run_id, code, '- ' || line || CASE WHEN unit IS NOT NULL THEN ' (' || concat_ws(' ', quantity, unit) || ')' ELSE '' END || CASE WHEN concat_ws('; ', 'per ' || sheets, CASE WHEN spec THEN 'per spec section ' || code END) <> '' THEN ' ' || concat_ws('; ', 'per ' || sheets, CASE WHEN spec THEN 'per spec section ' || code END) ELSE '' END || '.' AS line FROM l LEFT JOIN sh USING (item_id))"""
 
 
 @register("sow_lines", with_views("f_items", "f_citations") + _SOW + " SELECT * FROM lines")
@@ -245,9 +246,51 @@ def sow_lines(spark, sf):
     return P.sow_lines(view(spark, sf, "f_items"), view(spark, sf, "f_citations"))
 
 
-@register("sow_document", with_views("f_items", "f_citations") + _SOW + ", h AS (SELECT *, CASE WHEN coalesce(lag(code) OVER (PARTITION BY run_id ORDER BY code, item_id) <> code, true) THEN '## ' || code || chr(10) ELSE '' END || line AS t FROM lines) SELECT run_id, md5(string_agg(t, chr(10) ORDER BY code, item_id)) AS digest FROM h GROUP BY run_id")
+def _statement_sql(key: str, items: str, gaps: str, conflicts: str, exclusions: str) -> str:
+    """Lines of statements in order; the tables named have the key as column k."""
+    standing = ", ".join(f"({n}, {k}, '{x}')" for n, k, x in [(n, -1, f"## {n}. {h}") for n, h in enumerate(D.HEADINGS, 1)] + [(n, k, x) for n, xs in D.STANDING.items() for k, x in enumerate(xs)])
+    codes = ", ".join(f"'{c}'" for c in P.SCHEDULE_SECTIONS)
+    return f""", it AS MATERIALIZED ({items}), ga AS ({gaps}), co AS ({conflicts}), ex AS ({exclusions}), std(n, i, x) AS (VALUES {standing}), ti AS (SELECT code, min_by(title, ord) AS title FROM f_taxonomy GROUP BY code),
+sd AS (SELECT item_id, bool_or(evidence_type = 'drawing') AS d, bool_or(evidence_type = 'spec') AS s FROM f_citations GROUP BY item_id),
+ks AS MATERIALIZED (SELECT k, min(project_id) AS p, count(*) AS n, count(DISTINCT division) AS dv, count(DISTINCT package) AS pk, count(*) FILTER (sd.d) AS d, count(*) FILTER (sd.s) AS s, count(*) FILTER (sd.d AND sd.s) AS b FROM it LEFT JOIN sd USING (item_id) GROUP BY k),
+ln AS MATERIALIZED (SELECT k, it.item_id, division, it.code, coalesce(title, '—') AS title, line, coalesce(regexp_matches(extraction_method, '{P.ADMIN}'), false) AS admin FROM it JOIN lines USING (item_id) LEFT JOIN ti ON ti.code = it.code),
+us AS (SELECT k, code, any_value(title) AS title, count(*) AS n FROM ln GROUP BY ALL), wa AS (SELECT k, gap_id, description, row_number() OVER (PARTITION BY k ORDER BY gap_id) AS r FROM ga WHERE severity IN ('blocker', 'warn') AND regexp_matches(description, '{P.SEQUENCING}')),
+al(k, section, place, spot, text) AS (SELECT k, n, '', i, x FROM (SELECT k FROM ks) CROSS JOIN std UNION ALL SELECT k, 1, '', -2, '# Scope of work' FROM ks UNION ALL SELECT k, 1, 'a', 0, '- Project: ' || p FROM ks UNION ALL SELECT k, 1, 'a', 1, '- Statement: ' || k FROM ks
+UNION ALL SELECT k, 2, 'a', 0, '- ' || n || ' items in ' || dv || ' divisions and ' || pk || ' packages.' FROM ks UNION ALL SELECT k, 2, 'a', 1, '- ' || d || ' cite drawings, ' || s || ' specifications, ' || b || ' both.' FROM ks
+UNION ALL SELECT DISTINCT k, 3, division, -1, '### Division ' || division FROM ln WHERE NOT admin UNION ALL SELECT DISTINCT k, 3, division || '/' || code, -1, '**' || code || ' — ' || title || '**' FROM ln WHERE NOT admin UNION ALL SELECT k, 3, division || '/' || code, item_id, line FROM ln WHERE NOT admin
+UNION ALL SELECT k, 4, 'a', 0, '- ' || n || ' more are named in bids.' FROM ex SEMI JOIN ks USING (k) UNION ALL SELECT k, 6, code, 0, '- **' || code || '** — ' || title || ' (' || n || ')' FROM us UNION ALL SELECT k, 7, 'a/' || code, 0, '- **' || code || '** — ' || title FROM us WHERE code IN ({codes})
+UNION ALL SELECT k, 7, 'b', r, '- ' || description FROM wa SEMI JOIN ks USING (k) WHERE r <= 8 UNION ALL SELECT k, 7, 'c', 0, '- and ' || (count(*) - 8) || ' more' FROM wa SEMI JOIN ks USING (k) GROUP BY k HAVING count(*) > 8
+UNION ALL SELECT DISTINCT k, 8, code, -1, '### ' || code || ' — ' || title FROM ln WHERE admin UNION ALL SELECT k, 8, code, item_id, line FROM ln WHERE admin UNION ALL SELECT k, 9, 'a', 0, '- ' || count(DISTINCT conflict_id) || ' open conflicts' FROM co SEMI JOIN ks USING (k) WHERE status = 'open' GROUP BY k
+UNION ALL SELECT k, 9, 'a', 1, '- ' || count(*) || ' references without a sheet' FROM ga SEMI JOIN ks USING (k) WHERE gap_type = 'unresolved_cross_reference' GROUP BY k)
+SELECT k AS sow_id, row_number() OVER (PARTITION BY k ORDER BY section, place, spot) AS n, text FROM al"""
+
+
+def _stated(spark, sf, items, gaps, conflicts, exclusions, key):
+    titles = view(spark, sf, "f_taxonomy").groupBy("code").agg(F.min_by("title", "ord").alias("title"))
+    lines, path = D.statement_lines(items, view(spark, sf, "f_citations"), gaps, conflicts, exclusions, titles, key), folder(spark)
+    D.write_statements(lines, path)
+    return D.read_statements(spark, path)
+
+
+_EXCLUDED = "SELECT CAST(run_id AS STRING) AS k, count(*) AS n FROM f_coverage WHERE status = 'excluded' GROUP BY run_id"
+
+
+@register("sow_document", with_views("f_items", "f_citations", "f_gaps", "f_conflicts", "f_coverage", "f_taxonomy") + _SOW + _BUNDLED + _statement_sql("run_id", "SELECT CAST(run_id AS STRING) AS k, * FROM bundled", "SELECT CAST(run_id AS STRING) AS k, * FROM f_gaps", "SELECT CAST(run_id AS STRING) AS k, * FROM f_conflicts", _EXCLUDED))
 def sow_document(spark, sf):
-    return P.sow_document(sow_lines(spark, sf)).select("run_id", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+    excluded = view(spark, sf, "f_coverage").where("status = 'excluded'").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return _stated(spark, sf, _bundled(spark, sf), view(spark, sf, "f_gaps"), view(spark, sf, "f_conflicts"), excluded, "run_id")
+
+
+_PACKED = "CAST(run_id AS STRING) || '/' || coalesce(package, 'unbundled-' || {0}.division)"
+
+
+@register("sow_packages", with_views("f_items", "f_citations", "f_gaps", "f_conflicts", "f_taxonomy") + _SOW + _BUNDLED + _statement_sql("k", "SELECT CAST(run_id AS STRING) || '/' || package AS k, * FROM bundled", f"SELECT {_PACKED.format('g')} AS k, g.* FROM f_gaps g LEFT JOIN rules USING (division)", "SELECT CAST(c.run_id AS STRING) || '/' || package AS k, c.* FROM f_conflicts c JOIN bundled USING (item_id)", "SELECT '' AS k, 0 AS n WHERE false"))
+def sow_packages(spark, sf):
+    named = lambda df: df.withColumn("k", F.concat(F.col("run_id").cast("string"), F.lit("/"), "package"))
+    items = named(_bundled(spark, sf))
+    gaps = named(P.bundle_items(view(spark, sf, "f_gaps"), P.load_rule_dims(spark)))
+    conflicts = view(spark, sf, "f_conflicts").join(items.select("item_id", "k"), "item_id")
+    return _stated(spark, sf, items, gaps, conflicts, spark.createDataFrame([], "k string, n bigint"), "k")
 
 
 @register("sow_summary", with_views("f_items", "f_citations") + _BUNDLED + """, s AS (SELECT item_id, bool_or(evidence_type = 'drawing') AS d, bool_or(evidence_type = 'spec') AS s FROM f_citations GROUP BY item_id)
@@ -256,16 +299,24 @@ def sow_summary(spark, sf):
     return P.sow_summary(view(spark, sf, "f_items"), _bundled(spark, sf), view(spark, sf, "f_citations"))
 
 
-@register("sow_sections", with_views("f_items") + " SELECT run_id, division, code, count(*) FILTER (NOT regexp_matches(extraction_method, ':(admin|qc)$')) AS work_items, count(*) FILTER (regexp_matches(extraction_method, ':(admin|qc)$')) AS admin_items FROM f_items GROUP BY ALL")
+@register("sow_sections", with_views("f_items") + f" SELECT run_id, division, code, count(*) FILTER (NOT regexp_matches(extraction_method, '{P.ADMIN}')) AS work_items, count(*) FILTER (regexp_matches(extraction_method, '{P.ADMIN}')) AS admin_items, count(*) AS used, code IN ({', '.join(repr(c) for c in P.SCHEDULE_SECTIONS)}) AS schedule FROM f_items GROUP BY ALL")
 def sow_sections(spark, sf):
     return P.sow_sections(view(spark, sf, "f_items"))
 
 
-@register("sow_coordination", with_views("f_conflicts", "f_gaps") + """, c AS (SELECT run_id, count(DISTINCT conflict_id) AS open_conflicts FROM f_conflicts WHERE status = 'open' GROUP BY run_id),
-g AS (SELECT run_id, count(*) FILTER (gap_type = 'unresolved_cross_reference') AS unresolved_refs, count(*) FILTER (regexp_matches(description, '(?i)\\b(before|after|prior to|sequence|coordinate)\\b')) AS n FROM f_gaps WHERE status = 'open' GROUP BY run_id)
-SELECT run_id, coalesce(open_conflicts, 0) AS open_conflicts, coalesce(unresolved_refs, 0) AS unresolved_refs, least(coalesce(n, 0), 8) AS shown, greatest(coalesce(n, 0) - 8, 0) AS more FROM c FULL JOIN g USING (run_id)""")
+@register("sow_coordination", with_views("f_conflicts", "f_gaps", "f_coverage") + f""", c AS (SELECT run_id, count(DISTINCT conflict_id) AS open_conflicts FROM f_conflicts WHERE status = 'open' GROUP BY run_id), w AS (SELECT run_id, description, row_number() OVER (PARTITION BY run_id ORDER BY gap_id) AS r FROM f_gaps WHERE severity IN ('blocker', 'warn') AND regexp_matches(description, '{P.SEQUENCING}')),
+n AS (SELECT run_id, count(*) AS n, string_agg(description, ' | ' ORDER BY r) FILTER (r <= 8) AS sequencing FROM w GROUP BY run_id), g AS (SELECT run_id, count(*) FILTER (gap_type = 'unresolved_cross_reference') AS unresolved_refs FROM f_gaps GROUP BY run_id), x AS (SELECT run_id, count(*) AS exclusions FROM f_coverage WHERE status = 'excluded' GROUP BY run_id)
+SELECT run_id, coalesce(open_conflicts, 0) AS open_conflicts, coalesce(unresolved_refs, 0) AS unresolved_refs, coalesce(exclusions, 0) AS exclusions, least(coalesce(n, 0), 8) AS shown, greatest(coalesce(n, 0) - 8, 0) AS more, coalesce(sequencing, '') AS sequencing FROM c FULL JOIN g USING (run_id) FULL JOIN x USING (run_id) LEFT JOIN n USING (run_id)""")
 def sow_coordination(spark, sf):
-    return P.sow_coordination(view(spark, sf, "f_conflicts"), view(spark, sf, "f_gaps"))
+    excluded = view(spark, sf, "f_coverage").where("status = 'excluded'").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return P.sow_coordination(view(spark, sf, "f_conflicts"), view(spark, sf, "f_gaps"), excluded)
+
+
+@register("gap_report_rows", with_views("f_items", "f_conflicts", "f_gaps") + """, g AS (SELECT run_id, 'gap' AS kind, row_number() OVER (PARTITION BY run_id ORDER BY severity, gap_id) AS rank, gap_id::VARCHAR AS subject, '[' || upper(severity) || '] ' || replace(gap_type, '_', ' ') || ': ' || substring(description, 1, 280) AS text FROM f_gaps QUALIFY rank <= 200),
+i AS (SELECT run_id, 'item', row_number() OVER (PARTITION BY run_id ORDER BY item_id) AS rank, item_id::VARCHAR, code || ' · ' || CAST(round(confidence * 100) AS INT) || '%: ' || substring(description, 1, 280) FROM f_items WHERE confidence < 0.6 QUALIFY rank <= 60),
+c AS (SELECT run_id, 'conflict', row_number() OVER (PARTITION BY run_id ORDER BY conflict_id) AS rank, conflict_id::VARCHAR, 'status=' || min(status) || ' members=' || count(*) FROM f_conflicts GROUP BY run_id, conflict_id) SELECT * FROM g UNION ALL SELECT * FROM i UNION ALL SELECT * FROM c""")
+def gap_report_rows(spark, sf):
+    return P.gap_report_rows(view(spark, sf, "f_gaps"), view(spark, sf, "f_items"), view(spark, sf, "f_conflicts"))
 
 
 @register("gap_report", with_views("f_items", "f_conflicts", "f_gaps") + """, g AS (SELECT run_id, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'warn') AS warns, least(count(*), 200) AS listed FROM f_gaps WHERE status = 'open' GROUP BY run_id),
