@@ -55,16 +55,33 @@ def eval_run(metrics: DataFrame, names: list[str]) -> DataFrame:
     return means.withColumn("overall", F.round(F.when(F.size(held) > 0, F.exp(F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.size(held))).otherwise(0.0), 6))
 
 
-def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Items (code, division, description) of two runs matched by code and the start of the description; counts by division.
+def compare_runs(a: DataFrame, b: DataFrame, citations: DataFrame, gaps_a: DataFrame, gaps_b: DataFrame, sections: int = 30) -> DataFrame:
+    """Two runs side by side, in long form: part, key, a, b, flag.
 
-    A division that falls below half is a regression, one that is new is new coverage.
+    Parts: total (items, divisions, sections, keys only in one), division (a fall below half is a regression, a new one new
+    coverage), section (the ``sections`` largest of both together), citation by evidence type, gap by type, and the verdict: a loss of
+    more than 15 % of the items, or of more than 20 % of A's keys. A key is an item's code and the first 120 characters of its description.
     """
-    keyed = lambda df, side: df.select("division", "code", F.substring(F.lower(F.trim("description")), 1, 120).alias("key")).groupBy("division", "code", "key").agg(F.count(F.lit(1)).alias(side))
-    both = keyed(a, "n_a").join(keyed(b, "n_b"), ["division", "code", "key"], "full_outer")
-    out = both.groupBy("division").agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("items_a"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("items_b"), F.count_if(F.col("n_b").isNull()).alias("only_a"), F.count_if(F.col("n_a").isNull()).alias("only_b"))
-    flag = F.when(F.col("items_a") == 0, "new_coverage").when(F.col("items_b") * 2 < F.col("items_a"), "regression").otherwise("")
-    return out.withColumn("flag", flag)
+    sides = {"a": a, "b": b}
+    both = None
+    for side, df in sides.items():
+        rows = df.select(F.lit(side).alias("side"), "item_id", F.coalesce("division", F.lit("")).alias("division"), F.coalesce("code", F.lit("")).alias("code"), F.substring(F.lower(F.trim(F.coalesce("description", F.lit("")))), 1, 120).alias("text"))
+        both = rows if both is None else both.unionByName(rows)
+    on = lambda side: F.count_if(F.col("side") == side)
+    counted = lambda df, part, key: df.groupBy(F.col(key).cast("string").alias("key")).agg(on("a").alias("a"), on("b").alias("b")).select(F.lit(part).alias("part"), "key", "a", "b")
+    keys = both.groupBy("code", "text").agg(on("a").alias("n_a"), on("b").alias("n_b"))
+    only = keys.agg(F.count_if(F.col("n_b") == 0).alias("only_a"), F.count_if(F.col("n_a") == 0).alias("only_b"))
+    sizes = both.agg(*[f(F.when(F.col("side") == s, F.col(c))).alias(f"{n}_{s}") for s in sides for n, f, c in (("items", F.count, "side"), ("divisions", F.count_distinct, "division"), ("sections", F.count_distinct, "code"))])
+    facts = sizes.crossJoin(only)  # one row each
+    total = facts.select(F.inline(F.array(*[F.struct(F.lit("total").alias("part"), F.lit(k).alias("key"), F.col(x).alias("a"), F.col(y).alias("b")) for k, x, y in (("items", "items_a", "items_b"), ("divisions", "divisions_a", "divisions_b"), ("sections", "sections_a", "sections_b"), ("only", "only_a", "only_b"))])))
+    division = counted(both, "division", "division")
+    section = counted(both, "section", "code").orderBy(F.desc(F.col("a") + F.col("b")), "key").limit(sections)
+    cited = citations.select("item_id", F.coalesce("evidence_type", F.lit("?")).alias("kind")).join(both.select("side", "item_id"), "item_id")
+    gaps = gaps_a.select(F.lit("a").alias("side"), "gap_type").unionByName(gaps_b.select(F.lit("b").alias("side"), "gap_type"))
+    flag = F.when((F.col("part") == "division") & (F.col("a") == 0), "new_coverage").when((F.col("part") == "division") & (F.col("b") * 2 < F.col("a")), "regression").otherwise("")
+    out = total.unionByName(division).unionByName(section).unionByName(counted(cited, "citation", "kind")).unionByName(counted(gaps, "gap", "gap_type")).withColumn("flag", flag)
+    verdict = F.when(F.col("items_b") < 0.85 * F.col("items_a"), "fewer_items").when(F.col("only_a") > 0.20 * F.col("items_a"), "lost_items").otherwise("no_major_drop")
+    return out.unionByName(facts.select(F.lit("verdict").alias("part"), F.lit("").alias("key"), F.col("items_a").alias("a"), F.col("items_b").alias("b"), verdict.alias("flag")))
 
 
 def compare_extractors(old: DataFrame, new: DataFrame, methods: list[str]) -> DataFrame:

@@ -77,11 +77,18 @@ def conflict_members(members: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def apply_arbitration(members: DataFrame, winners: DataFrame) -> DataFrame:
-    """Per member: conflict status and item outcome. A winner outside its conflict, or none, defers it."""
-    valid = winners.join(members.select("conflict_id", F.col("item_id").alias("winner")), ["conflict_id", "winner"], "left_semi")
+    """Per member: conflict status, item outcome, and the winner's value and unit. A winner outside its conflict, or none, defers it."""
+    valid = winners.join(members.select("conflict_id", F.col("item_id").alias("winner"), F.col("value").alias("winner_value"), F.col("unit").alias("winner_unit")), ["conflict_id", "winner"])
     joined = members.join(valid, "conflict_id", "left")
     outcome = F.when(F.col("winner").isNull(), "deferred").when(F.col("winner") == F.col("item_id"), "kept").otherwise("rejected")
-    return joined.select("conflict_id", "item_id", F.when(F.col("winner").isNull(), "open").otherwise("resolved").alias("conflict_status"), outcome.alias("outcome"))
+    return joined.select("run_id", "conflict_id", "item_id", F.when(F.col("winner").isNull(), "open").otherwise("resolved").alias("conflict_status"), outcome.alias("outcome"), "winner_value", "winner_unit")
+
+
+def arbitration_counts(arbitrated: DataFrame) -> DataFrame:
+    """Per run: conflicts, resolved and deferred ones, and items rejected."""
+    c = lambda test: F.count_distinct(F.when(test, F.col("conflict_id")))
+    resolved = F.col("conflict_status") == "resolved"
+    return arbitrated.groupBy("run_id").agg(F.count_distinct("conflict_id").alias("conflicts"), c(resolved).alias("resolved"), c(~resolved).alias("deferred"), F.count_if(F.col("outcome") == "rejected").alias("rejected_items"))
 
 
 def discipline_gap_rows(answers: DataFrame) -> DataFrame:

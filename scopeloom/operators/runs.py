@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,11 +23,19 @@ def project_overview(documents: DataFrame) -> DataFrame:
     return documents.groupBy("project_id").agg(F.count_if(F.col("source_kind") == "bid_submission").alias("bid_documents"), F.count_if(F.col("source_kind") != "bid_submission").alias("project_documents"), F.count_distinct("doc_type").alias("doc_types"))
 
 
-def review_queue(items: DataFrame, gaps: DataFrame, conflicts: DataFrame, low: float = 0.6) -> DataFrame:
-    """What a run leaves to review: open conflicts, open gaps, low-confidence items that are not rejected (null is not)."""
+def review_queue(items: DataFrame, gaps: DataFrame, conflicts: DataFrame, low: float = 0.6, gap_statuses: tuple = ("open",), severities: tuple | None = None) -> DataFrame:
+    """What a run leaves to review, with a snapshot: open conflicts and their members' items, gaps of the asked statuses and
+    severities (all without), low-confidence items that are not rejected (null is not)."""
     open_items = items.where((F.col("confidence") < low) & (F.col("review_status").isNull() | (F.col("review_status") != "rejected")))
-    kind = lambda df, k, c: df.select("run_id", F.lit(k).alias("kind"), F.col(c).cast("string").alias("subject"))
-    return kind(open_items, "item", "item_id").unionByName(kind(gaps.where("status = 'open'"), "gap", "gap_id")).unionByName(kind(conflicts.where("status = 'open'").select("run_id", "conflict_id").distinct(), "conflict", "conflict_id"))
+    asked = gaps.where(F.col("status").isin(*gap_statuses) if severities is None else F.col("status").isin(*gap_statuses) & F.col("severity").isin(*severities))
+    row = lambda df, k, c, status, severity, snapshot: df.select("run_id", F.lit(k).alias("kind"), F.col(c).cast("string").alias("subject"), status.alias("status"), severity.alias("severity"), snapshot.alias("snapshot"))
+    said = F.concat_ws(": ", "code", "description")
+    named = conflicts.where("status = 'open'").join(items.select("item_id", said.alias("said")), "item_id")
+    members = F.array_sort(F.collect_list(F.struct("item_id", F.concat(F.col("item_id").cast("string"), F.lit("="), "said").alias("said"))))
+    held = named.groupBy("run_id", "conflict_id").agg(F.array_join(F.transform(members, lambda m: m["said"]), " | ").alias("snapshot"))
+    out = row(open_items, "item", "item_id", F.coalesce("review_status", F.lit("")), F.lit("low"), said)
+    out = out.unionByName(row(asked, "gap", "gap_id", F.col("status"), F.col("severity"), F.concat_ws(": ", "gap_type", "description")))
+    return out.unionByName(row(held, "conflict", "conflict_id", F.lit("open"), F.lit("conflict"), F.col("snapshot")))
 
 
 def lifecycle_check(events: DataFrame) -> DataFrame:
@@ -43,6 +51,15 @@ def newest(rows: DataFrame, n: int, by: str = "project_id", ts: str = "ts", tie:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc(ts), F.desc(tie)))).where(F.col("rank") <= n)
 
 
+def audit_log_query(audit: DataFrame, entity_type: str | None = None, entity_id: int | None = None, actor: str | None = None, action: str | None = None, since=None, until=None, limit: int = 100, skip: int = 0) -> DataFrame:
+    """A page of the newest audit rows of each project; each filter that is given must hold. ``actor`` is the beginning of a name."""
+    tests = [(entity_type, F.col("entity_type") == entity_type), (entity_id, F.col("entity_id") == entity_id), (action, F.col("action") == action)]
+    tests += [(actor, F.col("actor").startswith(actor or "")), (since, F.col("ts") >= F.lit(since)), (until, F.col("ts") < F.lit(until))]
+    for value, test in tests:
+        audit = audit if value is None else audit.where(test)
+    return newest(audit, skip + limit).where(F.col("rank") > skip)
+
+
 def activity_feed(calls: DataFrame, audit: DataFrame, n: int) -> DataFrame:
     """Calls and human actions as typed events; the newest ``n`` of each project."""
     kind = F.when(F.col("status") == "error", "error").otherwise("cost")
@@ -51,21 +68,28 @@ def activity_feed(calls: DataFrame, audit: DataFrame, n: int) -> DataFrame:
     return newest(a.unionByName(b), n, tie="event")
 
 
-def llm_cost(calls: DataFrame) -> DataFrame:
-    """Adds cost by model rate; cache tokens without a rate cost as input; unknown models cost null."""
-    rates = calls.sparkSession.createDataFrame(RATES, "rate_model string, r_in double, r_out double, r_write double, r_read double")
+def load_rates(spark: SparkSession, rates: list[tuple] = RATES) -> DataFrame:
+    """A rate table: rate_model, r_in, r_out, r_write, r_read."""
+    return spark.createDataFrame(rates, "rate_model string, r_in double, r_out double, r_write double, r_read double")
+
+
+def llm_cost(calls: DataFrame, rates: DataFrame) -> DataFrame:
+    """Adds cost by model rate (``load_rates``); cache tokens without a rate cost as input; unknown models cost null."""
     # the rates' keys are name parts of a model: the first four parts of its id, less a date, else the first three
     key4, key3 = F.substring_index("model", "-", 4), F.substring_index("model", "-", 3)
-    joined = calls.join(F.broadcast(rates), (F.col("rate_model") == key4) | (F.col("rate_model") == key3), "left")
+    joined = calls.join(rates, F.col("rate_model").isin(key4, key3), "left")
     cost = F.col("input_tokens") * F.col("r_in") + F.col("output_tokens") * F.col("r_out") + F.col("cache_write") * F.coalesce("r_write", "r_in") + F.col("cache_read") * F.coalesce("r_read", "r_in")
     return joined.withColumn("cost", F.round(cost / 1e6, 8)).drop("rate_model", "r_in", "r_out", "r_write", "r_read")
 
 
 def cost_breakdown(costed: DataFrame, key: str, top: int = 10) -> DataFrame:
-    """Calls, cost and share of the total by key; the ten dearest, and the remainder as ``(other)``."""
-    per = costed.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
-    ranked = per.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.coalesce("cost", F.lit(0.0))), "key")))
-    named = ranked.withColumn("key", F.when(F.col("rank") <= top, F.col("key")).otherwise("(other)"))
+    """Calls and cost by key; the ``top`` dearest, and all others as ``(other)``.
+
+    Each task keeps its dearest keys, so the ranking never sees all keys at once.
+    """
+    per = costed.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("cost"))
+    dearest = per.orderBy(F.desc(F.coalesce(F.round("cost", 6), F.lit(0.0))), "key").limit(top).select(F.struct("key").alias("k"), F.lit(True).alias("named"))
+    named = per.withColumn("k", F.struct("key")).join(dearest, "k", "left").withColumn("key", F.when(F.col("named"), F.col("key")).otherwise("(other)"))
     return named.groupBy("key").agg(F.sum("calls").alias("calls"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost"))
 
 
@@ -91,8 +115,9 @@ def readiness_check(pages: DataFrame) -> DataFrame:
 
 
 def system_status(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows of each table."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
+    """Rows of each table, and the total cost of those that have one."""
+    cost = lambda df: F.round(F.sum("cost"), 6) if "cost" in df.columns else F.lit(None).cast("double")
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), cost(df).alias("cost")).select(F.lit(name).alias("name"), "rows", "cost") for name, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -46,10 +46,18 @@ def uncovered_items(spark, sf):
     return B.uncovered_items(items, scored).select("item_id")
 
 
-@register("bid_detail", with_views("f_bids", "f_bid_lines") + ", n AS (SELECT bid_id, string_agg(line_id, ',' ORDER BY page, line_id) AS lines, count(*) AS k FROM f_bid_lines GROUP BY bid_id) SELECT bid_id, vendor_name, coalesce(lines, '') AS lines, coalesce(k, 0) AS n_lines FROM f_bids LEFT JOIN n USING (bid_id)")
+_PARTS = """, parts AS (SELECT bid_id, 'line' AS kind, line_id AS id, page, description AS text, CAST(total_price AS DECIMAL(18, 2)) AS amount FROM f_bid_lines UNION ALL SELECT bid_id, kind, term_id, page, text, NULL FROM f_bid_terms)"""
+
+
+@register("bid_detail", with_views("f_bids", "f_bid_lines", "f_bid_terms") + _PARTS + " SELECT bid_id, kind, id, page, text, CAST(amount AS DOUBLE) AS amount, row_number() OVER (PARTITION BY bid_id, kind ORDER BY page, id) AS place FROM parts SEMI JOIN f_bids USING (bid_id)")
 def bid_detail(spark, sf):
-    d = B.bid_detail(*_v(spark, sf, "f_bids", "f_bid_lines"))
-    return d.select("bid_id", "vendor_name", F.coalesce(F.array_join(F.transform("lines", lambda x: x["line_id"]), ","), F.lit("")).alias("lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"))
+    return B.bid_detail(*_v(spark, sf, "f_bids", "f_bid_lines", "f_bid_terms"))[0].withColumn("amount", F.col("amount").cast("double"))
+
+
+@register("bid_summary", with_views("f_bids", "f_bid_lines", "f_bid_terms") + _PARTS + """, n AS (SELECT bid_id, count(*) FILTER (kind = 'line') AS lines, count(*) FILTER (kind = 'inclusion') AS inclusions, count(*) FILTER (kind = 'exclusion') AS exclusions, CAST(sum(amount) AS DOUBLE) AS line_total FROM parts GROUP BY bid_id)
+SELECT bid_id, vendor_name, coalesce(lines, 0) AS lines, coalesce(inclusions, 0) AS inclusions, coalesce(exclusions, 0) AS exclusions, line_total FROM f_bids LEFT JOIN n USING (bid_id)""")
+def bid_summary(spark, sf):
+    return B.bid_detail(*_v(spark, sf, "f_bids", "f_bid_lines", "f_bid_terms"))[1].select("bid_id", "vendor_name", "lines", "inclusions", "exclusions", "line_total")
 
 
 def _vendor_sql() -> str:
@@ -69,17 +77,32 @@ def vendor_qualifications(spark, sf):
     return B.vendor_qualifications(view(spark, sf, "f_bids"))
 
 
-@register("vendor_summary", with_views("f_bids", "f_bid_lines", "f_coverage") + """, l AS (SELECT bid_id, count(*) AS n FROM f_bid_lines GROUP BY bid_id), c AS (SELECT bid_id, count(*) AS k FROM f_coverage WHERE status = 'covered' GROUP BY bid_id)
-SELECT project_id, vendor, CAST(sum(CAST(bid_total AS DECIMAL(18, 2))) AS DOUBLE) AS bid_total, array_to_string(list_sort(list_distinct(list(division))), ',') AS divisions, count(*) AS bids, coalesce(sum(n), 0)::BIGINT AS lines, count(DISTINCT vendor_name) AS aliases, coalesce(sum(k), 0)::BIGINT AS covered
-FROM f_bids LEFT JOIN l USING (bid_id) LEFT JOIN c USING (bid_id) GROUP BY ALL""")
+_VENDOR = ("f_bids", "f_bid_runs", "f_bid_summaries", "f_bid_lines", "f_bid_terms", "f_coverage")
+_ACTIVE = """, lr AS (SELECT project_id, max_by(bid_run_id, started_at * 1000000 + bid_run_id) AS bid_run_id FROM f_bid_runs GROUP BY project_id),
+act AS MATERIALIZED (SELECT b.project_id, b.vendor, b.bid_id, b.bid_total, s.division FROM f_bids b JOIN lr USING (project_id) JOIN f_bid_summaries s ON s.bid_run_id = lr.bid_run_id AND s.bid_id = b.bid_id WHERE doc_type IN ('bid-quote', 'scope-letter'))"""
+
+
+def _active(spark, sf):
+    bids, runs, summaries, lines, terms, coverage = _v(spark, sf, *_VENDOR)
+    return bids, B.active_bids(runs, summaries, bids), lines, terms, coverage
+
+
+@register("vendor_summary", with_views(*_VENDOR) + _ACTIVE + f""", l AS (SELECT bid_id, count(*) AS lines FROM f_bid_lines GROUP BY bid_id), t AS (SELECT bid_id, count(*) FILTER (kind = 'inclusion') AS inclusions, count(*) FILTER (kind = 'exclusion') AS exclusions FROM f_bid_terms GROUP BY bid_id),
+c AS (SELECT bid_id, {", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in B.STATUSES)} FROM f_coverage GROUP BY bid_id),
+p AS (SELECT project_id, vendor, CAST(sum(CAST(bid_total AS DECIMAL(18, 2))) AS DOUBLE) AS bid_total, array_to_string(list_sort(list_distinct(list(division))), ',') AS divisions, sum(lines) AS lines, sum(inclusions) AS inclusions, sum(exclusions) AS exclusions, {", ".join(f"sum({s})::BIGINT AS {s}" for s in B.STATUSES)} FROM act LEFT JOIN l USING (bid_id) LEFT JOIN t USING (bid_id) LEFT JOIN c USING (bid_id) GROUP BY ALL),
+h AS (SELECT project_id, vendor, count(*) AS documents, bool_or(doc_type IN ('bid-quote', 'scope-letter')) AS has_priced_bid, array_to_string(list_sort(list_distinct(list(vendor_name))), '|') AS aliases, count(*) FILTER (doc_type = 'license') AS licenses, count(*) FILTER (doc_type = 'safety') AS safety, count(*) FILTER (doc_type = 'contractor-info') AS contractor FROM f_bids GROUP BY ALL)
+SELECT h.*, licenses > 0 AND safety > 0 AS complete, bid_total, coalesce(divisions, '') AS divisions, coalesce(lines, 0)::BIGINT AS lines, coalesce(inclusions, 0)::BIGINT AS inclusions, coalesce(exclusions, 0)::BIGINT AS exclusions, {", ".join(B.STATUSES)} FROM h LEFT JOIN p USING (project_id, vendor)""")
 def vendor_summary(spark, sf):
-    return B.vendor_summary(*_v(spark, sf, "f_bids", "f_bid_lines", "f_coverage"))
+    return B.vendor_summary(*_active(spark, sf))
 
 
-@register("vendor_profile", with_views("f_bids", "f_coverage") + ", d AS (SELECT DISTINCT project_id, vendor, status, item_id FROM f_coverage JOIN f_bids USING (bid_id)) SELECT project_id, vendor, status, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM d GROUP BY ALL")
+@register("vendor_profile", with_views(*_VENDOR) + _ACTIVE + """, parts AS (SELECT bid_id, 'line' AS kind, line_id AS id, page, description AS text FROM f_bid_lines UNION ALL SELECT bid_id, kind, term_id, page, text FROM f_bid_terms),
+every AS (SELECT project_id, vendor, 'document' AS kind, doc_type AS a, 0::BIGINT AS b, vendor_name AS c, bid_id::VARCHAR AS id, doc_type AS text FROM f_bids
+UNION ALL SELECT project_id, vendor, kind, '', bid_id, lpad(page::VARCHAR, 6, '0') || '/' || id, id, text FROM parts JOIN act USING (bid_id)
+UNION ALL SELECT DISTINCT project_id, vendor, status, '', item_id, '', item_id::VARCHAR, '' FROM f_coverage JOIN act USING (bid_id))
+SELECT project_id, vendor, kind, id, text, row_number() OVER (PARTITION BY project_id, vendor, kind ORDER BY a, b, c, id) AS place FROM every""")
 def vendor_profile(spark, sf):
-    coverage, bids = _v(spark, sf, "f_coverage", "f_bids")
-    return B.vendor_profile(coverage, bids)
+    return B.vendor_profile(*_active(spark, sf))
 
 
 _RANK = "CASE status WHEN 'covered' THEN 0 WHEN 'partial' THEN 1 WHEN 'excluded' THEN 2 ELSE 3 END"
@@ -117,10 +140,10 @@ def project_overview(spark, sf):
     return R.project_overview(view(spark, sf, "f_documents"))
 
 
-@register("review_queue", with_views("f_items", "f_gaps", "f_conflicts") + """ SELECT run_id, 'item' AS kind, CAST(item_id AS VARCHAR) AS subject FROM f_items WHERE confidence < 0.6 AND (review_status IS NULL OR review_status <> 'rejected')
-UNION ALL SELECT run_id, 'gap', CAST(gap_id AS VARCHAR) FROM f_gaps WHERE status = 'open' UNION ALL SELECT DISTINCT run_id, 'conflict', CAST(conflict_id AS VARCHAR) FROM f_conflicts WHERE status = 'open'""")
+@register("review_queue", with_views("f_items", "f_gaps", "f_conflicts") + """ SELECT run_id, 'item' AS kind, CAST(item_id AS VARCHAR) AS subject, coalesce(review_status, '') AS status, 'low' AS severity, code || ': ' || description AS snapshot FROM f_items WHERE confidence < 0.6 AND (review_status IS NULL OR review_status <> 'rejected')
+UNION ALL SELECT run_id, 'gap', CAST(gap_id AS VARCHAR), status, severity, gap_type || ': ' || description FROM f_gaps WHERE status IN ('open', 'acknowledged') AND severity = 'blocker' UNION ALL SELECT c.run_id, 'conflict', CAST(conflict_id AS VARCHAR), min(c.status), 'conflict', string_agg(item_id || '=' || i.code || ': ' || i.description, ' | ' ORDER BY item_id) FROM f_conflicts c JOIN f_items i USING (item_id) WHERE c.status = 'open' GROUP BY c.run_id, conflict_id""")
 def review_queue(spark, sf):
-    return R.review_queue(*_v(spark, sf, "f_items", "f_gaps", "f_conflicts"))
+    return R.review_queue(*_v(spark, sf, "f_items", "f_gaps", "f_conflicts"), gap_statuses=("open", "acknowledged"), severities=("blocker",))
 
 
 #: Actions on conflicts, gaps and items, some of which do not exist; winners are members or not.
@@ -174,9 +197,12 @@ def lifecycle_check(spark, sf):
     return R.lifecycle_check(e)
 
 
-@register("audit_log_query", with_views("f_audit") + " SELECT project_id, audit_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, audit_id DESC) AS rank FROM f_audit WHERE entity_type = 'citation') WHERE rank <= 25")
+@register("audit_log_query", with_views("f_audit") + """ SELECT project_id, audit_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, audit_id DESC) AS rank FROM f_audit
+WHERE entity_type = 'citation' AND actor LIKE 'user:%' AND ts >= (SELECT min(ts) FROM f_audit) + INTERVAL 1 DAY) WHERE rank > 5 AND rank <= 30""")
 def audit_log_query(spark, sf):
-    return R.newest(view(spark, sf, "f_audit").where("entity_type = 'citation'"), 25).select("project_id", "audit_id", "rank")
+    audit = view(spark, sf, "f_audit")
+    since = audit.agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("since")).first()["since"]
+    return R.audit_log_query(audit, entity_type="citation", actor="user:", since=since, limit=25, skip=5).select("project_id", "audit_id", "rank")
 
 
 @register("supervised_examples", with_views("f_audit", "f_items") + " SELECT audit_id, description AS prompt, action || CASE WHEN json_extract_string(payload, '$.k') IS NULL THEN '' ELSE ': ' || json_extract_string(payload, '$.k') END AS answer FROM f_audit JOIN f_items ON item_id = entity_id WHERE actor LIKE 'user:%'")
@@ -195,13 +221,13 @@ _COST = ", r(m, i, o, w, c) AS (VALUES " + ", ".join(f"('{m}', {i}::DOUBLE, {o}:
 
 @register("llm_cost", with_views("f_llm_calls") + _COST + " SELECT call_id, cost FROM costed")
 def llm_cost(spark, sf):
-    return R.llm_cost(view(spark, sf, "f_llm_calls")).select("call_id", "cost")
+    return R.llm_cost(view(spark, sf, "f_llm_calls"), R.load_rates(spark)).select("call_id", "cost")
 
 
 @register("cost_breakdown", with_views("f_llm_calls") + _COST + """, k AS (SELECT purpose AS key, count(*) AS calls, round(sum(cost), 6) AS cost FROM costed GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY coalesce(cost, 0) DESC, key) AS n FROM k)
 SELECT CASE WHEN n <= 3 THEN key ELSE '(other)' END AS key, sum(calls)::BIGINT AS calls, round(coalesce(sum(cost), 0), 6) AS cost FROM n GROUP BY 1""")
 def cost_breakdown(spark, sf):
-    return R.cost_breakdown(R.llm_cost(view(spark, sf, "f_llm_calls")), "purpose", 3)
+    return R.cost_breakdown(R.llm_cost(view(spark, sf, "f_llm_calls"), R.load_rates(spark)), "purpose", 3)
 
 
 @register("citation_summary", with_views("f_citations") + " SELECT coalesce(evidence_type, 'TOTAL') AS evidence_type, count(*) AS n, count(*) FILTER (link_pass) AS passed, count(*) FILTER (NOT link_pass) AS failed, count(*) FILTER (link_pass IS NULL) AS not_run FROM f_citations GROUP BY ROLLUP (evidence_type)")
@@ -224,9 +250,10 @@ def readiness_check(spark, sf):
     return R.readiness_check(view(spark, sf, "f_pages"))
 
 
-@register("system_status", "SELECT 'orders' AS name, count(*) AS rows FROM orders UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'events', count(*) FROM events")
+@register("system_status", with_views("f_llm_calls") + _COST + " SELECT 'orders' AS name, count(*) AS rows, NULL::DOUBLE AS cost FROM orders UNION ALL SELECT 'documents', count(*), NULL FROM documents UNION ALL SELECT 'llm_calls', count(*), round(sum(cost), 6) FROM costed")
 def system_status(spark, sf):
-    return R.system_status({n: view(spark, sf, n) for n in ("orders", "documents", "events")})
+    calls = R.llm_cost(view(spark, sf, "f_llm_calls"), R.load_rates(spark))
+    return R.system_status({n: view(spark, sf, n) for n in ("orders", "documents")} | {"llm_calls": calls})
 
 
 @register("rfi_inputs", with_views("f_items", "f_gaps", "f_conflicts") + """, g AS (SELECT run_id, 'gap' AS kind, CAST(gap_id AS VARCHAR) AS subject, row_number() OVER (PARTITION BY run_id ORDER BY gap_id) AS n, 50 AS cap FROM f_gaps WHERE status = 'open'),

@@ -75,6 +75,10 @@ VIEWS = {
             SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS citation_id,
                    row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem) l
         JOIN part ON p_partkey = l.l_partkey WHERE n = 1""",
+    "f_bid_terms": """
+        SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS term_id, l_orderkey AS bid_id,
+               CASE min(l_returnflag) WHEN 'A' THEN 'inclusion' ELSE 'exclusion' END AS kind, 'term ' || CAST(l_partkey AS STRING) AS text, l_linenumber AS page
+        FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey""",
     "f_coverage": """
         SELECT l_partkey AS item_id, l_orderkey AS bid_id, l_partkey % 4 AS run_id, CASE min(l_linenumber) % 4 WHEN 0 THEN 'covered' WHEN 1 THEN 'partial' WHEN 2 THEN 'excluded' ELSE 'not_covered' END AS status,
                max(l_discount) * 10 AS confidence, CASE WHEN min(l_linenumber) % 4 < 3 THEN min(CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)) END AS line_id FROM lineitem GROUP BY l_partkey, l_orderkey""",

@@ -386,14 +386,20 @@ def eval_run(spark, sf):
     return V.eval_run(view(spark, sf, "labels"), ["quality", "toxic"])
 
 
-_RUN_A, _RUN_B = "item_id % 3 <> 0", "item_id % 5 < 2 OR division = '07'"
+#: Every item is in one of two runs or in both.
+_RUN_A, _RUN_B = "item_id % 3 <> 0", "item_id % 3 <> 1 AND (division <> '05' OR item_id % 3 = 0)"
 
 
-@register("compare_runs", with_views("f_items") + f""", a AS (SELECT division, code, substring(lower(trim(description)), 1, 120) AS key, count(*) AS n_a FROM f_items WHERE {_RUN_A} GROUP BY ALL), b AS (SELECT division, code, substring(lower(trim(description)), 1, 120) AS key, count(*) AS n_b FROM f_items WHERE {_RUN_B} GROUP BY ALL),
-c AS (SELECT division, coalesce(sum(n_a), 0)::BIGINT AS items_a, coalesce(sum(n_b), 0)::BIGINT AS items_b, count(*) FILTER (n_b IS NULL) AS only_a, count(*) FILTER (n_a IS NULL) AS only_b FROM a FULL JOIN b USING (division, code, key) GROUP BY division) SELECT *, CASE WHEN items_a = 0 THEN 'new_coverage' WHEN items_b * 2 < items_a THEN 'regression' ELSE '' END AS flag FROM c""")
+@register("compare_runs", with_views("f_items", "f_citations", "f_gaps") + f""", i AS (SELECT 'a' AS side, item_id, division, code, substring(lower(trim(description)), 1, 120) AS text FROM f_items WHERE {_RUN_A} UNION ALL SELECT 'b', item_id, division, code, substring(lower(trim(description)), 1, 120) FROM f_items WHERE {_RUN_B}),
+k AS (SELECT count(*) FILTER (n_b = 0) AS only_a, count(*) FILTER (n_a = 0) AS only_b FROM (SELECT count(*) FILTER (side = 'a') AS n_a, count(*) FILTER (side = 'b') AS n_b FROM i GROUP BY code, text)),
+t AS (SELECT count(*) FILTER (side = 'a') AS ia, count(*) FILTER (side = 'b') AS ib, count(DISTINCT division) FILTER (side = 'a') AS da, count(DISTINCT division) FILTER (side = 'b') AS db, count(DISTINCT code) FILTER (side = 'a') AS sa, count(DISTINCT code) FILTER (side = 'b') AS sb FROM i),
+p AS (SELECT 'total' AS part, 'items' AS key, ia AS a, ib AS b FROM t UNION ALL SELECT 'total', 'divisions', da, db FROM t UNION ALL SELECT 'total', 'sections', sa, sb FROM t UNION ALL SELECT 'total', 'only', only_a, only_b FROM k
+UNION ALL SELECT 'division', division, count(*) FILTER (side = 'a'), count(*) FILTER (side = 'b') FROM i GROUP BY division UNION ALL SELECT * FROM (SELECT 'section', code, count(*) FILTER (side = 'a'), count(*) FILTER (side = 'b') FROM i GROUP BY code ORDER BY count(*) DESC, code LIMIT 30)
+UNION ALL SELECT 'citation', evidence_type, count(*) FILTER (side = 'a'), count(*) FILTER (side = 'b') FROM f_citations JOIN i USING (item_id) GROUP BY evidence_type UNION ALL SELECT 'gap', gap_type, count(*) FILTER (gap_id % 2 = 0), count(*) FILTER (gap_id % 2 = 1) FROM f_gaps GROUP BY gap_type)
+SELECT part, key, a, b, CASE WHEN part = 'division' AND a = 0 THEN 'new_coverage' WHEN part = 'division' AND b * 2 < a THEN 'regression' ELSE '' END AS flag FROM p UNION ALL SELECT 'verdict', '', ia, ib, CASE WHEN ib < 0.85 * ia THEN 'fewer_items' WHEN only_a > 0.2 * ia THEN 'lost_items' ELSE 'no_major_drop' END FROM t, k""")
 def compare_runs(spark, sf):
-    items = view(spark, sf, "f_items")
-    return V.compare_runs(items.where(_RUN_A), items.where(_RUN_B))
+    items, gaps = view(spark, sf, "f_items"), view(spark, sf, "f_gaps")
+    return V.compare_runs(items.where(_RUN_A), items.where(_RUN_B), view(spark, sf, "f_citations"), gaps.where("gap_id % 2 = 0"), gaps.where("gap_id % 2 = 1"))
 
 
 @register("compare_extractors", with_views("f_items") + ", a AS (SELECT division, count(*) AS old_items FROM f_items WHERE item_id % 3 <> 0 GROUP BY division), b AS (SELECT division, count(*) FILTER (extraction_method = 'eve') AS eve, count(*) FILTER (extraction_method = 'section') AS section FROM f_items WHERE item_id % 3 = 0 GROUP BY division) SELECT division, coalesce(old_items, 0) AS old_items, coalesce(eve, 0) AS eve, coalesce(section, 0) AS section FROM a FULL JOIN b USING (division)")

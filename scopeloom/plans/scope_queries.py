@@ -176,15 +176,23 @@ def conflict_members(spark, sf):
     return G.conflict_members(view(spark, sf, "f_conflicts"), view(spark, sf, "f_citations"))
 
 
-@register("apply_arbitration", with_views("f_conflicts") + """, w AS (SELECT conflict_id, min(item_id) + CASE WHEN conflict_id % 5 = 0 THEN 1 ELSE 0 END AS winner FROM f_conflicts WHERE conflict_id % 3 <> 0 GROUP BY conflict_id),
-v AS (SELECT w.* FROM w JOIN f_conflicts c ON c.conflict_id = w.conflict_id AND c.item_id = w.winner)
-SELECT conflict_id, item_id, CASE WHEN winner IS NULL THEN 'open' ELSE 'resolved' END AS conflict_status, CASE WHEN winner IS NULL THEN 'deferred' WHEN winner = item_id THEN 'kept' ELSE 'rejected' END AS outcome FROM f_conflicts LEFT JOIN v USING (conflict_id)""")
+_ARBITRATED = """, w AS (SELECT conflict_id, min(item_id) + CASE WHEN conflict_id % 5 = 0 THEN 1 ELSE 0 END AS winner FROM f_conflicts WHERE conflict_id % 3 <> 0 GROUP BY conflict_id),
+v AS (SELECT w.*, c.value, c.unit FROM w JOIN f_conflicts c ON c.conflict_id = w.conflict_id AND c.item_id = w.winner),
+ab AS (SELECT f.run_id, f.conflict_id, f.item_id, CASE WHEN winner IS NULL THEN 'open' ELSE 'resolved' END AS conflict_status, CASE WHEN winner IS NULL THEN 'deferred' WHEN winner = f.item_id THEN 'kept' ELSE 'rejected' END AS outcome, v.value AS winner_value, v.unit AS winner_unit FROM f_conflicts f LEFT JOIN v USING (conflict_id))"""
+
+
+@register("apply_arbitration", with_views("f_conflicts") + _ARBITRATED + " SELECT * FROM ab")
 def apply_arbitration(spark, sf):
     members = view(spark, sf, "f_conflicts")
     winners = members.where("conflict_id % 3 <> 0").groupBy("conflict_id").agg((F.min("item_id") + F.when(F.col("conflict_id") % 5 == 0, 1).otherwise(0)).alias("winner"))
     return G.apply_arbitration(members, winners)
 
 
+@register("arbitration_counts", with_views("f_conflicts") + _ARBITRATED + " SELECT run_id, count(DISTINCT conflict_id) AS conflicts, count(DISTINCT conflict_id) FILTER (conflict_status = 'resolved') AS resolved, count(DISTINCT conflict_id) FILTER (conflict_status = 'open') AS deferred, count(*) FILTER (outcome = 'rejected') AS rejected_items FROM ab GROUP BY run_id")
+def arbitration_counts(spark, sf):
+    return G.arbitration_counts(apply_arbitration(spark, sf))
+
+
 _RULES = "rules(division, package) AS (VALUES " + ", ".join(f"('{d}', '{k}')" for k, _, ds in P.PACKAGES for d in ds.split()) + ")"
 _BUNDLED = f", {_RULES}, bundled AS (SELECT i.*, coalesce(package, 'unbundled-' || i.division) AS package FROM f_items i LEFT JOIN rules USING (division))"
 
