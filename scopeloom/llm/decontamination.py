@@ -32,7 +32,7 @@ class Windows:
     terms: np.ndarray  # (windows, size)
     length: np.ndarray
     items: list[list]
-    anchors: np.ndarray  # (windows, 3): slots of the three terms rarest in the benchmark
+    anchors: np.ndarray  # (windows, 3): slots of the three longest terms, whatever else the chunk holds
 
 
 def build_windows(rows: list[tuple], size: int = WINDOW) -> Windows:
@@ -48,8 +48,9 @@ def build_windows(rows: list[tuple], size: int = WINDOW) -> Windows:
     for k, w in enumerate(owners):
         terms[k, : len(w)] = w
     length = np.array([len(w) for w in owners], np.int64)
-    often = np.bincount(terms.ravel(), minlength=len(number) + 1)
-    rare = np.where(terms > 0, often[terms], np.iinfo(np.int64).max)
+    place = np.zeros(len(number) + 1, np.int64)
+    place[[number[w] for w in sorted(number, key=lambda w: (-len(w), w))]] = np.arange(len(number))
+    rare = np.where(terms > 0, place[terms], np.iinfo(np.int64).max)
     return Windows(number, terms, length, list(owners.values()), np.argsort(rare, axis=1, kind="stable")[:, :3])
 
 
@@ -177,8 +178,10 @@ def find_windows(rows: DataFrame, windows: Windows, item_type: str, keep_text: b
                     n_words.append(len(d))
                     spans.append([{"start": a, "end": b} for a, b in _merged(hit.get(i, []) + [(x["start"], x["end"]) for x in before[0]])])
                     items.append(sorted(own.get(i, set()) | set(before[1])))
-                    places = [(x["item"], x["start"], x["end"]) for x in before[2]] + [(x, a, b) for x, at in close.get(i, {}).items() for a, b in _merged(at)]
-                    near.append([{"item": x, "start": a, "end": b} for x, a, b in sorted(places)])
+                    places = {x: list(at) for x, at in close.get(i, {}).items()}
+                    for x in before[2]:
+                        places.setdefault(x["item"], []).append((x["start"], x["end"]))
+                    near.append([{"item": x, "start": a, "end": b} for x in sorted(places) for a, b in _merged(places[x])])
             columns = [batch.column(0), column, pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(item_arrow)), pa.array(near, pa.list_(place))]
             yield pa.RecordBatch.from_arrays(columns if keep_text else [columns[0], *columns[2:]], names)
 

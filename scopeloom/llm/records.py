@@ -109,6 +109,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(apply, ENTRY)
 
 
+def tokens_before(files: DataFrame) -> DataFrame:
+    """file and the tokens of all files before it; files (file, held) follow by number, which names show in five digits or more."""
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    return files.select("file", (F.sum("held").over(W.orderBy(number)) - F.col("held")).alias("before"))
+
+
 def write_index(spark: SparkSession, path: str) -> None:
     """Read the record files back and write ``path``/index: their records and each one's start in the stream.
 
@@ -118,7 +124,7 @@ def write_index(spark: SparkSession, path: str) -> None:
     entries.write.option("compression", "zstd").parquet(f"{path}/entries")
     entries = spark.read.schema(ENTRY).parquet(f"{path}/entries")
     files = entries.groupBy("file").agg(F.sum("n_tokens").alias("held"))
-    before = files.select("file", (F.sum("held").over(W.orderBy("file")) - F.col("held")).alias("before"))
+    before = tokens_before(files)
     inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy("offset")) - F.col("n_tokens")
     entries.join(before, "file").withColumn("start", F.col("before") + inside).drop("before").write.option("compression", "zstd").parquet(f"{path}/index")
 
