@@ -70,3 +70,25 @@ def test_no_documents(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, folder))
         assert docs.count() == 0, name
+
+
+def test_rows_are_told_apart(spark, tmp_path):
+    """Null and repeated ids, repeated rows and other columns named like the operators' own."""
+    folder, texts, items = make(tmp_path, spark)
+    words_of = [t for t in texts[1:60] if t and "nasty" not in t]
+    leak = items[0][1]
+    rows = [
+        (3, words_of[0], "a"), (3, words_of[1], "b"), (4, words_of[1], "c"),  # 3 with a text of its own stays, the copy under 3 goes
+        (None, words_of[2], "d"), (8, words_of[2], "e"), (None, words_of[3], "f"), (None, words_of[3], "g"), (None, leak, "h"), (9, leak + " " + words_of[4], "i"),
+        (5, words_of[5], "j"), (5, words_of[5], "k"), (6, None, "l"), (7, "", "m"), (None, words_of[6].replace("th", "th", 1) + " end", "n"), (10, words_of[6], "o"),
+    ]
+    schema = "doc_id bigint, text string, lang string, row_key string, kept string, spans string, id string, count bigint"
+    docs = spark.createDataFrame([(*r, "k", "k", "s", "i", 1) for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    exact = stored(stages["exact_dedup"](spark, docs.drop("row_key"), folder))
+    assert sorted(r.lang for r in exact.collect()) == ["a", "c", "e", "f", "h", "i", "j", "m", "n", "o"]
+    near = stored(stages["near_dedup"](spark, exact, folder))
+    assert sorted(r.lang for r in near.collect()) == ["a", "c", "e", "f", "h", "i", "j", "m", "o"]
+    clean = stored(stages["decontamination"](spark, near, folder))
+    assert sorted(r.lang for r in clean.collect()) == ["a", "c", "e", "f", "j", "m", "o"]
+    assert clean.columns == exact.columns == docs.drop("row_key").columns
