@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scopeloom.functions.graph import checkpointed
+from scopeloom.functions.graph import checkpointed, written
 from scopeloom.operators.retrieval import EPSILON, K1, B, tokenize, top
 
 #: Chunks of a cell, and buckets of terms that files are kept by.
@@ -35,7 +35,7 @@ def index_blocks(chunks: DataFrame, key: str = "project_id", text_col: str = "co
     """
     tokens = chunks.select(key, "chunk_id", tokenize(F.coalesce(text_col, F.lit(""))).alias("tokens"))
     rows = tokens.select(key, "chunk_id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
-    tf = checkpointed(rows.groupBy(key, "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = written(rows.groupBy(key, "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")))
     lengths = tf.groupBy(key, "chunk_id").agg(F.first("length").alias("length"))
     corpus = lengths.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
     tf = tf.where(F.col("term").isNotNull())

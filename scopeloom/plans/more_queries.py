@@ -275,8 +275,8 @@ def discipline_corpus(spark, sf):
     return R.discipline_corpus(chunks, sheets, divisions)
 
 
-#: An item's vector is one of three of its run and division, leaning a little to its own side.
-_VECTOR = "(item_id % 136 * 3 + item_id {} 136 % 3) % 500"
+#: An item's vector is one of three of its run and division, which other divisions may have too, leaning a little to its own side.
+_VECTOR = "(item_id % 136 * 3 + item_id {} 136 % 3) % 120"
 
 
 def _described(spark, sf):
