@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the confidence from which evidence is strong.
 STRONG = 0.85
 # Weights of the trust score.
 TRUST_WEIGHTS = {"bilateral_coverage": 0.30, "extraction_confidence_avg": 0.15, "link_judge_pass_rate": 0.15, "spec_section_coverage": 0.15, "ocr_text_coverage": 0.10, "schedule_extraction_validity": 0.05, "document_version_consistency": 0.10}

@@ -32,6 +32,7 @@ PREFIX_DISCIPLINE = {"A": "architectural", "S": "structural", "M": "mechanical",
 # Phrase endings, taken off in this order.
 SHEET_SUFFIXES = (" DRAWINGS", " DRAWING", " DWG", " DWGS", " PLAN", " PLANS", " SHEET", " SHEETS", " SET")
 
+# Patterns of a token and of a sheet line.
 TOKEN = r"\b[A-Z0-9][A-Z0-9\-/.]*\b"
 SHEET_LINE = r"(?i)^[A-Z]{1,4}\d+(?:\.\d+)?(?:\s*[-—:]?\s+[A-Z0-9 ,&/]+)?$"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 # Unit aliases, written without case, spaces and dots.
 UNITS = {"sf": "SF", "sqft": "SF", "lf": "LF", "linft": "LF", "cy": "CY", "cuyd": "CY", "ea": "EA", "lbs": "LB", "lb": "LB", "pounds": "LB", "pound": "LB", "ton": "TON", "tons": "TON", "gal": "GAL"}
+# Patterns of a number and of a quantity.
 NUMBER = r"\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?"
 QUANTITY = rf"(?i)(?<![\w.])({NUMBER})\s*(SF|sq\.?\s*ft\.?|S\.?F\.?|LF|lin\.?\s*ft\.?|L\.?F\.?|CY|cu\.?\s*yd\.?|C\.?Y\.?|EA|ea\.?|lbs?|pounds?|TON|tons?|GAL|gal\.?)(?![A-Za-z])"
 # Plausible range by division and unit.

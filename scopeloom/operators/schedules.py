@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # Column words of schedules that define codes, and of schedules that assign them to rooms.
 CATALOG = "code mark tag symbol designation item material product name manufacturer mfr brand supplier vendor description spec remarks size sku model pattern style collection".split()
 MAPPING = "room room_number room_name room_no space floor flooring floor_finish base wall walls wall_finish wainscot ceiling ceilings ceiling_finish trim soffit".split()
+# The order of kinds.
 KIND_RANK = {"catalog": 3, "unknown": 2, "mixed": 1, "mapping": 0}
 # Unit rules by schedule type, the first that matches counts; untyped schedules take the finish rules.
 UNIT_RULES = (
