@@ -84,14 +84,29 @@ def compare_runs(a: DataFrame, b: DataFrame, citations: DataFrame, gaps_a: DataF
     return out.unionByName(facts.select(F.lit("verdict").alias("part"), F.lit("").alias("key"), F.col("items_a").alias("a"), F.col("items_b").alias("b"), verdict.alias("flag")))
 
 
-def compare_extractors(old: DataFrame, new: DataFrame, methods: list[str]) -> DataFrame:
-    """Items of two extractors by division, and the new one's by method, as columns."""
-    a = old.groupBy("division").agg(F.count(F.lit(1)).alias("old_items"))
-    b = new.groupBy("division").pivot("extraction_method", methods).count().fillna(0)
-    return a.join(b, "division", "full_outer").fillna(0)
+def compare_extractors(old: DataFrame, new: DataFrame, sections: DataFrame, types: list[str]) -> DataFrame:
+    """Items (code, extraction_method) of two extractors for each of the ``sections`` (code, title): counts, and the new one's by type.
+
+    A type is the last part of the method, ``eve:qc`` being ``qc``; ``types`` become columns, others count in new_items only.
+    Sections that neither has stay, with zeros; items of sections not asked for are left out.
+    """
+    kind = F.element_at(F.split(F.coalesce("extraction_method", F.lit("")), "[:/]"), -1)
+    both = old.select("code", F.lit(True).alias("is_old"), kind.alias("type")).unionByName(new.select("code", F.lit(False).alias("is_old"), kind.alias("type")))
+    is_new = ~F.col("is_old")
+    counts = both.groupBy("code").agg(F.count_if("is_old").alias("old_items"), F.count_if(is_new).alias("new_items"), *[F.count_if(is_new & (F.col("type") == t)).alias(t) for t in types])
+    asked = sections.groupBy("code").agg(F.coalesce(F.min("title"), F.lit("(?)")).alias("title"))
+    return asked.join(counts, "code", "left").fillna(0, ["old_items", "new_items", *types])
 
 
-def spot_check(items: DataFrame, n: int, seed: int) -> DataFrame:
-    """A repeatable sample of ``n`` items for each division."""
-    order = W.partitionBy("division").orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id")
-    return items.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
+def spot_check(items: DataFrame, citations: DataFrame, n: int, seed: int, by: str = "code") -> DataFrame:
+    """A repeatable sample of ``n`` items for each section, with up to two cited excerpts each, the best first.
+
+    Rows: ``by``, item_id, description, place, chunk_id, excerpt; an item without citations has one row with nulls. The order
+    is that of md5(seed:item_id), whatever the partitions.
+    """
+    order = W.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("item_id").cast("string")).cast("binary")), "item_id")
+    drawn = items.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select(by, "item_id", "description")
+    cited = drawn.select("item_id").join(citations.select("item_id", "citation_id", "chunk_id", "excerpt", "rerank"), "item_id")
+    best = W.partitionBy("item_id").orderBy(F.desc_nulls_last("rerank"), "citation_id")
+    shown = cited.withColumn("place", F.row_number().over(best)).where("place <= 2").select("item_id", "place", "chunk_id", "excerpt")
+    return drawn.join(shown, "item_id", "left")

@@ -59,12 +59,39 @@ def evidence_tier(items: DataFrame, rollup: DataFrame) -> DataFrame:
     return joined.withColumn("tier", tier)
 
 
-def downgrade_pattern(items: DataFrame, sides: DataFrame) -> DataFrame:
-    """Bilateral becomes one-sided where the division can supply one side only. ``sides``: division, has_spec, has_drawing."""
-    joined = items.join(sides, "division", "left")
-    spec, drawing = F.coalesce("has_spec", F.lit(False)), F.coalesce("has_drawing", F.lit(False))
-    new = F.when((F.col("expected") == "bilateral") & spec & ~drawing, "spec_only").when((F.col("expected") == "bilateral") & drawing & ~spec, "drawing_only").otherwise(F.col("expected"))
-    return joined.withColumn("expected", new).drop("has_spec", "has_drawing")
+def project_sides(documents: DataFrame) -> DataFrame:
+    """Per project: whether its documents (project_id, doc_type) hold specs (project_spec) and drawings (project_drawing)."""
+    has = lambda kind: F.coalesce(F.bool_or(F.col("doc_type") == kind), F.lit(False))
+    return documents.groupBy("project_id").agg(has("written-spec").alias("project_spec"), has("drawing-set").alias("project_drawing"))
+
+
+def spec_divisions(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """project_id and division of all divisions that section chunks of written specs head.
+
+    ``chunks``: project_id, document_id, chunk_type, text.
+    """
+    specs = documents.where("doc_type = 'written-spec'").select("document_id").distinct()
+    headed = lambda group: F.regexp_extract_all("text", F.lit(SIDE_HEADING), F.lit(group))
+    heads = chunks.where("chunk_type = 'spec_section'").join(specs, "document_id", "left_semi").select("project_id", F.explode(F.array_distinct(F.concat(headed(1), headed(2)))).alias("found"))
+    return heads.where("found <> ''").select("project_id", F.lpad("found", 2, "0").alias("division")).distinct()
+
+
+def downgrade_pattern(items: DataFrame, projects: DataFrame, specs: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Bilateral becomes one-sided where the project, or else the division in it, can supply one side only.
+
+    ``items``: project_id, division, expected and any others; ``projects`` as ``project_sides`` gives them, ``specs`` as
+    ``spec_divisions`` does. Drawings, where the project has any, may show every division of the ``taxonomy`` (division).
+    With neither side, or without a division, the pattern stays.
+    """
+    is_true = lambda name: F.coalesce(name, F.lit(False))
+    headed = specs.select("project_id", "division").distinct().withColumn("has_spec", F.lit(True))
+    known = taxonomy.select("division").distinct().withColumn("has_drawing", F.lit(True))
+    joined = items.join(projects, "project_id", "left").join(headed, ["project_id", "division"], "left").join(known, "division", "left")
+    both = is_true("project_spec") & is_true("project_drawing")
+    spec, drawing = (F.when(both, is_true(own)).otherwise(is_true(whole)) for own, whole in (("has_spec", "project_spec"), ("has_drawing", "project_drawing")))
+    one = F.when(spec & ~drawing, "spec_only").when(drawing & ~spec, "drawing_only")
+    new = F.when(F.col("expected") == "bilateral", F.coalesce(one, F.col("expected"))).otherwise(F.col("expected"))
+    return joined.withColumn("expected", new).select(*items.columns)
 
 
 def flag_for_review(items: DataFrame, least: float = 0.60) -> DataFrame:
@@ -99,10 +126,15 @@ def version_consistency(revisions: DataFrame) -> DataFrame:
 
 
 def trust_score(runs: DataFrame) -> DataFrame:
-    """Adds score and tier to runs that carry the seven components; a missing one counts as neutral."""
+    """Adds score and tier to runs that carry the seven components; a missing one counts as neutral.
+
+    A run whose n_items, where the column is there, is 0 scores 0.
+    """
     neutral = {"link_judge_pass_rate": 0.5, "bilateral_coverage": 0.0, "extraction_confidence_avg": 0.0}
     score = sum((F.round(F.coalesce(c, F.lit(neutral.get(c, 1.0))), 4) * w for c, w in TRUST_WEIGHTS.items()), F.lit(0.0))
     tier = F.when(F.col("score") >= 0.8, "GREEN").when(F.col("score") >= 0.6, "YELLOW").otherwise("RED")
+    if "n_items" in runs.columns:
+        score = F.when(F.col("n_items") > 0, score).otherwise(0.0)
     return runs.withColumn("score", F.round(score, 4)).withColumn("tier", tier)
 
 
@@ -113,6 +145,10 @@ ADMIN_WORDS = (
     "final cleaning|dumpster|dumpsters|site clean|supervision|general conditions|overhead|as-built|as-builts|operation and maintenance manual|"
     "o&m manual|o&m manuals|schedule of values|pay application|insurance|indemnification"
 )
+# Disciplines whose sheets often show another's items.
+NEIGHBOURS = {"architectural": ("interior",), "interior": ("architectural",), "civil": ("site",)}
+# Fixed value: headings that name a division.
+SIDE_HEADING = r"(?i)\b(?:DIVISION\s+0*(\d{1,2})|SECTION\s+(\d{2})\s\d{2}\s\d{2})\b"
 # Sections whose evidence is on drawings only, and divisions with specs only.
 DRAWING_ONLY = ("02 41 00", "02 41 13", "02 41 16", "02 41 19", "02 42 00", "31 10 00", "31 11 00", "33 05 33.13")
 SPEC_ONLY_DIVISIONS = ("01",)
@@ -141,12 +177,27 @@ def corpus_evidence(chunks: DataFrame, sheets: DataFrame) -> DataFrame:
     return named.unionByName(drawn).unionByName(always).distinct()
 
 
-def items_for_sheets(items: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Items (item_id, discipline, description) that are not administrative, with their discipline's sheets (sheet_id, page)."""
-    from scopeloom.operators.grounding import discipline_of_sheet
+def items_for_sheets(items: DataFrame, sheets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Items with the sheets that may show them: item_id, sheet_id, page, chunk_id.
 
-    metas = sheets.groupBy("project_id", "sheet_id").agg(F.min("page").alias("page")).withColumn("discipline", discipline_of_sheet(F.col("sheet_id"))).where(F.col("discipline").isNotNull())
-    return items.where(~is_admin(F.col("description"))).join(metas, ["project_id", "discipline"]).select("item_id", "sheet_id", "page")
+    ``items`` (item_id, project_id, code, description, extraction_method) that are administrative or quality items, by their
+    words or their method, are left out. An item's discipline is its division's; ``NEIGHBOURS`` names others whose sheets count
+    too. A sheet (project_id, sheet_id, document_id, page) stands on its first page; its chunk there is a page summary, if there
+    is one, else the first chunk, else null. ``chunks``: document_id, page_number, chunk_id, chunk_type.
+    """
+    from scopeloom.operators.grounding import discipline_of_division, discipline_of_sheet
+
+    site = lambda c: F.when(c == "landscape", "site").otherwise(c)
+    metas = sheets.groupBy("project_id", "sheet_id").agg(F.min(F.struct("page", "document_id")).alias("at"))
+    metas = metas.select("project_id", "sheet_id", "at.page", "at.document_id", site(discipline_of_sheet(F.col("sheet_id"))).alias("discipline")).where(F.col("discipline").isNotNull())
+    best = chunks.groupBy("document_id", F.col("page_number").alias("page")).agg(F.min_by("chunk_id", F.struct(F.col("chunk_type") != "page_summary", "chunk_id")).alias("chunk_id"))
+    own = site(discipline_of_division(F.substring("code", 1, 2)))
+    near = F.create_map(*[x for d, others in NEIGHBOURS.items() for x in (F.lit(d), F.array(*[F.lit(o) for o in others]))])
+    kind = F.element_at(F.split(F.coalesce("extraction_method", F.lit("")), "[:/]"), -1)
+    shown = items.where(~is_admin(F.col("description")) & ~kind.isin("admin", "qc")).select("item_id", "project_id", own.alias("own")).where(F.col("own").isNotNull())
+    asked = shown.select("item_id", "project_id", F.explode(F.concat(F.array("own"), F.coalesce(F.try_element_at(near, F.col("own")), F.array().cast("array<string>")))).alias("discipline"))
+    placed = metas.join(best, ["document_id", "page"], "left")
+    return asked.join(placed, ["project_id", "discipline"]).select("item_id", "sheet_id", "page", "chunk_id")
 
 
 def symbol_lookup(glyphs: DataFrame, symbols: DataFrame) -> DataFrame:

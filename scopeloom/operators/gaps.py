@@ -42,6 +42,17 @@ def gap_unresolved_xref(references: DataFrame, cited: DataFrame) -> DataFrame:
     return _gap(missing, "unresolved_cross_reference", "warn", F.col("target"))
 
 
+def gap_quantities(items: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings of ``quantity_sanity`` as gap rows of their items' runs; the subject is the item."""
+    found = findings.select("item_id", "division", "severity").join(items.select("item_id", "run_id"), "item_id")
+    return found.select("run_id", F.lit("qty_implausible").alias("gap_type"), "severity", "division", F.col("item_id").cast("string").alias("subject"))
+
+
+def gap_one_sided(signals: DataFrame) -> DataFrame:
+    """Rows of ``discipline_gap_rows`` as gap rows; the division is that of the code, if there is one."""
+    return _gap(signals.withColumn("division", F.substring("code", 1, 2)), "unilateral_evidence", "warn", F.col("description"))
+
+
 def gap_table(parts: list[DataFrame]) -> DataFrame:
     """Union of gap rows, all open."""
     out = parts[0]

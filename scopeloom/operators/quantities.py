@@ -52,22 +52,31 @@ def sniff_quantities(excerpt: Column) -> Column:
     return F.zip_with(found(1), found(2), lambda n, u: F.struct(_number(n).alias("value"), canonical_unit(u).alias("unit")))
 
 
-def resolve_quantity(items: DataFrame, citations: DataFrame) -> DataFrame:
-    """Per item: qty_value, qty_uom, confidence band and number of signals.
+def quantity_signals(items: DataFrame, citations: DataFrame) -> DataFrame:
+    """Every signal of an item's quantity: item_id, value, uom, prio (its place in ``PRIORITY``), ref, pos and detail.
 
-    Signals are the stated quantity (a miner's before a model's) and the numbers in cited excerpts. The
-    unit with the best source is chosen; its values disagree beyond five per cent: ``conflicting``.
-    ``items``: item_id, quantity, unit, extraction_method; ``citations``: citation_id, item_id, excerpt.
+    Signals are the stated quantity (a miner's before a model's; the detail is its text) and the numbers in cited excerpts
+    (ref and detail name the citation, pos the number's place in the excerpt). Without a number or a unit there is no signal.
     """
     stated = parse_quantity(F.col("quantity"))
     source = F.when(F.col("extraction_method") == "schedule_miner", 0).otherwise(1)
-    own = items.select("item_id", stated["value"].alias("value"), F.coalesce(canonical_unit(stated["unit"]), canonical_unit(F.col("unit"))).alias("uom"), source.alias("prio"), F.lit("").alias("ref"), F.lit(0).alias("pos"))
+    own = items.select("item_id", stated["value"].alias("value"), F.coalesce(canonical_unit(stated["unit"]), canonical_unit(F.col("unit"))).alias("uom"), source.alias("prio"), F.lit("").alias("ref"), F.lit(0).alias("pos"), F.col("quantity").alias("detail"))
     own = own.where(F.col("value").isNotNull() & F.col("uom").isNotNull())
     seen = citations.select("item_id", "citation_id", F.posexplode(sniff_quantities(F.col("excerpt"))).alias("pos", "q"))
-    seen = seen.select("item_id", F.col("q.value").alias("value"), F.col("q.unit").alias("uom"), F.lit(2).alias("prio"), F.col("citation_id").alias("ref"), "pos")
-    signals = own.unionByName(seen)
+    seen = seen.select("item_id", F.col("q.value").alias("value"), F.col("q.unit").alias("uom"), F.lit(2).alias("prio"), F.col("citation_id").alias("ref"), "pos", F.col("citation_id").alias("detail"))
+    return own.unionByName(seen)
+
+
+def resolve_quantity(items: DataFrame, citations: DataFrame) -> DataFrame:
+    """Per item: qty_value, qty_uom, confidence band, number of signals, and where the value comes from.
+
+    The unit with the best source is chosen; where its values disagree beyond five per cent, the band is ``conflicting`` and
+    spread_pct tells by how much (``quantity_signals`` lists them). qty_source is one of ``PRIORITY`` and qty_detail the text or
+    citation; both are null without any signal. ``items``: item_id, quantity, unit, extraction_method; ``citations``: citation_id, item_id, excerpt.
+    """
+    signals = quantity_signals(items, citations)
     by_unit = signals.groupBy("item_id", "uom").agg(
-        F.min(F.struct("prio", "ref", "pos", "value")).alias("best"),
+        F.min(F.struct("prio", "ref", "pos", "value", "detail")).alias("best"),
         F.min(F.round("value", 2)).alias("low"),
         F.max(F.round("value", 2)).alias("high"),
         F.count(F.lit(1)).alias("n"),
@@ -75,9 +84,10 @@ def resolve_quantity(items: DataFrame, citations: DataFrame) -> DataFrame:
     per_item = by_unit.groupBy("item_id").agg(F.min_by(F.struct("uom", "best", "low", "high"), F.struct(F.col("best.prio"), F.col("best.ref"), F.col("best.pos"), "uom")).alias("c"), F.sum("n").alias("signals"))
     prio = F.col("c.best.prio")
     spread = (F.col("c.high") - F.col("c.low")) / F.greatest(F.col("c.low"), F.lit(1.0))
+    source = F.get(F.array(*[F.lit(s) for s in PRIORITY]), prio)
     band = F.when(spread > 0.05, "conflicting").when(prio == 0, "high").when((prio == 1) & (F.col("signals") > 1), "high").otherwise("medium")
     joined = items.select("item_id").join(per_item, "item_id", "left")
-    return joined.select("item_id", F.col("c.best.value").alias("qty_value"), F.col("c.uom").alias("qty_uom"), F.when(F.col("c").isNull(), "unverified").otherwise(band).alias("qty_confidence"), F.coalesce("signals", F.lit(0)).cast("long").alias("signals"))
+    return joined.select("item_id", F.col("c.best.value").alias("qty_value"), F.col("c.uom").alias("qty_uom"), F.when(F.col("c").isNull(), "unverified").otherwise(band).alias("qty_confidence"), F.coalesce("signals", F.lit(0)).cast("long").alias("signals"), source.alias("qty_source"), F.col("c.best.detail").alias("qty_detail"), F.when(spread > 0.05, F.round(spread * 100, 1)).alias("spread_pct"))
 
 
 def _rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

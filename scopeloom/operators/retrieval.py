@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scopeloom.operators.grounding import DISCIPLINES
+
 #: Okapi constants, and the share of the mean idf that stands in for a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -182,9 +184,26 @@ def profile_pool(chunks: DataFrame, semantic: DataFrame, hint: Column, cap: int
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
 
-def discipline_corpus(chunks: DataFrame, sheets: DataFrame, divisions: DataFrame) -> DataFrame:
-    """Per discipline: chunks of its drawings (document_id, discipline), and spec chunks that name one of its divisions (division, discipline)."""
-    drawn = chunks.where("chunk_type <> 'spec_section'").join(sheets.select("document_id", "discipline").distinct(), "document_id").select("discipline", "chunk_id", F.lit("drawing").alias("side"))
+# Disciplines that read schedules of a type; all read the type ``other``.
+SCHEDULE_READERS = {
+    "door": ("architectural", "interior"), "window": ("architectural", "interior"), "finish": ("interior",), "room": ("architectural", "interior"),
+    "fixture": ("plumbing",), "panel": ("electrical",), "equipment": ("mechanical", "electrical", "plumbing"),
+}
+
+
+def discipline_corpus(chunks: DataFrame, sheets: DataFrame, divisions: DataFrame, schedule_rows: DataFrame) -> DataFrame:
+    """Per discipline: chunks of its drawings, spec chunks that name one of its divisions, and rows of schedules it reads.
+
+    ``sheets``: document_id, discipline; ``divisions``: division, discipline; ``schedule_rows``: schedule_id, name, row_index, of
+    which those of typed schedules count. Rows: discipline, side, and chunk_id or schedule_id and row_index.
+    """
+    from scopeloom.operators.schedules import schedule_type
+
+    none = F.lit(None).cast("long")
+    of_chunk = lambda df, side: df.select("discipline", F.lit(side).alias("side"), "chunk_id", none.alias("schedule_id"), none.alias("row_index")).distinct()
+    drawn = chunks.where("chunk_type <> 'spec_section'").join(sheets.select("document_id", "discipline").distinct(), "document_id")
     named = chunks.where("chunk_type = 'spec_section'").select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\d{2}) \d{2} \d{2}\b"), F.lit(1)))).alias("division"))
-    spec = named.join(divisions, "division").select("discipline", "chunk_id", F.lit("spec").alias("side"))
-    return drawn.unionByName(spec).distinct()
+    every = sorted({*DISCIPLINES, *(d for readers in SCHEDULE_READERS.values() for d in readers)})
+    readers = F.create_map(*[x for kind, names in {**SCHEDULE_READERS, "other": every}.items() for x in (F.lit(kind), F.array(*[F.lit(d) for d in names]))])
+    typed = schedule_rows.select(F.explode(F.try_element_at(readers, schedule_type(F.col("name")))).alias("discipline"), F.lit("schedule").alias("side"), none.alias("chunk_id"), F.col("schedule_id").cast("long").alias("schedule_id"), F.col("row_index").cast("long").alias("row_index"))
+    return of_chunk(drawn, "drawing").unionByName(of_chunk(named.join(divisions, "division"), "spec")).unionByName(typed)

@@ -226,10 +226,10 @@ def sniff_quantities(spark, sf):
 
 _RESOLVED = _SNIFF + f""", st AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 1200.0 WHEN 1 THEN 12.0 WHEN 2 THEN 45.0 WHEN 4 THEN 9.0 END::DOUBLE AS value,
   coalesce(CASE item_id % 5 WHEN 0 THEN 'SF' WHEN 1 THEN 'EA' WHEN 4 THEN 'LF' END, CASE WHEN length(unit) > 0 THEN {_UNIT_CASE.format('unit')} END) AS uom, CASE WHEN extraction_method = 'schedule_miner' THEN 0 ELSE 1 END AS prio FROM f_items),
-ev AS (SELECT item_id, value, uom, prio, '' AS ref, 0 AS pos FROM st WHERE value IS NOT NULL AND uom IS NOT NULL UNION ALL SELECT item_id, value, uom, 2, citation_id, pos FROM sniffed),
+ev AS (SELECT item_id, value, uom, prio, '' AS ref, 0 AS pos, quantity AS detail FROM st JOIN f_items USING (item_id) WHERE value IS NOT NULL AND uom IS NOT NULL UNION ALL SELECT item_id, value, uom, 2, citation_id, pos, citation_id FROM sniffed),
 f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY prio, ref, pos, uom) AS n FROM ev),
 u AS (SELECT item_id, uom, min(round(value, 2)) AS low, max(round(value, 2)) AS high FROM ev GROUP BY ALL), c AS (SELECT item_id, count(*) AS signals FROM ev GROUP BY item_id),
-resolved AS (SELECT i.item_id, f.value AS qty_value, f.uom AS qty_uom, CASE WHEN f.uom IS NULL THEN 'unverified' WHEN (high - low) / greatest(low, 1) > 0.05 THEN 'conflicting' WHEN prio = 0 THEN 'high' WHEN prio = 1 AND signals > 1 THEN 'high' ELSE 'medium' END AS qty_confidence, coalesce(signals, 0) AS signals
+resolved AS (SELECT i.item_id, f.value AS qty_value, f.uom AS qty_uom, CASE WHEN f.uom IS NULL THEN 'unverified' WHEN (high - low) / greatest(low, 1) > 0.05 THEN 'conflicting' WHEN prio = 0 THEN 'high' WHEN prio = 1 AND signals > 1 THEN 'high' ELSE 'medium' END AS qty_confidence, coalesce(signals, 0) AS signals, CASE prio WHEN 0 THEN 'schedule_miner_stated' WHEN 1 THEN 'sonnet_stated' WHEN 2 THEN 'excerpt_regex' END AS qty_source, f.detail AS qty_detail, CASE WHEN (high - low) / greatest(low, 1) > 0.05 THEN round((high - low) / greatest(low, 1) * 100, 1) END AS spread_pct
   FROM f_items i LEFT JOIN f ON f.item_id = i.item_id AND n = 1 LEFT JOIN u ON u.item_id = i.item_id AND u.uom = f.uom LEFT JOIN c ON c.item_id = i.item_id)"""
 
 
@@ -238,11 +238,19 @@ def resolve_quantity(spark, sf):
     return Q.resolve_quantity(view(spark, sf, "f_items"), view(spark, sf, "f_citations"))
 
 
+@register("quantity_signals", with_views("f_items", "f_citations") + _RESOLVED + " SELECT item_id, value, uom, prio, ref, pos, detail FROM ev")
+def quantity_signals(spark, sf):
+    return Q.quantity_signals(view(spark, sf, "f_items"), view(spark, sf, "f_citations"))
+
+
 _RANGE_ROWS = "ranges(division, uom, low, high) AS (VALUES " + ", ".join(f"('{d}', '{u}', {a}, {b})" for d, u, a, b in Q.RANGES) + "), units(division, expected) AS (VALUES " + ", ".join(f"('{d}', [{_listed(u.split())}])" for d, u in Q.EXPECTED_UNITS.items()) + ")"
 
 
-@register("quantity_sanity", with_views("f_items", "f_citations") + _RESOLVED + f", {_RANGE_ROWS}" + """, s AS (SELECT item_id, i.division, qty_uom, 'qty_implausible' AS gap_type, CASE WHEN n.expected IS NOT NULL AND NOT list_contains(n.expected, qty_uom) THEN 'blocker' WHEN qty_value < low OR qty_value > high THEN 'warn' END AS severity
-FROM resolved JOIN f_items i USING (item_id) LEFT JOIN units n ON n.division = i.division LEFT JOIN ranges r ON r.division = i.division AND r.uom = qty_uom WHERE qty_value IS NOT NULL AND qty_uom IS NOT NULL) SELECT * FROM s WHERE severity IS NOT NULL""")
+_SANITY = f", {_RANGE_ROWS}" + """, sane AS (SELECT item_id, i.division, qty_uom, 'qty_implausible' AS gap_type, CASE WHEN n.expected IS NOT NULL AND NOT list_contains(n.expected, qty_uom) THEN 'blocker' WHEN qty_value < low OR qty_value > high THEN 'warn' END AS severity
+FROM resolved JOIN f_items i USING (item_id) LEFT JOIN units n ON n.division = i.division LEFT JOIN ranges r ON r.division = i.division AND r.uom = qty_uom WHERE qty_value IS NOT NULL AND qty_uom IS NOT NULL)"""
+
+
+@register("quantity_sanity", with_views("f_items", "f_citations") + _RESOLVED + _SANITY + " SELECT * FROM sane WHERE severity IS NOT NULL")
 def quantity_sanity(spark, sf):
     items = view(spark, sf, "f_items")
     resolved = Q.resolve_quantity(items, view(spark, sf, "f_citations")).join(items.select("item_id", "division"), "item_id")

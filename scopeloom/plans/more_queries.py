@@ -210,13 +210,16 @@ def corpus_evidence(spark, sf):
     return E.corpus_evidence(view(spark, sf, "f_pages").select((F.col("document_id") % 4).alias("project_id"), "text"), view(spark, sf, "f_sheets"))
 
 
-_ITEM_DISCIPLINE = "CASE item_id % 3 WHEN 0 THEN 'architectural' WHEN 1 THEN 'electrical' ELSE 'general' END"
+_DIVISION_DISCIPLINE = "CASE " + " ".join(f"WHEN division IN ({', '.join(repr(n) for n in ns.split())}) THEN '{'site' if d == 'landscape' else d}'" for d, ns in G.DISCIPLINES.items()) + " END"
 
 
-@register("items_for_sheets", with_views("f_items", "f_sheets") + f", m AS (SELECT project_id, sheet_id, min(page) AS page, any_value({_DISCIPLINE}) AS discipline FROM f_sheets GROUP BY ALL) SELECT item_id, sheet_id, page FROM (SELECT *, {_ITEM_DISCIPLINE} AS discipline FROM f_items) i JOIN m USING (project_id, discipline)")
+@register("items_for_sheets", with_views("f_items", "f_sheets", "f_chunks") + f""", m AS (SELECT project_id, sheet_id, min(page * 100 + document_id) AS spot, replace(any_value({_DISCIPLINE}), 'landscape', 'site') AS discipline FROM f_sheets GROUP BY project_id, sheet_id),
+b AS (SELECT document_id, page_number AS page, coalesce(min(chunk_id) FILTER (chunk_type = 'page_summary'), min(chunk_id)) AS chunk_id FROM f_chunks GROUP BY ALL),
+i AS (SELECT item_id, project_id, {_DIVISION_DISCIPLINE} AS discipline FROM f_items WHERE extraction_method NOT IN ('eve:admin', 'eve:qc') AND NOT regexp_matches(description, '(?i)\\b(?:{E.ADMIN_WORDS})\\b')),
+e AS (SELECT * FROM i UNION ALL SELECT item_id, project_id, CASE discipline WHEN 'architectural' THEN 'interior' WHEN 'interior' THEN 'architectural' ELSE 'site' END FROM i WHERE discipline IN ('architectural', 'interior', 'civil'))
+SELECT item_id, sheet_id, spot // 100 AS page, chunk_id FROM e JOIN m USING (project_id, discipline) LEFT JOIN b ON b.document_id = spot % 100 AND b.page = spot // 100""")
 def items_for_sheets(spark, sf):
-    items = view(spark, sf, "f_items").withColumn("discipline", F.expr(_ITEM_DISCIPLINE))
-    return E.items_for_sheets(items, view(spark, sf, "f_sheets"))
+    return E.items_for_sheets(view(spark, sf, "f_items"), view(spark, sf, "f_sheets"), view(spark, sf, "f_chunks"))
 
 
 _SYMBOLS = "SELECT p_brand || '-' || CAST(p_size AS STRING) AS glyph, p_type AS code, CASE WHEN p_partkey % 3 = 0 THEN 'electrical' ELSE 'plumbing' END AS discipline FROM part"
@@ -265,14 +268,22 @@ def profile_pool(spark, sf):
     return R.profile_pool(view(spark, sf, "f_chunks"), _sparse(spark, sf), F.col("chunk_type") == "note")
 
 
+_TITLES = ("[typed:door] D", "[TYPED:Window] w", "[typed:finish] f", "[typed:room] r", "[typed:fixture] x", "[typed:panel] p", "[typed:equipment] q", "[typed:other] o", "[typed:unknown] u", "Door")
+_READERS = ", ".join(f"('{kind}', '{d}')" for kind, ds in {**R.SCHEDULE_READERS, "other": tuple(G.DISCIPLINES)}.items() for d in ds)
+
+
 @register("discipline_corpus", with_views("f_pages", "f_sheets") + rf""", c AS (SELECT document_id, page_number, document_id * 20 + page_number AS chunk_id, CASE WHEN page_number % 2 = 0 THEN 'spec_section' ELSE 'note' END AS chunk_type, text FROM f_pages),
-s AS (SELECT DISTINCT document_id, {_DISCIPLINE} AS discipline FROM f_sheets), n AS (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(text, '\b(\d{{2}}) \d{{2}} \d{{2}}\b', 1))) AS division FROM c WHERE chunk_type = 'spec_section')
-SELECT DISTINCT discipline, chunk_id, 'drawing' AS side FROM c JOIN s USING (document_id) WHERE chunk_type <> 'spec_section' AND discipline IS NOT NULL UNION SELECT CASE WHEN CAST(division AS INT) % 2 = 0 THEN 'architectural' ELSE 'electrical' END, chunk_id, 'spec' FROM n WHERE CAST(division AS INT) < 25""")
+s AS (SELECT DISTINCT document_id, {_DISCIPLINE} AS discipline FROM f_sheets), n AS (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(text, '\b(\d{{2}}) \d{{2}} \d{{2}}\b', 1))) AS division FROM c WHERE chunk_type = 'spec_section'),
+k AS (SELECT p_partkey AS schedule_id, unnest([0, 1]) AS row_index, lower(regexp_extract([{", ".join(repr(t) for t in _TITLES)}][p_partkey % 10 + 1], '(?i)typed:([a-z]+)', 1)) AS kind FROM part), readers(kind, discipline) AS (VALUES {_READERS}),
+u AS (SELECT DISTINCT discipline, 'drawing' AS side, chunk_id FROM c JOIN s USING (document_id) WHERE chunk_type <> 'spec_section' AND discipline IS NOT NULL UNION SELECT CASE WHEN CAST(division AS INT) % 2 = 0 THEN 'architectural' ELSE 'electrical' END, 'spec', chunk_id FROM n WHERE CAST(division AS INT) < 25)
+SELECT discipline, side, chunk_id, NULL AS schedule_id, NULL AS row_index FROM u UNION ALL SELECT discipline, 'schedule', NULL, schedule_id, row_index FROM k JOIN readers USING (kind)""")
 def discipline_corpus(spark, sf):
     chunks = view(spark, sf, "f_pages").select("document_id", (F.col("document_id") * 20 + F.col("page_number")).alias("chunk_id"), F.expr("CASE WHEN page_number % 2 = 0 THEN 'spec_section' ELSE 'note' END").alias("chunk_type"), "text")
     sheets = view(spark, sf, "f_sheets").select("document_id", G.discipline_of_sheet(F.col("sheet_id")).alias("discipline")).where("discipline IS NOT NULL")
     divisions = view(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("division"), F.expr("CASE WHEN n_nationkey % 2 = 0 THEN 'architectural' ELSE 'electrical' END").alias("discipline"))
-    return R.discipline_corpus(chunks, sheets, divisions)
+    title = F.get(F.array(*[F.lit(t) for t in _TITLES]), F.col("ord") % 10)
+    rows = S.explode_schedule_rows(_schedules(spark, sf)).select(F.col("ord").alias("schedule_id"), "row_index", title.alias("name"))
+    return R.discipline_corpus(chunks, sheets, divisions, rows)
 
 
 #: An item's vector is one of three of its run and division, which other divisions may have too, leaning a little to its own side.
@@ -402,10 +413,22 @@ def compare_runs(spark, sf):
     return V.compare_runs(items.where(_RUN_A), items.where(_RUN_B), view(spark, sf, "f_citations"), gaps.where("gap_id % 2 = 0"), gaps.where("gap_id % 2 = 1"))
 
 
-@register("compare_extractors", with_views("f_items") + ", a AS (SELECT division, count(*) AS old_items FROM f_items WHERE item_id % 3 <> 0 GROUP BY division), b AS (SELECT division, count(*) FILTER (extraction_method = 'eve') AS eve, count(*) FILTER (extraction_method = 'section') AS section FROM f_items WHERE item_id % 3 = 0 GROUP BY division) SELECT division, coalesce(old_items, 0) AS old_items, coalesce(eve, 0) AS eve, coalesce(section, 0) AS section FROM a FULL JOIN b USING (division)")
+#: Every item is found by one of two extractors or by both.
+_OLD, _NEW = "item_id % 5 <> 0", "item_id % 5 <> 1"
+_ITEM_TYPES = ("eve", "admin", "qc", "section")
+
+
+@register("compare_extractors", with_views("f_items", "f_taxonomy") + f""", k AS (SELECT code, count(*) FILTER ({_OLD}) AS old_items, count(*) FILTER ({_NEW}) AS new_items, {', '.join(f"count(*) FILTER ({_NEW} AND split_part('eve:' || extraction_method, ':', -1) = '{t}') AS {t}" for t in _ITEM_TYPES)} FROM f_items GROUP BY code)
+SELECT code, title, coalesce(old_items, 0) AS old_items, coalesce(new_items, 0) AS new_items, {', '.join(f"coalesce({t}, 0) AS {t}" for t in _ITEM_TYPES)} FROM f_taxonomy LEFT JOIN k USING (code)""")
 def compare_extractors(spark, sf):
     items = view(spark, sf, "f_items")
-    return V.compare_extractors(items.where("item_id % 3 <> 0"), items.where("item_id % 3 = 0"), ["eve", "section"])
+    return V.compare_extractors(items.where(_OLD), items.where(_NEW), view(spark, sf, "f_taxonomy"), list(_ITEM_TYPES))
+
+
+@register("spot_check", with_views("f_items", "f_citations") + """, d AS (SELECT code, item_id, description FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY md5('7:' || item_id), item_id) AS n FROM f_items) WHERE n <= 2),
+c AS (SELECT * FROM (SELECT item_id, chunk_id, excerpt, row_number() OVER (PARTITION BY item_id ORDER BY rerank DESC NULLS LAST, citation_id) AS place FROM f_citations) WHERE place <= 2) SELECT code, item_id, description, place, chunk_id, excerpt FROM d LEFT JOIN c USING (item_id)""")
+def spot_check(spark, sf):
+    return V.spot_check(view(spark, sf, "f_items"), view(spark, sf, "f_citations"), 2, 7)
 
 
 #: Every tenth event that is more than a day older than the newest comes late, after the watermark.

@@ -58,8 +58,8 @@ def discipline_of_division(spark, sf):
     return view(spark, sf, "part").select("p_partkey", grounding.discipline_of_division((F.col("p_partkey") % 34).cast("string")).alias("discipline"))
 
 
-@register("run_rollup", with_views("f_items", "f_conflicts", "f_gaps", "f_citations", "f_pages", "f_revisions") + Q._BUNDLED + Q._TRUST + """, c AS (SELECT run_id, count(DISTINCT conflict_id) AS conflicts FROM f_conflicts GROUP BY run_id), gg AS (SELECT run_id, count(*) AS gaps FROM f_gaps GROUP BY run_id), pp AS (SELECT run_id, count(DISTINCT package) AS packages FROM bundled GROUP BY run_id)
-SELECT run_id, coalesce(conflicts, 0) AS conflicts, coalesce(gaps, 0) AS gaps, coalesce(packages, 0) AS packages, CAST(score AS DOUBLE) AS score FROM (SELECT DISTINCT run_id FROM f_items) u LEFT JOIN c USING (run_id) LEFT JOIN gg USING (run_id) LEFT JOIN pp USING (run_id) LEFT JOIN t USING (run_id)""")
+@register("run_rollup", with_views("f_conflicts", "f_gaps", *Q._TRUST_VIEWS) + Q._BUNDLED + Q._TRUST + """, cc AS (SELECT run_id, count(DISTINCT conflict_id) AS conflicts FROM f_conflicts GROUP BY run_id), gg AS (SELECT run_id, count(*) AS gaps FROM f_gaps GROUP BY run_id), pp AS (SELECT run_id, count(DISTINCT package) AS packages FROM bundled GROUP BY run_id)
+SELECT run_id, coalesce(conflicts, 0) AS conflicts, coalesce(gaps, 0) AS gaps, coalesce(packages, 0) AS packages, CAST(score AS DOUBLE) AS score FROM (SELECT DISTINCT run_id FROM f_items) u LEFT JOIN cc USING (run_id) LEFT JOIN gg USING (run_id) LEFT JOIN pp USING (run_id) LEFT JOIN t USING (run_id)""")
 def run_rollup(spark, sf):
     items = view(spark, sf, "f_items")
     runs = items.select("run_id", F.col("run_id").alias("project_id"), F.lit(0).alias("started_at")).distinct()

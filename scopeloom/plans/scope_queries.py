@@ -9,8 +9,9 @@ from scopeloom.operators import gaps as G
 from scopeloom.operators import packages as P
 from scopeloom.operators import quantities as Q
 from scopeloom.operators import statement as D
+from scopeloom.operators import trust as T
 from scopeloom.plans.fixtures import folder, view, with_views
-from scopeloom.plans.grounding_queries import _RESOLVED
+from scopeloom.plans.grounding_queries import _RESOLVED, _SANITY, quantity_sanity
 from scopeloom.plans.registry import register
 
 
@@ -56,11 +57,20 @@ def evidence_tier(spark, sf):
     return E.evidence_tier(view(spark, sf, "f_items"), E.evidence_rollup(view(spark, sf, "f_citations"))).select("item_id", "pattern_match", "tier")
 
 
-@register("downgrade_pattern", with_views("f_items") + " SELECT item_id, CASE WHEN expected = 'bilateral' AND CAST(division AS INT) % 3 = 0 THEN 'spec_only' WHEN expected = 'bilateral' AND CAST(division AS INT) % 3 = 1 THEN 'drawing_only' ELSE expected END AS expected FROM f_items")
+#: One project without written specs, one without drawings, two with both.
+_SIDED = "CASE WHEN project_id = 1 AND doc_type = 'written-spec' OR project_id = 2 AND doc_type = 'drawing-set' THEN 'other' ELSE doc_type END"
+
+
+@register("downgrade_pattern", with_views("f_items", "f_documents", "f_chunks", "f_taxonomy") + f""", d AS (SELECT document_id, project_id, {_SIDED} AS doc_type FROM f_documents),
+p AS (SELECT project_id, bool_or(doc_type = 'written-spec') AS ps, bool_or(doc_type = 'drawing-set') AS pd FROM d GROUP BY project_id),
+h AS (SELECT project_id, unnest(list_concat(regexp_extract_all(text, '{E.SIDE_HEADING}', 1), regexp_extract_all(text, '{E.SIDE_HEADING}', 2))) AS found FROM f_chunks WHERE chunk_type = 'spec_section' AND document_id IN (SELECT document_id FROM d WHERE doc_type = 'written-spec')),
+s AS (SELECT DISTINCT project_id, lpad(found, 2, '0') AS division, true AS spec FROM h WHERE found <> ''), x AS (SELECT DISTINCT division, true AS drawn FROM f_taxonomy),
+j AS (SELECT item_id, expected, coalesce(CASE WHEN ps AND pd THEN spec ELSE ps END, false) AS spec, coalesce(CASE WHEN ps AND pd THEN drawn ELSE pd END, false) AS drawn FROM f_items LEFT JOIN p USING (project_id) LEFT JOIN s USING (project_id, division) LEFT JOIN x USING (division))
+SELECT item_id, CASE WHEN expected = 'bilateral' AND spec AND NOT drawn THEN 'spec_only' WHEN expected = 'bilateral' AND drawn AND NOT spec THEN 'drawing_only' ELSE expected END AS expected FROM j""")
 def downgrade_pattern(spark, sf):
-    items = view(spark, sf, "f_items")
-    sides = items.select("division").distinct().select("division", F.expr("CAST(division AS INT) % 3 <> 1").alias("has_spec"), F.expr("CAST(division AS INT) % 3 <> 0").alias("has_drawing"))
-    return E.downgrade_pattern(items, sides).select("item_id", "expected")
+    documents = view(spark, sf, "f_documents").select("document_id", "project_id", F.expr(_SIDED).alias("doc_type"))
+    specs = E.spec_divisions(documents, view(spark, sf, "f_chunks"))
+    return E.downgrade_pattern(view(spark, sf, "f_items"), E.project_sides(documents), specs, view(spark, sf, "f_taxonomy")).select("item_id", "expected")
 
 
 @register("flag_for_review", with_views("f_items", "f_citations") + _RESOLVED + """ SELECT item_id, array_to_string([x FOR x IN [CASE WHEN confidence < 0.6 THEN 'low confidence' END, CASE WHEN qty_confidence = 'conflicting' THEN 'conflicting quantity' END] IF x IS NOT NULL], '; ') AS reasons
@@ -92,25 +102,38 @@ def version_consistency(spark, sf):
     return E.version_consistency(view(spark, sf, "f_revisions"))
 
 
-_TRUST = _TIER + _VERSIONS + """, i AS (SELECT run_id, round(avg(CAST(pattern_match AS INT)), 4) AS a, round(avg(confidence), 4) AS b FROM tiered GROUP BY run_id),
+_REL = ", rel AS (SELECT project_id, division FROM f_relevance WHERE CASE WHEN overridden THEN override_value ELSE is_relevant END), runs AS (SELECT DISTINCT run_id, run_id AS project_id FROM f_items)"
+
+
+#: Every third schedule has no type, every fifth no rows.
+_SCHEDULED = "SELECT p_partkey % 4 AS project_id, CASE WHEN p_partkey % 3 = 0 THEN 'Door' ELSE '[typed:door] Door' END AS name, p_partkey % 5 AS n_rows FROM part"
+_TRUST_VIEWS = ("f_items", "f_citations", "f_pages", "f_documents", "f_relevance", "f_taxonomy", "f_revisions")
+_TRUST = _TIER + _VERSIONS + _REL + f""", i AS (SELECT run_id, round(avg(CAST(pattern_match AS INT)), 4) AS a, round(avg(confidence), 4) AS b FROM tiered GROUP BY run_id),
 j AS (SELECT item_id % 4 AS run_id, round(avg(CAST(link_pass AS INT)), 4) AS c FROM f_citations WHERE link_pass IS NOT NULL GROUP BY 1),
-o AS (SELECT document_id % 4 AS run_id, round(avg(CAST(text IS NOT NULL AS INT)), 4) AS e FROM f_pages GROUP BY 1),
-t AS (SELECT i.run_id, round(a * 0.30 + b * 0.15 + coalesce(c, 0.5) * 0.15 + 0.15 + coalesce(e, 1) * 0.10 + 0.05 + coalesce(document_version_consistency, 1) * 0.10, 4) AS score FROM i LEFT JOIN j USING (run_id) LEFT JOIN o USING (run_id) LEFT JOIN versions v ON v.project_id = i.run_id)"""
+want AS (SELECT DISTINCT run_id, code FROM runs JOIN rel USING (project_id) JOIN f_taxonomy USING (division) WHERE NOT ends_with(code, ' 00 00')),
+l AS (SELECT run_id, round(avg(CAST((run_id, code) IN (SELECT run_id, code FROM f_items) AS INT)), 4) AS d FROM want GROUP BY run_id),
+o AS (SELECT project_id AS run_id, round(avg(CAST(p.text IS NOT NULL AS INT)), 4) AS e FROM f_pages p JOIN f_documents USING (document_id) WHERE doc_type IN ('written-spec', 'bid-quote', 'scope-letter') GROUP BY project_id),
+k AS (SELECT project_id AS run_id, round(avg(CAST(n_rows > 0 AS INT)), 4) AS f FROM ({_SCHEDULED}) WHERE starts_with(name, '[typed:') GROUP BY project_id),
+t AS (SELECT i.run_id, a, b, coalesce(c, 0.5) AS c, coalesce(d, 1) AS d, coalesce(e, 1) AS e, coalesce(f, 1) AS f, coalesce(document_version_consistency, 1) AS g, round(a * 0.30 + b * 0.15 + coalesce(c, 0.5) * 0.15 + coalesce(d, 1) * 0.15 + coalesce(e, 1) * 0.10 + coalesce(f, 1) * 0.05 + coalesce(document_version_consistency, 1) * 0.10, 4) AS score
+FROM i LEFT JOIN j USING (run_id) LEFT JOIN l USING (run_id) LEFT JOIN o USING (run_id) LEFT JOIN k USING (run_id) LEFT JOIN versions v ON v.project_id = i.run_id)"""
 
 
-@register("trust_score", with_views("f_items", "f_citations", "f_pages", "f_revisions") + _TRUST + " SELECT run_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.8 THEN 'GREEN' WHEN score >= 0.6 THEN 'YELLOW' ELSE 'RED' END AS tier FROM t")
-def trust_score(spark, sf):
+def _components(spark, sf):
+    runs, relevant, items = _gap_inputs(spark, sf)
     cits = view(spark, sf, "f_citations")
-    share = lambda c: F.avg(c.cast("double"))
-    items = E.evidence_tier(view(spark, sf, "f_items"), E.evidence_rollup(cits)).groupBy("run_id").agg(share(F.col("pattern_match")).alias("bilateral_coverage"), F.avg("confidence").alias("extraction_confidence_avg"))
-    links = cits.where(F.col("link_pass").isNotNull()).groupBy((F.col("item_id") % 4).alias("run_id")).agg(share(F.col("link_pass")).alias("link_judge_pass_rate"))
-    pages = view(spark, sf, "f_pages").groupBy((F.col("document_id") % 4).alias("run_id")).agg(share(F.col("text").isNotNull()).alias("ocr_text_coverage"))
-    versions = E.version_consistency(view(spark, sf, "f_revisions")).withColumnRenamed("project_id", "run_id")
-    runs = items.join(links, "run_id", "left").join(pages, "run_id", "left").join(versions, "run_id", "left").withColumns({"spec_section_coverage": F.lit(None).cast("double"), "schedule_extraction_validity": F.lit(None).cast("double")})
-    return E.trust_score(runs).select("run_id", "score", "tier")
+    tiered = E.evidence_tier(items, E.evidence_rollup(cits.select("item_id", "evidence_type", "rerank", "link_pass")))
+    schedules = spark.sql(_SCHEDULED.replace("FROM part", "FROM {part}"), part=view(spark, sf, "part"))
+    return T.trust_components(runs, tiered, cits, relevant, view(spark, sf, "f_taxonomy"), view(spark, sf, "f_pages"), view(spark, sf, "f_documents"), schedules, view(spark, sf, "f_revisions"))
 
 
-_REL = ", rel AS (SELECT project_id, division FROM f_relevance WHERE CASE WHEN overridden THEN override_value ELSE is_relevant END), runs AS (SELECT DISTINCT run_id, run_id AS project_id FROM f_items)"
+@register("trust_components", with_views(*_TRUST_VIEWS) + _TRUST + " SELECT run_id, a AS bilateral_coverage, b AS extraction_confidence_avg, c AS link_judge_pass_rate, d AS spec_section_coverage, e AS ocr_text_coverage, f AS schedule_extraction_validity, g AS document_version_consistency FROM t")
+def trust_components(spark, sf):
+    return _components(spark, sf).select("run_id", *[F.round(c, 4).alias(c) for c in E.TRUST_WEIGHTS])
+
+
+@register("trust_score", with_views(*_TRUST_VIEWS) + _TRUST + " SELECT run_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.8 THEN 'GREEN' WHEN score >= 0.6 THEN 'YELLOW' ELSE 'RED' END AS tier FROM t")
+def trust_score(spark, sf):
+    return E.trust_score(_components(spark, sf)).select("run_id", "score", "tier")
 
 
 def _gap_inputs(spark, sf):
@@ -153,10 +176,19 @@ def gap_unresolved_xref(spark, sf):
     return G.gap_unresolved_xref(refs, view(spark, sf, "f_citations").select((F.col("item_id") % 4).alias("run_id"), "sheet"))
 
 
-@register("gap_table", with_views("f_items", "f_relevance", "f_taxonomy", "f_sheets", "f_citations") + _REL + f", a AS ({_MISSING_D} UNION ALL {_MISSING_S} UNION ALL {_XREF}) SELECT run_id, count(*) FILTER (gap_type = 'missing_division') AS missing_division, count(*) FILTER (gap_type = 'missing_section') AS missing_section, count(*) FILTER (gap_type = 'unresolved_cross_reference') AS unresolved_cross_reference FROM a GROUP BY run_id")
+_KINDS = ("missing_division", "missing_section", "unresolved_cross_reference", "unilateral_evidence", "qty_implausible")
+#: Each order brings one signal of a side with a code and one contradiction without.
+_SIGNALS = """ SELECT o_orderkey % 4 AS run_id, 'unilateral_evidence' AS gap_type, 'warn' AS severity, '03' AS division, 'a' || o_custkey AS subject FROM orders UNION ALL SELECT o_orderkey % 4, 'unilateral_evidence', 'warn', NULL, 'c [see x]' FROM orders"""
+_ODD = " SELECT run_id, gap_type, severity, sane.division, CAST(item_id AS VARCHAR) AS subject FROM sane JOIN f_items USING (item_id) WHERE severity IS NOT NULL"
+
+
+@register("gap_table", with_views("f_items", "f_relevance", "f_taxonomy", "f_sheets", "f_citations") + _REL + _RESOLVED + _SANITY + f", a AS ({_MISSING_D} UNION ALL {_MISSING_S} UNION ALL {_XREF} UNION ALL {_SIGNALS} UNION ALL {_ODD}) SELECT run_id, {', '.join(f"count(*) FILTER (gap_type = '{k}') AS {k}" for k in _KINDS)} FROM a GROUP BY run_id")
 def gap_table(spark, sf):
-    all_gaps = G.gap_table([gap_missing_division(spark, sf), gap_missing_section(spark, sf), gap_unresolved_xref(spark, sf)])
-    return G.gap_counts(all_gaps, ["missing_division", "missing_section", "unresolved_cross_reference"])
+    text = F.expr("""concat('{"spec_only":[{"text":"a', o_custkey, '","section":"03 30 00"},{"text":" "}],"drawing_only":[],"contradictions":[{"text":"c","section":"see x"}]}')""")
+    signals = G.discipline_gap_rows(view(spark, sf, "orders").select((F.col("o_orderkey") % 4).alias("run_id"), text.alias("json")))
+    odd = G.gap_quantities(view(spark, sf, "f_items"), quantity_sanity(spark, sf))
+    all_gaps = G.gap_table([gap_missing_division(spark, sf), gap_missing_section(spark, sf), gap_unresolved_xref(spark, sf), G.gap_one_sided(signals), odd])
+    return G.gap_counts(all_gaps, list(_KINDS))
 
 
 @register("conflict_within_code", with_views("f_conflicts") + """, c AS (SELECT conflict_id, count(*) AS n, count(DISTINCT unit) AS u, max(value) FILTER (value > 0) AS h, min(value) FILTER (value > 0) AS l FROM f_conflicts GROUP BY conflict_id),
