@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,11 +34,37 @@ def ingest_documents(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return files.select("id", F.coalesce(size, F.lit(0)).alias("size"), F.sha2("content", 256).alias("sha256"), magic_type(F.col("content"), F.col("declared")).alias("mime"), why.alias("refused"))
 
 
+def _lines_digest(lines: Iterator[str | None]) -> str:
+    digest, empty = hashlib.sha256(), True
+    for line in lines:
+        if line is not None:
+            digest.update(line.encode() + b"\n")
+            empty = False
+    if empty:
+        digest.update(b"\n")
+    return digest.hexdigest()
+
+
 def input_fingerprint(documents: DataFrame) -> DataFrame:
-    """Per project the digest of its own documents' sorted digests, each ended by a line feed; bids are left out."""
+    """Per project the digest of its own documents' sorted digests, each ended by a line feed; bids and null texts are left out.
+
+    The digests of a project are sorted by Spark and pass its hash one after the other, so no project is ever held as one
+    value. A project without any text has the digest of a line feed.
+    """
     own = documents.where(F.col("source_kind") != "bid_submission").select("project_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    listed = own.groupBy("project_id").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    return listed.select("project_id", F.sha2(F.concat(F.array_join("hs", "\n"), F.lit("\n")).cast("binary"), 256).alias("fingerprint"))
+    kind = own.schema["project_id"].dataType.simpleString()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        rows = ((key, h) for batch in chain([first], batches) for key, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        found = ((key, _lines_digest(h for _, h in own_rows)) for key, own_rows in groupby(rows, itemgetter(0)))
+        while part := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], first.column(0).type), pa.array([d for _, d in part], pa.string())], ["project_id", "fingerprint"])
+
+    ordered = own.repartition("project_id").sortWithinPartitions("project_id", "h")
+    return ordered.mapInArrow(apply, f"project_id {kind}, fingerprint string")
 
 
 def load_taxonomy(rows: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Sides, sheets, corpora, trust, gaps and comparison on small rows worked out by hand."""
 
+import hashlib
+
 import pytest
 
 from scopeloom.operators import evaluation, evidence, gaps, quantities, retrieval, trust
+from scopeloom.sources import ingest
 
 DOCS = "document_id long, project_id long, doc_type string"
 ITEMS = "item_id long, project_id long, division string, expected string"
@@ -164,3 +167,17 @@ def test_extractors_by_section(spark):
     assert rows(one, "item_id", "place", "excerpt") == [(3, 1, "best"), (3, 2, "low"), (4, None, None), (5, None, None), (6, None, None)]
     drawn = rows(evaluation.spot_check(new, cits, 1, 5).select("code", "item_id").distinct())
     assert drawn == rows(evaluation.spot_check(new.repartition(3), cits, 1, 5).select("code", "item_id").distinct()) and len(drawn) == 2
+
+
+def test_fingerprints(spark):
+    data = [(i % 3 if i % 2 else 0, f"text {i % 50}", "project_document" if i % 7 else "bid_submission") for i in range(300)]
+    data += [(None, "x", "project_document"), (8, None, "project_document"), (9, "only a bid", "bid_submission"), (10, "", "project_document")]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for key, text, kind in data:
+        if kind != "bid_submission":
+            want.setdefault(key, []).extend([] if text is None else [sha(text.encode())])
+    got = ingest.input_fingerprint(spark.createDataFrame(data, "project_id int, text string, source_kind string").repartition(5)).collect()
+    assert len(got) == len(want)
+    assert {r.project_id: r.fingerprint for r in got} == {k: sha(("\n".join(sorted(v)) + "\n").encode()) for k, v in want.items()}
+    assert ingest.input_fingerprint(spark.createDataFrame([], "project_id int, text string, source_kind string")).collect() == []
