@@ -113,6 +113,16 @@ def discipline_of_sheet(sheet: Column) -> Column:
     return F.when(upper.startswith("FP"), F.lit(PREFIX_DISCIPLINE["FP"])).otherwise(F.try_element_at(table, F.substring(upper, 1, 1)))
 
 
+def sheet_manifest(index: DataFrame) -> DataFrame:
+    """project_id, place (from 1), sheet_id, discipline of each sheet (project_id, sheet_id, ord) once, where it comes first.
+
+    Blank ids are left out; a sheet without a known prefix is of discipline ``unknown``.
+    """
+    first = index.where(F.length(F.trim("sheet_id")) > 0).groupBy("project_id", "sheet_id").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(W.partitionBy("project_id").orderBy("ord", "sheet_id"))
+    return first.select("project_id", place.alias("place"), "sheet_id", F.coalesce(discipline_of_sheet(F.col("sheet_id")), F.lit("unknown")).alias("discipline"))
+
+
 def specific_tokens(text: Column) -> Column:
     """Distinct upper-case tokens of two characters or more that say something about an item."""
     found = F.regexp_extract_all(F.upper(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))

@@ -125,21 +125,32 @@ def system_status(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def rfi_inputs(gaps: DataFrame, conflicts: DataFrame, items: DataFrame) -> DataFrame:
-    """Per run the first 50 open gaps, 20 open conflicts and 10 least confident items; nothing for runs without gaps and conflicts."""
+    """Per run the first 50 open gaps, 20 open conflicts and the 10 least confident items of low evidence (tier).
+
+    Items without a confidence come last; runs without gaps and conflicts have no rows.
+    """
     first = lambda df, order, n: df.withColumn("rank", F.row_number().over(W.partitionBy("run_id").orderBy(*order))).where(F.col("rank") <= n)
     shape = lambda df, k, c: df.select("run_id", F.lit(k).alias("kind"), F.col(c).cast("string").alias("subject"))
     g = shape(first(gaps.where("status = 'open'"), ["gap_id"], 50), "gap", "gap_id")
     c = shape(first(conflicts.where("status = 'open'").select("run_id", "conflict_id").distinct(), ["conflict_id"], 20), "conflict", "conflict_id")
-    i = shape(first(items.where(F.col("confidence").isNotNull()), ["confidence", "item_id"], 10), "item", "item_id")
+    i = shape(first(items.where(F.col("tier") == "INFERRED_LOW_CONFIDENCE"), [F.asc_nulls_last("confidence"), "item_id"], 10), "item", "item_id")
     return g.unionByName(c).unionByName(i.join(g.unionByName(c).select("run_id").distinct(), "run_id", "left_semi"))
 
 
 def item_flags(items: DataFrame, shown: int = 60) -> DataFrame:
-    """Item lines of a package with flags, the first ``shown`` of each run; ``omitted`` says how many are left out."""
-    flags = F.concat_ws(", ", F.when(F.col("confidence") < 0.6, "low evidence"), F.when(F.col("expected") != "bilateral", "one-sided"), F.when(F.col("quantity").isNull(), "no quantity"))
+    """Item lines of a run, by code, with flags, the first ``shown``; ``omitted`` says how many are left out.
+
+    ``items``: run_id, item_id, code, description, quantity, unit, qty_confidence, tier, bilateral. Flags name a band of the
+    quantity other than high, low evidence, and items without evidence of both sides.
+    """
+    band = F.when(F.col("qty_confidence") != "high", F.concat(F.lit("qty:"), "qty_confidence"))
+    flags = F.concat_ws(", ", band, F.when(F.col("tier") == "INFERRED_LOW_CONFIDENCE", "evidence:low"), F.when(~F.col("bilateral"), "one-sided"))
+    amount = F.when(F.length("quantity") > 0, F.concat(F.lit(" — qty "), F.concat_ws(" ", "quantity", F.nullif("unit", F.lit("")))))
+    line = F.concat_ws("", F.lit("- "), "code", F.lit(": "), "description", amount, F.when(flags != "", F.concat(F.lit(" ["), flags, F.lit("]"))))
     w = W.partitionBy("run_id")
-    ranked = items.withColumn("rank", F.row_number().over(w.orderBy("item_id"))).withColumn("omitted", F.greatest(F.count(F.lit(1)).over(w) - shown, F.lit(0)))
-    return ranked.where(F.col("rank") <= shown).select("run_id", "item_id", F.concat(F.lit("- "), "description", F.when(flags != "", F.concat(F.lit(" ["), flags, F.lit("]"))).otherwise("")).alias("line"), "omitted")
+    ranked = items.withColumn("rank", F.row_number().over(w.orderBy("code", "item_id"))).where(F.col("rank") <= shown)
+    counts = items.groupBy("run_id").agg(F.greatest(F.count(F.lit(1)) - shown, F.lit(0)).alias("omitted"))
+    return ranked.select("run_id", "item_id", line.alias("line")).join(counts, "run_id")
 
 
 def supervised_examples(audit: DataFrame, items: DataFrame) -> DataFrame:

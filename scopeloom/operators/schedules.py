@@ -93,8 +93,20 @@ def row_overlap(description: Column, text: Column) -> Column:
     return F.when(F.size(words(description)) == 0, F.lit(1.0)).otherwise(F.round(F.size(F.array_intersect(words(description), words(text))) / F.size(words(description)), 6))
 
 
-def mine_schedule_items(rows: DataFrame, answers: DataFrame, least: float = 0.20) -> DataFrame:
-    """Items from per-row answers (ord, row_index, description, quantity): row exists, not skipped, words overlap; quantity defaults to 1."""
-    met = rows.where(F.col("skip").isNull()).join(answers.where(F.length(F.trim("description")) > 0), ["ord", "row_index"])
+def mine_schedule_items(rows: DataFrame, schedules: DataFrame, answers: DataFrame, least: float = 0.20) -> DataFrame:
+    """Items from per-row answers: division, code, ord, row_index, description, specification, quantity, unit, extraction_method.
+
+    ``rows`` as ``skip_rows`` gives them (ord, row_index, type, text, skip); ``schedules`` (ord, is_quantifiable, division, section,
+    default_unit) are answers on whole schedules, of which those that can't be counted or have no division give nothing. ``answers``:
+    ord, row_index, description, quantity, unit, specification. A row must exist and not be skipped, and its words must hold a share
+    of the description's. The quantity is 1 unless answered; the unit is ``unit_override``'s, else the row's, the schedule's or EA.
+    """
+    said = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    counted = schedules.where(F.col("is_quantifiable") & (F.length(F.trim("division")) >= 2))
+    head = F.substring(F.trim("division"), 1, 2)
+    counted = counted.select("ord", F.coalesce(said("section"), F.concat(head, F.lit(" 00 00"))).alias("code"), said("default_unit").alias("default_unit"))
+    met = rows.where(F.col("skip").isNull()).join(answers.where(said("description").isNotNull()), ["ord", "row_index"]).join(counted, "ord")
     kept = met.where(row_overlap(F.col("description"), F.col("text")) >= least)
-    return kept.select("ord", "row_index", "description", F.coalesce("quantity", F.lit("1")).alias("quantity"))
+    item = F.struct(F.substring("code", 1, 2).alias("division"), "code", "ord", "row_index", F.trim("description").alias("description"), "specification", F.coalesce(said("quantity"), F.lit("1")).alias("quantity"), F.lit("schedule_miner").alias("extraction_method"))
+    asked = kept.select(item.alias("id"), "type", F.trim("description").alias("text"), F.coalesce(said("unit"), "default_unit", F.lit("EA")).alias("answered"))
+    return unit_override(asked).select("id.*", "unit")

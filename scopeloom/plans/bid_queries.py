@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scopeloom.operators import quantities as Q
+from scopeloom.operators import evidence as E
 from scopeloom.operators import bids as B
 from scopeloom.operators import review as V
 from scopeloom.operators import runs as R
 from scopeloom.plans.fixtures import view, with_views
+from scopeloom.plans.grounding_queries import _RESOLVED
 from scopeloom.plans.registry import register
+from scopeloom.plans.scope_queries import _TIER
 
 
 def _v(spark, sf, *names):
@@ -256,16 +260,25 @@ def system_status(spark, sf):
     return R.system_status({n: view(spark, sf, n) for n in ("orders", "documents")} | {"llm_calls": calls})
 
 
-@register("rfi_inputs", with_views("f_items", "f_gaps", "f_conflicts") + """, g AS (SELECT run_id, 'gap' AS kind, CAST(gap_id AS VARCHAR) AS subject, row_number() OVER (PARTITION BY run_id ORDER BY gap_id) AS n, 50 AS cap FROM f_gaps WHERE status = 'open'),
+def _judged(spark, sf):
+    """Items with their tier, quantity band, and whether both sides show them."""
+    items, cits = _v(spark, sf, "f_items", "f_citations")
+    has = lambda t: F.coalesce(F.array_contains("types", t), F.lit(False))
+    tiered = E.evidence_tier(items, E.evidence_rollup(cits)).withColumn("bilateral", has("spec") & has("drawing"))
+    return tiered.join(Q.resolve_quantity(items, cits).select("item_id", "qty_confidence"), "item_id")
+
+
+@register("rfi_inputs", with_views("f_items", "f_citations", "f_gaps", "f_conflicts") + _TIER + """, g AS (SELECT run_id, 'gap' AS kind, CAST(gap_id AS VARCHAR) AS subject, row_number() OVER (PARTITION BY run_id ORDER BY gap_id) AS n, 50 AS cap FROM f_gaps WHERE status = 'open'),
 c AS (SELECT run_id, 'conflict' AS kind, CAST(conflict_id AS VARCHAR) AS subject, row_number() OVER (PARTITION BY run_id ORDER BY conflict_id) AS n, 20 AS cap FROM (SELECT DISTINCT run_id, conflict_id FROM f_conflicts WHERE status = 'open')),
-i AS (SELECT run_id, 'item' AS kind, CAST(item_id AS VARCHAR) AS subject, row_number() OVER (PARTITION BY run_id ORDER BY confidence, item_id) AS n, 10 AS cap FROM f_items WHERE confidence IS NOT NULL AND run_id IN (SELECT run_id FROM g UNION SELECT run_id FROM c))
+i AS (SELECT run_id, 'item' AS kind, CAST(item_id AS VARCHAR) AS subject, row_number() OVER (PARTITION BY run_id ORDER BY confidence NULLS LAST, item_id) AS n, 10 AS cap FROM tiered WHERE tier = 'INFERRED_LOW_CONFIDENCE' AND run_id IN (SELECT run_id FROM g UNION SELECT run_id FROM c))
 SELECT run_id, kind, subject FROM (SELECT * FROM g UNION ALL SELECT * FROM c UNION ALL SELECT * FROM i) WHERE n <= cap""")
 def rfi_inputs(spark, sf):
-    items, gaps, conflicts = _v(spark, sf, "f_items", "f_gaps", "f_conflicts")
-    return R.rfi_inputs(gaps, conflicts, items)
+    gaps, conflicts = _v(spark, sf, "f_gaps", "f_conflicts")
+    return R.rfi_inputs(gaps, conflicts, _judged(spark, sf))
 
 
-@register("item_flags", with_views("f_items") + """, f AS (SELECT *, array_to_string([x FOR x IN [CASE WHEN confidence < 0.6 THEN 'low evidence' END, CASE WHEN expected <> 'bilateral' THEN 'one-sided' END, CASE WHEN quantity IS NULL THEN 'no quantity' END] IF x IS NOT NULL], ', ') AS flags,
-row_number() OVER (PARTITION BY run_id ORDER BY item_id) AS n, greatest(count(*) OVER (PARTITION BY run_id) - 60, 0) AS omitted FROM f_items) SELECT run_id, item_id, '- ' || description || CASE WHEN coalesce(flags, '') <> '' THEN ' [' || flags || ']' ELSE '' END AS line, omitted FROM f WHERE n <= 60""")
+@register("item_flags", with_views("f_items", "f_citations") + _TIER + _RESOLVED + """, fl AS (SELECT t.*, array_to_string([x FOR x IN [CASE WHEN qty_confidence <> 'high' THEN 'qty:' || qty_confidence END, CASE WHEN tier = 'INFERRED_LOW_CONFIDENCE' THEN 'evidence:low' END, CASE WHEN NOT coalesce(list_contains(r.types, 'spec') AND list_contains(r.types, 'drawing'), false) THEN 'one-sided' END] IF x IS NOT NULL], ', ') AS flags,
+row_number() OVER (PARTITION BY run_id ORDER BY code, item_id) AS n, greatest(count(*) OVER (PARTITION BY run_id) - 60, 0) AS omitted FROM tiered t JOIN resolved USING (item_id) LEFT JOIN r USING (item_id))
+SELECT run_id, item_id, '- ' || code || ': ' || description || coalesce(' — qty ' || quantity || coalesce(' ' || unit, ''), '') || CASE WHEN coalesce(flags, '') <> '' THEN ' [' || flags || ']' ELSE '' END AS line, omitted FROM fl WHERE n <= 60""")
 def item_flags(spark, sf):
-    return R.item_flags(view(spark, sf, "f_items"))
+    return R.item_flags(_judged(spark, sf))

@@ -80,11 +80,9 @@ def discipline_of_sheet(spark, sf):
     return view(spark, sf, "f_sheets").select("ord", G.discipline_of_sheet(F.col("sheet_id")).alias("discipline"))
 
 
-@register("sheet_manifest", with_views("f_sheets") + f" SELECT project_id, coalesce({_DISCIPLINE}, 'unknown') AS discipline, count(DISTINCT sheet_id) AS sheets, array_to_string(list_sort(list_distinct(list(sheet_id))), '|') AS known FROM f_sheets GROUP BY ALL")
+@register("sheet_manifest", with_views("f_sheets") + f", s AS (SELECT project_id, sheet_id, min(ord) AS ord FROM f_sheets WHERE length(trim(sheet_id)) > 0 GROUP BY ALL) SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY ord, sheet_id) AS place, sheet_id, coalesce({_DISCIPLINE}, 'unknown') AS discipline FROM s")
 def sheet_manifest(spark, sf):
-    named = view(spark, sf, "f_sheets").withColumn("discipline", F.coalesce(G.discipline_of_sheet(F.col("sheet_id")), F.lit("unknown")))
-    ids = F.array_sort(F.collect_set("sheet_id"))
-    return named.groupBy("project_id", "discipline").agg(F.size(ids).cast("long").alias("sheets"), F.array_join(ids, "|").alias("known"))
+    return G.sheet_manifest(view(spark, sf, "f_sheets"))
 
 
 def _tokens_sql(column: str) -> str:

@@ -186,10 +186,18 @@ def row_overlap_guard(spark, sf):
     return rows.select("ord", S.row_overlap(F.concat("p_name", F.lit(" EXTRA")), F.col("text")).alias("overlap"))
 
 
-@register("mine_schedule_items", _ROWS + " SELECT ord, row_index, p_name AS description, CASE WHEN ord % 3 = 0 THEN '7' ELSE '1' END AS quantity FROM r WHERE row_index = 0 AND filled > 0 AND len(list_intersect(regexp_extract_all(upper(p_name), '[A-Z0-9]{2,}'), regexp_extract_all(upper(text), '[A-Z0-9]{2,}'))) >= 1")
+#: Answers on whole schedules and on their rows: some can't be counted, some name a section, some units are missing.
+_MINED_HEADS = "SELECT p_partkey AS ord, p_partkey % 11 <> 0 AS is_quantifiable, CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE '09' END AS division, CASE WHEN p_partkey % 5 = 0 THEN '09 65 00' END AS section, CASE WHEN p_partkey % 2 = 0 THEN 'SF' ELSE '' END AS default_unit FROM part"
+_MINED = "SELECT p_partkey AS ord, CAST(0 AS BIGINT) AS row_index, p_name || CASE WHEN p_partkey % 6 = 0 THEN ' wall base' ELSE ' ' END AS description, CASE WHEN p_partkey % 3 = 0 THEN '7' END AS quantity, CASE WHEN p_partkey % 7 = 0 THEN 'CY' END AS unit, p_type AS specification FROM part"
+
+
+@register("mine_schedule_items", _ROWS + f""", h AS ({_MINED_HEADS}), a AS ({_MINED}), m AS (SELECT coalesce(section, '09 00 00') AS code, ord, row_index, trim(description) AS text, specification, coalesce(quantity, '1') AS quantity, type, coalesce(unit, nullif(default_unit, ''), 'EA') AS answered,
+list_distinct(regexp_extract_all(upper(description), '[A-Z0-9]{{2,}}')) AS d, regexp_extract_all(upper(r.text), '[A-Z0-9]{{2,}}') AS t FROM r JOIN a USING (ord, row_index) JOIN h USING (ord) WHERE is_quantifiable AND division <> ' ' AND filled > 0)
+SELECT '09' AS division, code, ord, row_index, text AS description, specification, quantity, 'schedule_miner' AS extraction_method, {_unit_sql()} AS unit FROM m WHERE round(len(list_intersect(d, t)) / len(d), 6) >= 0.2""")
 def mine_schedule_items(spark, sf):
-    answers = view(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.lit(0).cast("long").alias("row_index"), F.col("p_name").alias("description"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN '7' END").alias("quantity"))
-    return S.mine_schedule_items(S.skip_rows(_rows(spark, sf)), answers)
+    part = view(spark, sf, "part")
+    heads, answers = (spark.sql(q.replace("FROM part", "FROM {part}"), part=part) for q in (_MINED_HEADS, _MINED))
+    return S.mine_schedule_items(S.skip_rows(_rows(spark, sf)), heads, answers)
 
 
 _PATTERN = f"CASE WHEN regexp_matches(description, '(?i)\\b(?:{E.ADMIN_WORDS})\\b') THEN 'spec_only' WHEN code IN ({', '.join(repr(c) for c in E.DRAWING_ONLY)}) OR substring(code, 1, 5) || ' 00' IN ({', '.join(repr(c) for c in E.DRAWING_ONLY)}) THEN 'drawing_only' WHEN division = '01' THEN 'spec_only' ELSE 'bilateral' END"

@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from scopeloom.operators import evaluation, evidence, gaps, quantities, retrieval, trust
+from scopeloom.operators import evaluation, evidence, gaps, quantities, retrieval, runs, schedules, trust
 from scopeloom.sources import ingest
 
 DOCS = "document_id long, project_id long, doc_type string"
@@ -181,3 +181,48 @@ def test_fingerprints(spark):
     assert len(got) == len(want)
     assert {r.project_id: r.fingerprint for r in got} == {k: sha(("\n".join(sorted(v)) + "\n").encode()) for k, v in want.items()}
     assert ingest.input_fingerprint(spark.createDataFrame([], "project_id int, text string, source_kind string")).collect() == []
+
+
+def test_mined_items(spark):
+    rows_ = spark.createDataFrame(
+        [(1, 0, "finish", "mark=B1 name=rubber base", None), (1, 1, "finish", "mark=X name=stone", None), (1, 2, "finish", "", "empty_row"), (2, 0, None, "a=door leaf", None), (3, 0, "door", "a=door leaf", None), (4, 0, "door", "a=door leaf", None)],
+        "ord long, row_index long, type string, text string, skip string",
+    )
+    heads = spark.createDataFrame([(1, True, "09", " ", None), (2, True, "081", "08 11 13", "LF"), (3, False, "08", None, "EA"), (4, True, "8", None, "EA")], "ord long, is_quantifiable boolean, division string, section string, default_unit string")
+    answers = spark.createDataFrame(
+        [
+            (1, 0, "Rubber base B1", None, "EA", "s"),  # the rule's unit
+            (1, 1, "stone", "3", None, None),
+            (1, 1, "teak veneer panel boards", None, None, None),  # not of this row
+            (1, 2, "empty", None, None, None),
+            (1, 9, "no such row", None, None, None),
+            (2, 0, " door leaf ", "", "", None),
+            (2, 0, " ", None, None, None),
+            (3, 0, "door leaf", None, None, None),  # can't be counted
+            (4, 0, "door leaf", None, None, None),  # no division
+        ],
+        "ord long, row_index long, description string, quantity string, unit string, specification string",
+    )
+    out = schedules.mine_schedule_items(rows_, heads, answers)
+    assert rows(out, "division", "code", "ord", "row_index", "description", "quantity", "unit") == [
+        ("08", "08 11 13", 2, 0, "door leaf", "1", "LF"),
+        ("09", "09 00 00", 1, 0, "Rubber base B1", "1", "LF"),
+        ("09", "09 00 00", 1, 1, "stone", "3", "EA"),
+    ]
+    assert {r.extraction_method for r in out.collect()} == {"schedule_miner"}
+
+
+def test_flags_and_signals(spark):
+    low = "INFERRED_LOW_CONFIDENCE"
+    data = [(1, i, f"0{i % 3} 00 00", "d", None, None, "high", "EXPLICITLY_CITED", True, 0.5) for i in range(3, 6)]
+    data += [(1, 1, "09 00 00", "tile", "5", "SF", "conflicting", low, False, None), (1, 2, None, None, "", "x", None, low, None, 0.1), (2, 7, "01 00 00", "x", "1", "", "medium", low, True, 0.2)]
+    items = spark.createDataFrame(data, "run_id long, item_id long, code string, description string, quantity string, unit string, qty_confidence string, tier string, bilateral boolean, confidence double")
+    got = {r.item_id: (r.line, r.omitted) for r in runs.item_flags(items).collect()}
+    assert got[1] == ("- 09 00 00: tile — qty 5 SF [qty:conflicting, evidence:low, one-sided]", 0)
+    assert got[3] == ("- 00 00 00: d", 0) and got[7] == ("- 01 00 00: x — qty 1 [qty:medium, evidence:low]", 0)
+    assert got[2] == ("- :  [evidence:low]", 0)
+    few = runs.item_flags(items, 2).collect()
+    assert {(r.run_id, r.item_id, r.omitted) for r in few} == {(1, 2, 3), (1, 3, 3), (2, 7, 0)}
+    gaps_ = spark.createDataFrame([(1, 10, "open"), (1, 11, "resolved")], "run_id long, gap_id long, status string")
+    conflicts = spark.createDataFrame([], "run_id long, conflict_id long, status string")
+    assert rows(runs.rfi_inputs(gaps_, conflicts, items)) == [(1, "gap", "10"), (1, "item", "1"), (1, "item", "2")]
