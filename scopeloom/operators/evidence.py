@@ -206,11 +206,16 @@ def symbol_lookup(glyphs: DataFrame, symbols: DataFrame) -> DataFrame:
     ``symbols``: glyph, code, discipline.
     """
     norm = lambda c: F.upper(F.regexp_replace(c, r"\s+", ""))
-    met = glyphs.withColumn("g", norm(F.col("glyph"))).join(symbols.select(norm(F.col("glyph")).alias("g"), "code", F.col("discipline").alias("own")), "g", "left")
-    same = F.coalesce(F.col("own") == F.col("discipline"), F.lit(False))
-    per = met.groupBy("id").agg(F.collect_set(F.when(same, F.col("code"))).alias("near"), F.collect_set("code").alias("any"))
-    chosen = F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("any"))
-    return per.select("id", F.when(F.size(chosen) == 1, chosen[0]).alias("code"))
+    # a glyph's codes are one code when the least is the greatest, so its symbols are two codes by discipline, never a list
+    ends = lambda lo, hi, *names: (F.min(lo).alias(names[0]), F.max(hi).alias(names[1]))
+    owned = symbols.groupBy(norm(F.col("glyph")).alias("g"), F.col("discipline").alias("own")).agg(*ends("code", "code", "lo", "hi"))
+    every = owned.groupBy("g").agg(*ends("lo", "hi", "any_lo", "any_hi"))
+    asked = glyphs.select("id", "discipline", norm(F.col("glyph")).alias("g"))
+    near = owned.select("g", F.col("own").alias("discipline"), F.col("lo").alias("near_lo"), F.col("hi").alias("near_hi"))
+    met = asked.join(near, ["g", "discipline"], "left").join(every, "g", "left")
+    per = met.groupBy("id").agg(*ends("near_lo", "near_hi", "near_lo", "near_hi"), *ends("any_lo", "any_hi", "any_lo", "any_hi"))
+    one = lambda side: F.when(F.col(f"{side}_lo") == F.col(f"{side}_hi"), F.col(f"{side}_lo"))
+    return per.select("id", F.when(F.col("near_lo").isNotNull(), one("near")).otherwise(one("any")).alias("code"))
 
 
 def backfill_legend(rows: DataFrame, looked_up: DataFrame) -> DataFrame:
