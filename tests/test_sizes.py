@@ -1,8 +1,10 @@
 """Operators on hot keys and large groups: what they make and move, beside the right rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from scopeloom.operators import bids as B
 from scopeloom.operators import evidence
 
 
@@ -32,3 +34,34 @@ def test_symbols_of_a_hot_glyph_do_not_multiply(spark):
     odd = spark.createDataFrame([(1, "x", None), (2, None, "plumbing"), (3, "x", "civil"), (4, "y", "civil")], "id int, glyph string, discipline string")
     table = spark.createDataFrame([("X", "c", None), ("x", None, "civil"), ("Y", "c", "civil"), ("Y", "d", None)], "glyph string, code string, discipline string")
     assert {r.id: r.code for r in evidence.symbol_lookup(odd, table).collect()} == {1: "c", 2: None, 3: "c", 4: "c"}
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins as of tables that are too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_leveling_shuffles_no_row_of_its_grid(spark, shuffled):
+    vendors, scored = 300, 200
+    runs = spark.createDataFrame([(1, 1, 0, 7), (2, 1, 1, 8), (3, 2, 0, None)], "bid_run_id long, project_id long, started_at long, scope_run_id long")
+    bids = spark.range(vendors).select(F.col("id").alias("bid_id"), F.when(F.col("id") > 0, F.concat(F.lit("v"), "id")).alias("vendor"))
+    summaries = bids.select(F.lit(2).cast("long").alias("bid_run_id"), "bid_id", F.lit("09").alias("division"))
+    coverage = spark.range(scored).select(F.col("id").alias("item_id"), F.col("id").alias("bid_id"), F.lit("covered").alias("status"), F.lit(0.5).alias("confidence"), F.concat(F.lit("l"), F.col("id") % 5).alias("line_id"))
+    lines = spark.range(5).select(F.concat(F.lit("l"), "id").alias("line_id"), F.concat(F.lit("t"), "id").alias("description"), F.lit(2.0).alias("total_price"))
+    items = spark.range(2 * scored).select(F.lit(8).cast("long").alias("run_id"), F.col("id").alias("item_id"), F.lit("09 00 00").alias("code"), F.lit("09").alias("division"))
+    items = items.unionByName(items.where("item_id = 3")).unionByName(items.where("item_id = 4").withColumn("run_id", F.lit(7).cast("long")))
+    args = (runs, summaries, bids, coverage, lines, items)
+    long = B.bid_leveling(*args)
+    got = long.collect()
+    assert len(got) == (scored + 1) * vendors and {r.bid_run_id for r in got} == {2}
+    # the vendor without a name scored item 0, which nothing tells apart from others without one
+    assert sorted((r.item_id, r.vendor, r.line_text, r.line_total) for r in got if r.status == "covered" and r.item_id < 5) == [(1, "v1", "t1", 2.0), (2, "v2", "t2", 2.0), (3, "v3", "t3", 2.0), (3, "v3", "t3", 2.0), (4, "v4", "t4", 2.0)]
+    assert sum(r.item_id == 0 and r.status == "not_applicable" and r.confidence == 0 and r.line_text is None for r in got) == vendors
+    assert metric(long, "shuffleRecordsWritten") <= 2 * scored + 2
+    wide = {(r.item_id, r.code): r.cells for r in B.bid_leveling_nested(*args).collect()}
+    assert wide == {(r.item_id, r.code): r.cells for r in B.bid_leveling_wide(long).collect()} and len(wide[3, "09 00 00"]) == 2 * vendors
+    one = B.bid_leveling(*args, division="10")
+    assert one.count() == 0
