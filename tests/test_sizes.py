@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopeloom.operators import bids as B
-from scopeloom.operators import evidence
+from scopeloom.operators import evidence, text
 
 
 def nodes(plan):
@@ -65,3 +65,12 @@ def test_leveling_shuffles_no_row_of_its_grid(spark, shuffled):
     assert wide == {(r.item_id, r.code): r.cells for r in B.bid_leveling_wide(long).collect()} and len(wide[3, "09 00 00"]) == 2 * vendors
     one = B.bid_leveling(*args, division="10")
     assert one.count() == 0
+
+
+def test_short_texts_skip_the_bands(spark):
+    """A band costs its width for each character, so texts not much longer than it are aligned whole; long ones are not."""
+    df = spark.createDataFrame([("x" + "abc" * 500 + "y", "z" + "bca" * 480 + "w"), ("p" + "ab" * 3000 + "q", "r" + "ab" * 2990 + "s")], "a string, b string")
+    out = text.with_edit_distance(df, "a", "b", "d")
+    assert all(r.d == text.bit_distance(r.a, r.b) for r in out.collect())
+    aligned = [p.toString() for p in nodes(out._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "ProjectExec" and "levenshtein" in p.toString().split("\n")[0]]
+    assert aligned and all(p.split("\n")[0].count("levenshtein(") == 1 and ">= " in p for p in aligned)
