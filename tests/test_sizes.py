@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopeloom.operators import bids as B
-from scopeloom.operators import evidence, text
+from scopeloom.operators import evidence, grounding, text
 
 
 def nodes(plan):
@@ -74,3 +74,18 @@ def test_short_texts_skip_the_bands(spark):
     assert all(r.d == text.bit_distance(r.a, r.b) for r in out.collect())
     aligned = [p.toString() for p in nodes(out._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "ProjectExec" and "levenshtein" in p.toString().split("\n")[0]]
     assert aligned and all(p.split("\n")[0].count("levenshtein(") == 1 and ">= " in p for p in aligned)
+
+
+def test_tokens_beside_letters_beyond_ascii(spark):
+    """Tokens are those of the SQL's engine, whose word boundaries are ASCII and whose upper case maps letter by letter."""
+    import duckdb
+
+    from scopeloom.plans.grounding_queries import _tokens_sql
+
+    said = ["Èhot bolt", "hotß red", "ringé-blue/7.", "ßsteel", "ﬁre 3a_ large", "a.b.-c é", "LARGEÉ -x1- ñ.ring", None]
+    got = {r.id: sorted(r.t) for r in spark.createDataFrame(list(enumerate(said)), "id int, s string").select("id", grounding.specific_tokens(F.col("s")).alias("t")).collect()}
+    con = duckdb.connect()
+    assert got == {i: sorted(con.execute(f"SELECT {_tokens_sql('s')} FROM (SELECT $1::VARCHAR AS s)", [s]).fetchall()[0][0]) for i, s in enumerate(said)}
+    assert "HOT" in got[0] and "HOT" in got[1]
+    out = spark.createDataFrame([("hot ring", "Èhot élan of hotels and other things that have no end")], "description string, text string")
+    assert [(r.reason, r.overlap) for r in grounding.judge_citations(out).collect()] == [("", 0.5)]
