@@ -10,6 +10,7 @@ from scopeloom.operators import clustering as C
 from scopeloom.operators import evaluation as V
 from scopeloom.operators import evidence as E
 from scopeloom.operators import grounding as G
+from scopeloom.operators import indexing as X
 from scopeloom.sources import ingest as I
 from scopeloom.operators import retrieval as R
 from scopeloom.operators import schedules as S
@@ -267,7 +268,13 @@ _PHRASES = " UNION ALL ".join(f"SELECT n_nationkey % 4 AS project_id, lpad(CAST(
 @register("multi_query_retrieve", with_views("f_chunks") + f", asked AS ({_PHRASES}), f_queries AS (SELECT project_id, project_id || '~' || division || '~' || kind AS query_id, text FROM asked)" + _BM25 + " SELECT CAST(split_part(query_id, '~', 1) AS BIGINT) AS project_id, split_part(query_id, '~', 2) AS division, chunk_id, string_agg(split_part(query_id, '~', 3), '+' ORDER BY split_part(query_id, '~', 3)) AS found_by, min(rank) AS best_rank FROM sparse GROUP BY ALL")
 def multi_query_retrieve(spark, sf):
     divisions = view(spark, sf, "nation").select((F.col("n_nationkey") % 4).cast("long").alias("project_id"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("division"), F.concat(F.lit("the and "), "n_name").alias("title"))
-    return R.multi_query_retrieve(divisions, view(spark, sf, "f_indexed").withColumn("text", F.col("contextualized_text")))
+
+    def search(chunks, asked, k):
+        path = folder(spark)
+        X.write_index(X.index_blocks(chunks), path)
+        return X.indexed_topk(spark, path, asked, k)
+
+    return R.multi_query_retrieve(divisions, view(spark, sf, "f_indexed"), search=search)
 
 
 @register("profile_pool", with_views("f_chunks", "f_queries") + _BM25 + """, u AS (SELECT project_id, chunk_id, 0 AS prio FROM f_chunks WHERE page_number = 1 UNION ALL SELECT project_id, chunk_id, 1 FROM f_chunks WHERE chunk_type = 'note' UNION ALL SELECT project_id, chunk_id, 2 FROM f_chunks WHERE chunk_id IN (SELECT chunk_id FROM sparse)),

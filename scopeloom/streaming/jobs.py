@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scopeloom.operators.retrieval import tokenize
+from scopeloom.operators.retrieval import term_counts, tokenize
 from scopeloom.operators.text import contextualize, section_carry_forward, window_text
 
 PAGES = "project_id bigint, document_id bigint, filename string, version bigint, page_number bigint, text string"
@@ -45,7 +45,7 @@ def index_tables(pages: DataFrame) -> dict[str, DataFrame]:
     named = contextualize(cut.withColumns({"chunk_id": id_, "chunk_type": kind}), own.select("document_id", "filename").distinct(), none)
     tokens = named.withColumn("tokens", tokenize(F.col("contextualized_text")))
     chunks = tokens.select("project_id", "document_id", "page_number", "chunk_index", "chunk_id", "csi_section", "contextualized_text", F.size("tokens").alias("length"))
-    postings = tokens.select("project_id", "document_id", "chunk_id", F.explode("tokens").alias("term")).groupBy("project_id", "document_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = tokens.select("project_id", "document_id", "chunk_id", F.inline(term_counts(F.col("tokens"))))
     return {CHUNKS: chunks, POSTINGS: postings, DOCUMENTS: own.select("document_id").distinct()}
 
 

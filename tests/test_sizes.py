@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopeloom.operators import bids as B
-from scopeloom.operators import evidence, grounding, text
+from scopeloom.operators import evidence, grounding, indexing, retrieval, text
 
 
 def nodes(plan):
@@ -89,3 +89,20 @@ def test_tokens_beside_letters_beyond_ascii(spark):
     assert "HOT" in got[0] and "HOT" in got[1]
     out = spark.createDataFrame([("hot ring", "Èhot élan of hotels and other things that have no end")], "description string, text string")
     assert [(r.reason, r.overlap) for r in grounding.judge_citations(out).collect()] == [("", 0.5)]
+
+
+def test_counts_of_terms_are_not_shuffled(spark, tmp_path, shuffled):
+    n, words = 300, 40
+    tokens = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,), (["a", "a"],)], "t array<string>").select(retrieval.term_counts(F.col("t")).alias("c"))
+    assert [[tuple(x) for x in r.c] for r in tokens.collect()] == [[("a", 1), ("b", 2)], [], [], [("a", 2)]]
+    chunks = spark.range(n).select(F.lit(1).cast("long").alias("project_id"), F.col("id").alias("chunk_id"), F.expr(f"array_join(transform(sequence(1, {words}), i -> concat('w', (i * (id + 1)) % 97)), ' ')").alias("contextualized_text"))
+    index = indexing.index_blocks(chunks, cell_chunks=100)
+    postings = sum(len(r.ids) for r in index.blocks.collect())
+    assert postings > 20 * n and metric(index.blocks, "shuffleRecordsWritten") <= n
+    indexing.write_index(index, str(tmp_path))
+    queries = spark.range(5).select(F.lit(1).cast("long").alias("project_id"), F.col("id").alias("query_id"), F.expr("array_join(transform(sequence(1, 30), i -> concat('w', i + id)), ' ')").alias("text"))
+    scored = indexing.search_cells(indexing.read_index(spark, str(tmp_path)), queries, 3)[0]
+    assert scored.count() <= 5 * (3 + 3) * 3 and scored.groupBy("query_id").count().count() == 5
+    plain = retrieval.bm25_topk(chunks.withColumnRenamed("contextualized_text", "text"), queries, 3)
+    found = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in df.collect())
+    assert found(retrieval.top(scored, 3)) == found(plain)
