@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from scopeloom.operators.retrieval import dot
 WITHIN_CODE, ACROSS_CODES, SAME_VENDOR = 0.92, 0.85, 0.78
 #: Pivots of a group, rows of a ring that one task takes, and what sets the ids of mined rows behind all others.
 PIVOTS, CROWDED, LATER = 32, 4096, 1 << 40
+#: Guests that meet a part of a ring in one task, in parts, and of these in one product.
+GUESTS, SLICE = 4, 1024
 
 
 def representatives(rows: DataFrame, group_key: str) -> DataFrame:
@@ -27,15 +31,15 @@ def representatives(rows: DataFrame, group_key: str) -> DataFrame:
     return held.join(first, ["g", "embedding"]).select("id", "g", "embedding", "rep")
 
 
-def candidate_pairs(rows: DataFrame, least: float, pivots: int = PIVOTS, crowded: int = CROWDED) -> DataFrame:
-    """Pairs of rows (id, g, embedding) of one group that the triangle inequality cannot rule out: a, b, their vectors and norms.
+def _dealt(rows: DataFrame, least: float, pivots: int, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, g, embedding) at home, and as guests of all rings where rows may be that the triangle inequality cannot rule out.
 
     Every row belongs to the nearest of its group's pivots, which is its cell, and to a ring of the cell by the angle to
     the pivot. For a pair within the angle of ``least`` whose rows have cells p and q, the row of q is at most twice
     that angle farther from p than from q, and both angles to p differ by that angle at most. So a row looks into
     such cells before its own in three rings each, and a pair meets in one cell. Rings of more than ``crowded`` rows are split.
     """
-    angle = math.acos(max(-1.0, min(1.0, least))) + 1e-6
+    angle = _angle(least)
     unit = rows.withColumn("norm", F.sqrt(dot("embedding", "embedding"))).where("norm > 0")
     unit = unit.withColumn("unit", F.transform("embedding", lambda x: x.cast("double") / F.col("norm")))
     drawn = unit.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= pivots)
@@ -53,14 +57,54 @@ def candidate_pairs(rows: DataFrame, least: float, pivots: int = PIVOTS, crowded
     guests = guests.select("g", "b", "y", "m", "own", "cell", F.col("far")[F.col("cell")].alias("to"))
     guests = guests.withColumn("ring", F.explode(F.sequence(ring(F.col("to")) - 1, ring(F.col("to")) + 1)))
     guests = guests.join(sizes, ["g", "cell", "ring"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    met = home.join(guests, ["g", "cell", "ring", "part"]).where((F.abs(F.col("at") - F.col("to")) <= angle) & ((F.col("own") > F.col("cell")) | (F.col("a") < F.col("b"))))
+    return home, guests
+
+
+def _angle(least: float) -> float:
+    return math.acos(max(-1.0, min(1.0, least))) + 1e-6
+
+
+def candidate_pairs(rows: DataFrame, least: float, pivots: int = PIVOTS, crowded: int = CROWDED) -> DataFrame:
+    """Pairs of rows (id, g, embedding) of one group that ``similar_pairs`` compares: a, b, their vectors and norms."""
+    home, guests = _dealt(rows, least, pivots, crowded)
+    met = home.join(guests, ["g", "cell", "ring", "part"]).where((F.abs(F.col("at") - F.col("to")) <= _angle(least)) & ((F.col("own") > F.col("cell")) | (F.col("a") < F.col("b"))))
     return met.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y", "n", "m")
 
 
-def similar_pairs(rows: DataFrame, least: float, **sizes: int) -> DataFrame:
-    """Pairs a < b of one group (id, g, embedding) whose vectors reach the cosine."""
-    met = candidate_pairs(rows, least, **sizes)
-    return met.where(dot("x", "y") >= least * F.col("n") * F.col("m")).select("a", "b")
+def _similar(home: pd.DataFrame, guests: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Similar pairs of a part of a ring and guests: products of blocks single out pairs, which are summed up again in order."""
+    found = [np.empty((0, 2), dtype="int64")]
+    if len(home) and len(guests):
+        x, n, a, at = np.stack(home["x"].to_list()).astype("float64"), home["n"].to_numpy(), home["a"].to_numpy(), home["at"].to_numpy()
+        for begin in range(0, len(guests), SLICE):
+            part = guests.iloc[begin : begin + SLICE]
+            y, m, b = np.stack(part["y"].to_list()).astype("float64"), part["m"].to_numpy(), part["b"].to_numpy()
+            i, j = np.nonzero((x / n[:, None]) @ (y / m[:, None]).T >= least - 1e-9)
+            kept = (np.abs(at[i] - part["to"].to_numpy()[j]) <= _angle(least)) & ((part["own"] > part["cell"]).to_numpy()[j] | (a[i] < b[j]))
+            i, j = i[kept], j[kept]
+            total = np.zeros(len(i))
+            for d in range(x.shape[1]):
+                total += x[i, d] * y[j, d]
+            kept = total >= least * n[i] * m[j]
+            found.append(np.stack([np.minimum(a[i], b[j])[kept], np.maximum(a[i], b[j])[kept]], axis=1))
+    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+
+def similar_pairs(rows: DataFrame, least: float, pivots: int = PIVOTS, crowded: int = CROWDED) -> DataFrame:
+    """Pairs a < b of one group (id, g, embedding; vectors of one length) whose vectors reach the cosine.
+
+    At most ``crowded`` rows of a ring meet some ``GUESTS`` times as many in one task, as products of blocks: no pair that is not similar becomes a row.
+    """
+    home, guests = _dealt(rows, least, pivots, crowded)
+    ring = ["g", "cell", "ring", "part"]
+    many = guests.groupBy(*ring).agg(F.ceil(F.count(F.lit(1)) / (GUESTS * crowded)).cast("int").alias("shares"))
+    home = home.join(many, ring).select(*ring, "a", "x", "n", "at", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    guests = guests.join(many, ring).withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
+    own = lambda df, *names: df.select(*[F.col(c).alias(c) for c in ("g", "ring", "part", "share", *names)], F.col("cell").alias("at_cell"))
+    by = ["g", "at_cell", "ring", "part", "share"]
+    left, right = own(home, "a", "x", "n", "at"), own(guests.withColumn("to_cell", F.col("cell")), "b", "y", "m", "own", "to", "to_cell").withColumnRenamed("to_cell", "cell")
+    kind = rows.schema["id"].dataType.simpleString()
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(lambda held, met: _similar(held, met, least), f"a {kind}, b {kind}")
 
 
 def cluster_by_similarity(rows: DataFrame, least: float, group_key: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopeloom.operators import bids as B
-from scopeloom.operators import evidence, grounding, indexing, retrieval, text
+from scopeloom.operators import clustering, evidence, grounding, indexing, retrieval, text
 
 
 def nodes(plan):
@@ -106,3 +106,17 @@ def test_counts_of_terms_are_not_shuffled(spark, tmp_path, shuffled):
     plain = retrieval.bm25_topk(chunks.withColumnRenamed("contextualized_text", "text"), queries, 3)
     found = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 5)) for r in df.collect())
     assert found(retrieval.top(scored, 3)) == found(plain)
+
+
+def test_unlike_pairs_are_no_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 24))
+    x[1::50] = x[::50] * 1.5 + 0.01
+    rows = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(np.repeat(x, 1, axis=0))], "id bigint, g bigint, embedding array<double>").withColumn("g", F.lit(1))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sorted((int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.78, 1))))
+    for sizes in ({}, {"pivots": 3, "crowded": 7}):
+        out = clustering.similar_pairs(rows, 0.78, **sizes)
+        assert sorted((r.a, r.b) for r in out.collect()) == want and len(want) >= 12
+        if not sizes:
+            assert metric(out, "numOutputRows") < 600 * 599 / 4
