@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopeloom.operators.retrieval import dot, top
+from scopeloom.operators.retrieval import dot, nearest_in_blocks
 
 #: Vectors of the sample, those of them whose neighbours are looked at, most cells, and vectors of a cell that are aimed at.
 SAMPLE, ASKED, MOST_CELLS, CELL_ROWS = 8192, 256, 1024, 256
@@ -93,9 +93,10 @@ def cosine_topk_ann(index: CellIndex, queries: DataFrame, k: int, probes: int |
 
     def visit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series(list(shared.value.nearest(np.stack(part.to_numpy()), n))) if len(part) else pd.Series([], dtype=object)
+            every = np.arange(n, dtype="int32")
+            yield pd.Series([every] * len(part) if n == len(shared.value.means) else list(shared.value.nearest(np.stack(part.to_numpy()), n)), dtype=object) if len(part) else pd.Series([], dtype=object)
 
     visits = F.pandas_udf(visit, "array<int>")
     asked = _unit(queries, "query_id", "vector").withColumnRenamed("unit", "vector").withColumn("cells", visits("vector"))
-    met = spark.read.schema("chunk_id bigint, unit array<double>, cell int").parquet(index.path).join(asked.select("query_id", "vector", F.explode("cells").alias("cell")), "cell")
-    return top(met.select("query_id", "chunk_id", F.round(dot("unit", "vector"), 6).alias("score")), k)
+    stored = spark.read.schema("chunk_id bigint, unit array<double>, cell int").parquet(index.path)
+    return nearest_in_blocks(stored.select("cell", "chunk_id", F.col("unit").alias("embedding"), F.lit(1.0).alias("norm")), asked.select("query_id", "vector", F.lit(1.0).alias("q_norm"), F.explode("cells").alias("cell")), k, "cell")

@@ -120,3 +120,22 @@ def test_unlike_pairs_are_no_rows(spark):
         assert sorted((r.a, r.b) for r in out.collect()) == want and len(want) >= 12
         if not sizes:
             assert metric(out, "numOutputRows") < 600 * 599 / 4
+
+
+def test_scored_pairs_are_no_rows(spark):
+    """Blocks hand on the best of each query: no pair of a query and a chunk is a row; copies and ties are settled by id."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 16))
+    x[100:700] = x[3]
+    e = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)] + [(900, 2, [1.0] * 16), (901, 1, None)], "chunk_id bigint, g int, embedding array<double>")
+    asked = spark.createDataFrame([(q, 1 if q < 200 else 3, (x[q] if q < 900 else x[0]).tolist()) for q in [3, *range(10, 60), 250]], "query_id bigint, g int, vector array<double>")
+    out = retrieval.cosine_topk(e, asked, 5, "g")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id, r.score))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q, found in got.items():
+        want = sorted((-round(float(s), 6), i) for i, s in enumerate(unit @ unit[q]))[:5]
+        assert [(c, -s) for _, c, s in sorted(found)] == [(i, s) for s, i in want]
+    assert sorted(got) == [3, *range(10, 60)] and [c for _, c, _ in sorted(got[3])] == [3, 100, 101, 102, 103]
+    assert metric(out, "numOutputRows") < 51 * 900 / 4
