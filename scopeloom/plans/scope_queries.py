@@ -10,7 +10,7 @@ from scopeloom.operators import packages as P
 from scopeloom.operators import quantities as Q
 from scopeloom.operators import statement as D
 from scopeloom.operators import trust as T
-from scopeloom.plans.fixtures import folder, view, with_views
+from scopeloom.plans.fixtures import citation_keys, folder, view, with_views
 from scopeloom.plans.grounding_queries import _RESOLVED, _SANITY, quantity_sanity
 from scopeloom.plans.registry import register
 
@@ -35,9 +35,9 @@ def reevaluate_relevance(spark, sf):
 
 @register("apply_link_verdicts", with_views("f_citations") + " SELECT citation_id, CASE WHEN item_id % 3 = 0 THEN NULL ELSE item_id % 2 = 0 END AS link_pass, CASE WHEN item_id % 3 = 0 THEN NULL ELSE 0.75 END::DOUBLE AS link_score FROM f_citations")
 def apply_link_verdicts(spark, sf):
-    c = view(spark, sf, "f_citations")
+    c = citation_keys(spark, sf)
     verdicts = c.where("item_id % 3 <> 0").select("citation_id", F.expr("CASE WHEN item_id % 2 = 0 THEN 'Entailed' ELSE 'NEUTRAL' END").alias("verdict"), F.lit(0.75).alias("confidence"))
-    return E.apply_link_verdicts(c.drop("link_pass"), verdicts).select("citation_id", "link_pass", "link_score")
+    return E.apply_link_verdicts(c, verdicts).select("citation_id", "link_pass", "link_score")
 
 
 _ROLL = ", r AS (SELECT item_id, list_sort(list_distinct(list(evidence_type))) AS types, round(max(rerank), 6) AS rerank, bool_and(link_pass) AS link_pass FROM f_citations GROUP BY item_id)"

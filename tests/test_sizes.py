@@ -139,3 +139,28 @@ def test_scored_pairs_are_no_rows(spark):
         assert [(c, -s) for _, c, s in sorted(found)] == [(i, s) for s, i in want]
     assert sorted(got) == [3, *range(10, 60)] and [c for _, c, _ in sorted(got[3])] == [3, 100, 101, 102, 103]
     assert metric(out, "numOutputRows") < 51 * 900 / 4
+
+
+def lines_of(spark, path, rows):
+    """A lineitem table of a few rows: order, part, supplier, number, quantity, discount, flag, status."""
+    schema = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "0D AS l_extendedprice", "0D AS l_tax", "timestamp'2024-01-01' AS l_shipdate")
+    df.write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+ODD_LINES = [(1, 2, 3, 1, 5.0, 0.1, "A", "F"), (1, 2, 3, 1, 4.0, 0.2, "N", "O"), (1, 2, 3, 2, 4.0, 0.3, "R", "F"), (1, 4, 3, 2, 4.0, 0.3, "R", "F"), (11, 2, 3, 1, 1.0, 0.1, "A", "F"), (None, 2, 3, 1, 2.0, 0.1, "A", "F"), (None, 2, 3, 1, 1.0, 0.2, "N", "F"), (None, 2, 4, 1, 1.0, 0.2, "N", "F"), (7, None, 4, 1, 1.0, 0.2, "N", "F")]
+
+
+def test_verdicts_meet_citations_where_they_lie(spark, tmp_path, shuffled):
+    """Keys alone make a citation, so no line is ranked by its values, and each side is shuffled once, in narrow rows."""
+    from scopeloom.plans.catalog import queries
+    from scopeloom.plans.fixtures import VIEWS, citation_keys
+
+    sf = lines_of(spark, tmp_path, ODD_LINES)
+    want = spark.sql(VIEWS["f_citations"].replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    assert sorted(map(repr, citation_keys(spark, sf).collect())) == sorted(map(repr, want.select("citation_id", "item_id").collect()))
+    out = queries()["apply_link_verdicts"](spark, sf)
+    assert sorted((r.citation_id, r.link_pass, r.link_score) for r in out.collect() if r.citation_id) == [("1-1-2-3", True, 0.75), ("1-2-2-3", True, 0.75), ("1-2-4-3", True, 0.75), ("11-1-2-3", True, 0.75)]
+    moved = [p for p in nodes(out._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert len(moved) <= 2 and not any("l_quantity" in p.output().toString() for p in moved)
