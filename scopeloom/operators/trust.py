@@ -36,19 +36,28 @@ def schedule_validity(schedules: DataFrame) -> DataFrame:
 def text_coverage(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Per project: the share of pages (document_id, text) with a text, over documents that should carry text."""
     bearing = documents.where(F.col("doc_type").isin(*TEXT_TYPES)).select("document_id", "project_id")
-    return pages.join(bearing, "document_id").groupBy("project_id").agg(_share(F.col("text").isNotNull()).alias("ocr_text_coverage"))
+    # pages are counted by document before they meet it, so no text is shuffled
+    counts = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.count("text").alias("texts"))
+    return counts.join(bearing, "document_id").groupBy("project_id").agg((F.sum("texts") / F.sum("pages")).alias("ocr_text_coverage"))
 
 
-def trust_components(runs: DataFrame, items: DataFrame, citations: DataFrame, relevant: DataFrame, taxonomy: DataFrame, pages: DataFrame, documents: DataFrame, schedules: DataFrame, revisions: DataFrame) -> DataFrame:
+def trust_components(runs: DataFrame, items: DataFrame, citations: DataFrame | None, relevant: DataFrame, taxonomy: DataFrame, pages: DataFrame, documents: DataFrame, schedules: DataFrame, revisions: DataFrame) -> DataFrame:
     """The seven components of each run (run_id, project_id), and n_items; null where a run or project has no rows for one.
 
     ``items``: item_id, run_id, code, confidence, pattern_match (see ``evidence_tier``); ``citations``: item_id, link_pass, null
-    where unjudged. Link judgements reach a run through its items.
+    where unjudged. Link judgements reach a run through its items. Without ``citations``, items carry their own ``judged`` and
+    ``passed``, as ``evidence_rollup`` counts them.
     """
-    own = items.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_items"), _share(F.coalesce("pattern_match", F.lit(False))).alias("bilateral_coverage"), F.avg("confidence").alias("extraction_confidence_avg"))
-    judged = citations.where(F.col("link_pass").isNotNull()).groupBy("item_id").agg(F.count(F.lit(1)).alias("judged"), F.count_if("link_pass").alias("passed"))
-    links = items.select("run_id", "item_id").join(judged, "item_id").groupBy("run_id").agg((F.sum("passed") / F.sum("judged")).alias("link_judge_pass_rate"))
-    out = runs.select("run_id", "project_id").join(own, "run_id", "left").join(links, "run_id", "left").join(section_coverage(runs, relevant, items, taxonomy), "run_id", "left")
+    if citations is not None:
+        judged = citations.where(F.col("link_pass").isNotNull()).groupBy("item_id").agg(F.count(F.lit(1)).alias("judged"), F.count_if("link_pass").alias("passed"))
+        items = items.join(judged, "item_id", "left")
+    own = items.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        _share(F.coalesce("pattern_match", F.lit(False))).alias("bilateral_coverage"),
+        F.avg("confidence").alias("extraction_confidence_avg"),
+        F.try_divide(F.sum("passed"), F.sum("judged")).alias("link_judge_pass_rate"),
+    )
+    out = runs.select("run_id", "project_id").join(own, "run_id", "left").join(section_coverage(runs, relevant, items, taxonomy), "run_id", "left")
     for part in (text_coverage(pages, documents), schedule_validity(schedules), version_consistency(revisions)):
         out = out.join(part, "project_id", "left")
     return out.select("run_id", "project_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), *TRUST_WEIGHTS)

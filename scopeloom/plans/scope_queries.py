@@ -120,10 +120,9 @@ FROM i LEFT JOIN j USING (run_id) LEFT JOIN l USING (run_id) LEFT JOIN o USING (
 
 def _components(spark, sf):
     runs, relevant, items = _gap_inputs(spark, sf)
-    cits = view(spark, sf, "f_citations")
-    tiered = E.evidence_tier(items, E.evidence_rollup(cits.select("item_id", "evidence_type", "rerank", "link_pass")))
+    tiered = E.evidence_tier(items, E.evidence_rollup(view(spark, sf, "f_citations"), counts=True))
     schedules = spark.sql(_SCHEDULED.replace("FROM part", "FROM {part}"), part=view(spark, sf, "part"))
-    return T.trust_components(runs, tiered, cits, relevant, view(spark, sf, "f_taxonomy"), view(spark, sf, "f_pages"), view(spark, sf, "f_documents"), schedules, view(spark, sf, "f_revisions"))
+    return T.trust_components(runs, tiered, None, relevant, view(spark, sf, "f_taxonomy"), view(spark, sf, "f_pages"), view(spark, sf, "f_documents"), schedules, view(spark, sf, "f_revisions"))
 
 
 @register("trust_components", with_views(*_TRUST_VIEWS) + _TRUST + " SELECT run_id, a AS bilateral_coverage, b AS extraction_confidence_avg, c AS link_judge_pass_rate, d AS spec_section_coverage, e AS ocr_text_coverage, f AS schedule_extraction_validity, g AS document_version_consistency FROM t")

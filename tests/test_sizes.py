@@ -164,3 +164,26 @@ def test_verdicts_meet_citations_where_they_lie(spark, tmp_path, shuffled):
     assert sorted((r.citation_id, r.link_pass, r.link_score) for r in out.collect() if r.citation_id) == [("1-1-2-3", True, 0.75), ("1-2-2-3", True, 0.75), ("1-2-4-3", True, 0.75), ("11-1-2-3", True, 0.75)]
     moved = [p for p in nodes(out._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "ShuffleExchangeExec"]
     assert len(moved) <= 2 and not any("l_quantity" in p.output().toString() for p in moved)
+
+
+def test_trust_reads_citations_once_and_moves_no_text(spark, tmp_path, shuffled):
+    from scopeloom.operators import trust
+    from scopeloom.plans.fixtures import VIEWS, view
+
+    sf = lines_of(spark, tmp_path, ODD_LINES)
+    want = spark.sql(VIEWS["f_citations"].replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    cits = view(spark, sf, "f_citations")
+    assert sorted(map(repr, cits.collect())) == sorted(map(repr, want.collect()))
+    plain = want.groupBy("item_id").agg(F.array_sort(F.collect_set("evidence_type")).alias("types"), F.round(F.max("rerank"), 6).alias("rerank"), F.bool_and("link_pass").alias("link_pass"), F.count("link_pass").alias("judged"), F.count_if("link_pass").alias("passed"))
+    rolled = evidence.evidence_rollup(cits, counts=True)
+    assert sorted(map(repr, rolled.collect())) == sorted(map(repr, plain.collect()))
+    assert sum(p.getClass().getSimpleName() == "ShuffleExchangeExec" for p in nodes(rolled._jdf.queryExecution().executedPlan())) == 1
+    pages = spark.range(400).select((F.col("id") % 20).alias("document_id"), F.when(F.col("id") % 4 > 0, F.repeat(F.sha2(F.col("id").cast("string"), 512), 40)).alias("text"))
+    documents = spark.range(20).selectExpr("id AS document_id", "id % 2 AS project_id", "CASE WHEN id < 15 THEN 'written-spec' ELSE 'drawing-set' END AS doc_type")
+    out = trust.text_coverage(pages, documents.unionByName(documents.where("document_id = 4")))
+    assert {r.project_id: round(r.ocr_text_coverage, 6) for r in out.collect()} == {0: round(4 / 9, 6), 1: 1.0}
+    assert metric(out, "dataSize") < 400 * 100
+    revisions = spark.range(4000).selectExpr("1 AS project_id", "'A' AS sheet_id", "id % 2 AS document_id", "CAST(id % 3 AS STRING) AS rev_number")
+    agreed = evidence.version_consistency(revisions)
+    assert [r.document_version_consistency for r in agreed.collect()] == [1.0]
+    assert metric(agreed, "numOutputRows", lambda name: name == "SortExec") == 0 and sum(p.getClass().getSimpleName() == "HashAggregateExec" and "count(1)" in p.toString().split("\n")[0] for p in nodes(agreed._jdf.queryExecution().executedPlan())) >= 1
