@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scopeloom.llm.common import shared_dir, shuffle_partitions
-from scopeloom.llm.tokens import default_vocabulary, encoded, ids_crc32
+from scopeloom.llm.tokens import default_vocabulary, encoded_column, ids_crc32
 
 #: Bytes of records in one output batch, and bytes of text that give one file, so that a file is read back as one value.
 BATCH_BYTES, FILE_BYTES = 2 << 20, 128 << 20
@@ -74,7 +74,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str | None = None, id_
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, held, size = batch.column(0).to_pylist(), [], 0
-            for doc_id, found in zip(ids, encoded((x.as_py() for x in batch.column(1)), vocabulary), strict=True):
+            for doc_id, found in zip(ids, encoded_column(batch.column(1), vocabulary), strict=True):
                 held.append(frame(doc_id, found)[:-1])  # the writer adds the closing line feed
                 size += len(held[-1])
                 if size >= BATCH_BYTES:

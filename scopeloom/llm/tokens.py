@@ -10,12 +10,22 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from scopeloom.llm.common import runs, utf8
 
 #: Pieces of text whose ids a worker remembers, and the id that ends a document.
 REMEMBERED, END_ID = 1 << 18, 0
 # Runs of white space, white space at the end, and signs on which the vocabulary's own splitter and Python may differ.
 _ODD = re.compile(r"\s(?:\s|\Z)|[\x1c-\x1f\x85]")
+_ODD_PIECE = re.compile(r"\A(?:\s|\Z)|" + _ODD.pattern)
 _APOSTROPHE = "'"
+# Letters and signs (no apostrophe) of which the splitter's classes are certain: a word, its signs, and both again on the next line.
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ſ", r"!-&(-/:-@\[-`{-~"
+_WORD = re.compile(rf"([{_LETTER}]+)([{_SIGN}]*)(?:\n([{_LETTER}]+)([{_SIGN}]*))?")
+#: Bytes of text whose pieces are looked up together.
+RUN_BYTES = 16 << 20
 
 
 def default_vocabulary() -> str:
@@ -51,6 +61,7 @@ class Encoder(dict):
         self.tokenize = self.tokenizer.model.tokenize
         self.signs = _byte_signs()
         self.space = self.signs[ord(" ")]
+        self.bare = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -60,11 +71,26 @@ class Encoder(dict):
             return self.whole(text)
         return array("I", [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.signs))]).tobytes()
 
+    def follows(self, text: str) -> bytes:
+        """Ids of what no space precedes."""
+        ids = self.bare.get(text)
+        if ids is None:
+            ids = self.piece(text)
+            if len(self.bare) < REMEMBERED // 4:
+                self.bare[text] = ids
+        return ids
+
     def __missing__(self, rest: str) -> bytes:
+        parts = None if rest.isalpha() else _WORD.fullmatch(rest)
         if rest.isalpha() and rest.isascii():
             ids = array("I", [t.id for t in self.tokenize(self.space + rest)]).tobytes()
-        else:
+        elif parts is None:
             ids = self.piece(" " + rest)
+        else:
+            # made of words that are remembered, so not remembered itself
+            word, signs, below, more = parts.groups()
+            ids = self[word] + self.follows(signs)
+            return ids + self.follows("\n") + self.follows(below) + self.follows(more) if below else ids
         if len(self) < REMEMBERED:
             self[rest] = ids
         return ids
@@ -90,5 +116,43 @@ def encoded(texts: Iterator[str | None], path: str) -> Iterator[np.ndarray]:
         yield np.frombuffer((coder.encode(text) if text else b"") + end, "<u4")
 
 
+def encoded_column(column: pa.Array, path: str) -> Iterator[np.ndarray]:
+    """As ``encoded``, of a column of texts: the pieces of some megabytes of texts are looked up once each, and dealt to their places by Arrow."""
+    offsets = utf8(column)[0]
+    for lo, hi in runs(offsets, RUN_BYTES):
+        yield from _encoded_run(pc.fill_null(column.slice(lo, hi - lo), "").cast(pa.large_string()), path)
+
+
+def _encoded_run(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+    coder, end = encoder(path), np.array([END_ID], "<u4")
+    odd = np.zeros(len(texts), bool)
+    for token in coder.added:
+        odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    pieces = pc.split_pattern(texts, " ")
+    ends = np.cumsum(pc.list_value_length(pieces).to_numpy())
+    flat, heads = pieces.flatten(), np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    later = np.ones(len(flat), bool)
+    later[heads] = False
+    rest = flat.filter(pa.array(later)).dictionary_encode()
+    known = [coder[x] if x.isalpha() or x in coder or not _ODD_PIECE.search(x) else None for x in rest.dictionary.to_pylist()]
+    sizes = np.array([0 if x is None else len(x) >> 2 for x in known], np.int64)
+    ids = np.frombuffer(b"".join(x for x in known if x is not None), "<u4")
+    starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+    places = rest.indices.to_numpy()
+    dealt = pa.LargeListArray.from_arrays(starts, pa.array(ids)).take(rest.indices)
+    values = dealt.flatten().to_numpy()
+    # a text's pieces but its first: their number, and where their ids end
+    stops = ends - np.arange(1, len(texts) + 1)
+    upto = np.concatenate([[0], np.cumsum(sizes[places])])
+    strange = np.concatenate([[0], np.cumsum(np.array([x is None for x in known], bool)[places])])
+    begins = np.concatenate([[0], stops[:-1]])
+    odd |= strange[stops] > strange[begins]
+    for i, first in enumerate(flat.take(pa.array(heads)).to_pylist()):
+        if odd[i] or first and _ODD.search(first):
+            yield np.concatenate([np.frombuffer(coder.whole(texts[i].as_py()), "<u4"), end])
+        else:
+            yield np.concatenate([np.frombuffer(coder.piece(first) if first else b"", "<u4"), values[upto[begins[i]] : upto[stops[i]]], end])
+
+
 def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())

@@ -523,3 +523,23 @@ def test_substrings_with_equal_hashes(docs, texts, monkeypatch):
     out = np.zeros(9, np.uint32)
     substring_dedup._judge_windows(context, bits, doc, np.arange(9), out)
     assert out.tolist() == [0, 0, 0, 1, 1, 1, 1, 1, 1]
+
+
+def test_pieces_are_looked_up_once():
+    """A run's texts share their pieces: words with signs or across lines add no call of the model, odd texts take the library's path."""
+    import random
+
+    import pyarrow as pa
+
+    path = tokens.default_vocabulary()
+    coder = tokens.Encoder(path)
+    said = [None, "", " ", "a  b", "\na b", "a\n b", "a b\n", "it's a b's", "a\x1cb c", "a\0b \0 c", "ÿ üÿ. é,\nÀ", "1a2 ²x aª b_c", "a <|endoftext|> b", "a b c", "x́ á."]
+    rng = random.Random(3)
+    said += ["".join(rng.choices(["a", "The", " ", " ", "\n", "'", "é", "\t", "\0", "1", ".", ",", "ª", "中", "_"], k=rng.randrange(1, 14))) for _ in range(3000)]
+    got = tokens.encoded_column(pa.array(said), path)
+    assert all(ids.tobytes() == (coder.whole(x) if x else b"") + bytes(4) for x, ids in zip(said, got, strict=True))
+    calls, model = [], coder.tokenize
+    coder.tokenize = lambda text: calls.append(text) or model(text)
+    names = [f"{'abcdefghij'[i // 10]}x{'abcdefghij'[i % 10]}" for i in range(100)]
+    signed = " ".join(f"{x}{s}" for s in ("", ".", ",", "***", ".\nThen") for x in names)
+    assert coder.encode("so " + signed) == coder.whole("so " + signed) and len(calls) < 110
