@@ -25,7 +25,7 @@ _APOSTROPHE = "'"
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ſ", r"!-&(-/:-@\[-`{-~"
 _WORD = re.compile(rf"([{_LETTER}]+)([{_SIGN}]*)(?:\n([{_LETTER}]+)([{_SIGN}]*))?")
 #: Bytes of text whose pieces are looked up together.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 4 << 20
 
 
 def default_vocabulary() -> str:
