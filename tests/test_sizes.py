@@ -44,6 +44,41 @@ def shuffled(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def priced(spark, items, bids, divisions, projects=1):
+    """Items of one project and bids of it and others; every third bid lists no division."""
+    division = F.concat(F.lit("d"), F.pmod(F.xxhash64("id"), F.lit(divisions)))
+    left = spark.range(items).select(F.lit(1).alias("project_id"), division.alias("division"), F.col("id").alias("item_id"))
+    return left, spark.range(bids).select((F.col("id") % projects + 1).alias("project_id"), F.when(F.col("id") % 3 > 0, division).alias("division"), F.col("id").alias("bid_id"))
+
+
+def test_written_pairs_take_a_fraction_of_a_byte(spark, tmp_path):
+    items, bids = priced(spark, 20_000, 60_000, 30, 200)
+    B.coverage_pairs(items, bids).write.parquet(str(tmp_path / "pairs"))
+    out = spark.read.parquet(str(tmp_path / "pairs"))
+    want = items.crossJoin(bids.withColumnsRenamed({"project_id": "p", "division": "d"})).where("p = project_id AND (d IS NULL OR d = division)")
+    digest = ["count(*)", "sum(CAST(xxhash64(item_id, bid_id) AS DECIMAL(38, 0)))"]
+    assert tuple(out.selectExpr(*digest).first()) == tuple(want.selectExpr(*digest).first())
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < out.count() / 4
+
+
+def test_pairs_of_a_hot_project_are_made_in_many_tasks(spark, shuffled):
+    items, bids = priced(spark, 4000, 600, 1)
+    made = B.coverage_pairs(items, bids, items_a_tile=256, bids_a_tile=64, run=50).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 4000 * 600 and max(r["count"] for r in made) < 4000 * 600 / 3
+
+
+def test_pairs_of_odd_rows(spark):
+    kind = "project_id long, division string, {} long"
+    items = [(1, "03", 1), (1, "03", 1), (1, None, 2), (1, "", 3), (1, "04", None), (None, "03", 5), (None, None, 6), (2, "03", 7), (3, "03", 8)] + [(4, "03", i) for i in range(100, 130)]
+    bids = [(1, "03", 1), (1, "03", 1), (1, None, 2), (1, "", 3), (1, None, None), (None, None, 5), (None, "03", 6), (2, "04", 7), (9, None, 8)] + [(4, "03" if i % 2 else None, i) for i in range(20)]
+    want = sorted(str((i, b)) for p, d, i in items for q, e, b in bids if p is not None and p == q and (e is None or d == e))
+    left, right = spark.createDataFrame(items, kind.format("item_id")), spark.createDataFrame(bids, kind.format("bid_id"))
+    for sizes in ({}, {"items_a_tile": 7, "bids_a_tile": 4, "run": 3}):
+        out = B.coverage_pairs(left, right, **sizes)
+        assert out.columns == ["item_id", "bid_id"] and sorted(str(tuple(r)) for r in out.collect()) == want
+    assert B.coverage_pairs(left.where("false"), right).count() == 0
+
+
 def test_leveling_shuffles_no_row_of_its_grid(spark, shuffled):
     vendors, scored = 300, 200
     runs = spark.createDataFrame([(1, 1, 0, 7), (2, 1, 1, 8), (3, 2, 0, None)], "bid_run_id long, project_id long, started_at long, scope_run_id long")
