@@ -189,3 +189,25 @@ def test_two_unlike_pages(spark):
     out = {r.page_id: r for r in text.fuse_ocr(spark.createDataFrame(rows, "page_id int, provider string, text string")).select("page_id", "disagreement", "flagged").collect()}
     assert out[1].flagged and out[1].disagreement == round(text.bit_distance(a, b) / 100_000, 4)
     assert out[2].disagreement == round(50 / 100_020, 4) and out[3].disagreement is None
+
+
+def test_snippets_reach_the_hits(spark):
+    """The last stage of the hybrid search is part of its rows, and hits go to the texts, not the texts to them."""
+    from scopeloom.plans import catalog
+
+    assert "AS snippet" in catalog.oracle_sql()["hybrid_search"]  # which test_oracle holds the query to
+    n = 5000
+    chunks = spark.range(n).selectExpr("id AS chunk_id", "id % 7 AS document_id", "1 AS page_number", "'note' AS chunk_type", "'A1' AS sheet_id", "'t' AS sheet_title", "'civil' AS discipline", "concat(repeat('x', 300), ' pump ', id) AS text")
+    documents = spark.range(7).selectExpr("id AS document_id", "concat('f', id) AS filename")
+    ranked = lambda first: spark.range(5).selectExpr("1L AS query_id", f"id + {first} AS chunk_id", "1.0D AS score", "CAST(id + 1 AS INT) AS rank")
+    queries = spark.createDataFrame([(1, "the Pump")], "query_id long, text string")
+    relevance = spark.createDataFrame([(3, 0.9)], "chunk_id long, relevance double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        out = retrieval.hybrid_search(ranked(0), ranked(3), chunks, documents, queries, relevance, final=2)
+        got = {(r["rank"], r.chunk_id): r.snippet for r in out.collect()}
+        assert got == {(1, 3): f"…{'x' * 79} pump 3", (2, 4): f"…{'x' * 79} pump 4"}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
