@@ -222,3 +222,47 @@ def test_trust_reads_citations_once_and_moves_no_text(spark, tmp_path, shuffled)
     agreed = evidence.version_consistency(revisions)
     assert [r.document_version_consistency for r in agreed.collect()] == [1.0]
     assert metric(agreed, "numOutputRows", lambda name: name == "SortExec") == 0 and sum(p.getClass().getSimpleName() == "HashAggregateExec" and "count(1)" in p.toString().split("\n")[0] for p in nodes(agreed._jdf.queryExecution().executedPlan())) >= 1
+
+
+def grid(spark, vendors, scored):
+    """A project with a run of its bids: each item is scored by one vendor, every tenth by two more; and one of a vendor without a name."""
+    runs = spark.createDataFrame([(2, 1, 1, 8), (4, 2, 0, 9)], "bid_run_id long, project_id long, started_at long, scope_run_id long")
+    bids = spark.range(vendors + 1).select(F.col("id").alias("bid_id"), F.when(F.col("id") > 0, F.concat(F.lit("v, "), "id")).alias("vendor"))
+    summaries = bids.select(F.when(F.col("bid_id") < vendors, 2).otherwise(4).cast("long").alias("bid_run_id"), "bid_id", F.lit("09").alias("division"))
+    by = F.explode(F.transform(F.when(F.col("id") % 10 == 0, F.array("id", F.col("id") + 7, F.col("id") * 3)).otherwise(F.array("id")), lambda x: x % vendors))
+    coverage = spark.range(scored).select(F.col("id").alias("item_id"), by.alias("bid_id")).withColumns({"status": F.when(F.col("item_id") % 2 == 0, "covered").otherwise("partial"), "confidence": F.col("bid_id") / 1000, "line_id": F.when(F.col("item_id") % 3 > 0, F.concat(F.lit("l"), F.col("item_id") % 5))})
+    coverage = coverage.unionByName(spark.createDataFrame([(scored, vendors, "excluded", None, None)], coverage.schema))
+    lines = spark.range(5).select(F.concat(F.lit("l"), "id").alias("line_id"), F.concat(F.lit("t"), "id").alias("description"), F.lit(2.0).alias("total_price"))
+    items = spark.range(scored + 1).select(F.when(F.col("id") < scored, 8).otherwise(9).cast("long").alias("run_id"), F.col("id").alias("item_id"), F.lit("09 00 00").alias("code"), F.lit("09").alias("division"))
+    return runs, summaries, bids, coverage, lines, items.unionByName(items.where("item_id % 50 = 3"))
+
+
+def test_a_grid_of_one_project_is_many_tasks(spark, shuffled):
+    vendors, scored = 150, 400
+    args = grid(spark, vendors, scored)
+    for made in (B.bid_leveling(*args), B.bid_leveling_nested(*args)):
+        size = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(size) >= 16 and max(size) < sum(size) / 4
+
+
+def test_grids_of_any_list_of_vendors(spark):
+    """Lists of vendors of any size make the same rows, and stretches of unscored cells between own ones the same row of the grid."""
+    args = grid(spark, 40, 90)
+    runs, summaries, bids, coverage, lines, items = [[r.asDict() for r in df.collect()] for df in args]
+    named = {b["bid_id"]: b["vendor"] for b in bids}
+    own, text = {}, {x["line_id"]: x["description"] for x in lines}
+    for c in sorted(coverage, key=lambda c: -(c["confidence"] or 0)):
+        own.setdefault((c["item_id"], named[c["bid_id"]]), c)
+    want = []
+    for i in items:
+        project, run = (1, 2) if i["run_id"] == 8 else (2, 4)
+        for v in {named[s["bid_id"]] for s in summaries if s["bid_run_id"] == run}:
+            c = own.get((i["item_id"], v), {}) if v is not None else {}
+            want.append((project, i["item_id"], v, c.get("status", "not_applicable"), c.get("confidence") or 0.0, text.get(c.get("line_id"))))
+    for sizes in ({}, {"listed": 7}):
+        got = B.bid_leveling(*args, **sizes)
+        assert sorted(repr(tuple(r)) for r in got.select("project_id", "item_id", "vendor", "status", "confidence", "line_text").collect()) == sorted(map(repr, want))
+    plain = {(r.item_id, r.code): r.cells for r in B.bid_leveling_wide(got).collect()}
+    assert plain == {(r.item_id, r.code): r.cells for r in B.bid_leveling_nested(*args).collect()} and len(plain[3, "09 00 00"]) == 80
+    shown = B.bid_leveling_nested(*args, show=lambda c: F.concat(c["vendor"], F.lit("="), c["status"]))
+    assert {(r.item_id, r.code): r.cells for r in shown.collect()} == {k: [x.vendor and f"{x.vendor}={x.status}" for x in v] for k, v in plain.items()}
